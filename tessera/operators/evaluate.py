@@ -14,6 +14,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions.numeric import fround
 
 from tessera.functions import text as textfn
 
@@ -52,7 +55,7 @@ def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, labels=None) -> Da
 def accuracy(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
     hit = F.col(y_true).cast("string") == F.col(y_pred).cast("string")
     return df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(hit, F.lit(False))).alias("c")).select(
-        F.round(F.col("c") / F.col("n"), 4).alias("accuracy"),
+        fround(F.col("c") / F.col("n"), 4).alias("accuracy"),
         F.col("c").cast("bigint").alias("correct"),
         F.col("n").cast("bigint").alias("total_samples"))
 
@@ -74,8 +77,8 @@ def per_class_metrics(df: DataFrame, y_true: str, y_pred: str, labels=None) -> D
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     m = m.select("label", "support", prec.alias("p"), rec.alias("r"))
     f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(F.lit(0.0))
-    return m.select("label", F.round("p", 4).alias("precision"), F.round("r", 4).alias("recall"),
-                    F.round(f1, 4).alias("f1"), F.col("support").cast("bigint").alias("support"))
+    return m.select("label", fround("p", 4).alias("precision"), fround("r", 4).alias("recall"),
+                    fround(f1, 4).alias("f1"), F.col("support").cast("bigint").alias("support"))
 
 
 def macro_metrics(df: DataFrame, y_true: str, y_pred: str, labels=None) -> DataFrame:
@@ -83,9 +86,9 @@ def macro_metrics(df: DataFrame, y_true: str, y_pred: str, labels=None) -> DataF
     pcm = per_class_metrics(df, y_true, y_pred, labels)
     agg = pcm.agg(F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
                   F.sum(F.col("f1") * F.col("support")).alias("wf"), F.sum("support").alias("ts"))
-    return agg.select(F.round("mp", 4).alias("macro_precision"), F.round("mr", 4).alias("macro_recall"),
-                      F.round("mf", 4).alias("macro_f1"),
-                      F.round(F.col("wf") / F.greatest(F.col("ts"), F.lit(1)), 4).alias("weighted_f1"))
+    return agg.select(fround("mp", 4).alias("macro_precision"), fround("mr", 4).alias("macro_recall"),
+                      fround("mf", 4).alias("macro_f1"),
+                      fround(F.col("wf") / F.greatest(F.col("ts"), F.lit(1)), 4).alias("weighted_f1"))
 
 
 # --------------------------------------------------------------------------- regression
@@ -101,13 +104,13 @@ def regression_metrics(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
     sst = F.col("vt") * F.col("n")
     mse = F.col("sse") / F.col("n")
     return agg.select(
-        F.round(mse, 6).alias("mse"), F.round(F.sqrt(mse), 6).alias("rmse"),
-        F.round(F.col("sae") / F.col("n"), 6).alias("mae"),
-        F.round(F.when(sst > 0, 1 - F.col("sse") / sst).otherwise(F.lit(0.0)), 6).alias("r2"),
-        F.round(F.col("ape") / F.col("n") * 100, 2).alias("mape"),
+        fround(mse, 6).alias("mse"), fround(F.sqrt(mse), 6).alias("rmse"),
+        fround(F.col("sae") / F.col("n"), 6).alias("mae"),
+        fround(F.when(sst > 0, 1 - F.col("sse") / sst).otherwise(F.lit(0.0)), 6).alias("r2"),
+        fround(F.col("ape") / F.col("n") * 100, 2).alias("mape"),
         F.col("n").cast("bigint").alias("total_samples"),
-        F.round("emin", 4).alias("residual_min"), F.round("emax", 4).alias("residual_max"),
-        F.round("emean", 4).alias("residual_mean"))
+        fround("emin", 4).alias("residual_min"), fround("emax", 4).alias("residual_max"),
+        fround("emean", 4).alias("residual_mean"))
 
 
 # --------------------------------------------------------------------------- generation
@@ -170,18 +173,18 @@ def generation_pair_scores(df: DataFrame, ref: str, pred: str, pair_id: str) ->
 
 def exact_match(df: DataFrame, ref: str, pred: str) -> DataFrame:
     hit = textfn.strip(F.col(ref)) == textfn.strip(F.col(pred))
-    return df.agg(F.round(F.avg(F.coalesce(hit, F.lit(False)).cast("double")), 4).alias("exact_match"),
+    return df.agg(fround(F.avg(F.coalesce(hit, F.lit(False)).cast("double")), 4).alias("exact_match"),
                   F.count(F.lit(1)).cast("bigint").alias("total_samples"))
 
 
 def bleu_n(df: DataFrame, ref: str, pred: str, pair_id: str) -> DataFrame:
     s = generation_pair_scores(df, ref, pred, pair_id)
-    return s.agg(*[F.round(F.avg(f"bleu_{n}"), 4).alias(f"bleu_{n}") for n in (1, 2, 3, 4)])
+    return s.agg(*[fround(F.avg(f"bleu_{n}"), 4).alias(f"bleu_{n}") for n in (1, 2, 3, 4)])
 
 
 def rouge_12(df: DataFrame, ref: str, pred: str, pair_id: str) -> DataFrame:
     s = generation_pair_scores(df, ref, pred, pair_id)
-    return s.agg(F.round(F.avg("rouge_1"), 4).alias("rouge_1"), F.round(F.avg("rouge_2"), 4).alias("rouge_2"))
+    return s.agg(fround(F.avg("rouge_1"), 4).alias("rouge_1"), fround(F.avg("rouge_2"), 4).alias("rouge_2"))
 
 
 def lcs_length_py(a: list, b: list) -> int:
@@ -200,7 +203,7 @@ def lcs_length_py(a: list, b: list) -> int:
     return len(b) - bin(v).count("1")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length_py(list(x) if x is not None else [], list(y) if y is not None else [])
                       for x, y in zip(a, b)], dtype="int64")
@@ -212,7 +215,7 @@ def rouge_l(df: DataFrame, ref: str, pred: str) -> DataFrame:
     pp = lcs / F.greatest(F.size(pt), F.lit(1))
     rr = lcs / F.greatest(F.size(rt), F.lit(1))
     f = 2 * pp * rr / F.greatest(pp + rr, F.lit(1e-8))
-    return df.select(f.alias("f")).agg(F.round(F.avg("f"), 4).alias("rouge_l"))
+    return df.select(f.alias("f")).agg(fround(F.avg("f"), 4).alias("rouge_l"))
 
 
 # --------------------------------------------------------------------------- auto / QA
@@ -252,4 +255,4 @@ def qa_scores(df: DataFrame, category: str, generated: str, expected: str, laten
         .select(F.lit("__overall__").alias("category"), "correct", "total", "lat")
     return per.unionByName(overall).select(
         "category", F.col("correct").cast("bigint").alias("correct"), F.col("total").cast("bigint").alias("total"),
-        F.round(F.col("correct") / F.col("total"), 4).alias("score"), F.round("lat", 2).alias("avg_latency"))
+        fround(F.col("correct") / F.col("total"), 4).alias("score"), fround("lat", 2).alias("avg_latency"))

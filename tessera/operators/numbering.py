@@ -47,3 +47,47 @@ def row_numbers(df: DataFrame, order: list[str], *, key: str | None = None,
                 n_buckets: int = DEFAULT_BUCKETS, out: str = "row_id") -> DataFrame:
     """0-based global row number in ``order``."""
     return prefix_sum(df, order, None, key=key, n_buckets=n_buckets, out=out)
+
+
+def time_bucket(df: DataFrame, col: str | Column, n_buckets: int = 1024) -> Column:
+    """Monotone bucket of a timestamp / numeric ordering column."""
+    x = (F.col(col) if isinstance(col, str) else col)
+    x = x.cast("timestamp").cast("double") if _is_time(df, col) else x.cast("double")
+    stats = df.select(x.alias("__x")).agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"))
+    lo = stats.select("lo").scalar()
+    width = stats.select(F.greatest((F.col("hi") - F.col("lo")) / F.lit(n_buckets), F.lit(1e-9))).scalar()
+    return F.least(F.floor((x - lo) / width), F.lit(n_buckets - 1)).cast("long")
+
+
+def _is_time(df: DataFrame, col) -> bool:
+    if not isinstance(col, str):
+        return False
+    from pyspark.sql import types as T
+    return isinstance(df.schema[col].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
+def positions_within(df: DataFrame, keys: list[str], order: list[str], bucket_col: str, *,
+                     n_buckets: int = 1024, weight: Column | None = None,
+                     out: str = "pos", sum_out: str | None = None) -> DataFrame:
+    """0-based position of each row inside its ``keys`` group in ``order``
+    (and, with ``weight``, the running sum up to and including the row).
+
+    Skew-safe: a group is cut into ordering-column buckets, so even a key
+    holding a third of all rows is sorted by many tasks; only the per
+    (key, bucket) totals - at most ``n_buckets`` per key - are combined in
+    one window per key."""
+    b = df.withColumn("__tb", time_bucket(df, bucket_col, n_buckets))
+    if weight is not None:
+        b = b.withColumn("__wt", weight)
+    aggs = [F.count(F.lit(1)).alias("__c")] + ([F.sum("__wt").alias("__s")] if weight is not None else [])
+    tot = b.groupBy(*keys, "__tb").agg(*aggs)
+    kw = Window.partitionBy(*keys).orderBy("__tb").rowsBetween(Window.unboundedPreceding, -1)
+    base = tot.select(*keys, "__tb", F.coalesce(F.sum("__c").over(kw), F.lit(0)).alias("__bc"),
+                      *([F.coalesce(F.sum("__s").over(kw), F.lit(0)).alias("__bs")] if weight is not None else []))
+    j = b.join(base, [*keys, "__tb"])
+    iw = Window.partitionBy(*keys, "__tb").orderBy(*order)
+    j = j.withColumn(out, (F.col("__bc") + F.row_number().over(iw) - 1).cast("long"))
+    if weight is not None:
+        j = j.withColumn(sum_out or "running_sum",
+                         F.col("__bs") + F.sum("__wt").over(iw.rowsBetween(Window.unboundedPreceding, 0)))
+    return j.drop("__tb", "__bc", "__bs", "__wt", "__c", "__s")

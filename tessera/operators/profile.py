@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from tessera.functions.numeric import fround
 from pyspark.sql import types as T
 
 from tessera.functions.columns import is_blank, is_numeric_type, is_string_type, not_blank
@@ -48,7 +50,7 @@ def profile_counts(df: DataFrame) -> DataFrame:
         "column",
         F.col("__n").cast("bigint").alias("count"),
         F.col("null_count").cast("bigint").alias("null_count"),
-        F.when(F.col("__n") > 0, F.round(F.col("null_count") / F.col("__n") * 100, 1)).otherwise(F.lit(0.0))
+        F.when(F.col("__n") > 0, fround(F.col("null_count") / F.col("__n") * 100, 1)).otherwise(F.lit(0.0))
         .alias("null_pct"),
         F.coalesce(F.col("unique"), F.lit(0)).cast("bigint").alias("unique"),
         F.col("__n").cast("bigint").alias("row_count"),
@@ -89,7 +91,7 @@ def numeric_profile(df: DataFrame, columns=None) -> DataFrame:
         rows.append((c, float(row[f"{c}__min"]), float(row[f"{c}__max"]), float(row[f"{c}__avg"]), float(med)))
     schema = "column string, min double, max double, mean double, median double"
     out = spark.createDataFrame(rows, schema)  # one row per column: bounded by the schema width
-    return out.withColumn("mean", F.round("mean", 4))
+    return out.withColumn("mean", fround("mean", 4))
 
 
 def histogram(df: DataFrame, column: str, max_buckets: int = MAX_BUCKETS) -> DataFrame:
@@ -109,7 +111,7 @@ def histogram(df: DataFrame, column: str, max_buckets: int = MAX_BUCKETS) -> Dat
     grid = stats.select(F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("nb") - 1).cast("bigint"))).alias("bucket"),
                         "mn", "step")
     return (grid.join(counts, "bucket", "left")
-            .select("bucket", F.round(F.col("mn") + F.col("bucket") * F.col("step"), 2).alias("label"),
+            .select("bucket", fround(F.col("mn") + F.col("bucket") * F.col("step"), 2).alias("label"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
@@ -126,7 +128,7 @@ def top_values(df: DataFrame, columns=None, k: int = TOP_K) -> DataFrame:
 def text_lengths(df: DataFrame, columns=None) -> DataFrame:
     """column, avg_length (1 dp), max_length over non-blank string forms."""
     lv = long_values(df, columns)
-    return lv.groupBy("column").agg(F.round(F.avg(F.length("value")), 1).alias("avg_length"),
+    return lv.groupBy("column").agg(fround(F.avg(F.length("value")), 1).alias("avg_length"),
                                     F.max(F.length("value")).cast("bigint").alias("max_length"))
 
 

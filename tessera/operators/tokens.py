@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import fround
+
 from tessera.functions import text as textfn
 from tessera.operators.numbering import prefix_sum
 
@@ -209,7 +211,7 @@ def response_mask(turns: DataFrame, conv: str = "conv_id", role: str = "role", t
     g = r.groupBy(conv).agg(F.sum("seg_len").alias("total_chars"), F.sum("train_len").alias("trained_chars"))
     return g.select(conv, F.col("total_chars").cast("bigint").alias("total_chars"),
                     F.col("trained_chars").cast("bigint").alias("trained_chars"),
-                    F.round(F.col("trained_chars") / F.col("total_chars"), 4).alias("trained_share"))
+                    fround(F.col("trained_chars") / F.col("total_chars"), 4).alias("trained_share"))
 
 
 # --------------------------------------------------------------------------- BPE

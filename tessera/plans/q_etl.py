@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.numeric import fround
+
 from tessera.operators import transforms as tf
 from tessera.plans.pipeline import Pipeline
 from tessera.plans.registry import query
@@ -163,7 +165,7 @@ query("fill_mean", f"""SELECT l_orderkey, l_linenumber,
 round(coalesce(l_discount, (SELECT coalesce(avg(l_discount), 0) FROM {_DISC_SQL} a)), 6) AS l_discount
 FROM {_DISC_SQL} t""")(
     lambda spark, d: tf.fill_nulls(_disc(spark, d), "l_discount", "mean")
-    .withColumn("l_discount", F.round("l_discount", 6)))
+    .withColumn("l_discount", fround("l_discount", 6)))
 query("fill_median", f"""SELECT l_orderkey, l_linenumber,
 coalesce(l_discount, (SELECT x FROM (SELECT l_discount AS x, row_number() OVER (ORDER BY l_discount) - 1 AS rn,
   count(*) OVER () AS n FROM {_DISC_SQL} v WHERE l_discount IS NOT NULL) WHERE rn = n // 2)) AS l_discount
