@@ -148,10 +148,11 @@ def clipped_matches(pairs: DataFrame, orders=(1, 2, 3, 4)) -> DataFrame:
     return per_gram.groupBy("pair_id", "n").agg(F.sum(F.least("rc", "pc")).alias("matches"))
 
 
-def generation_pair_scores(df: DataFrame, ref: str, pred: str, pair_id: str) -> DataFrame:
-    """Per pair: bleu_1..4 precisions, rouge_1 / rouge_2 F1, exact flag."""
+def generation_pair_scores(df: DataFrame, ref: str, pred: str, pair_id: str, orders=(1, 2, 3, 4)) -> DataFrame:
+    """Per pair: bleu_1..4 precisions, rouge_1 / rouge_2 F1, exact flag
+    (only the n-gram orders asked for are exploded)."""
     pairs = _tokenised_pairs(df, ref, pred, pair_id)
-    cm = clipped_matches(pairs)
+    cm = clipped_matches(pairs, orders)
     wide = cm.groupBy("pair_id").agg(*[F.sum(F.when(F.col("n") == n, F.col("matches"))).alias(f"m{n}") for n in (1, 2, 3, 4)])
     exact = df.select(F.col(pair_id).alias("pair_id"),
                       (textfn.strip(F.col(ref)) == textfn.strip(F.col(pred))).alias("exact"))
@@ -183,7 +184,7 @@ def bleu_n(df: DataFrame, ref: str, pred: str, pair_id: str) -> DataFrame:
 
 
 def rouge_12(df: DataFrame, ref: str, pred: str, pair_id: str) -> DataFrame:
-    s = generation_pair_scores(df, ref, pred, pair_id)
+    s = generation_pair_scores(df, ref, pred, pair_id, orders=(1, 2))
     return s.agg(fround(F.avg("rouge_1"), 4).alias("rouge_1"), fround(F.avg("rouge_2"), 4).alias("rouge_2"))
 
 

@@ -2,11 +2,12 @@
 
 ``percentile_disc`` / ``mode`` keep a map of every distinct value of the
 group in the final aggregation task, which does not survive a 100 TB column.
-``kth_smallest`` instead narrows the value range with equal-width bucket
-histograms (one distributed ``groupBy`` per round, at most ``buckets`` rows
-come back) until the bucket holding rank ``k`` is small enough to collect,
-or holds one distinct value.  Each round shrinks the range by ~``buckets``,
-so a handful of scans finds any rank exactly.
+``kth_smallest_many`` instead narrows the value range with equal-width
+bucket histograms until the bucket holding each requested rank is small
+enough to fetch, or holds a single value.  Every round is ONE distributed
+``groupBy(target, bucket)`` over all requested columns and ranks together
+(at most ``targets x buckets`` rows come back), and each round shrinks a
+range by ~``buckets``, so a handful of scans resolves every rank exactly.
 """
 
 from __future__ import annotations
@@ -19,56 +20,98 @@ def _bucket(x: Column, lo: float, width: float, buckets: int) -> Column:
     return F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("long")
 
 
-def kth_smallest(df: DataFrame, column: str | Column, ks: list[int], *,
-                 buckets: int = 4096, collect_limit: int = 200_000) -> list[float | None]:
-    """0-based rank selection over the non-null values of ``column``.
+class _Target:
+    __slots__ = ("col", "k", "chain", "lo", "hi", "n", "offset", "value", "done")
 
-    Returns one value per requested rank (``None`` when out of range).  The
-    caller computes ranks from ``count`` (e.g. upper median = ``n // 2``).
-    """
-    x = F.col(column) if isinstance(column, str) else column
-    vals = df.select(x.cast("double").alias("__x")).where(F.col("__x").isNotNull())
-    out: list[float | None] = []
-    for k in ks:
-        out.append(_select(vals, k, buckets, collect_limit))
-    return out
+    def __init__(self, col: int, k: int, lo, hi, n):
+        self.col, self.k, self.chain = col, k, []
+        self.lo, self.hi, self.n, self.offset = lo, hi, n, 0
+        self.value, self.done = None, False
 
 
-def _select(vals: DataFrame, k: int, buckets: int, collect_limit: int):
-    x = F.col("__x")
-    stats = vals.agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    n, lo, hi = stats["n"], stats["lo"], stats["hi"]
-    if k < 0 or k >= n:
-        return None
-    cur = vals
-    offset = 0
+def kth_smallest_many(df: DataFrame, requests: dict, *, buckets: int = 4096,
+                      collect_limit: int = 50_000) -> dict:
+    """``requests``: {column name or Column: [0-based ranks]} over non-null
+    values.  Returns {(column key, rank): value or None}."""
+    keys = list(requests)
+    cols = [F.col(c) if isinstance(c, str) else c for c in keys]
+    long = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), c.cast("double").alias("x"))
+                                          for i, c in enumerate(cols)])).alias("p"))
+            .select("p.c", "p.x").where(F.col("x").isNotNull() & ~F.isnan("x")))
+    stats = long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+    by_col = {r["c"]: r for r in stats}
+    targets: list[_Target] = []
+    out: dict = {}
+    for i, key in enumerate(keys):
+        st = by_col.get(i)
+        for k in requests[key]:
+            if st is None or k < 0 or k >= st["n"]:
+                out[(key, k)] = None
+                continue
+            targets.append(_Target(i, k, st["lo"], st["hi"], st["n"]))
+    x, c = F.col("x"), F.col("c")
+
+    def pred(t: _Target) -> Column:
+        p = c == F.lit(t.col)
+        for lo, width, b in t.chain:
+            p = p & (_bucket(x, lo, width, buckets) == F.lit(b))
+        return p
+
     while True:
-        if lo == hi:
-            return lo
-        if n <= collect_limit:
-            # bounded: at most collect_limit values reach the driver
-            rows = cur.orderBy(x).offset(k - offset).limit(1).collect()
-            return rows[0][0]
-        width = (hi - lo) / buckets
-        if width <= 0 or lo + width == lo:
-            rows = cur.orderBy(x).offset(k - offset).limit(1).collect()
-            return rows[0][0]
-        b = _bucket(x, lo, width, buckets)
-        hist = (cur.groupBy(b.alias("b"))
-                .agg(F.count(F.lit(1)).alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-                .orderBy("b").collect())  # <= buckets rows
-        seen = offset
-        for row in hist:
-            if seen + row["c"] > k:
-                cur = cur.where(_bucket(x, lo, width, buckets) == F.lit(row["b"]))
-                offset, n, lo, hi = seen, row["c"], row["lo"], row["hi"]
-                break
-            seen += row["c"]
-        else:  # pragma: no cover - counts always cover k
-            return None
-
-
-def upper_median(df: DataFrame, column: str, **kw) -> float | None:
+        live = [t for t in targets if not t.done]
+        for t in live:
+            if t.lo == t.hi:
+                t.value, t.done = t.lo, True
+        live = [t for t in live if not t.done]
+        if not live:
+            break
+        small = [t for t in live if t.n <= collect_limit or (t.hi - t.lo) / buckets <= 0
+                 or t.lo + (t.hi - t.lo) / buckets == t.lo]
+        if small:
+            # bounded fetch: every selected target holds <= collect_limit values
+            tagged = F.explode(F.array(*[F.when(pred(t), F.lit(j)) for j, t in enumerate(small)])).alias("t")
+            rows = long.select(tagged, x).where(F.col("t").isNotNull()).collect()
+            vals: dict[int, list] = {}
+            for r in rows:
+                vals.setdefault(r["t"], []).append(r["x"])
+            for j, t in enumerate(small):
+                v = sorted(vals.get(j, []))
+                t.value, t.done = (v[t.k - t.offset] if 0 <= t.k - t.offset < len(v) else None), True
+            continue
+        tagged = F.explode(F.array(*[
+            F.when(pred(t), F.struct(F.lit(j).alias("t"), _bucket(x, t.lo, (t.hi - t.lo) / buckets, buckets).alias("b")))
+            for j, t in enumerate(live)])).alias("tb")
+        hist = (long.select(tagged, x).where(F.col("tb").isNotNull())
+                .groupBy("tb.t", "tb.b").agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+                .collect())  # <= len(live) * buckets rows
+        per: dict[int, list] = {}
+        for r in hist:
+            per.setdefault(r["t"], []).append(r)
+        for j, t in enumerate(live):
+            width = (t.hi - t.lo) / buckets
+            seen = t.offset
+            for r in sorted(per.get(j, []), key=lambda r: r["b"]):
+                if seen + r["n"] > t.k:
+                    t.chain.append((t.lo, width, r["b"]))
+                    t.offset, t.n, t.lo, t.hi = seen, r["n"], r["lo"], r["hi"]
+                    break
+                seen += r["n"]
+            else:  # pragma: no cover - counts always cover k
+                t.done = True
+    for key_i, key in enumerate(keys):
+        for t in targets:
+            if t.col == key_i:
+                out[(key, t.k)] = t.value
+    return out
+
+
+def kth_smallest(df: DataFrame, column: str | Column, ks: list[int], **kw) -> list:
+    res = kth_smallest_many(df, {column: list(ks)}, **kw)
+    return [res[(column, k)] for k in ks]
+
+
+def upper_median(df: DataFrame, column: str, **kw):
+    """``sorted(values)[n // 2]`` over the non-null values."""
     n = df.where(F.col(column).isNotNull()).count()
     if n == 0:
         return None

@@ -70,11 +70,12 @@ def vocab_map(vocab: DataFrame, key: str = "token", value: str = "id") -> Column
 
 
 def _broadcast_vocab(vocab: DataFrame, key: str, value: str):
-    n = vocab.count()
-    if n > MAP_VOCAB_LIMIT:
+    # at most MAP_VOCAB_LIMIT + 1 rows come back: the size check and the
+    # fetch are one job
+    rows = vocab.select(key, value).limit(MAP_VOCAB_LIMIT + 1).collect()
+    if len(rows) > MAP_VOCAB_LIMIT:
         return None
-    # bounded by MAP_VOCAB_LIMIT entries (checked above)
-    return vocab.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in vocab.select(key, value).collect()})
+    return vocab.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows})
 
 
 def _encode_udf(bc, split: str):
@@ -123,6 +124,15 @@ def char_ids(df: DataFrame, vocab: DataFrame, text: str = "text", keys=("doc_id"
     return _encode_by_join(df, vocab, chars(F.col(text)), keys)
 
 
+def char_encoder(vocab: DataFrame, text: str = "text", out: str = "ids"):
+    """``DataFrame -> DataFrame`` adding ``out`` = character ids of ``text``."""
+    bc = _broadcast_vocab(vocab, "token", "id")
+    if bc is None:
+        raise ValueError("character vocabulary too large for a broadcast dictionary")
+    udf = _encode_udf(bc, "chars")
+    return lambda df: df.withColumn(out, udf(F.col(text)))
+
+
 def decode_ids(df: DataFrame, vocab: DataFrame, ids: str = "ids", sep: str = " ") -> DataFrame:
     bc = _broadcast_vocab(vocab, "id", "token")
     if bc is None:
@@ -140,7 +150,8 @@ def pad_truncate(ids: Column, max_length: int = 128, pad_id: int = PAD_ID) -> tu
 
 
 def pack_sequences(docs: DataFrame, max_len: int, order_key: str = "doc_id", ids: str = "ids",
-                   val_fraction_div: int = 10) -> DataFrame:
+                   val_fraction_div: int = 10, n_tokens: Column | None = None,
+                   encode_fn=None) -> DataFrame:
     """Pack a token stream (documents concatenated in ``order_key`` order)
     into ``n = (total - 1) // max_len`` windows; ``labels`` are the inputs
     shifted by one.  Last ``max(1, n // 10)`` windows are validation.
@@ -149,9 +160,19 @@ def pack_sequences(docs: DataFrame, max_len: int, order_key: str = "doc_id", ids
     document emits only the fragments overlapping each window it touches,
     and a window is regrouped from at most ``max_len + 1`` tokens."""
     L = int(max_len)
-    d = docs.select(order_key, F.col(ids).alias("ids")).withColumn("n", F.size("ids")).where(F.col("n") > 0)
-    d = prefix_sum(d, [order_key], "n", out="o")
-    total = d.agg(F.sum("n")).scalar()
+    if n_tokens is not None:
+        # token counts known without tokenising (e.g. characters): offsets are
+        # computed on (key, n) only and the encoder runs once, afterwards
+        counts = docs.select(order_key, n_tokens.cast("long").alias("n")).where(F.col("n") > 0)
+        total = counts.agg(F.sum("n")).scalar()
+        offs = prefix_sum(counts, [order_key], "n", out="o")
+        d = docs.join(offs, order_key)
+        d = encode_fn(d) if encode_fn is not None else d
+        d = d.select(order_key, F.col(ids).alias("ids"), "n", "o")
+    else:
+        d = docs.select(order_key, F.col(ids).alias("ids")).withColumn("n", F.size("ids")).where(F.col("n") > 0)
+        total = d.agg(F.sum("n")).scalar()
+        d = prefix_sum(d, [order_key], "n", out="o")
     n_seqs = F.floor((total - 1) / F.lit(L)).cast("long")
     first_k = F.floor(F.greatest(F.col("o") - 1, F.lit(0)) / L).cast("long")
     last_k = F.floor((F.col("o") + F.col("n") - 1) / L).cast("long")

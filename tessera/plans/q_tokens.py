@@ -90,9 +90,9 @@ PACK_LEN = 256
 
 
 def packed(spark, d):
-    docs = table(spark, d, "documents")
-    ids = tk.char_ids(docs, tk.char_vocab(docs))
-    return tk.pack_sequences(ids, PACK_LEN)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    enc = tk.char_encoder(tk.char_vocab(docs))
+    return tk.pack_sequences(docs, PACK_LEN, n_tokens=F.length("text"), encode_fn=enc)
 
 
 _PACK_SQL = f"""WITH cv AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS id

@@ -145,8 +145,10 @@ def decode_kafka_json(values: DataFrame, schema=None, column: str = "value") ->
     from pyspark.sql import functions as F
     v = F.col(column)
     is_obj = F.regexp_like(v, F.lit(r"^\s*\{"))
-    wrapped = F.when(is_obj, v).otherwise(F.to_json(F.struct(F.coalesce(F.try_parse_json(v).cast("string"), v)
-                                                             .alias("value"))))
+    parsed = F.try_parse_json(v)
+    wrapped = (F.when(is_obj, v)
+               .when(parsed.isNotNull(), F.to_json(F.struct(parsed.alias("value"))))
+               .otherwise(F.to_json(F.struct(v.alias("value")))))
     if schema is None:
         return values.select(wrapped.alias("json"))
     return values.select(F.from_json(wrapped, schema).alias("r")).select("r.*")
