@@ -280,13 +280,16 @@ def export_coco(samples: DataFrame, order_key: str, labels: list[str] | None = N
     position in ``order_key`` order, annotation ids global, area default 0,
     iscrowd 0.  Returns (images, annotations, categories)."""
     s = prefix_sum(samples, [order_key], None, out="__img_id")
+    # annotation id base per image: prefix sum of annotation counts, computed
+    # from the samples directly (not from ``s``) so the two numberings are
+    # independent plans
+    counts = samples.select(order_key, F.coalesce(F.size("annotations"), F.lit(0)).alias("__n")) \
+        .where(F.col("__n") > 0)
+    base = prefix_sum(counts, [order_key], "__n", out="__a0").select(order_key, "__a0")
     images = s.select(F.col("__img_id").alias("id"),
                       F.coalesce(F.col("image_path"), F.concat(F.lit("img_"), F.col("__img_id").cast("string"))).alias("file_name"),
                       F.coalesce(F.col("width"), F.lit(0)).alias("width"), F.coalesce(F.col("height"), F.lit(0)).alias("height"))
-    counts = s.select("__img_id", F.coalesce(F.size("annotations"), F.lit(0)).alias("__n")).where(F.col("__n") > 0)
-    base = prefix_sum(counts, ["__img_id"], "__n", out="__a0")
-    ex = s.join(base.select("__img_id", "__a0"), "__img_id").select(
-        "__img_id", "__a0", F.posexplode("annotations").alias("__i", "ann"))
+    ex = s.join(base, order_key).select("__img_id", "__a0", F.posexplode("annotations").alias("__i", "ann"))
     anns = ex.select((F.col("__a0") + F.col("__i")).alias("id"), F.col("__img_id").alias("image_id"),
                      F.coalesce(F.col("ann.category_id"), F.lit(0)).alias("category_id"),
                      F.coalesce(F.col("ann.bbox"), F.array(*[F.lit(0.0)] * 4)).alias("bbox"),

@@ -21,6 +21,7 @@ from tessera.functions.numeric import fround
 from tessera.functions import text as textfn
 
 AUTO_CLASSIFICATION_MAX_LABELS = 50
+MAX_LABELS = 10_000  # the label grid is labels^2 cells; its list is one value
 
 
 # --------------------------------------------------------------------------- classification
@@ -46,6 +47,9 @@ def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, labels=None) -> Da
     cross join."""
     pc = pair_counts(df, y_true, y_pred)
     lab = label_set(df, y_true, y_pred, labels).select("label")
+    n_labels = lab.limit(MAX_LABELS + 1).count()
+    if n_labels > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} distinct labels: not a classification target")
     all_labels = lab.agg(F.sort_array(F.collect_list("label")).alias("ls")).select("ls").scalar()
     grid = lab.select(F.col("label").alias("true_label"), F.explode(all_labels).alias("pred_label"))
     return (grid.join(pc, (grid.true_label == pc.t) & (grid.pred_label == pc.p), "left")

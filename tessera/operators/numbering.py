@@ -17,10 +17,10 @@ DEFAULT_BUCKETS = 4096
 
 def bucket_of(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS) -> Column:
     """Monotone bucket id of a numeric key (range split into ``n_buckets``)."""
-    stats = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    lo = stats.select("lo").scalar()
-    width = stats.select(F.greatest((F.col("hi") - F.col("lo") + 1) / F.lit(n_buckets), F.lit(1.0))).scalar()
-    return F.floor((F.col(key) - lo) / width).cast("long")
+    # one scalar subquery carrying both bounds
+    st = df.agg(F.struct(F.min(key).cast("double").alias("lo"),
+                         F.greatest((F.max(key) - F.min(key) + 1) / F.lit(n_buckets), F.lit(1.0)).alias("w"))).scalar()
+    return F.floor((F.col(key) - st["lo"]) / st["w"]).cast("long")
 
 
 def prefix_sum(df: DataFrame, order: list[str], weight: Column | str | None = None, *,
@@ -53,10 +53,10 @@ def time_bucket(df: DataFrame, col: str | Column, n_buckets: int = 1024) -> Colu
     """Monotone bucket of a timestamp / numeric ordering column."""
     x = (F.col(col) if isinstance(col, str) else col)
     x = x.cast("timestamp").cast("double") if _is_time(df, col) else x.cast("double")
-    stats = df.select(x.alias("__x")).agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"))
-    lo = stats.select("lo").scalar()
-    width = stats.select(F.greatest((F.col("hi") - F.col("lo")) / F.lit(n_buckets), F.lit(1e-9))).scalar()
-    return F.least(F.floor((x - lo) / width), F.lit(n_buckets - 1)).cast("long")
+    st = df.select(x.alias("__x")).agg(F.struct(
+        F.min("__x").alias("lo"),
+        F.greatest((F.max("__x") - F.min("__x")) / F.lit(n_buckets), F.lit(1e-9)).alias("w"))).scalar()
+    return F.least(F.floor((x - st["lo"]) / st["w"]), F.lit(n_buckets - 1)).cast("long")
 
 
 def _is_time(df: DataFrame, col) -> bool:
@@ -91,3 +91,33 @@ def positions_within(df: DataFrame, keys: list[str], order: list[str], bucket_co
         j = j.withColumn(sum_out or "running_sum",
                          F.col("__bs") + F.sum("__wt").over(iw.rowsBetween(Window.unboundedPreceding, 0)))
     return j.drop("__tb", "__bc", "__bs", "__wt", "__c", "__s")
+
+
+def fill_forward_backward(df: DataFrame, keys: list[str], order: list[str], bucket_col: str, value: str,
+                          backward: bool = False, n_buckets: int = 1024, out: str | None = None) -> DataFrame:
+    """Last (or next) non-null ``value`` in ``order`` within ``keys``.
+
+    Skew-safe: each (key, ordering bucket) fills locally with a bounded
+    window; the value carried into a bucket is the last non-null of the
+    earlier buckets, found over the per-(key, bucket) summary table (at most
+    ``n_buckets`` rows per key)."""
+    out = out or value
+    b = df.withColumn("__tb", time_bucket(df, bucket_col, n_buckets))
+    ordering = F.struct(*[F.col(c) for c in order])
+    v = F.col(value)
+    if not backward:
+        local = F.last(v, ignorenulls=True).over(
+            Window.partitionBy(*keys, "__tb").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        edge = F.max_by(v, F.when(v.isNotNull(), ordering))
+        carry_w = Window.partitionBy(*keys).orderBy("__tb").rowsBetween(Window.unboundedPreceding, -1)
+        carry = F.last("__edge", ignorenulls=True).over(carry_w)
+    else:
+        local = F.first(v, ignorenulls=True).over(
+            Window.partitionBy(*keys, "__tb").orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+        edge = F.min_by(v, F.when(v.isNotNull(), ordering))
+        carry_w = Window.partitionBy(*keys).orderBy("__tb").rowsBetween(1, Window.unboundedFollowing)
+        carry = F.first("__edge", ignorenulls=True).over(carry_w)
+    summary = b.groupBy(*keys, "__tb").agg(edge.alias("__edge"))
+    summary = summary.select(*keys, "__tb", carry.alias("__carry"))
+    j = b.join(summary, [*keys, "__tb"])
+    return j.withColumn(out, F.coalesce(v, local, F.col("__carry"))).drop("__tb", "__carry")

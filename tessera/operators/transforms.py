@@ -176,8 +176,15 @@ def fill_nulls(df: DataFrame, column: str, strategy: str = "value", value="",
         order = parse_list(order_by)
         if not order:
             raise ValueError("fill_nulls ffill/bfill needs order_by")
-        w = Window.partitionBy(*parse_list(partition_by)).orderBy(*order)
         src = blank_to_null(df, column)
+        first_dt = col_type(df, order[0])
+        if is_numeric_type(first_dt) or isinstance(first_dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            # skew-safe: ordering buckets split a hot partition key
+            from tessera.operators.numbering import fill_forward_backward
+            tmp = df.withColumn(column, src)
+            return fill_forward_backward(tmp, parse_list(partition_by), order, order[0], column,
+                                         backward=(strategy == "bfill")).select(*df.columns)
+        w = Window.partitionBy(*parse_list(partition_by)).orderBy(*order)
         if strategy == "ffill":
             filled = F.last(src, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
         else:
@@ -258,6 +265,22 @@ def sort(df: DataFrame, column, descending: bool = False, tie_break=None) -> Dat
     return df.orderBy(*_order_cols(df, column, descending, tie_break))
 
 
+def sort_ranked(df: DataFrame, column: str, descending: bool = False, tie_break=None,
+                out: str = "rank") -> DataFrame:
+    """Sorted rows plus their 1-based global position ``out``.  The position
+    comes from a key-range bucketed prefix count (numeric sort key), so no
+    window ever holds the whole table."""
+    from tessera.operators.numbering import prefix_sum
+    if not is_numeric_type(col_type(df, column)):
+        raise ValueError("sort_ranked needs a numeric sort column")
+    ties = [c for c in parse_list(tie_break) if c != column]
+    key = (-F.col(column).cast("double")) if descending else F.col(column).cast("double")
+    keyed = df.withColumn("__k", F.coalesce(key, F.lit(float("-inf") if not descending else float("inf"))))
+    ranked = prefix_sum(keyed, ["__k", *ties], None, key="__k", out="__pos")
+    return ranked.withColumn(out, (F.col("__pos") + 1).cast("bigint")).drop("__k", "__pos") \
+        .orderBy(*_order_cols(df, column, descending, tie_break))
+
+
 def limit(df: DataFrame, n: int = 1000) -> DataFrame:
     return df.limit(int(n))
 

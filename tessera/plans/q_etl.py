@@ -270,6 +270,10 @@ query("sort_desc", """SELECT p_partkey, p_name, p_retailprice FROM part
 ORDER BY p_retailprice DESC, p_partkey LIMIT 25""")(
     lambda spark, d: tf.limit(tf.sort(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"),
                                       "p_retailprice", True, "p_partkey"), 25))
+query("sort_asc", """SELECT p_partkey, p_name, p_retailprice,
+ CAST(row_number() OVER (ORDER BY p_retailprice NULLS FIRST, p_partkey) AS BIGINT) AS rank FROM part""")(
+    lambda spark, d: tf.sort_ranked(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"),
+                                    "p_retailprice", False, "p_partkey"))
 query("limit_n", """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50""")(
     lambda spark, d: tf.limit(tf.sort(table(spark, d, "orders").select("o_orderkey", "o_totalprice"),
                                       "o_totalprice", True, "o_orderkey"), 50))

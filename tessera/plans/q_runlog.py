@@ -185,3 +185,10 @@ SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN status = 'ok' THEN 0 ELSE 1
  design = (SELECT design FROM d WHERE status = 'ok' ORDER BY time_seconds, design LIMIT 1) AS fastest,
  design = (SELECT design FROM d WHERE status = 'ok' ORDER BY params, design LIMIT 1) AS smallest FROM d""")(
     lambda spark, d: rl.design_ranking(_designs(spark, d), "design"))
+
+# --------------------------------------------------------------------------- named formula (x = value / 100)
+from tessera.functions.formulas import apply_formula  # noqa: E402
+
+query("formula", """SELECT event_id, round(least(greatest(value / 100.0 * 0.5 + 0.5, 0), 1), 6) AS y FROM events""")(
+    lambda spark, d: _events(spark, d).select("event_id", (F.col("value") / 100.0).alias("x"))
+    .select("event_id", fround(apply_formula("clamp_half", "x"), 6).alias("y")))
