@@ -192,3 +192,54 @@ from tessera.functions.formulas import apply_formula  # noqa: E402
 query("formula", """SELECT event_id, round(least(greatest(value / 100.0 * 0.5 + 0.5, 0), 1), 6) AS y FROM events""")(
     lambda spark, d: _events(spark, d).select("event_id", (F.col("value") / 100.0).alias("x"))
     .select("event_id", fround(apply_formula("clamp_half", "x"), 6).alias("y")))
+
+# --------------------------------------------------------------------------- bill of materials
+# robots = orders; components = lineitems: catalogue entry l_partkey mod 27,
+# quantity floor(l_quantity) mod 4 + 1, duty cycle = l_discount * 10
+from tessera.operators import bom  # noqa: E402
+
+
+def _components(spark, d):
+    li = table(spark, d, "lineitem")
+    cat = bom.catalog(spark).select("cat_idx", "type")
+    c = li.select(F.col("l_orderkey").alias("robot_id"),
+                  F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"),
+                  (F.col("l_partkey") % len(bom.CATALOG)).cast("int").alias("cat_idx"),
+                  (F.floor("l_quantity").cast("bigint") % 4 + 1).alias("quantity"),
+                  (F.col("l_discount") * 10).alias("duty_cycle"))
+    return c.join(F.broadcast(cat), "cat_idx").drop("cat_idx")
+
+
+def _sql_num(v):
+    return "NULL" if v is None else repr(float(v))
+
+
+_CAT_SQL = ",\n".join(f"({i}, '{r[0]}', '{r[1]}', " + ", ".join(_sql_num(x) for x in r[2:]) + ")"
+                      for i, r in enumerate(bom.CATALOG))
+_IDLE = "coalesce(current_idle_ma, current_ma, 0.0)"
+query("bom_rollup", f"""WITH cat(idx, type, category, weight_g, voltage_nominal, current_idle_ma, current_stall_ma, current_ma,
+  current_max_a, voltage, capacity_mah, max_discharge_c) AS (VALUES {_CAT_SQL}),
+comp AS (SELECT l_orderkey AS robot_id, (l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS p, l_partkey % {len(bom.CATALOG)} AS idx,
+  CAST(floor(l_quantity) AS BIGINT) % 4 + 1 AS q, l_discount * 10 AS duty FROM lineitem),
+j AS (SELECT comp.robot_id, comp.p, comp.q, comp.duty, cat.* FROM comp JOIN cat USING (idx)),
+l AS (SELECT robot_id, p, type, category, capacity_mah, capacity_mah * max_discharge_c / 1000 AS max_a,
+  weight_g * q AS w,
+  (CASE WHEN category = 'actuator' THEN {_IDLE} WHEN category = 'power' THEN 0.0 ELSE coalesce(current_ma, 0.0) END) * q AS idle,
+  (CASE WHEN category = 'actuator' THEN {_IDLE} + (coalesce(current_stall_ma, coalesce(current_max_a, 0.0) * 1000) - {_IDLE}) * duty * 0.3
+   WHEN category = 'power' THEN 0.0 ELSE coalesce(current_ma, 0.0) END) * q AS avg,
+  coalesce(voltage_nominal, voltage, 0.0) AS v FROM j),
+l2 AS (SELECT *, round(v * avg / 1000, 3) AS power_w FROM l),
+rv AS (SELECT robot_id, v, string_agg(type, ',' ORDER BY p) AS ts, min(p) AS first FROM l2
+  WHERE v > 0 AND category <> 'power' GROUP BY robot_id, v),
+rails AS (SELECT robot_id, string_agg(CAST(v AS VARCHAR) || '=' || ts, ';' ORDER BY first) AS rails FROM rv GROUP BY robot_id),
+g AS (SELECT robot_id, sum(CAST(w AS DECIMAL(24, 6))) AS weight, sum(CAST(idle AS DECIMAL(24, 6))) AS idle,
+  sum(CAST(avg AS DECIMAL(24, 6))) AS active, sum(CAST(power_w AS DECIMAL(24, 6))) AS power,
+  arg_min(type, p) FILTER (WHERE category = 'power') AS battery,
+  arg_min(capacity_mah, p) FILTER (WHERE category = 'power') AS cap,
+  arg_min(max_a, p) FILTER (WHERE category = 'power') AS max_a FROM l2 GROUP BY robot_id)
+SELECT g.robot_id, CAST(round(weight, 1) AS DOUBLE) AS total_weight_g, CAST(round(idle, 0) AS BIGINT) AS total_current_idle_ma,
+ CAST(round(active, 0) AS BIGINT) AS total_current_active_ma, CAST(round(power, 2) AS DOUBLE) AS total_power_w,
+ coalesce(rails.rails, '') AS voltage_rails, battery,
+ CASE WHEN battery IS NOT NULL AND CAST(active AS DOUBLE) > 0 THEN round(cap / CAST(active AS DOUBLE) * 60, 1) END AS battery_life_minutes,
+ NOT coalesce(battery IS NOT NULL AND CAST(active AS DOUBLE) / 1000 > max_a, false) AS current_within_limits
+FROM g LEFT JOIN rails USING (robot_id)""")(lambda spark, d: bom.bom_rollup(_components(spark, d)))

@@ -124,3 +124,32 @@ def test_layer_rules(spark):
         "dead_neuron_pct double, grad_to_weight_ratio double")
     types = [r.type for r in rl.layer_issues(cand, "run", "name").orderBy("issue_rank").collect()]
     assert types == ["slow_layer", "memory_hog", "exploding_gradient", "dead_neurons", "high_grad_ratio"]
+
+
+def test_bom_rollup_fixture(spark):
+    from tessera.operators import bom
+    comps = spark.createDataFrame([(1, 0, "servo_micro", 2, 0.5), (1, 1, "arduino_nano", 1, 1.0),
+                                   (1, 2, "lipo_2s_2200", 1, None), (1, 3, "unknown_part", 1, 1.0)],
+                                  "robot_id int, pos int, type string, quantity int, duty_cycle double")
+    r = bom.bom_rollup(comps).first()
+    assert (r.total_weight_g, r.total_current_idle_ma, r.total_current_active_ma, r.total_power_w) == (145.0, 70, 262, 1.31)
+    assert r.voltage_rails == "5.0=servo_micro,arduino_nano" and r.battery == "lipo_2s_2200"
+    assert r.battery_life_minutes == 503.8 and r.current_within_limits
+
+
+def test_forward_fill_hot_key_many_buckets(spark):
+    from tessera.operators.numbering import fill_forward_backward
+    rows = [(0 if i % 4 else 1, i, (float(i) if i % 7 == 0 else None)) for i in range(700)]
+    df = spark.createDataFrame(rows, "k bigint, t bigint, v double")
+    got = {(r.k, r.t): r.v for r in fill_forward_backward(df, ["k"], ["t"], "t", "v", n_buckets=9).collect()}
+    last = {}
+    for k, t, v in rows:
+        if v is not None:
+            last[k] = v
+        assert got[(k, t)] == (v if v is not None else last.get(k))
+    back = {(r.k, r.t): r.v for r in fill_forward_backward(df, ["k"], ["t"], "t", "v", backward=True, n_buckets=9).collect()}
+    nxt = {}
+    for k, t, v in reversed(rows):
+        if v is not None:
+            nxt[k] = v
+        assert back[(k, t)] == (v if v is not None else nxt.get(k))
