@@ -13,6 +13,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKETS = 4096
+DEFAULT_SUB_BUCKETS = 256
+MAX_LEVELS = 3
+
+
+def order_number(df: DataFrame, col: str) -> Column:
+    """A double that never decreases along the column's sort order, for
+    range bucketing: numbers as is, times as epoch seconds, strings by their
+    first 7 UTF-8 bytes (zero-padded, so byte order is kept)."""
+    from pyspark.sql import types as T
+    dt = df.schema[col].dataType
+    c = F.col(col)
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return c.cast("timestamp").cast("double")
+    if isinstance(dt, (T.StringType, T.BinaryType)):
+        raw = F.rpad(c.cast("binary"), 7, F.lit(b"\x00"))
+        return F.conv(F.hex(F.substring(raw, 1, 7)), 16, 10).cast("long").cast("double")
+    if isinstance(dt, T.BooleanType):
+        return c.cast("double")
+    return c.cast("double")
 
 
 def bucket_of(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS) -> Column:
@@ -23,24 +42,88 @@ def bucket_of(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS) -> Colu
     return F.floor((F.col(key) - st["lo"]) / st["w"]).cast("long")
 
 
+def adaptive_buckets(df: DataFrame, order: list[str], *, key: str | None = None,
+                     n_buckets: int = DEFAULT_BUCKETS, max_rows: int | None = None,
+                     sub: int = DEFAULT_SUB_BUCKETS, max_levels: int = MAX_LEVELS,
+                     partition: list[str] | None = None):
+    """Add bucket columns ``__l1 .. __lk`` whose lexicographic order never
+    contradicts ``order``, and return (frame, bucket column names).
+
+    Level 1 cuts the first order column's range into ``n_buckets``.  A
+    bucket holding more than ``max_rows`` rows is cut again: by a finer key
+    range when it holds several key values, or by the range of the next order
+    column when every row shares one key value (a hot key).  Only the heavy
+    cells' bounds come back to the driver (fewer than n / max_rows rows), and
+    they are broadcast-joined, so no window ever receives more than about
+    ``max_rows`` rows unless rows are equal on the first two order columns.
+    With ``partition`` the cells are (partition keys, levels): a hot
+    partition key is split along its own ordering."""
+    part = list(partition or [])
+    key = key or order[0]
+    x = order_number(df, key) if key in df.columns else F.col(key).cast("double")
+    tie_col = next((c for c in order if c != key), None)
+    y = order_number(df, tie_col) if tie_col else F.lit(0.0)
+    b = df.withColumn("__x", x).withColumn("__y", y)
+    st = b.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")).first()
+    n, lo, hi = st["n"], st["lo"], st["hi"]
+    if not n or lo is None:
+        return b.withColumn("__l1", F.lit(0).cast("long")), ["__l1"]
+    width = max((hi - lo) / n_buckets, 1e-300) if hi > lo else 1.0
+    b = b.withColumn("__l1", F.least(F.floor((F.col("__x") - F.lit(lo)) / F.lit(width)), F.lit(n_buckets - 1)).cast("long"))
+    cap = max_rows or max(1_000_000, 8 * n // n_buckets)
+    levels = ["__l1"]
+    if n <= cap:
+        return b, levels
+    spark = df.sparkSession
+    for lvl in range(2, max_levels + 1):
+        heavy = (b.groupBy(*part, *levels).agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("x0"), F.max("__x").alias("x1"),
+                                        F.min("__y").alias("y0"), F.max("__y").alias("y1"))
+                 .where(F.col("c") > cap).collect())  # bounded: fewer than n / cap cells
+        plan = []
+        for h in heavy:
+            cell = [h[c] for c in part + levels]
+            if h["x0"] < h["x1"]:
+                plan.append((*cell, 0, float(h["x0"]), max((h["x1"] - h["x0"]) / sub, 1e-300)))
+            elif tie_col and h["y0"] is not None and h["y0"] < h["y1"]:
+                plan.append((*cell, 1, float(h["y0"]), max((h["y1"] - h["y0"]) / sub, 1e-300)))
+        if not plan:
+            break
+        types = {f.name: f.dataType.simpleString() for f in b.schema.fields}
+        schema = ", ".join(f"`{c}` {types[c]}" for c in part + levels) + ", __smode int, __slo double, __sw double"
+        split = spark.createDataFrame(plan, schema)
+        src = F.when(F.col("__smode") == 0, F.col("__x")).otherwise(F.col("__y"))
+        nxt = f"__l{lvl}"
+        b = (b.join(F.broadcast(split), part + levels, "left")
+             .withColumn(nxt, F.when(F.col("__smode").isNull(), F.lit(0)).otherwise(
+                 F.least(F.floor((src - F.col("__slo")) / F.col("__sw")), F.lit(sub - 1))).cast("long"))
+             .drop("__smode", "__slo", "__sw"))
+        levels.append(nxt)
+    return b, levels
+
+
 def prefix_sum(df: DataFrame, order: list[str], weight: Column | str | None = None, *,
-               key: str | None = None, n_buckets: int = DEFAULT_BUCKETS,
+               key: str | None = None, n_buckets: int = DEFAULT_BUCKETS, max_rows: int | None = None,
                out: str = "offset") -> DataFrame:
     """Add ``out`` = sum of ``weight`` (default 1) over all rows strictly
-    before this one in ``order``.  ``key`` (default: first order column) must
-    be numeric and non-decreasing along ``order``."""
-    key = key or order[0]
+    before this one in ``order`` (ascending; ``key``, default the first order
+    column, must not decrease along ``order``).
+
+    Rows are cut into adaptive order-compatible buckets; bucket totals (a
+    bounded table) are prefix-summed in one small window and broadcast back;
+    each bucket numbers its own rows.  The bucket bounds are computed eagerly
+    (one small aggregate, plus one per split level on skewed data)."""
     w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
-    b = df.withColumn("__w", w.cast("long")).withColumn("__b", bucket_of(df, key, n_buckets))
-    totals = b.groupBy("__b").agg(F.sum("__w").alias("__t"))
-    # running sum over the bucket table only (<= n_buckets rows)
-    base = totals.select("__b", F.coalesce(F.sum("__t").over(
-        Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    b, levels = adaptive_buckets(df.withColumn("__w", w.cast("long")), order, key=key, n_buckets=n_buckets,
+                                 max_rows=max_rows)
+    totals = b.groupBy(*levels).agg(F.sum("__w").alias("__t"))
+    # running sum over the bucket table only (bounded)
+    base = totals.select(*levels, F.coalesce(F.sum("__t").over(
+        Window.orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     within = F.coalesce(F.sum("__w").over(
-        Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (b.join(F.broadcast(base), "__b")
+        Window.partitionBy(*levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (b.join(F.broadcast(base), levels)
             .withColumn(out, (F.col("__base") + within).cast("long"))
-            .drop("__w", "__b", "__base"))
+            .drop("__w", "__x", "__y", "__base", *levels))
 
 
 def row_numbers(df: DataFrame, order: list[str], *, key: str | None = None,
@@ -68,33 +151,34 @@ def _is_time(df: DataFrame, col) -> bool:
 
 def positions_within(df: DataFrame, keys: list[str], order: list[str], bucket_col: str, *,
                      n_buckets: int = 1024, weight: Column | None = None,
-                     out: str = "pos", sum_out: str | None = None) -> DataFrame:
+                     out: str = "pos", sum_out: str | None = None, max_rows: int | None = None) -> DataFrame:
     """0-based position of each row inside its ``keys`` group in ``order``
     (and, with ``weight``, the running sum up to and including the row).
 
-    Skew-safe: a group is cut into ordering-column buckets, so even a key
-    holding a third of all rows is sorted by many tasks; only the per
-    (key, bucket) totals - at most ``n_buckets`` per key - are combined in
-    one window per key."""
-    b = df.withColumn("__tb", time_bucket(df, bucket_col, n_buckets))
-    if weight is not None:
-        b = b.withColumn("__wt", weight)
+    Skew-safe: a group is cut into ordering buckets (adaptively re-cut while
+    a (key, bucket) cell is heavy), so even a key holding a third of all rows
+    is sorted by many tasks; only per-cell totals - a bounded table per key -
+    are combined in one window per key."""
+    src = df.withColumn("__wt", weight) if weight is not None else df
+    b, levels = adaptive_buckets(src, order, key=bucket_col, n_buckets=n_buckets, max_rows=max_rows,
+                                 partition=keys)
     aggs = [F.count(F.lit(1)).alias("__c")] + ([F.sum("__wt").alias("__s")] if weight is not None else [])
-    tot = b.groupBy(*keys, "__tb").agg(*aggs)
-    kw = Window.partitionBy(*keys).orderBy("__tb").rowsBetween(Window.unboundedPreceding, -1)
-    base = tot.select(*keys, "__tb", F.coalesce(F.sum("__c").over(kw), F.lit(0)).alias("__bc"),
+    tot = b.groupBy(*keys, *levels).agg(*aggs)
+    kw = Window.partitionBy(*keys).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
+    base = tot.select(*keys, *levels, F.coalesce(F.sum("__c").over(kw), F.lit(0)).alias("__bc"),
                       *([F.coalesce(F.sum("__s").over(kw), F.lit(0)).alias("__bs")] if weight is not None else []))
-    j = b.join(base, [*keys, "__tb"])
-    iw = Window.partitionBy(*keys, "__tb").orderBy(*order)
+    j = b.join(base, [*keys, *levels])
+    iw = Window.partitionBy(*keys, *levels).orderBy(*order)
     j = j.withColumn(out, (F.col("__bc") + F.row_number().over(iw) - 1).cast("long"))
     if weight is not None:
         j = j.withColumn(sum_out or "running_sum",
                          F.col("__bs") + F.sum("__wt").over(iw.rowsBetween(Window.unboundedPreceding, 0)))
-    return j.drop("__tb", "__bc", "__bs", "__wt", "__c", "__s")
+    return j.drop("__bc", "__bs", "__wt", "__c", "__s", "__x", "__y", *levels)
 
 
 def fill_forward_backward(df: DataFrame, keys: list[str], order: list[str], bucket_col: str, value: str,
-                          backward: bool = False, n_buckets: int = 1024, out: str | None = None) -> DataFrame:
+                          backward: bool = False, n_buckets: int = 1024, out: str | None = None,
+                          max_rows: int | None = None) -> DataFrame:
     """Last (or next) non-null ``value`` in ``order`` within ``keys``.
 
     Skew-safe: each (key, ordering bucket) fills locally with a bounded
@@ -102,7 +186,8 @@ def fill_forward_backward(df: DataFrame, keys: list[str], order: list[str], buck
     earlier buckets, found over the per-(key, bucket) summary table (at most
     ``n_buckets`` rows per key)."""
     out = out or value
-    b = df.withColumn("__tb", time_bucket(df, bucket_col, n_buckets))
+    b, levels = adaptive_buckets(df, order, key=bucket_col, n_buckets=n_buckets, partition=keys, max_rows=max_rows)
+    b = b.withColumn("__tb", F.struct(*levels)).drop("__x", "__y", *levels)
     ordering = F.struct(*[F.col(c) for c in order])
     v = F.col(value)
     if not backward:

@@ -153,3 +153,25 @@ def test_forward_fill_hot_key_many_buckets(spark):
         if v is not None:
             nxt[k] = v
         assert back[(k, t)] == (v if v is not None else nxt.get(k))
+
+
+def test_adaptive_buckets_split_hot_values(spark):
+    from tessera.operators.numbering import adaptive_buckets
+    random.seed(8)
+    rows = [(5.0, float(i)) for i in range(600)] + [(random.random() * 100, float(i)) for i in range(600, 800)]
+    random.shuffle(rows)
+    df = spark.createDataFrame(rows, "k double, t double")
+    got = {r.t: r.offset for r in prefix_sum(df, ["k", "t"], None, n_buckets=8, max_rows=40).collect()}
+    expect = {t: i for i, (k, t) in enumerate(sorted(rows))}
+    assert got == expect
+    b, levels = adaptive_buckets(df, ["k", "t"], n_buckets=8, max_rows=40)
+    biggest = b.groupBy(*levels).count().agg(F.max("count")).first()[0]
+    assert len(levels) >= 2 and biggest <= 40
+
+
+def test_positions_hot_key_identical_times(spark):
+    rows = [(1, 100, i) for i in range(500)] + [(2, i, i) for i in range(100)]
+    df = spark.createDataFrame(rows, "u bigint, ts bigint, eid bigint")
+    pos = {(r.u, r.eid): r.pos for r in positions_within(df, ["u"], ["ts", "eid"], "ts", n_buckets=4, max_rows=30).collect()}
+    assert [pos[(1, i)] for i in range(500)] == list(range(500))
+    assert [pos[(2, i)] for i in range(100)] == list(range(100))
