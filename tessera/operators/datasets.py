@@ -254,7 +254,7 @@ def coco_to_yolo(images: DataFrame, annotations: DataFrame) -> DataFrame:
                     F.size("ls").cast("bigint").alias("n_lines"), F.array_join(F.col("ls.l"), "\n").alias("content"))
 
 
-def yolo_to_coco(labels: DataFrame, sizes: DataFrame) -> DataFrame:
+def yolo_to_coco(labels: DataFrame, sizes: DataFrame, materialize: bool = False) -> DataFrame:
     """Parse YOLO label texts (image_id, content) with image sizes
     (image_id, width, height) into COCO annotations: id (global, in image
     then line order), image_id, category_id, bbox x, y, w, h (1 dp), area."""
@@ -267,6 +267,10 @@ def yolo_to_coco(labels: DataFrame, sizes: DataFrame) -> DataFrame:
     W, H = F.col("width").cast("double"), F.col("height").cast("double")
     box = j.select("image_id", "line_no", F.get(F.col("p"), 0).cast("int").alias("category_id"),
                    ((xc - bw / 2) * W).alias("x"), ((yc - bh / 2) * H).alias("y"), (bw * W).alias("w"), (bh * H).alias("h"))
+    if materialize:
+        # the numbering reads its input more than once: a computed input is
+        # written once to the shared checkpoint folder (reliable, cuts lineage)
+        box = box.checkpoint()
     box = prefix_sum(box, ["image_id", "line_no"],
                      None, key="image_id", out="id")
     return box.select(F.col("id").cast("bigint").alias("id"), "image_id", "category_id", fround("x", 1).alias("x"),

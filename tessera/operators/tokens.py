@@ -9,9 +9,12 @@ be numbered in one window or shipped as a map literal.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.numeric import fround
 
@@ -35,10 +38,52 @@ def _specials(spark) -> DataFrame:
     return spark.createDataFrame([(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, id bigint")
 
 
+def _batch_code_points(texts) -> tuple:
+    """(code points of all texts concatenated as uint32, per-text lengths,
+    null mask) for one Arrow string array."""
+    vals = texts.to_pylist()
+    lens = np.fromiter((len(t) if t is not None else 0 for t in vals), dtype=np.int64, count=len(vals))
+    joined = "".join(t for t in vals if t is not None)
+    cps = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32) if joined else np.zeros(0, np.uint32)
+    return cps, lens, [t is None for t in vals]
+
+
+def distinct_chars(df: DataFrame, text: str = "text") -> DataFrame:
+    """token: the distinct characters, found per Arrow batch with np.unique
+    (vectorised) and merged by a distributed ``distinct``."""
+    schema = T.StructType([T.StructField("cp", T.LongType())])
+
+    def per_batch(batches):
+        for rb in batches:
+            cps, _, _ = _batch_code_points(rb.column(0))
+            u = np.unique(cps).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64())], names=["cp"])
+    cps = df.select(text).mapInArrow(per_batch, schema).distinct()
+    return cps.select(_chr_udf(F.col("cp")).alias("token"))
+
+
+def distinct_words(df: DataFrame, text: str = "text") -> DataFrame:
+    """token: distinct whitespace words, de-duplicated per Arrow batch with
+    Arrow kernels, then by a distributed ``distinct``."""
+    schema = T.StructType([T.StructField("token", T.StringType())])
+
+    def per_batch(batches):
+        import pyarrow.compute as pc
+        for rb in batches:
+            u = pc.unique(pc.utf8_split_whitespace(rb.column(0)).flatten())
+            yield pa.RecordBatch.from_arrays([u.cast(pa.string())], names=["token"])
+    return df.select(text).mapInArrow(per_batch, schema).distinct()
+
+
+@F.pandas_udf(T.StringType())
+def _chr_udf(cp: pd.Series) -> pd.Series:
+    return cp.map(lambda c: chr(int(c)))
+
+
 def char_vocab(df: DataFrame, text: str = "text", with_specials: bool = False) -> DataFrame:
     """token, id: sorted distinct characters; ids from 0, or from 5 after the
     special tokens for a trained tokeniser."""
-    d = df.select(F.explode(chars(F.col(text))).alias("token")).distinct()
+    d = distinct_chars(df, text)
     off = len(SPECIAL_TOKENS) if with_specials else 0
     v = d.select("token", (F.row_number().over(Window.orderBy("token")) - 1 + off).cast("bigint").alias("id"))
     return _specials(df.sparkSession).unionByName(v) if with_specials else v
@@ -55,7 +100,7 @@ def word_vocab(df: DataFrame, text: str = "text", vocab_size: int = 8000, freque
             .orderBy(F.col("c").desc(), "token").limit(n)
         order = [F.col("c").desc(), F.col("token")]
     else:
-        top = words.distinct().orderBy("token").limit(n)
+        top = distinct_words(df, text).orderBy("token").limit(n)
         order = [F.col("token")]
     v = top.select("token", (F.row_number().over(Window.orderBy(*order)) - 1 + len(SPECIAL_TOKENS))
                    .cast("bigint").alias("id"))
@@ -78,18 +123,6 @@ def _broadcast_vocab(vocab: DataFrame, key: str, value: str):
     return vocab.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows})
 
 
-def _encode_udf(bc, split: str):
-    unk = UNK_ID
-
-    @F.pandas_udf("array<long>")
-    def enc(texts: pd.Series) -> pd.Series:
-        d = bc.value
-        if split == "chars":
-            return texts.map(lambda t: None if t is None else [d.get(ch, unk) for ch in t])
-        return texts.map(lambda t: None if t is None else [d.get(w, unk) for w in t.split()])
-    return enc
-
-
 def _decode_udf(bc, sep: str):
     @F.pandas_udf("string")
     def dec(ids: pd.Series) -> pd.Series:
@@ -108,29 +141,72 @@ def _encode_by_join(df: DataFrame, vocab: DataFrame, toks: Column, keys) -> Data
 
 def encode_words(df: DataFrame, vocab: DataFrame, text: str = "text", keys=("doc_id",)) -> DataFrame:
     """keys..., ids ARRAY<BIGINT> (whitespace words, unknown -> 1).  A
-    vocabulary of at most ``MAP_VOCAB_LIMIT`` entries is broadcast as a
-    dictionary (O(1) lookups in an Arrow-batched UDF); a larger one is joined
-    on the exploded tokens and regrouped per document."""
-    bc = _broadcast_vocab(vocab, "token", "id")
-    if bc is not None:
-        return df.select(*keys, _encode_udf(bc, "words")(F.col(text)).alias("ids"))
-    return _encode_by_join(df, vocab, textfn.words(F.col(text)), keys)
+    vocabulary of at most ``MAP_VOCAB_LIMIT`` entries is broadcast and looked
+    up per Arrow batch with Arrow's own kernels (Unicode whitespace split,
+    hash ``index_in``, list rebuild on the same offsets); a larger one is
+    joined on the exploded tokens and regrouped per document."""
+    rows = vocab.select("token", "id").limit(MAP_VOCAB_LIMIT + 1).collect()
+    if len(rows) > MAP_VOCAB_LIMIT:
+        return _encode_by_join(df, vocab, textfn.words(F.col(text)), keys)
+    words = [r[0] for r in rows]
+    ids = np.array([int(r[1]) for r in rows], dtype=np.int64)
+    bc = df.sparkSession.sparkContext.broadcast((words, ids))
+    src = df.select(*keys, text)
+    schema = T.StructType([src.schema[k] for k in keys] + [T.StructField("ids", T.ArrayType(T.LongType()))])
+    unk = UNK_ID
+
+    def per_batch(batches):
+        import pyarrow.compute as pc
+        vocab_words, vocab_ids = bc.value
+        value_set = pa.array(vocab_words, pa.string())
+        for rb in batches:
+            t = rb.column(len(keys))
+            split = pc.utf8_split_whitespace(t)
+            flat = split.flatten()
+            pos = pc.fill_null(pc.index_in(flat, value_set=value_set), -1).to_numpy().astype(np.int64)
+            vals = (np.where(pos >= 0, vocab_ids[np.maximum(pos, 0)], unk) if len(vocab_ids)
+                    else np.full(len(pos), unk)).astype(np.int64)
+            lst = pa.ListArray.from_arrays(split.offsets, pa.array(vals, pa.int64()), mask=t.is_null())
+            yield pa.RecordBatch.from_arrays([rb.column(i) for i in range(len(keys))] + [lst],
+                                             names=list(keys) + ["ids"])
+    return src.mapInArrow(per_batch, schema)
 
 
 def char_ids(df: DataFrame, vocab: DataFrame, text: str = "text", keys=("doc_id",)) -> DataFrame:
-    bc = _broadcast_vocab(vocab, "token", "id")
-    if bc is not None:
-        return df.select(*keys, _encode_udf(bc, "chars")(F.col(text)).alias("ids"))
-    return _encode_by_join(df, vocab, chars(F.col(text)), keys)
+    return char_encoder(vocab, text)(df.select(*keys, text)).select(*keys, "ids")
 
 
 def char_encoder(vocab: DataFrame, text: str = "text", out: str = "ids"):
-    """``DataFrame -> DataFrame`` adding ``out`` = character ids of ``text``."""
-    bc = _broadcast_vocab(vocab, "token", "id")
-    if bc is None:
-        raise ValueError("character vocabulary too large for a broadcast dictionary")
-    udf = _encode_udf(bc, "chars")
-    return lambda df: df.withColumn(out, udf(F.col(text)))
+    """``DataFrame -> DataFrame`` adding ``out`` = character ids of ``text``
+    (unknown -> 1).  Vectorised per Arrow batch: one UTF-32 view of the
+    batch's text, a sorted code-point table and ``searchsorted``; the id
+    lists are built directly as an Arrow list column (``mapInArrow``)."""
+    rows = vocab.select("token", "id").limit(MAP_VOCAB_LIMIT + 1).collect()
+    if len(rows) > MAP_VOCAB_LIMIT:
+        raise ValueError("character vocabulary too large to broadcast")
+    pairs = sorted((ord(r[0]), int(r[1])) for r in rows if r[0] is not None and len(r[0]) == 1)
+    table = (np.array([p[0] for p in pairs], dtype=np.uint32), np.array([p[1] for p in pairs], dtype=np.int64))
+    unk = UNK_ID
+
+    def encode_frame(df: DataFrame) -> DataFrame:
+        bc = df.sparkSession.sparkContext.broadcast(table)
+        idx = df.columns.index(text)
+        schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.LongType()))])
+
+        def per_batch(batches):
+            keys, ids = bc.value
+            for rb in batches:
+                cps, lens, nulls = _batch_code_points(rb.column(idx))
+                pos = np.searchsorted(keys, cps)
+                pos_c = np.minimum(pos, max(len(keys) - 1, 0))
+                hit = (pos < len(keys)) & (keys[pos_c] == cps) if len(keys) else np.zeros(len(cps), bool)
+                vals = np.where(hit, ids[pos_c] if len(ids) else 0, unk).astype(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+                lst = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(vals, pa.int64()),
+                                               mask=pa.array(nulls, pa.bool_()))
+                yield pa.RecordBatch.from_arrays(list(rb.columns) + [lst], names=list(rb.schema.names) + [out])
+        return df.mapInArrow(per_batch, schema)
+    return encode_frame
 
 
 def decode_ids(df: DataFrame, vocab: DataFrame, ids: str = "ids", sep: str = " ") -> DataFrame:

@@ -229,7 +229,8 @@ b AS (SELECT p.image_id, line_no, CAST(p[1] AS INTEGER) AS category_id,
 SELECT CAST(row_number() OVER (ORDER BY image_id, line_no) - 1 AS BIGINT) AS id, image_id, category_id,
  round(x, 1) AS x, round(y, 1) AS y, round(w, 1) AS w, round(h, 1) AS h, round(w * h, 1) AS area FROM b""")(
     lambda spark, d: ds.yolo_to_coco(yolo_labels(spark, d).select("image_id", "content"),
-                                     coco_images(spark, d).select(F.col("id").alias("image_id"), "width", "height")))
+                                     coco_images(spark, d).select(F.col("id").alias("image_id"), "width", "height"),
+                                     materialize=True))
 
 
 def _coco_samples(spark, d):
