@@ -62,6 +62,18 @@ def distinct_chars(df: DataFrame, text: str = "text") -> DataFrame:
     return cps.select(_chr_udf(F.col("cp")).alias("token"))
 
 
+def _split_words(texts):
+    """Python ``str.split()`` over an Arrow string array: (list offsets,
+    flat words) with the empty pieces Arrow keeps at the ends removed."""
+    import pyarrow.compute as pc
+    split = pc.utf8_split_whitespace(texts)
+    flat = split.flatten()
+    keep = (pc.utf8_length(flat).to_numpy(zero_copy_only=False) > 0)
+    cum = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+    offs = split.offsets.to_numpy()
+    return pa.array(cum[offs], pa.int32()), flat.filter(pa.array(keep))
+
+
 def distinct_words(df: DataFrame, text: str = "text") -> DataFrame:
     """token: distinct whitespace words, de-duplicated per Arrow batch with
     Arrow kernels, then by a distributed ``distinct``."""
@@ -70,7 +82,7 @@ def distinct_words(df: DataFrame, text: str = "text") -> DataFrame:
     def per_batch(batches):
         import pyarrow.compute as pc
         for rb in batches:
-            u = pc.unique(pc.utf8_split_whitespace(rb.column(0)).flatten())
+            u = pc.unique(_split_words(rb.column(0))[1])
             yield pa.RecordBatch.from_arrays([u.cast(pa.string())], names=["token"])
     return df.select(text).mapInArrow(per_batch, schema).distinct()
 
@@ -161,12 +173,11 @@ def encode_words(df: DataFrame, vocab: DataFrame, text: str = "text", keys=("doc
         value_set = pa.array(vocab_words, pa.string())
         for rb in batches:
             t = rb.column(len(keys))
-            split = pc.utf8_split_whitespace(t)
-            flat = split.flatten()
+            offsets, flat = _split_words(t)
             pos = pc.fill_null(pc.index_in(flat, value_set=value_set), -1).to_numpy().astype(np.int64)
             vals = (np.where(pos >= 0, vocab_ids[np.maximum(pos, 0)], unk) if len(vocab_ids)
                     else np.full(len(pos), unk)).astype(np.int64)
-            lst = pa.ListArray.from_arrays(split.offsets, pa.array(vals, pa.int64()), mask=t.is_null())
+            lst = pa.ListArray.from_arrays(offsets, pa.array(vals, pa.int64()), mask=t.is_null())
             yield pa.RecordBatch.from_arrays([rb.column(i) for i in range(len(keys))] + [lst],
                                              names=list(keys) + ["ids"])
     return src.mapInArrow(per_batch, schema)
