@@ -127,12 +127,23 @@ def tokens(c: Column) -> Column:
 
 
 def ngrams(toks: Column, n: int) -> Column:
+    """n-grams as text (``GRAM_SEP``-joined)."""
     k = F.size(toks) - n + 1
     return F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1),
                                      lambda i: F.array_join(F.slice(toks, i + 1, n), GRAM_SEP))) \
         .otherwise(F.array().cast("array<string>"))
 
 
+def ngram_hashes(toks: Column, n: int) -> Column:
+    """n-grams as 64-bit hashes: counts are only compared inside one pair,
+    where a collision among its few thousand n-grams is negligible, and the
+    shuffle key shrinks to 8 bytes."""
+    k = F.size(toks) - n + 1
+    return F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1),
+                                     lambda i: F.xxhash64(F.slice(toks, i + 1, n)))) \
+        .otherwise(F.array().cast("array<bigint>"))
+
+
 def _tokenised_pairs(df: DataFrame, ref: str, pred: str, pair_id: str) -> DataFrame:
     return df.select(F.col(pair_id).alias("pair_id"), tokens(F.col(ref)).alias("rt"), tokens(F.col(pred)).alias("pt"))
 
@@ -145,8 +156,8 @@ def clipped_matches(pairs: DataFrame, orders=(1, 2, 3, 4)) -> DataFrame:
 
     items = []
     for n in orders:
-        items.append(F.transform(ngrams(F.col("rt"), n), tag(n, 1)))
-        items.append(F.transform(ngrams(F.col("pt"), n), tag(n, 0)))
+        items.append(F.transform(ngram_hashes(F.col("rt"), n), tag(n, 1)))
+        items.append(F.transform(ngram_hashes(F.col("pt"), n), tag(n, 0)))
     grams = pairs.select("pair_id", F.inline(F.concat(*items)))
     per_gram = grams.groupBy("pair_id", "n", "g").agg(F.sum("r").alias("rc"), F.sum("p").alias("pc"))
     return per_gram.groupBy("pair_id", "n").agg(F.sum(F.least("rc", "pc")).alias("matches"))
