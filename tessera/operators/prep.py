@@ -49,7 +49,9 @@ def label_encode(df: DataFrame, label: str, out: str = "class_id") -> DataFrame:
     """Class ids = position of the label in the sorted distinct labels;
     ``n_classes`` = distinct labels.  The label table is one row per class."""
     labels = df.select(F.col(label).alias("__l")).where(F.col("__l").isNotNull()).distinct()
-    numbered = labels.select("__l", (F.row_number().over(Window.orderBy("__l")) - 1).cast("bigint").alias(out))
+    # numbered by a bucketed prefix count: no single-task window even for
+    # a label set that turns out large
+    numbered = prefix_sum(labels, ["__l"], None, out=out).select("__l", F.col(out).cast("bigint").alias(out))
     n = labels.agg(F.count(F.lit(1))).scalar()
     return df.join(numbered, df[label] == numbered["__l"], "left").drop("__l") \
         .withColumn("n_classes", n.cast("bigint"))

@@ -167,6 +167,10 @@ class Pipeline:
             if not s.enabled:
                 continue
             try:
+                if df.isStreaming:
+                    from tessera.streaming import check_stream_step
+                    right = self.sources.get(s.params.get("right_source_id") or s.params.get("source_id", ""))
+                    check_stream_step(df, s.op, s.params, right)
                 df = apply_step(df, s.op, s.params, self.sources)
                 df.schema  # force analysis so errors name this step
             except PipelineError:

@@ -175,3 +175,24 @@ def test_positions_hot_key_identical_times(spark):
     pos = {(r.u, r.eid): r.pos for r in positions_within(df, ["u"], ["ts", "eid"], "ts", n_buckets=4, max_rows=30).collect()}
     assert [pos[(1, i)] for i in range(500)] == list(range(500))
     assert [pos[(2, i)] for i in range(100)] == list(range(100))
+
+
+def test_encode_words_join_path_for_large_vocabularies(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "b a zz b"), (2, "  c  ")], "doc_id bigint, text string")
+    vocab = tk.word_vocab(docs)
+    fast = {r.doc_id: r.ids for r in tk.encode_words(docs, vocab).collect()}
+    monkeypatch.setattr(tk, "MAP_VOCAB_LIMIT", 2)
+    slow = {r.doc_id: r.ids for r in tk.encode_words(docs, vocab).collect()}
+    assert fast == slow == {1: [6, 5, 8, 6], 2: [7]}
+
+
+def test_pipeline_rejects_whole_table_steps_on_streams(spark, tmp_path):
+    from tessera.plans.pipeline import Pipeline, PipelineError
+    (tmp_path / "a.json").write_text('{"x": 1}\n')
+    stream = spark.readStream.schema("x long").json(str(tmp_path))
+    p = Pipeline("s", spark).add_source("s", stream)
+    p.add_step("filter_rows", {"column": "x", "operator": ">", "value": "0"})
+    p.build()
+    p.add_step("sort", {"column": "x"})
+    with pytest.raises(PipelineError):
+        p.build()
