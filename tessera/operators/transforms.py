@@ -298,6 +298,14 @@ def sample(df: DataFrame, n: int = 100, seed=0, key=None) -> DataFrame:
         .limit(int(n))
 
 
+def sample_fraction(df: DataFrame, fraction: float, seed=0, key=None) -> DataFrame:
+    """About ``fraction`` of the rows, chosen by a hash threshold on the key
+    (no sort; reproducible; the cheap option when the exact count does not
+    matter)."""
+    from tessera.operators.prep import hex_threshold
+    return df.where(F.substring(sample_key(df, key, seed), 1, 4) < F.lit(hex_threshold(fraction)))
+
+
 def page(df: DataFrame, offset: int = 0, limit_n: int = 100, order_by=None) -> DataFrame:
     order = parse_list(order_by) or df.columns
     return df.orderBy(*order).offset(int(offset)).limit(int(limit_n))

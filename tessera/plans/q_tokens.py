@@ -125,3 +125,14 @@ query("response_mask", """SELECT conv_id,
    / sum(length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))), 4) AS trained_share
 FROM conversations GROUP BY conv_id""")(
     lambda spark, d: tk.response_mask(table(spark, d, "conversations")))
+
+query("render_chat_llama3", """SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+ string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || text || '<|eot_id|>', '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id""")(
+    lambda spark, d: tk.render_chat(table(spark, d, "conversations"), template="llama-3"))
+query("render_chat_alpaca", """SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+ string_agg(CASE WHEN role = 'user' THEN '### Instruction:' || chr(10) || text || chr(10) || chr(10)
+   WHEN role = 'assistant' THEN '### Response:' || chr(10) || text || chr(10) || chr(10)
+   ELSE text || chr(10) || chr(10) END, '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id""")(
+    lambda spark, d: tk.render_chat(table(spark, d, "conversations"), template="alpaca"))
