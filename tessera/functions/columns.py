@@ -57,3 +57,15 @@ def blank_to_null(df: DataFrame, name: str) -> Column:
     if is_string_type(col_type(df, name)):
         return F.when(c == F.lit(""), F.lit(None)).otherwise(c)
     return c
+
+
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970-01-01 for a timestamp column, independent of
+    the session time zone for TIMESTAMP_NTZ (wall-clock) values."""
+    dt = col_type(df, name)
+    c = F.col(name)
+    if isinstance(dt, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("long") * 86_400_000_000
+    return F.unix_micros(c)

@@ -25,7 +25,8 @@ def order_number(df: DataFrame, col: str) -> Column:
     dt = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return c.cast("timestamp").cast("double")
+        from tessera.functions.columns import epoch_micros
+        return epoch_micros(df, col).cast("double") / 1e6
     if isinstance(dt, (T.StringType, T.BinaryType)):
         raw = F.rpad(c.cast("binary"), 7, F.lit(b"\x00"))
         return F.conv(F.hex(F.substring(raw, 1, 7)), 16, 10).cast("long").cast("double")
@@ -135,7 +136,11 @@ def row_numbers(df: DataFrame, order: list[str], *, key: str | None = None,
 def time_bucket(df: DataFrame, col: str | Column, n_buckets: int = 1024) -> Column:
     """Monotone bucket of a timestamp / numeric ordering column."""
     x = (F.col(col) if isinstance(col, str) else col)
-    x = x.cast("timestamp").cast("double") if _is_time(df, col) else x.cast("double")
+    if _is_time(df, col):
+        from tessera.functions.columns import epoch_micros
+        x = epoch_micros(df, col).cast("double") / 1e6
+    else:
+        x = x.cast("double")
     st = df.select(x.alias("__x")).agg(F.struct(
         F.min("__x").alias("lo"),
         F.greatest((F.max("__x") - F.min("__x")) / F.lit(n_buckets), F.lit(1e-9)).alias("w"))).scalar()

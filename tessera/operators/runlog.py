@@ -74,7 +74,7 @@ def throughput(df: DataFrame, run: str, order: list[str], bucket_col: str, ts: s
     p = positions_within(df, [run], order, bucket_col)
     prev = p.select(F.col(run).alias("__r"), (F.col("pos") + 1).alias("__p"), F.col(ts).alias("__pts"))
     j = p.join(prev, (p[run] == prev["__r"]) & (p["pos"] == prev["__p"]), "left")
-    us = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("__pts").cast("timestamp"))
+    us = F.timestamp_diff("MICROSECOND", F.col("__pts"), F.col(ts))
     ms = us / 1000.0
     out = j.select(*df.columns, "pos", fround(ms, 3).alias("step_time_ms"),
                    fround(F.when(ms > 0, 1000.0 / ms), 4).alias("steps_per_sec"),

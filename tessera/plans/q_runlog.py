@@ -163,7 +163,7 @@ def _designs(spark, d):
     g = ev.groupBy(F.col("user_id").alias("design")).agg(
         F.min_by("value", o).alias("initial_loss"), F.max_by("value", o).alias("final_loss"),
         (F.count(F.lit(1)) * 1000).cast("bigint").alias("params"),
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1e6).alias("secs"),
+        (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / 1e6).alias("secs"),
         F.count(F.lit(1)).alias("steps"), F.max_by("event_type", o).alias("last_type"))
     red = fround(F.col("initial_loss") - F.col("final_loss"), 4)
     return g.select("design", F.when(F.col("last_type") == "error", "error").otherwise("ok").alias("status"),

@@ -135,7 +135,11 @@ def load(spark: SparkSession, kind: str, params: dict) -> DataFrame:
     if kind in ("mongodb", "elasticsearch", "redis", "bigquery"):
         builder = {"mongodb": mongo_options, "elasticsearch": elasticsearch_options, "redis": redis_options,
                    "bigquery": bigquery_options}[kind]
-        return spark.read.format(FORMATS[kind]).options(**builder(**p)).load()
+        df = spark.read.format(FORMATS[kind]).options(**builder(**p)).load()
+        if kind == "mongodb" and "_id" in df.columns:
+            from pyspark.sql import functions as F
+            df = df.withColumn("_id", F.col("_id").cast("string"))  # ObjectId -> text, as the reference does
+        return df
     raise ValueError(f"unknown connector {kind!r}")
 
 
