@@ -111,6 +111,27 @@ class Pipeline:
         self.sources: dict[str, DataFrame] = {}
         self.steps: list[Step] = []
 
+    # specs ---------------------------------------------------------------
+    @classmethod
+    def from_spec(cls, spark: SparkSession, spec: dict | str) -> "Pipeline":
+        """Build from ``{"name", "sources": {id: {connector_type, params}},
+        "transforms": [{"id", "op", "params", "enabled"}]}`` (dict or JSON).
+        Connection secrets stay with the caller; nothing is written out."""
+        import json
+        if isinstance(spec, str):
+            spec = json.loads(spec)
+        p = cls(spec.get("name", ""), spark)
+        for sid, src in (spec.get("sources") or {}).items():
+            p.add_source(sid, src)
+        for t in spec.get("transforms") or spec.get("steps") or []:
+            p.add_step(t["op"], t.get("params", {}), t.get("id"), bool(t.get("enabled", True)))
+        return p
+
+    def to_spec(self) -> dict:
+        """Steps only: sources are live DataFrames and are not serialised."""
+        return {"name": self.name, "transforms": [{"id": s.id, "op": s.op, "params": s.params,
+                                                   "enabled": s.enabled} for s in self.steps]}
+
     # sources -------------------------------------------------------------
     def add_source(self, source_id: str, source) -> "Pipeline":
         if isinstance(source, DataFrame):

@@ -92,3 +92,10 @@ def file_summary(spark: SparkSession, path: str, fmt: str | None = None, preview
     else:
         raise ValueError(f"unsupported file format {fmt!r}")
     return df
+
+
+def summarize_file(spark: SparkSession, path: str, fmt: str | None = None, preview: int = 5) -> dict:
+    """columns, n_rows (a distributed count) and the first ``preview`` rows."""
+    df = file_summary(spark, path, fmt)
+    return {"path": path, "format": fmt or path.rsplit(".", 1)[-1].lower(), "columns": df.columns,
+            "n_rows": df.count(), "preview": [r.asDict(recursive=True) for r in df.limit(preview).collect()]}

@@ -158,3 +158,18 @@ def test_pipeline_errors_name_the_step(spark):
         pipe.build()
     pipe.set_enabled("bad1", False)
     assert pipe.build().count() == 1
+
+
+def test_pipeline_from_spec(spark, tmp_path):
+    p = tmp_path / "people.csv"
+    p.write_text("name,age\nAlice,30\nBob,25\nCharlie,35\n")
+    spec = {"name": "spec", "sources": {"people": {"connector_type": "csv_file", "params": {"path": str(p)}}},
+            "transforms": [{"id": "c", "op": "cast_type", "params": {"column": "age", "dtype": "int"}},
+                           {"id": "f", "op": "filter_rows", "params": {"column": "age", "operator": ">", "value": "26"}},
+                           {"id": "x", "op": "limit", "params": {"n": 1}, "enabled": False}]}
+    pipe = Pipeline.from_spec(spark, spec)
+    assert pipe.run()["count"] == 2
+    assert [t["id"] for t in pipe.to_spec()["transforms"]] == ["c", "f", "x"]
+    from tessera.sources.inventory import summarize_file
+    s = summarize_file(spark, str(p))
+    assert s["n_rows"] == 3 and s["columns"] == ["name", "age"] and len(s["preview"]) == 3
