@@ -37,14 +37,19 @@ def value_counts(df: DataFrame, columns=None) -> DataFrame:
     return long_values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def profile_counts(df: DataFrame) -> DataFrame:
-    """column, count, null_count, null_pct (1 dp), unique, row_count, col_count."""
+def profile_counts(df: DataFrame, approx_unique: bool = False) -> DataFrame:
+    """column, count, null_count, null_pct (1 dp), unique, row_count, col_count.
+    ``approx_unique`` swaps the exact distinct count for a HyperLogLog++
+    sketch (no shuffle of distinct values)."""
     cols = df.columns
     wide = df.agg(F.count(F.lit(1)).alias("__n"),
                   *[F.count_if(is_blank(df, c)).alias(f"__b{i}") for i, c in enumerate(cols)])
     stack = ", ".join(f"'{c}', `__b{i}`" for i, c in enumerate(cols))
     nulls = wide.selectExpr("__n", f"stack({len(cols)}, {stack}) AS (column, null_count)")
-    uniq = value_counts(df).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    if approx_unique:
+        uniq = long_values(df).groupBy("column").agg(F.approx_count_distinct("value").alias("unique"))
+    else:
+        uniq = value_counts(df).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     out = nulls.join(uniq, "column", "left")
     return out.select(
         "column",

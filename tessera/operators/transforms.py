@@ -141,7 +141,7 @@ def _mode_scalar(df: DataFrame, column: str) -> Column:
 
 
 def fill_nulls(df: DataFrame, column: str, strategy: str = "value", value="",
-               order_by=None, partition_by=None) -> DataFrame:
+               order_by=None, partition_by=None, approx_accuracy: int | None = None) -> DataFrame:
     """Fill null / blank cells of one column.
 
     value  -> literal (cast to the column type)
@@ -163,6 +163,9 @@ def fill_nulls(df: DataFrame, column: str, strategy: str = "value", value="",
             blank_to_null(df, column).try_cast("double")
         if strategy == "mean":
             fill = F.coalesce(df.select(F.avg(num)).scalar(), F.lit(0.0))
+        elif approx_accuracy:
+            # opt-in: one-pass sketch instead of the exact narrowing
+            fill = F.coalesce(df.select(F.percentile_approx(num, 0.5, int(approx_accuracy))).scalar(), F.lit(0.0))
         else:
             vals = df.select(num.alias("__v"))
             n = vals.where(F.col("__v").isNotNull()).count()

@@ -87,3 +87,17 @@ def latest_per_key(events: DataFrame, key: str, ts: str, cols: list[str]) -> Dat
     order = F.struct(F.col(ts), *[F.col(c) for c in cols])
     return events.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in [ts, *cols]]), order).alias("latest")) \
         .select(key, "latest.*")
+
+
+def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, schema: T.StructType | None = None,
+                 starting: str = "earliest", max_offsets: int | None = None) -> DataFrame:
+    """Kafka topic as a stream of decoded JSON values (needs the Kafka
+    connector on the classpath).  Non-object values are wrapped as
+    ``{"value": v}``; with a schema the JSON becomes columns."""
+    from tessera.sources.connectors import decode_kafka_json
+    r = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", bootstrap)
+         .option("subscribe", topic).option("startingOffsets", starting))
+    if max_offsets:
+        r = r.option("maxOffsetsPerTrigger", str(max_offsets))
+    raw = r.load().select(F.col("value").cast("string").alias("value"))
+    return decode_kafka_json(raw, schema)

@@ -118,3 +118,12 @@ def test_auto_eval_picks_task(spark):
     assert ev.auto_eval(cls, "t", "p").first().task == "classification"
     reg = spark.createDataFrame([(float(i), float(i)) for i in range(60)], "t double, p double")
     assert ev.auto_eval(reg, "t", "p").first().task == "regression"
+
+
+def test_approximate_options(spark):
+    from tessera.operators import transforms as tf
+    df = spark.createDataFrame([(float(v),) for v in range(101)] + [(None,)], "v double")
+    exact = tf.fill_nulls(df, "v", "median").where("v = 50").count()
+    approx = tf.fill_nulls(df, "v", "median", approx_accuracy=10000).where("v = 50").count()
+    assert exact == 2 and approx == 2
+    assert pr.profile_counts(df, approx_unique=True).first().unique == 101
