@@ -61,6 +61,10 @@ def apply_step(df: DataFrame, op: str, params: dict, sources: dict[str, DataFram
         _need(p, "name", "expression")
         return tf.add_column(df, p["name"], p["expression"])
     if op == "deduplicate":
+        if df.isStreaming and p.get("watermark"):
+            from tessera.streaming import dedup_stream
+            return dedup_stream(df, parse_list(p.get("columns", "")) or df.columns, p["watermark"],
+                                p.get("delay", "10 minutes"))
         return tf.deduplicate(df, p.get("columns", ""), p.get("order_by"))
     if op == "sort":
         _need(p, "column")

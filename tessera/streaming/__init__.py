@@ -35,6 +35,8 @@ def check_stream_step(df: DataFrame, op: str, params: dict | None = None, right:
         return
     p = params or {}
     key = f"{op}:{p.get('strategy', 'value')}" if op == "fill_nulls" else op
+    if op == "deduplicate" and p.get("watermark"):
+        return  # dropDuplicatesWithinWatermark: state bounded by the watermark
     if key in STREAM_REJECTED_OPS:
         raise ValueError(f"step {key} needs the whole table and cannot run on a stream")
     if op == "flatten_json" and not p.get("schema"):
@@ -101,3 +103,9 @@ def kafka_stream(spark: SparkSession, bootstrap: str, topic: str, schema: T.Stru
         r = r.option("maxOffsetsPerTrigger", str(max_offsets))
     raw = r.load().select(F.col("value").cast("string").alias("value"))
     return decode_kafka_json(raw, schema)
+
+
+def dedup_stream(df: DataFrame, columns: list[str], event_time: str, delay: str = "10 minutes") -> DataFrame:
+    """Streaming deduplication: the first row per key within the watermark
+    (state is dropped once the watermark passes)."""
+    return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(columns)

@@ -128,3 +128,18 @@ def test_stream_rules_and_raw_split(spark, tmp_path):
     st.run_available_now(parsed, sink, str(tmp_path / "ck"))
     rows = spark.read.parquet(sink).collect()
     assert sum(r.event is not None for r in rows) == 1 and sum(r.raw is not None for r in rows) == 1
+
+
+def test_stream_dedup_within_watermark(spark, tmp_path):
+    from tessera.plans.pipeline import Pipeline
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.json").write_text('{"k": 1, "ts": "2024-01-01 00:00:00"}\n{"k": 1, "ts": "2024-01-01 00:00:01"}\n'
+                                '{"k": 2, "ts": "2024-01-01 00:00:02"}\n')
+    stream = spark.readStream.schema("k long, ts timestamp").json(str(src))
+    p = Pipeline("d", spark).add_source("s", stream)
+    p.add_step("deduplicate", {"columns": "k", "watermark": "ts", "delay": "1 hour"})
+    out = p.build()
+    sink = str(tmp_path / "out")
+    st.run_available_now(out, sink, str(tmp_path / "ck"))
+    assert sorted(r.k for r in spark.read.parquet(sink).collect()) == [1, 2]
