@@ -263,10 +263,16 @@ def pack_sequences(docs: DataFrame, max_len: int, order_key: str = "doc_id", ids
     n_seqs = F.floor((total - 1) / F.lit(L)).cast("long")
     first_k = F.floor(F.greatest(F.col("o") - 1, F.lit(0)) / L).cast("long")
     last_k = F.floor((F.col("o") + F.col("n") - 1) / L).cast("long")
-    frag = d.select("o", "n", "ids", F.explode(F.sequence(first_k, last_k)).alias("k")).where(F.col("k") < n_seqs)
-    lo = F.greatest(F.col("k") * L, F.col("o"))
-    hi = F.least(F.col("k") * L + L, F.col("o") + F.col("n") - 1)
-    frag = frag.select("k", "o", F.slice("ids", (lo - F.col("o") + 1).cast("int"), (hi - lo + 1).cast("int")).alias("piece"))
+    o, n = F.col("o"), F.col("n")
+
+    def piece(k):
+        lo = F.greatest(k * L, o)
+        hi = F.least(k * L + L, o + n - 1)
+        return F.struct(k.alias("k"), o.alias("o"), F.slice(F.col("ids"), (lo - o + 1).cast("int"),
+                                                              (hi - lo + 1).cast("int")).alias("piece"))
+    # pieces are cut inside one array expression; only pieces are exploded,
+    # so a long document is not copied once per window it touches
+    frag = d.select(F.inline(F.transform(F.sequence(first_k, last_k), piece))).where(F.col("k") < n_seqs)
     win = frag.groupBy("k").agg(F.flatten(F.sort_array(F.collect_list(F.struct("o", "piece")))["piece"]).alias("w"))
     n_val = F.greatest(F.lit(1), F.floor(n_seqs / val_fraction_div)).cast("long")
     return win.select(F.col("k").alias("seq_id"), F.slice("w", 1, L).alias("input_ids"),

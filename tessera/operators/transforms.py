@@ -340,11 +340,15 @@ def text_split(df: DataFrame, column: str, max_length: int = 512, overlap: int =
     out_cols = [c for c in df.columns if c != column]
     with_words = df.select(*out_cols, words.alias("__w"))
     n = F.size("__w")
-    exploded = with_words.where(n > 0).select(
-        *out_cols, "__w", F.explode(F.sequence(F.lit(0), n - 1, F.lit(step))).alias("_chunk_idx"))
-    chunk = F.array_join(F.slice("__w", F.col("_chunk_idx") + 1, F.lit(max_length)), " ")
-    return exploded.select(*[chunk.alias(c) if c == column else F.col(c) for c in df.columns],
-                           F.col("_chunk_idx").cast("bigint").alias("_chunk_idx"))
+    # chunks are built inside one array expression and only the chunks are
+    # exploded: no output row carries the document's whole word array, so a
+    # long document costs O(words), not O(words x chunks)
+    chunks = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)),
+                         lambda s: F.struct(s.cast("bigint").alias("i"),
+                                            F.array_join(F.slice(F.col("__w"), s + 1, F.lit(max_length)), " ").alias("t")))
+    exploded = with_words.where(n > 0).select(*out_cols, F.inline(chunks))
+    return exploded.select(*[F.col("t").alias(c) if c == column else F.col(c) for c in df.columns],
+                           F.col("i").alias("_chunk_idx"))
 
 
 def _variant_object_schema(df: DataFrame, column: str) -> T.StructType | None:
