@@ -19,19 +19,19 @@ def _strip(x: str) -> str:
 
 query("text_clean", f"""SELECT doc_id, regexp_replace(lower({_strip('text')}), '[^a-zA-Z0-9\\s.,!?''-]', '', 'g') AS text
 FROM documents""")(
-    lambda spark, d: tf.text_clean(table(spark, d, "documents").select("doc_id", "text"), "text",
+    lambda spark, d: tf.text_clean(table(spark, d, "documents", spread=True).select("doc_id", "text"), "text",
                                    remove_special=True))
 
 query("text_clean_html", f"""SELECT page_id, regexp_replace(regexp_replace(lower({_strip('html')}), '<[^>]+>', '', 'g'),
  'https?://\\S+', '', 'g') AS html FROM pages""")(
-    lambda spark, d: tf.text_clean(table(spark, d, "pages").select("page_id", "html"), "html",
+    lambda spark, d: tf.text_clean(table(spark, d, "pages", spread=True).select("page_id", "html"), "html",
                                    remove_html=True, remove_urls=True))
 
 query("text_split", """WITH w AS (SELECT doc_id, lang, source, n_chars,
   list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS ws FROM documents)
 SELECT doc_id, array_to_string(ws[s + 1 : s + 200], ' ') AS text, lang, source, n_chars, CAST(s AS BIGINT) AS _chunk_idx
 FROM w, LATERAL (SELECT unnest(generate_series(0, len(ws) - 1, 180)) AS s) g WHERE len(ws) > 0""")(
-    lambda spark, d: tf.text_split(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"),
+    lambda spark, d: tf.text_split(table(spark, d, "documents", spread=True).select("doc_id", "text", "lang", "source", "n_chars"),
                                    "text", 200, 20))
 
 query("flatten_json", """SELECT event_id, user_id, event_type, value,
@@ -44,7 +44,7 @@ query("html_to_text", """SELECT page_id,
    '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs'), '<[^>]+>', ' ', 'g'),
    '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g'), 1, 15000) AS text,
  regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages""")(
-    lambda spark, d: table(spark, d, "pages").select(
+    lambda spark, d: table(spark, d, "pages", spread=True).select(
         "page_id", textfn.html_to_text(F.col("html")).alias("text"), textfn.html_title(F.col("html")).alias("title")))
 
 query("url_source", """SELECT page_id, url,
@@ -55,7 +55,7 @@ query("url_source", """SELECT page_id, url,
       WHEN regexp_matches(url, 'semanticscholar\\.org/paper/([a-f0-9]+)') THEN regexp_extract(url, 'semanticscholar\\.org/paper/([a-f0-9]+)', 1)
       WHEN contains(url, 'openreview.net') AND regexp_matches(url, 'id=([A-Za-z0-9_-]+)') THEN regexp_extract(url, 'id=([A-Za-z0-9_-]+)', 1)
  END AS paper_id FROM pages""")(
-    lambda spark, d: table(spark, d, "pages").select(
+    lambda spark, d: table(spark, d, "pages", spread=True).select(
         "page_id", "url", textfn.url_source(F.col("url")).alias("source"),
         textfn.url_paper_id(F.col("url")).alias("paper_id")))
 

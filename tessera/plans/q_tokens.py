@@ -20,7 +20,7 @@ _CHARS = "regexp_extract_all(text, '(?s).', 0)"
 
 query("char_vocab", f"""SELECT ch AS token, CAST(row_number() OVER (ORDER BY ch) - 1 AS BIGINT) AS id
 FROM (SELECT DISTINCT unnest({_CHARS}) AS ch FROM documents)""")(
-    lambda spark, d: tk.char_vocab(table(spark, d, "documents")))
+    lambda spark, d: tk.char_vocab(table(spark, d, "documents", spread=True)))
 
 _SPECIALS_SQL = ("SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('[BOS]', 2), ('[EOS]', 3), ('[MASK]', 4)) "
                  "s(token, id)")
@@ -29,20 +29,20 @@ UNION ALL SELECT w, CAST(row_number() OVER (ORDER BY w) + 4 AS BIGINT) FROM (
   SELECT DISTINCT unnest({_WORDS}) AS w FROM documents ORDER BY w LIMIT 1995) top)"""
 
 query("word_vocab", f"SELECT * FROM {_WORD_VOCAB_SQL} v")(
-    lambda spark, d: tk.word_vocab(table(spark, d, "documents"), vocab_size=2000))
+    lambda spark, d: tk.word_vocab(table(spark, d, "documents", spread=True), vocab_size=2000))
 
 query("bpe_pair_counts", f"""WITH wc AS (SELECT w, count(*) AS c FROM (SELECT unnest({_WORDS}) AS w FROM documents) GROUP BY w),
 s AS (SELECT regexp_extract_all(w, '(?s).', 0) AS s, c FROM wc)
 SELECT s[i] AS "left", s[i + 1] AS "right", CAST(sum(c) AS BIGINT) AS count
 FROM s, LATERAL (SELECT unnest(range(1, len(s))) AS i) x GROUP BY ALL HAVING sum(c) >= 2""")(
-    lambda spark, d: tk.bpe_pair_counts(table(spark, d, "documents")))
+    lambda spark, d: tk.bpe_pair_counts(table(spark, d, "documents", spread=True)))
 
 # iterative merges: rows-only check here, brute-force checked in tests/
-query("bpe_merges")(lambda spark, d: tk.bpe_merges(table(spark, d, "documents"), n_merges=20))
+query("bpe_merges")(lambda spark, d: tk.bpe_merges(table(spark, d, "documents", spread=True), n_merges=20))
 
 
 def _encoded(spark, d):
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     vocab = tk.word_vocab(docs, vocab_size=2000)
     return tk.encode_words(docs, vocab), vocab
 
@@ -90,7 +90,7 @@ PACK_LEN = 256
 
 
 def packed(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents", spread=True).select("doc_id", "text")
     enc = tk.char_encoder(tk.char_vocab(docs))
     return tk.pack_sequences(docs, PACK_LEN, n_tokens=F.length("text"), encode_fn=enc)
 

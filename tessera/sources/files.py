@@ -9,9 +9,39 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+SPREAD_MIN_BYTES = 4 * 1024 * 1024
+
+
+def _row_groups(path: str) -> int | None:
+    try:
+        import pyarrow.parquet as pq
+        return pq.ParquetFile(path).metadata.num_row_groups  # footer only
+    except Exception:  # noqa: BLE001 - remote paths, directories: no hint
+        return None
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the driver's parquet tables.
+
+    A Parquet file is split by row group, so a file with fewer row groups
+    than the cluster has cores is scanned by that few tasks.  With ``spread``
+    (used by CPU-heavy text steps) such an input - and only such an input,
+    larger than 4 MB - is spread round-robin over the default parallelism; a
+    real large table has far more row groups than cores and is read as is,
+    with no shuffle."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    if not spread:
+        return df
+    par = spark.sparkContext.defaultParallelism
+    groups = _row_groups(path)
+    try:
+        size = os.path.getsize(path)
+    except OSError:
+        size = 0
+    if groups is not None and groups * 2 < par and size > SPREAD_MIN_BYTES:
+        return df.repartition(par)
+    return df
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8",
