@@ -325,3 +325,22 @@ def copy_manifest(manifest: DataFrame, dest_root: str) -> None:
             if os.path.exists(r["src"]):
                 shutil.copy2(r["src"], dst)
     manifest.foreachPartition(run)
+
+
+def write_yolo_files(labels: DataFrame, out_dir: str, classes: list[str] | None = None,
+                     name_col: str = "file_name", content_col: str = "content") -> None:
+    """One ``labels/<stem>.txt`` per image, written by the executors (each
+    task writes its own images' files; nothing passes through the driver),
+    plus ``classes.txt``.  ``out_dir`` must be a folder every executor sees."""
+    import os
+    lbl = os.path.join(out_dir, "labels")
+
+    def write(rows):
+        os.makedirs(lbl, exist_ok=True)
+        for r in rows:
+            with open(os.path.join(lbl, r[name_col]), "w", encoding="utf-8") as fh:
+                fh.write(r[content_col] or "")
+    labels.select(name_col, content_col).foreachPartition(write)
+    os.makedirs(out_dir, exist_ok=True)
+    with open(os.path.join(out_dir, "classes.txt"), "w", encoding="utf-8") as fh:
+        fh.write("\n".join(classes or []))

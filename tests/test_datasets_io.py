@@ -143,3 +143,11 @@ def test_stream_dedup_within_watermark(spark, tmp_path):
     sink = str(tmp_path / "out")
     st.run_available_now(out, sink, str(tmp_path / "ck"))
     assert sorted(r.k for r in spark.read.parquet(sink).collect()) == [1, 2]
+
+
+def test_write_yolo_files(spark, tmp_path):
+    labels = spark.createDataFrame([("a.txt", "0 0.5 0.5 0.1 0.1"), ("b.txt", "")], "file_name string, content string")
+    ds.write_yolo_files(labels, str(tmp_path / "yolo"), ["cat", "dog"])
+    assert (tmp_path / "yolo" / "labels" / "a.txt").read_text() == "0 0.5 0.5 0.1 0.1"
+    assert (tmp_path / "yolo" / "labels" / "b.txt").read_text() == ""
+    assert (tmp_path / "yolo" / "classes.txt").read_text() == "cat\ndog"
