@@ -90,7 +90,8 @@ def numeric_profile(df: DataFrame, columns=None) -> DataFrame:
     # all medians in one narrowing run: one distributed job per round
     num = df.select(*[(F.col(c).try_cast("double") if is_string_type(df.schema[c].dataType)
                        else F.col(c).cast("double")).alias(c) for c in present])
-    meds = kth_smallest_many(num, {c: [row[f"{c}__n"] // 2] for c in present}) if present else {}
+    known = {c: (row[f"{c}__n"], float(row[f"{c}__min"]), float(row[f"{c}__max"])) for c in present}
+    meds = kth_smallest_many(num, {c: [row[f"{c}__n"] // 2] for c in present}, stats=known) if present else {}
     rows = [(c, float(row[f"{c}__min"]), float(row[f"{c}__max"]), float(row[f"{c}__avg"]),
              float(meds[(c, row[f"{c}__n"] // 2)])) for c in present]
     schema = "column string, min double, max double, mean double, median double"

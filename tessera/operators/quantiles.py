@@ -30,16 +30,23 @@ class _Target:
 
 
 def kth_smallest_many(df: DataFrame, requests: dict, *, buckets: int = 4096,
-                      collect_limit: int = 50_000) -> dict:
+                      collect_limit: int = 50_000, stats: dict | None = None) -> dict:
     """``requests``: {column name or Column: [0-based ranks]} over non-null
-    values.  Returns {(column key, rank): value or None}."""
+    values.  Returns {(column key, rank): value or None}.  ``stats``
+    ({column key: (n, min, max)}) skips the first counting pass when the
+    caller already has it."""
     keys = list(requests)
     cols = [F.col(c) if isinstance(c, str) else c for c in keys]
     long = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), c.cast("double").alias("x"))
                                           for i, c in enumerate(cols)])).alias("p"))
             .select("p.c", "p.x").where(F.col("x").isNotNull() & ~F.isnan("x")))
-    stats = long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-    by_col = {r["c"]: r for r in stats}
+    if stats is not None:
+        by_col = {i: {"n": stats[k][0], "lo": stats[k][1], "hi": stats[k][2]}
+                  for i, k in enumerate(keys) if k in stats and stats[k][0]}
+    else:
+        rows = long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
+                                     F.max("x").alias("hi")).collect()
+        by_col = {r["c"]: r for r in rows}
     targets: list[_Target] = []
     out: dict = {}
     for i, key in enumerate(keys):
