@@ -11,6 +11,8 @@ top-k filter is a ``row_number`` limit that Spark pushes below the shuffle
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +93,11 @@ def numeric_profile(df: DataFrame, columns=None) -> DataFrame:
     num = df.select(*[(F.col(c).try_cast("double") if is_string_type(df.schema[c].dataType)
                        else F.col(c).cast("double")).alias(c) for c in present])
     known = {c: (row[f"{c}__n"], float(row[f"{c}__min"]), float(row[f"{c}__max"])) for c in present}
-    meds = kth_smallest_many(num, {c: [row[f"{c}__n"] // 2] for c in present}, stats=known) if present else {}
+    # NaN sorts above every number in Spark: let the narrowing recount then
+    known = {c: v for c, v in known.items() if not (math.isnan(v[1]) or math.isnan(v[2]))}
+    missing = [c for c in present if c not in known]
+    meds = kth_smallest_many(num, {c: [row[f"{c}__n"] // 2] for c in present},
+                             stats=known if not missing else None) if present else {}
     rows = [(c, float(row[f"{c}__min"]), float(row[f"{c}__max"]), float(row[f"{c}__avg"]),
              float(meds[(c, row[f"{c}__n"] // 2)])) for c in present]
     schema = "column string, min double, max double, mean double, median double"
