@@ -46,7 +46,8 @@ CATALOG = [
     ("voltage_regulator", "electronics", 3.0, None, None, None, None, None, None, None, None),
     ("bec_5v_3a", "electronics", 8.0, None, None, None, None, None, None, None, None),
 ]
-ACTIVE_LOAD_SHARE = 0.3  # typical load as a share of stall current
+# Fixed value: an actuator draws idle + 30 % of (stall - idle) x duty cycle.
+ACTIVE_LOAD_SHARE = 0.3
 
 CATALOG_SCHEMA = ("type string, category string, weight_g double, voltage_nominal double, current_idle_ma double, "
                   "current_stall_ma double, current_ma double, current_max_a double, voltage double, "

@@ -20,6 +20,7 @@ from tessera.functions.numeric import fround
 
 from tessera.functions import text as textfn
 
+# Fixed value: automatic task choice - at most 50 distinct truths is classification.
 AUTO_CLASSIFICATION_MAX_LABELS = 50
 MAX_LABELS = 10_000  # the label grid is labels^2 cells; its list is one value
 

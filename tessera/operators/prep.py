@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 
 from tessera.operators.numbering import prefix_sum
 
-# Fixed value: the constant the reference writes for pi in its generators.
+# Generator constants, as in the reference (its pi, blob centres).
 PI = 3.14159
+BLOB_CENTERS = [(0, 0), (3, 3), (0, 3), (3, 0)]
 
 
 def hex_threshold(fraction: float) -> str:
@@ -93,7 +94,6 @@ def normal(key: Column, seed: int, salt: int | Column = 0) -> Column:
 # --------------------------------------------------------------------------- synthetic tables
 
 SYNTHETIC = ("random", "xor", "spiral", "circles", "moons", "blobs", "checkerboard", "regression_sin")
-BLOB_CENTERS = [(0, 0), (3, 3), (0, 3), (3, 0)]
 
 
 def synthetic(keys: DataFrame, key: str, kind: str, noise: float = 0.1, seed: int = 0,

@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from tessera.functions.columns import is_blank, is_numeric_type, is_string_type, not_blank
 from tessera.operators.quantiles import kth_smallest_many
 
-TOP_K = 20
-MAX_BUCKETS = 20
+# Profile sizes, as in the reference.
+TOP_K = 20          # top values per categorical column
+MAX_BUCKETS = 20    # histogram buckets: min(20, distinct values)
 
 
 def long_values(df: DataFrame, columns=None) -> DataFrame:

@@ -19,12 +19,24 @@ from tessera.operators.numbering import positions_within, prefix_sum
 from tessera.operators.quantiles import kth_smallest
 
 EXACT = "decimal(38,10)"
-DOWNSAMPLE_POINTS = 200
-PERPLEXITY_CAP = 1e6
+
+# Run-log rules and sizes, as in the reference.
+DOWNSAMPLE_POINTS = 200          # curves keep every max(1, n // 200)-th point
+PERPLEXITY_CAP = 1e6             # perplexity = min(exp(loss), 1e6)
+TRAILING_WINDOW = 100            # mean reward over the last 100 episodes
+TAIL_N = 100                     # per-layer history tail
+SLOW_LAYER_PCT = 30              # slowest layer above 30 % of forward time ...
+SLOW_LAYER_CRITICAL_PCT = 50     # ... critical from 50 %
+MEMORY_HOG_PCT = 40              # largest layer above 40 % of parameter memory
+VANISHING_GRAD = 1e-7            # 0 < grad norm < 1e-7
+EXPLODING_GRAD = 100             # grad norm > 100
+DEAD_NEURON_PCT = 50             # more than 50 % dead activations
+GRAD_WEIGHT_RATIO = 1.0          # grad / weight norm above 1
+MAX_ISSUES = 10                  # issues reported per run
 
 
 def rolling_mean(df: DataFrame, run: str, order: list[str], bucket_col: str, value: str,
-                 window: int = 100) -> DataFrame:
+                 window: int = TRAILING_WINDOW) -> DataFrame:
     """Adds episode (1-based), mean_<window> (trailing mean of ``value``
     over the last ``window`` rows, 4 dp) and pct (episode / total, 1 dp)."""
     v = F.col(value).cast(EXACT)
@@ -41,7 +53,7 @@ def rolling_mean(df: DataFrame, run: str, order: list[str], bucket_col: str, val
                     fround((F.col("pos") + 1) / F.col("__n") * 100, 1).alias("pct"))
 
 
-def tail_n(df: DataFrame, run: str, order_desc: list[str], n: int = 100) -> DataFrame:
+def tail_n(df: DataFrame, run: str, order_desc: list[str], n: int = TAIL_N) -> DataFrame:
     """Last ``n`` rows per run.  ``row_number() <= n`` is planned as a
     WindowGroupLimit: each map task keeps only its top ``n`` per run before
     the shuffle, so a hot run ships at most n rows per task."""
@@ -119,7 +131,7 @@ def run_compare(summary: DataFrame, curve: DataFrame, run: str, step: str, loss:
     return summary.join(c, run, "left")
 
 
-def layer_issues(cand: DataFrame, run: str, name: str, max_issues: int = 10) -> DataFrame:
+def layer_issues(cand: DataFrame, run: str, name: str, max_issues: int = MAX_ISSUES) -> DataFrame:
     """Bottleneck rules over per-layer candidates (forward_time_ms,
     memory_mb, grad_norm, dead_neuron_pct, grad_to_weight_ratio): slowest
     layer > 30 % (critical from 50 %), largest memory > 40 %, vanishing
@@ -140,14 +152,14 @@ def layer_issues(cand: DataFrame, run: str, name: str, max_issues: int = 10) ->
                                      (fround(pct, 1) if pct is not None else F.lit(None).cast("double")).alias("pct")))
     g = F.col("grad_norm")
     rules = F.array(
-        issue((F.col("__rt") == 1) & (F.col("forward_time_ms") > 0) & (F.col("__tt") > 0) & (tpct > 30), 0,
-              "slow_layer", F.when(tpct < 50, "warning").otherwise("critical"), tpct),
-        issue((F.col("__rm") == 1) & (F.col("memory_mb") > 0) & (F.col("__tm") > 0) & (mpct > 40), 1,
+        issue((F.col("__rt") == 1) & (F.col("forward_time_ms") > 0) & (F.col("__tt") > 0) & (tpct > SLOW_LAYER_PCT), 0,
+              "slow_layer", F.when(tpct < SLOW_LAYER_CRITICAL_PCT, "warning").otherwise("critical"), tpct),
+        issue((F.col("__rm") == 1) & (F.col("memory_mb") > 0) & (F.col("__tm") > 0) & (mpct > MEMORY_HOG_PCT), 1,
               "memory_hog", "info", mpct),
-        issue((g > 0) & (g < 1e-7), 2, "vanishing_gradient", "critical"),
-        issue(~((g > 0) & (g < 1e-7)) & (g > 100), 2, "exploding_gradient", "critical"),
-        issue(F.col("dead_neuron_pct") > 50, 3, "dead_neurons", "warning"),
-        issue(F.col("grad_to_weight_ratio") > 1.0, 4, "high_grad_ratio", "warning"))
+        issue((g > 0) & (g < VANISHING_GRAD), 2, "vanishing_gradient", "critical"),
+        issue(~((g > 0) & (g < VANISHING_GRAD)) & (g > EXPLODING_GRAD), 2, "exploding_gradient", "critical"),
+        issue(F.col("dead_neuron_pct") > DEAD_NEURON_PCT, 3, "dead_neurons", "warning"),
+        issue(F.col("grad_to_weight_ratio") > GRAD_WEIGHT_RATIO, 4, "high_grad_ratio", "warning"))
     ex = c.select(run, F.col(name).alias("layer"), F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("i"))
     w = Window.partitionBy(run).orderBy("i.g", "i.o")
     return (ex.withColumn("issue_rank", F.row_number().over(w)).where(F.col("issue_rank") <= max_issues)

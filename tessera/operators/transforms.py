@@ -198,6 +198,7 @@ def fill_nulls(df: DataFrame, column: str, strategy: str = "value", value="",
 
 # --------------------------------------------------------------------------- cast / expressions
 
+# Strings that cast to boolean true (anything else is false).
 _TRUE_WORDS = ("true", "1", "yes")
 
 
