@@ -195,7 +195,8 @@ def latency_summary(df: DataFrame, value: str) -> DataFrame:
     return out.select(fround("mean", 3).alias("mean_ms"), fround("median", 3).alias("median_ms"),
                       fround("p95", 3).alias("p95_ms"), fround("p99", 3).alias("p99_ms"),
                       fround("mn", 3).alias("min_ms"), fround("mx", 3).alias("max_ms"),
-                      fround(1000 / F.col("mean"), 1).alias("throughput_per_sec"), F.col("n").alias("n_runs"))
+                      fround(F.when(F.col("mean") > 0, 1000 / F.col("mean")), 1).alias("throughput_per_sec"),
+                      F.col("n").alias("n_runs"))
 
 
 def leaderboard(trials: DataFrame, trial: str, score: str) -> DataFrame:

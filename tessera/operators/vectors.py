@@ -89,12 +89,12 @@ def vector_stats(df: DataFrame, vec: str = "embedding", dead_eps: float = 1e-6)
     computed on an array column (6 dp)."""
     x = F.transform(F.col(vec), lambda v: v.cast("double"))
     n = F.size(x)
-    mean = _fsum(x) / n
-    var = _fsum(F.transform(x, lambda v: (v - mean) * (v - mean))) / (n - 1)
+    mean = F.when(n > 0, _fsum(x) / n)
+    var = F.when(n > 1, _fsum(F.transform(x, lambda v: (v - mean) * (v - mean))) / (n - 1))
     return df.select(
         *[c for c in df.columns if c != vec],
         fround(mean, 6).alias("mean"), fround(F.sqrt(var), 6).alias("std"),
         fround(F.array_min(x), 6).alias("min"), fround(F.array_max(x), 6).alias("max"),
         fround(F.array_max(F.transform(x, lambda v: F.abs(v))), 6).alias("abs_max"),
-        fround(F.size(F.filter(x, lambda v: F.abs(v) < dead_eps)) / n * 100, 6).alias("dead_pct"),
+        fround(F.when(n > 0, F.size(F.filter(x, lambda v: F.abs(v) < dead_eps)) / n * 100), 6).alias("dead_pct"),
         fround(F.sqrt(_fsum(F.transform(x, lambda v: v * v))), 6).alias("l2_norm"))

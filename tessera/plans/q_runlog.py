@@ -142,7 +142,7 @@ query("latency_summary", """WITH v AS (SELECT value, row_number() OVER (ORDER BY
 SELECT round(avg(value), 3) AS mean_ms, round(max(CASE WHEN rn = n // 2 THEN value END), 3) AS median_ms,
  round(max(CASE WHEN rn = CAST(floor(n * 0.95) AS BIGINT) THEN value END), 3) AS p95_ms,
  round(max(CASE WHEN rn = CAST(floor(n * 0.99) AS BIGINT) THEN value END), 3) AS p99_ms,
- round(min(value), 3) AS min_ms, round(max(value), 3) AS max_ms, round(1000 / avg(value), 1) AS throughput_per_sec,
+ round(min(value), 3) AS min_ms, round(max(value), 3) AS max_ms, round(CASE WHEN avg(value) > 0 THEN 1000 / avg(value) END, 1) AS throughput_per_sec,
  CAST(count(*) AS BIGINT) AS n_runs FROM v""")(
     lambda spark, d: rl.latency_summary(_events(spark, d), "value"))
 
@@ -168,7 +168,7 @@ def _designs(spark, d):
     red = fround(F.col("initial_loss") - F.col("final_loss"), 4)
     return g.select("design", F.when(F.col("last_type") == "error", "error").otherwise("ok").alias("status"),
                     red.alias("loss_reduction"), "params", fround("secs", 2).alias("time_seconds"),
-                    fround(F.col("steps") / F.col("secs"), 6).alias("steps_per_sec"),
+                    fround(F.when(F.col("secs") > 0, F.col("steps") / F.col("secs")), 6).alias("steps_per_sec"),
                     fround(red / (F.col("params") / 1e6), 4).alias("efficiency"))
 
 
@@ -178,7 +178,7 @@ query("design_ranking", """WITH g AS (SELECT user_id AS design, arg_min(value, (
   arg_max(event_type, (ts, event_id)) AS last_type FROM events GROUP BY 1),
 d AS (SELECT design, CASE WHEN last_type = 'error' THEN 'error' ELSE 'ok' END AS status,
   round(initial_loss - final_loss, 4) AS loss_reduction, params, round(secs, 2) AS time_seconds,
-  round(steps / secs, 6) AS steps_per_sec, round(round(initial_loss - final_loss, 4) / (params / 1e6), 4) AS efficiency FROM g)
+  round(CASE WHEN secs > 0 THEN steps / secs END, 6) AS steps_per_sec, round(round(initial_loss - final_loss, 4) / (params / 1e6), 4) AS efficiency FROM g)
 SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN status = 'ok' THEN 0 ELSE 1 END,
    CASE WHEN status = 'ok' THEN -loss_reduction ELSE 'inf'::DOUBLE END, design) AS BIGINT) AS rank,
  design = (SELECT design FROM d WHERE status = 'ok' ORDER BY efficiency DESC, design LIMIT 1) AS best_efficiency,
