@@ -151,3 +151,27 @@ def test_write_yolo_files(spark, tmp_path):
     assert (tmp_path / "yolo" / "labels" / "a.txt").read_text() == "0 0.5 0.5 0.1 0.1"
     assert (tmp_path / "yolo" / "labels" / "b.txt").read_text() == ""
     assert (tmp_path / "yolo" / "classes.txt").read_text() == "cat\ndog"
+
+
+def test_detect_type_fixture(spark):
+    rows = [({".jpg": 100}, ["cats", "dogs"]), ({".csv": 1}, []), ({".wav": 50}, []), ({".mp4": 20}, []),
+            ({".jpg": 3, ".txt": 3}, []), ({".jsonl": 2}, []), ({".bin": 1}, [])]
+    df = spark.createDataFrame(rows, "files map<string,bigint>, subdirs array<string>")
+    got = [r.t for r in df.select(inv.detect_type(F.col("files"), F.col("subdirs")).alias("t")).collect()]
+    assert got == ["image_classification", "tabular", "audio", "video", "object_detection", "text", "unknown"]
+
+
+def test_label_distribution_paging_and_nested_export(spark, tmp_path):
+    from tessera.operators import profile as pr
+    from tessera.operators import transforms as tf
+    lab = spark.createDataFrame([("a", "pos"), ("b", "neg"), ("c", "pos")], "text string, label string")
+    assert {r.label: r["count"] for r in pr.label_distribution(lab).collect()} == {"pos": 2, "neg": 1}
+    ten = spark.createDataFrame([(i, f"p{i}") for i in range(10)], "i int, problem string")
+    assert [r.i for r in tf.page(ten, 5, 3, "i").collect()] == [5, 6, 7]
+    nested = spark.createDataFrame([("Weather?", [("get_weather",)], ("get_weather", '{"city": "London"}'))],
+                                   "query string, tools array<struct<name:string>>, tool_call struct<name:string,args:string>")
+    ds.export_csv(nested, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "csv")).first()
+    assert back.tools == '[{"name":"get_weather"}]' and back.tool_call.startswith('{"name":"get_weather"')
+    ds.export_jsonl(nested, str(tmp_path / "jsonl"))
+    assert spark.read.json(str(tmp_path / "jsonl")).first().tools[0].name == "get_weather"
