@@ -115,7 +115,7 @@ def synthetic(keys: DataFrame, key: str, kind: str, noise: float = 0.1, seed: in
             y = ((F.floor(a) + F.floor(b)) % 2).cast("bigint")
         return keys.select(key, F.array(a, b).alias("x"), y.alias("y"))
     p = prefix_sum(keys.select(key), [key], None, out="__p")
-    n = keys.agg(F.count(F.lit(1))).scalar()
+    n = F.lit(keys.count())  # the layout needs n in many expressions: one count, then a literal
     pos = F.col("__p")
     half = F.floor(n / 2)
     cls = F.least((pos >= half).cast("bigint"), F.lit(1))
