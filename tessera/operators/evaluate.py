@@ -257,8 +257,8 @@ def auto_eval(df: DataFrame, y_true: str, y_pred: str, max_labels: int = AUTO_CL
 
 def _one_row_concat(a: DataFrame, b: DataFrame) -> DataFrame:
     """Side-by-side of two one-row aggregates via scalar subqueries."""
-    sb = b.select(F.struct(*b.columns)).scalar()  # one subquery for the whole row
-    return a.select(*[F.col(c) for c in a.columns], *[sb[c].alias(c) for c in b.columns])
+    rb = b.first()  # one-row aggregate: its values become literals
+    return a.select(*[F.col(c) for c in a.columns], *[F.lit(rb[c]).alias(c) for c in b.columns])
 
 
 def qa_scores(df: DataFrame, category: str, generated: str, expected: str, latency: str | None = None) -> DataFrame:

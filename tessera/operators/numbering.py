@@ -37,10 +37,10 @@ def order_number(df: DataFrame, col: str) -> Column:
 
 def bucket_of(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS) -> Column:
     """Monotone bucket id of a numeric key (range split into ``n_buckets``)."""
-    # one scalar subquery carrying both bounds
-    st = df.agg(F.struct(F.min(key).cast("double").alias("lo"),
-                         F.greatest((F.max(key) - F.min(key) + 1) / F.lit(n_buckets), F.lit(1.0)).alias("w"))).scalar()
-    return F.floor((F.col(key) - st["lo"]) / st["w"]).cast("long")
+    st = df.agg(F.min(key).cast("double").alias("lo"), F.max(key).cast("double").alias("hi")).first()
+    lo = st["lo"] if st["lo"] is not None else 0.0
+    w = max(((st["hi"] if st["hi"] is not None else lo) - lo + 1) / n_buckets, 1.0)
+    return F.floor((F.col(key) - F.lit(lo)) / F.lit(w)).cast("long")
 
 
 def adaptive_buckets(df: DataFrame, order: list[str], *, key: str | None = None,
@@ -141,10 +141,10 @@ def time_bucket(df: DataFrame, col: str | Column, n_buckets: int = 1024) -> Colu
         x = epoch_micros(df, col).cast("double") / 1e6
     else:
         x = x.cast("double")
-    st = df.select(x.alias("__x")).agg(F.struct(
-        F.min("__x").alias("lo"),
-        F.greatest((F.max("__x") - F.min("__x")) / F.lit(n_buckets), F.lit(1e-9)).alias("w"))).scalar()
-    return F.least(F.floor((x - st["lo"]) / st["w"]), F.lit(n_buckets - 1)).cast("long")
+    st = df.select(x.alias("__x")).agg(F.min("__x").alias("lo"), F.max("__x").alias("hi")).first()
+    lo = st["lo"] if st["lo"] is not None else 0.0
+    w = max(((st["hi"] or lo) - lo) / n_buckets, 1e-9)
+    return F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(n_buckets - 1)).cast("long")
 
 
 def _is_time(df: DataFrame, col) -> bool:

@@ -117,8 +117,10 @@ def histogram(df: DataFrame, column: str, max_buckets: int = MAX_BUCKETS) -> Dat
                      F.least(F.count_distinct("x"), F.lit(max_buckets)).alias("nb"))
     stats = stats.withColumn("step", (F.col("mx") - F.col("mn")) / F.col("nb")) \
         .where((F.col("nb") > 1) & (F.col("step") > 0))
-    st = stats.select(F.struct("mn", "step", "nb")).scalar()  # one subquery for all three bounds
-    mn, step, nb = st["mn"], st["step"], st["nb"]
+    row = stats.first()  # one small action: the three bounds become literals
+    if row is None:
+        return df.sparkSession.createDataFrame([], "bucket bigint, label double, count bigint")
+    mn, step, nb = F.lit(row["mn"]), F.lit(row["step"]), F.lit(row["nb"])
     idx = F.least(F.floor((F.col("x") - mn) / step), nb - 1).cast("bigint")
     counts = vals.where(mn.isNotNull()).groupBy(idx.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
     grid = stats.select(F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("nb") - 1).cast("bigint"))).alias("bucket"),

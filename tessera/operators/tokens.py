@@ -251,14 +251,14 @@ def pack_sequences(docs: DataFrame, max_len: int, order_key: str = "doc_id", ids
         # token counts known without tokenising (e.g. characters): offsets are
         # computed on (key, n) only and the encoder runs once, afterwards
         counts = docs.select(order_key, n_tokens.cast("long").alias("n")).where(F.col("n") > 0)
-        total = counts.agg(F.sum("n")).scalar()
+        total = F.lit(counts.agg(F.sum("n")).first()[0])  # one count, reused by several expressions
         offs = prefix_sum(counts, [order_key], "n", out="o")
         d = docs.join(offs, order_key)
         d = encode_fn(d) if encode_fn is not None else d
         d = d.select(order_key, F.col(ids).alias("ids"), "n", "o")
     else:
         d = docs.select(order_key, F.col(ids).alias("ids")).withColumn("n", F.size("ids")).where(F.col("n") > 0)
-        total = d.agg(F.sum("n")).scalar()
+        total = F.lit(d.agg(F.sum("n")).first()[0])
         d = prefix_sum(d, [order_key], "n", out="o")
     n_seqs = F.floor((total - 1) / F.lit(L)).cast("long")
     first_k = F.floor(F.greatest(F.col("o") - 1, F.lit(0)) / L).cast("long")
