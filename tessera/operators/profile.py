@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import fround
@@ -36,10 +36,25 @@ def long_values(df: DataFrame, columns=None) -> DataFrame:
             .where(F.col("value").isNotNull() & (F.col("value") != "")))
 
 
+LONG_VALUE_CHARS = 32
+
+
 def value_counts(df: DataFrame, columns=None) -> DataFrame:
     return long_values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
+def distinct_key(value: Column) -> Column:
+    """Distinct-counting key: short values as they are; longer ones as two
+    independent 64-bit hashes plus the length, so counting the distinct
+    texts of a large column shuffles 24 bytes per value instead of the text
+    (two values collide only if both hashes and the length agree)."""
+    long_v = F.length(value) > LONG_VALUE_CHARS
+    return F.struct(F.when(~long_v, value).alias("v"),
+                    F.when(long_v, F.xxhash64(value, F.lit(1))).alias("h1"),
+                    F.when(long_v, F.xxhash64(value, F.lit(2))).alias("h2"),
+                    F.when(long_v, F.length(value)).alias("n"))
+
+
 def profile_counts(df: DataFrame, approx_unique: bool = False) -> DataFrame:
     """column, count, null_count, null_pct (1 dp), unique, row_count, col_count.
     ``approx_unique`` swaps the exact distinct count for a HyperLogLog++
@@ -52,7 +67,9 @@ def profile_counts(df: DataFrame, approx_unique: bool = False) -> DataFrame:
     if approx_unique:
         uniq = long_values(df).groupBy("column").agg(F.approx_count_distinct("value").alias("unique"))
     else:
-        uniq = value_counts(df).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+        keyed = long_values(df).select("column", distinct_key(F.col("value")).alias("k"))
+        uniq = keyed.groupBy("column", "k").agg(F.count(F.lit(1)).alias("c")) \
+            .groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     out = nulls.join(uniq, "column", "left")
     return out.select(
         "column",
