@@ -167,13 +167,12 @@ def clipped_matches(pairs: DataFrame, orders=(1, 2, 3, 4)) -> DataFrame:
 def generation_pair_scores(df: DataFrame, ref: str, pred: str, pair_id: str, orders=(1, 2, 3, 4)) -> DataFrame:
     """Per pair: bleu_1..4 precisions, rouge_1 / rouge_2 F1, exact flag
     (only the n-gram orders asked for are exploded)."""
-    pairs = _tokenised_pairs(df, ref, pred, pair_id)
+    pairs = df.select(F.col(pair_id).alias("pair_id"), tokens(F.col(ref)).alias("rt"), tokens(F.col(pred)).alias("pt"),
+                      (textfn.strip(F.col(ref)) == textfn.strip(F.col(pred))).alias("exact"))
     cm = clipped_matches(pairs, orders)
     wide = cm.groupBy("pair_id").agg(*[F.sum(F.when(F.col("n") == n, F.col("matches"))).alias(f"m{n}") for n in (1, 2, 3, 4)])
-    exact = df.select(F.col(pair_id).alias("pair_id"),
-                      (textfn.strip(F.col(ref)) == textfn.strip(F.col(pred))).alias("exact"))
-    base = pairs.select("pair_id", F.size("rt").alias("lr"), F.size("pt").alias("lp")) \
-        .join(wide, "pair_id", "left").join(exact, "pair_id", "left").na.fill(0, ["m1", "m2", "m3", "m4"])
+    base = pairs.select("pair_id", F.size("rt").alias("lr"), F.size("pt").alias("lp"), "exact") \
+        .join(wide, "pair_id", "left").na.fill(0, ["m1", "m2", "m3", "m4"])
     cols = [F.col("pair_id"), F.col("exact")]
     for n in (1, 2, 3, 4):
         tot = F.col("lp") - n + 1
