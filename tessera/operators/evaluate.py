@@ -2,15 +2,17 @@
 
 Classification metrics come from one ``groupBy(true, pred)`` (partial
 aggregation; at most labels^2 rows leave it).  Regression metrics are one
-aggregate.  Generation metrics explode n-grams and aggregate counts per
-``(pair, n, gram)`` so clipped matches are computed by shuffling on the
-gram, never by holding a whole text pair's grams in one task's memory map.
+aggregate.  Generation metrics tokenise JVM-side and count clipped n-gram
+matches inside each pair (its two token lists are one row), vectorised per
+Arrow batch with numpy - no n-gram rows are materialised or shuffled;
+``gram_counts`` keeps the all-Spark explode / aggregate formulation.
 ROUGE-L needs an LCS: a vectorised pandas UDF using the bit-parallel LCS
 length (Python big integers, O(m * n / 64) word operations per pair).
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,13 +137,18 @@ def ngrams(toks: Column, n: int) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
-def ngram_hashes(toks: Column, n: int) -> Column:
-    """n-grams as 64-bit hashes: counts are only compared inside one pair,
-    where a collision among its few thousand n-grams is negligible, and the
-    shuffle key shrinks to 8 bytes."""
-    k = F.size(toks) - n + 1
+def token_hashes(toks: Column) -> Column:
+    return F.transform(toks, lambda t: F.xxhash64(t))
+
+
+def ngram_hashes(hashes: Column, n: int) -> Column:
+    """n-grams as 64-bit hashes combined from the (already materialised)
+    per-token hashes: counts are only compared inside one pair, where a
+    collision among its few thousand n-grams is negligible, and the shuffle
+    key is 8 bytes."""
+    k = F.size(hashes) - n + 1
     return F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1),
-                                     lambda i: F.xxhash64(F.slice(toks, i + 1, n)))) \
+                                     lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(n)]))) \
         .otherwise(F.array().cast("array<bigint>"))
 
 
@@ -149,31 +156,116 @@ def _tokenised_pairs(df: DataFrame, ref: str, pred: str, pair_id: str) -> DataFr
     return df.select(F.col(pair_id).alias("pair_id"), tokens(F.col(ref)).alias("rt"), tokens(F.col(pred)).alias("pt"))
 
 
-def clipped_matches(pairs: DataFrame, orders=(1, 2, 3, 4)) -> DataFrame:
-    """pair_id, n, matches = sum over grams of min(ref count, pred count)."""
+def gram_counts(pairs: DataFrame, orders=(1, 2, 3, 4)) -> DataFrame:
+    """pair_id, n, g (hash), rc, pc: per-pair n-gram counts on both sides."""
     def tag(n: int, r: int):
         # one-argument lambda: F.transform treats a second parameter as the index
         return lambda g: F.struct(F.lit(n).alias("n"), g.alias("g"), F.lit(r).alias("r"), F.lit(1 - r).alias("p"))
 
+    # token hashes are materialised as columns first, so the n-gram lambdas
+    # read them instead of re-hashing strings per n-gram
+    hashed = pairs.select("pair_id", token_hashes(F.col("rt")).alias("rh"), token_hashes(F.col("pt")).alias("ph"))
     items = []
     for n in orders:
-        items.append(F.transform(ngram_hashes(F.col("rt"), n), tag(n, 1)))
-        items.append(F.transform(ngram_hashes(F.col("pt"), n), tag(n, 0)))
-    grams = pairs.select("pair_id", F.inline(F.concat(*items)))
-    per_gram = grams.groupBy("pair_id", "n", "g").agg(F.sum("r").alias("rc"), F.sum("p").alias("pc"))
-    return per_gram.groupBy("pair_id", "n").agg(F.sum(F.least("rc", "pc")).alias("matches"))
+        items.append(F.transform(ngram_hashes(F.col("rh"), n), tag(n, 1)))
+        items.append(F.transform(ngram_hashes(F.col("ph"), n), tag(n, 0)))
+    grams = hashed.select("pair_id", F.inline(F.concat(*items)))
+    return grams.groupBy("pair_id", "n", "g").agg(F.sum("r").alias("rc"), F.sum("p").alias("pc"))
+
+
+def clipped_matches(pairs: DataFrame, orders=(1, 2, 3, 4)) -> DataFrame:
+    """pair_id, n, matches = sum over grams of min(ref count, pred count)."""
+    return gram_counts(pairs, orders).groupBy("pair_id", "n").agg(F.sum(F.least("rc", "pc")).alias("matches"))
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _ngram_keys(ids: np.ndarray, offsets: np.ndarray, n: int):
+    """(pair index, uint64 key) of every n-gram that stays inside its pair."""
+    lens = np.diff(offsets)
+    pidx = np.repeat(np.arange(len(lens)), lens)
+    if len(ids) == 0:
+        return pidx[:0], np.zeros(0, np.uint64)
+    starts = np.arange(len(ids))
+    valid = starts + n - 1 < offsets[1:][pidx]
+    key = np.zeros(len(ids), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            nxt = ids[np.minimum(starts + j, len(ids) - 1)].astype(np.uint64) + np.uint64(1)
+            key = key * _MIX + nxt
+    return pidx[valid], key[valid]
+
+
+def _counted(pidx: np.ndarray, key: np.ndarray):
+    order = np.lexsort((key, pidx))
+    p, k = pidx[order], key[order]
+    if len(p) == 0:
+        return p, k, np.zeros(0, np.int64)
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (k[1:] != k[:-1])
+    idx = np.flatnonzero(new)
+    counts = np.diff(np.append(idx, len(p)))
+    return p[idx], k[idx], counts
+
+
+def _clipped(ids_r, off_r, ids_p, off_p, n: int, n_pairs: int) -> np.ndarray:
+    pr_, kr, cr = _counted(*_ngram_keys(ids_r, off_r, n))
+    pp, kp, cp = _counted(*_ngram_keys(ids_p, off_p, n))
+    p = np.concatenate([pr_, pp])
+    k = np.concatenate([kr, kp])
+    c = np.concatenate([cr, cp])
+    order = np.lexsort((k, p))
+    p, k, c = p[order], k[order], c[order]
+    same = (p[1:] == p[:-1]) & (k[1:] == k[:-1])
+    out = np.zeros(n_pairs, np.int64)
+    if same.any():
+        i = np.flatnonzero(same)
+        np.add.at(out, p[i], np.minimum(c[i], c[i + 1]))
+    return out
+
+
+def pair_overlaps(pairs: DataFrame, orders=(1, 2, 3, 4)) -> DataFrame:
+    """pair_id, lr, lp, m1..m4: clipped n-gram matches counted inside each
+    pair (the pair's two token lists are already in one row), vectorised
+    over each Arrow batch with numpy: no n-gram rows and no shuffle.
+    Input: pair_id, rt, pt (token arrays, tokenised JVM-side)."""
+    schema = T.StructType([T.StructField("pair_id", T.LongType()), T.StructField("lr", T.LongType()),
+                           T.StructField("lp", T.LongType())] +
+                          [T.StructField(f"m{n}", T.LongType()) for n in (1, 2, 3, 4)])
+    want = tuple(orders)
+
+    def per_batch(batches):
+        import pyarrow as pa
+        for rb in batches:
+            rt, pt = rb.column(1), rb.column(2)
+            n_pairs = rb.num_rows
+            off_r = np.asarray(rt.offsets.to_numpy(), np.int64) - rt.offsets[0].as_py()
+            off_p = np.asarray(pt.offsets.to_numpy(), np.int64) - pt.offsets[0].as_py()
+            flat_r = rt.flatten().to_numpy(zero_copy_only=False)
+            flat_p = pt.flatten().to_numpy(zero_copy_only=False)
+            every = np.concatenate([flat_r, flat_p]).astype(object)
+            if len(every):
+                _, inv = np.unique(every, return_inverse=True)
+            else:
+                inv = np.zeros(0, np.int64)
+            ids_r, ids_p = inv[:len(flat_r)], inv[len(flat_r):]
+            cols = [rb.column(0).cast(pa.int64()), pa.array(np.diff(off_r), pa.int64()),
+                    pa.array(np.diff(off_p), pa.int64())]
+            for n in (1, 2, 3, 4):
+                m = _clipped(ids_r, off_r, ids_p, off_p, n, n_pairs) if n in want else np.zeros(n_pairs, np.int64)
+                cols.append(pa.array(m, pa.int64()))
+            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+    return pairs.select("pair_id", "rt", "pt").mapInArrow(per_batch, schema)
 
 
 def generation_pair_scores(df: DataFrame, ref: str, pred: str, pair_id: str, orders=(1, 2, 3, 4)) -> DataFrame:
     """Per pair: bleu_1..4 precisions, rouge_1 / rouge_2 F1, exact flag
     (only the n-gram orders asked for are exploded)."""
-    pairs = df.select(F.col(pair_id).alias("pair_id"), tokens(F.col(ref)).alias("rt"), tokens(F.col(pred)).alias("pt"),
-                      (textfn.strip(F.col(ref)) == textfn.strip(F.col(pred))).alias("exact"))
-    cm = clipped_matches(pairs, orders)
-    wide = cm.groupBy("pair_id").agg(*[F.sum(F.when(F.col("n") == n, F.col("matches"))).alias(f"m{n}") for n in (1, 2, 3, 4)])
-    base = pairs.select("pair_id", F.size("rt").alias("lr"), F.size("pt").alias("lp"), "exact") \
-        .join(wide, "pair_id", "left").na.fill(0, ["m1", "m2", "m3", "m4"])
-    cols = [F.col("pair_id"), F.col("exact")]
+    pairs = df.select(F.col(pair_id).cast("long").alias("pair_id"), tokens(F.col(ref)).alias("rt"),
+                      tokens(F.col(pred)).alias("pt"))
+    base = pair_overlaps(pairs, orders)
+    cols = [F.col("pair_id")]
     for n in (1, 2, 3, 4):
         tot = F.col("lp") - n + 1
         cols.append(F.when(tot > 0, F.col(f"m{n}") / tot).otherwise(F.lit(0.0)).alias(f"bleu_{n}"))

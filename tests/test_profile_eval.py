@@ -127,3 +127,18 @@ def test_approximate_options(spark):
     approx = tf.fill_nulls(df, "v", "median", approx_accuracy=10000).where("v = 50").count()
     assert exact == 2 and approx == 2
     assert pr.profile_counts(df, approx_unique=True).first().unique == 101
+
+
+def test_pair_overlaps_match_spark_native_counts(spark):
+    from pyspark.sql import functions as F
+    random.seed(11)
+    voc = ["a", "b", "c", "d", "é", "a b"]
+    rows = [(i, " ".join(random.choice(voc) for _ in range(random.randint(0, 25))),
+             " ".join(random.choice(voc) for _ in range(random.randint(0, 25)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "pair_id long, r string, p string")
+    pairs = df.select("pair_id", ev.tokens(F.col("r")).alias("rt"), ev.tokens(F.col("p")).alias("pt"))
+    fast = {(r.pair_id, n): r[f"m{n}"] for r in ev.pair_overlaps(pairs).collect() for n in (1, 2, 3, 4)}
+    slow = {(r.pair_id, r.n): r.m for r in ev.gram_counts(pairs).groupBy("pair_id", "n")
+            .agg(F.sum(F.least("rc", "pc")).alias("m")).collect()}
+    for (pid, n), m in fast.items():
+        assert m == slow.get((pid, n), 0)
