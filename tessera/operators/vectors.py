@@ -86,13 +86,18 @@ def _fsum(arr: Column) -> Column:
 def vector_stats(df: DataFrame, vec: str = "embedding", dead_eps: float = 1e-6) -> DataFrame:
     """Per vector: mean, std (sample), min, max, abs_max, dead_pct (|x| <
     1e-6), l2 norm - the activation / weight statistics of the reference,
-    computed on an array column (6 dp)."""
-    x = F.transform(F.col(vec), lambda v: v.cast("double"))
+    computed on an array column (6 dp).  The double array and the mean are
+    materialised as columns first, so lambdas read them instead of
+    re-evaluating them per element."""
+    keep = [c for c in df.columns if c != vec]
+    a = df.select(*keep, F.transform(F.col(vec), lambda v: v.cast("double")).alias("__x"))
+    x = F.col("__x")
     n = F.size(x)
-    mean = F.when(n > 0, _fsum(x) / n)
+    a = a.select(*keep, "__x", F.when(n > 0, _fsum(x) / n).alias("__mean"))
+    mean = F.col("__mean")
     var = F.when(n > 1, _fsum(F.transform(x, lambda v: (v - mean) * (v - mean))) / (n - 1))
-    return df.select(
-        *[c for c in df.columns if c != vec],
+    return a.select(
+        *keep,
         fround(mean, 6).alias("mean"), fround(F.sqrt(var), 6).alias("std"),
         fround(F.array_min(x), 6).alias("min"), fround(F.array_max(x), 6).alias("max"),
         fround(F.array_max(F.transform(x, lambda v: F.abs(v))), 6).alias("abs_max"),
