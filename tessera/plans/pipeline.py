@@ -209,6 +209,34 @@ class Pipeline:
         return {"count": df.count(), "columns": df.columns,
                 "preview": [r.asDict(recursive=True) for r in df.limit(preview).collect()]}
 
+    def write(self, spec: dict, primary: str | None = None) -> None:
+        """Send the result to a sink ``{connector_type, params}``: csv,
+        json / jsonl, parquet (files), jdbc vendors, kafka, mongodb,
+        elasticsearch.  Redis / BigQuery raise: no connector is configured
+        (the reference reports success without writing)."""
+        from tessera.sources import sinks
+        from tessera.sources.connectors import JDBC_VENDORS
+        df = self.build(primary)
+        kind = spec.get("connector_type") or spec.get("type")
+        p = dict(spec.get("params", {}))
+        if kind in ("csv", "csv_file"):
+            sinks.write_csv(df, p["path"], p.get("mode", "overwrite"), p.get("delimiter", ","))
+        elif kind in ("json", "json_file", "jsonl"):
+            sinks.write_jsonl(df, p["path"], p.get("mode", "overwrite"))
+        elif kind == "parquet":
+            sinks.write_parquet(df, p["path"], p.get("mode", "overwrite"), p.get("partition_by"))
+        elif kind in JDBC_VENDORS:
+            table = p.pop("table")
+            sinks.write_jdbc(df, kind, table, **p)
+        elif kind == "kafka":
+            sinks.write_kafka(df, p["bootstrap"], p["topic"], p.get("key"))
+        elif kind == "mongodb":
+            sinks.write_mongo(df, p["uri"], p["database"], p["collection"])
+        elif kind == "elasticsearch":
+            sinks.write_elasticsearch(df, p["nodes"], p["index"])
+        else:
+            sinks.unsupported_sink(kind)
+
     def stats(self, primary: str | None = None):
         from tessera.operators.profile import profile
         return profile(self.build(primary))

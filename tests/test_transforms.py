@@ -173,3 +173,14 @@ def test_pipeline_from_spec(spark, tmp_path):
     from tessera.sources.inventory import summarize_file
     s = summarize_file(spark, str(p))
     assert s["n_rows"] == 3 and s["columns"] == ["name", "age"] and len(s["preview"]) == 3
+
+
+def test_pipeline_write_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "a int, b string")
+    pipe = Pipeline("w", spark).add_source("s", df)
+    pipe.write({"connector_type": "parquet", "params": {"path": str(tmp_path / "p")}})
+    pipe.write({"connector_type": "csv", "params": {"path": str(tmp_path / "c")}})
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+    with pytest.raises(ValueError):
+        pipe.write({"connector_type": "redis", "params": {}})
