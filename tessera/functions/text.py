@@ -57,12 +57,20 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, r"(?U)\s+"), lambda w: w != F.lit(""))
 
 
-def html_to_text(html: Column, cap: int = HTML_TEXT_CAP) -> Column:
+def html_clean_text(html: Column) -> Column:
+    """Whole-page text: scripts and styles dropped, tags to spaces,
+    whitespace squeezed."""
     t = F.regexp_replace(html, SCRIPT_RE, "")
     t = F.regexp_replace(t, STYLE_RE, "")
     t = F.regexp_replace(t, TAG_RE, " ")
-    t = strip(F.regexp_replace(t, SPACE_RUN_RE, " "))
-    return F.substring(t, 1, cap)
+    return strip(F.regexp_replace(t, SPACE_RUN_RE, " "))
+
+
+def html_to_text(html: Column, cap: int | None = HTML_TEXT_CAP) -> Column:
+    """The reference's ``full_text`` field: the whole-page text, reported up
+    to ``cap`` characters (None = no cap)."""
+    t = html_clean_text(html)
+    return t if cap is None else F.substring(t, 1, cap)
 
 
 def html_title(html: Column) -> Column:
