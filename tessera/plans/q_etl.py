@@ -266,10 +266,10 @@ query("dedup_keys", """SELECT event_id, user_id, event_type, value FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1""")(
     lambda spark, d: tf.deduplicate(table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "ts"),
                                     "user_id,event_type", "ts,event_id").drop("ts"))
-query("sort_desc", """SELECT p_partkey, p_name, p_retailprice FROM part
-ORDER BY p_retailprice DESC, p_partkey LIMIT 25""")(
-    lambda spark, d: tf.limit(tf.sort(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"),
-                                      "p_retailprice", True, "p_partkey"), 25))
+query("sort_desc", """SELECT p_partkey, p_name, p_retailprice,
+ CAST(row_number() OVER (ORDER BY p_retailprice DESC NULLS LAST, p_partkey) AS BIGINT) AS rank FROM part""")(
+    lambda spark, d: tf.sort_ranked(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"),
+                                    "p_retailprice", True, "p_partkey"))
 query("sort_asc", """SELECT p_partkey, p_name, p_retailprice,
  CAST(row_number() OVER (ORDER BY p_retailprice NULLS FIRST, p_partkey) AS BIGINT) AS rank FROM part""")(
     lambda spark, d: tf.sort_ranked(table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"),
