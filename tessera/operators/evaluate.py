@@ -332,7 +332,8 @@ def rouge_l(df: DataFrame, ref: str, pred: str) -> DataFrame:
 def auto_eval(df: DataFrame, y_true: str, y_pred: str, max_labels: int = AUTO_CLASSIFICATION_MAX_LABELS) -> DataFrame:
     """task, metric, value: classification when y_true has <= max_labels
     distinct values, else regression (one small action decides)."""
-    n_distinct = df.agg(F.count_distinct(y_true)).first()[0]
+    # only "more than max_labels?" matters: stop at max_labels + 1 values
+    n_distinct = df.select(y_true).where(F.col(y_true).isNotNull()).distinct().limit(max_labels + 1).count()
     if n_distinct <= max_labels:
         acc = accuracy(df, y_true, y_pred).select("accuracy")
         mm = macro_metrics(df, y_true, y_pred)
