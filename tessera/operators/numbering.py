@@ -50,49 +50,54 @@ def adaptive_buckets(df: DataFrame, order: list[str], *, key: str | None = None,
     """Add bucket columns ``__l1 .. __lk`` whose lexicographic order never
     contradicts ``order``, and return (frame, bucket column names).
 
-    Level 1 cuts the first order column's range into ``n_buckets``.  A
-    bucket holding more than ``max_rows`` rows is cut again: by a finer key
-    range when it holds several key values, or by the range of the next order
-    column when every row shares one key value (a hot key).  Only the heavy
-    cells' bounds come back to the driver (fewer than n / max_rows rows), and
-    they are broadcast-joined, so no window ever receives more than about
-    ``max_rows`` rows unless rows are equal on the first two order columns.
-    With ``partition`` the cells are (partition keys, levels): a hot
-    partition key is split along its own ordering."""
+    Level 1 cuts the first order column's range into ``n_buckets``.  A cell
+    holding more than ``max_rows`` rows is cut again by the range of the
+    FIRST order column that still varies inside it - every earlier column is
+    constant there, so the cut respects the order (a hot key is split along
+    its tie-break column).  A cell whose rows tie on every order column is
+    cut by a hash of the whole row: any order among tied rows is valid.
+    Only the heavy cells' bounds reach the driver (fewer than n / max_rows
+    per level) and they are broadcast-joined.  With ``partition`` the cells
+    are (partition keys, levels)."""
     part = list(partition or [])
     key = key or order[0]
-    x = order_number(df, key) if key in df.columns else F.col(key).cast("double")
-    tie_col = next((c for c in order if c != key), None)
-    y = order_number(df, tie_col) if tie_col else F.lit(0.0)
-    b = df.withColumn("__x", x).withColumn("__y", y)
-    st = b.agg(F.count(F.lit(1)).alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")).first()
+    cols = [key] + [c for c in order if c != key]
+    b = df
+    for i, c in enumerate(cols):
+        b = b.withColumn(f"__o{i}", order_number(df, c) if c in df.columns else F.col(c).cast("double"))
+    hash_i = len(cols)
+    b = b.withColumn(f"__o{hash_i}", (F.xxhash64(*[F.col(c) for c in df.columns]) % (1 << 52)).cast("double"))
+    onames = [f"__o{i}" for i in range(hash_i + 1)]
+    st = b.agg(F.count(F.lit(1)).alias("n"), F.min("__o0").alias("lo"), F.max("__o0").alias("hi")).first()
     n, lo, hi = st["n"], st["lo"], st["hi"]
     if not n or lo is None:
         return b.withColumn("__l1", F.lit(0).cast("long")), ["__l1"]
     width = max((hi - lo) / n_buckets, 1e-300) if hi > lo else 1.0
-    b = b.withColumn("__l1", F.least(F.floor((F.col("__x") - F.lit(lo)) / F.lit(width)), F.lit(n_buckets - 1)).cast("long"))
+    b = b.withColumn("__l1", F.least(F.floor((F.col("__o0") - F.lit(lo)) / F.lit(width)), F.lit(n_buckets - 1)).cast("long"))
     cap = max_rows or max(1_000_000, 8 * n // n_buckets)
     levels = ["__l1"]
     if n <= cap:
         return b, levels
     spark = df.sparkSession
     for lvl in range(2, max_levels + 1):
-        heavy = (b.groupBy(*part, *levels).agg(F.count(F.lit(1)).alias("c"), F.min("__x").alias("x0"), F.max("__x").alias("x1"),
-                                        F.min("__y").alias("y0"), F.max("__y").alias("y1"))
+        aggs = [F.count(F.lit(1)).alias("c")]
+        for o in onames:
+            aggs += [F.min(o).alias(f"{o}_lo"), F.max(o).alias(f"{o}_hi")]
+        heavy = (b.groupBy(*part, *levels).agg(*aggs)
                  .where(F.col("c") > cap).collect())  # bounded: fewer than n / cap cells
         plan = []
         for h in heavy:
-            cell = [h[c] for c in part + levels]
-            if h["x0"] < h["x1"]:
-                plan.append((*cell, 0, float(h["x0"]), max((h["x1"] - h["x0"]) / sub, 1e-300)))
-            elif tie_col and h["y0"] is not None and h["y0"] < h["y1"]:
-                plan.append((*cell, 1, float(h["y0"]), max((h["y1"] - h["y0"]) / sub, 1e-300)))
+            for j, o in enumerate(onames):
+                a, z = h[f"{o}_lo"], h[f"{o}_hi"]
+                if a is not None and z is not None and a < z:
+                    plan.append((*[h[c] for c in part + levels], j, float(a), max((z - a) / sub, 1e-300)))
+                    break
         if not plan:
             break
         types = {f.name: f.dataType.simpleString() for f in b.schema.fields}
         schema = ", ".join(f"`{c}` {types[c]}" for c in part + levels) + ", __smode int, __slo double, __sw double"
         split = spark.createDataFrame(plan, schema)
-        src = F.when(F.col("__smode") == 0, F.col("__x")).otherwise(F.col("__y"))
+        src = F.coalesce(*[F.when(F.col("__smode") == j, F.col(o)) for j, o in enumerate(onames)])
         nxt = f"__l{lvl}"
         b = (b.join(F.broadcast(split), part + levels, "left")
              .withColumn(nxt, F.when(F.col("__smode").isNull(), F.lit(0)).otherwise(
@@ -102,6 +107,12 @@ def adaptive_buckets(df: DataFrame, order: list[str], *, key: str | None = None,
     return b, levels
 
 
+def _helpers(df: DataFrame) -> list[str]:
+    """The bucketing helper columns (``__o<i>`` order numbers, ``__l<i>`` levels)."""
+    import re
+    return [c for c in df.columns if re.fullmatch(r"__[ol]\d+", c)]
+
+
 def prefix_sum(df: DataFrame, order: list[str], weight: Column | str | None = None, *,
                key: str | None = None, n_buckets: int = DEFAULT_BUCKETS, max_rows: int | None = None,
                out: str = "offset") -> DataFrame:
@@ -124,7 +135,7 @@ def prefix_sum(df: DataFrame, order: list[str], weight: Column | str | None = No
         Window.partitionBy(*levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (b.join(F.broadcast(base), levels)
             .withColumn(out, (F.col("__base") + within).cast("long"))
-            .drop("__w", "__x", "__y", "__base", *levels))
+            .drop("__w", "__base", *_helpers(b)))
 
 
 def row_numbers(df: DataFrame, order: list[str], *, key: str | None = None,
@@ -178,7 +189,7 @@ def positions_within(df: DataFrame, keys: list[str], order: list[str], bucket_co
     if weight is not None:
         j = j.withColumn(sum_out or "running_sum",
                          F.col("__bs") + F.sum("__wt").over(iw.rowsBetween(Window.unboundedPreceding, 0)))
-    return j.drop("__bc", "__bs", "__wt", "__c", "__s", "__x", "__y", *levels)
+    return j.drop("__bc", "__bs", "__wt", "__c", "__s", *_helpers(b))
 
 
 def fill_forward_backward(df: DataFrame, keys: list[str], order: list[str], bucket_col: str, value: str,
@@ -192,7 +203,7 @@ def fill_forward_backward(df: DataFrame, keys: list[str], order: list[str], buck
     ``n_buckets`` rows per key)."""
     out = out or value
     b, levels = adaptive_buckets(df, order, key=bucket_col, n_buckets=n_buckets, partition=keys, max_rows=max_rows)
-    b = b.withColumn("__tb", F.struct(*levels)).drop("__x", "__y", *levels)
+    b = b.withColumn("__tb", F.struct(*levels)).drop(*_helpers(b))
     ordering = F.struct(*[F.col(c) for c in order])
     v = F.col(value)
     if not backward:

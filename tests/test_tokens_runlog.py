@@ -196,3 +196,14 @@ def test_pipeline_rejects_whole_table_steps_on_streams(spark, tmp_path):
     p.add_step("sort", {"column": "x"})
     with pytest.raises(PipelineError):
         p.build()
+
+
+def test_adaptive_buckets_split_on_third_column_and_full_ties(spark):
+    from tessera.operators.numbering import adaptive_buckets
+    rows = [(1, 1, i, f"r{i}") for i in range(300)] + [(2, 2, 0, f"s{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint, c bigint, d string")
+    got = {(r.a, r.c, r.d): r.offset for r in prefix_sum(df, ["a", "b", "c"], None, n_buckets=4, max_rows=40).collect()}
+    assert [got[(1, i, f"r{i}")] for i in range(300)] == list(range(300))
+    assert sorted(v for (a, c, d), v in got.items() if a == 2) == list(range(300, 600))
+    b, levels = adaptive_buckets(df, ["a", "b", "c"], n_buckets=4, max_rows=40)
+    assert b.groupBy(*levels).count().agg(F.max("count")).first()[0] <= 60
