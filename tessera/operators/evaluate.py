@@ -122,20 +122,12 @@ def regression_metrics(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- generation
 
-GRAM_SEP = "\u0001"
 
 
 def tokens(c: Column) -> Column:
     return textfn.words(F.lower(c))
 
 
-def ngrams(toks: Column, n: int) -> Column:
-    """n-grams as text (``GRAM_SEP``-joined)."""
-    k = F.size(toks) - n + 1
-    return F.when(k > 0, F.transform(F.sequence(F.lit(0), k - 1),
-                                     lambda i: F.array_join(F.slice(toks, i + 1, n), GRAM_SEP))) \
-        .otherwise(F.array().cast("array<string>"))
-
 
 def token_hashes(toks: Column) -> Column:
     return F.transform(toks, lambda t: F.xxhash64(t))
@@ -173,10 +165,6 @@ def gram_counts(pairs: DataFrame, orders=(1, 2, 3, 4)) -> DataFrame:
     return grams.groupBy("pair_id", "n", "g").agg(F.sum("r").alias("rc"), F.sum("p").alias("pc"))
 
 
-def clipped_matches(pairs: DataFrame, orders=(1, 2, 3, 4)) -> DataFrame:
-    """pair_id, n, matches = sum over grams of min(ref count, pred count)."""
-    return gram_counts(pairs, orders).groupBy("pair_id", "n").agg(F.sum(F.least("rc", "pc")).alias("matches"))
-
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

@@ -35,13 +35,6 @@ def order_number(df: DataFrame, col: str) -> Column:
     return c.cast("double")
 
 
-def bucket_of(df: DataFrame, key: str, n_buckets: int = DEFAULT_BUCKETS) -> Column:
-    """Monotone bucket id of a numeric key (range split into ``n_buckets``)."""
-    st = df.agg(F.min(key).cast("double").alias("lo"), F.max(key).cast("double").alias("hi")).first()
-    lo = st["lo"] if st["lo"] is not None else 0.0
-    w = max(((st["hi"] if st["hi"] is not None else lo) - lo + 1) / n_buckets, 1.0)
-    return F.floor((F.col(key) - F.lit(lo)) / F.lit(w)).cast("long")
-
 
 def adaptive_buckets(df: DataFrame, order: list[str], *, key: str | None = None,
                      n_buckets: int = DEFAULT_BUCKETS, max_rows: int | None = None,
@@ -144,25 +137,6 @@ def row_numbers(df: DataFrame, order: list[str], *, key: str | None = None,
     return prefix_sum(df, order, None, key=key, n_buckets=n_buckets, out=out)
 
 
-def time_bucket(df: DataFrame, col: str | Column, n_buckets: int = 1024) -> Column:
-    """Monotone bucket of a timestamp / numeric ordering column."""
-    x = (F.col(col) if isinstance(col, str) else col)
-    if _is_time(df, col):
-        from tessera.functions.columns import epoch_micros
-        x = epoch_micros(df, col).cast("double") / 1e6
-    else:
-        x = x.cast("double")
-    st = df.select(x.alias("__x")).agg(F.min("__x").alias("lo"), F.max("__x").alias("hi")).first()
-    lo = st["lo"] if st["lo"] is not None else 0.0
-    w = max(((st["hi"] or lo) - lo) / n_buckets, 1e-9)
-    return F.least(F.floor((x - F.lit(lo)) / F.lit(w)), F.lit(n_buckets - 1)).cast("long")
-
-
-def _is_time(df: DataFrame, col) -> bool:
-    if not isinstance(col, str):
-        return False
-    from pyspark.sql import types as T
-    return isinstance(df.schema[col].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
 
 
 def positions_within(df: DataFrame, keys: list[str], order: list[str], bucket_col: str, *,

@@ -119,12 +119,6 @@ def word_vocab(df: DataFrame, text: str = "text", vocab_size: int = 8000, freque
     return _specials(df.sparkSession).unionByName(v)
 
 
-def vocab_map(vocab: DataFrame, key: str = "token", value: str = "id") -> Column:
-    """The vocabulary as one map value (scalar subquery).  Spark looks map
-    keys up linearly, so this suits only tiny vocabularies; the encoders
-    below use a broadcast dictionary instead."""
-    return vocab.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value))))).scalar()
-
 
 def _broadcast_vocab(vocab: DataFrame, key: str, value: str):
     # at most MAP_VOCAB_LIMIT + 1 rows come back: the size check and the
