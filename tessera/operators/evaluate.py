@@ -123,12 +123,10 @@ def regression_metrics(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
 # --------------------------------------------------------------------------- generation
 
 
-
 def tokens(c: Column) -> Column:
     return textfn.words(F.lower(c))
 
 
-
 def token_hashes(toks: Column) -> Column:
     return F.transform(toks, lambda t: F.xxhash64(t))
 
@@ -165,7 +163,6 @@ def gram_counts(pairs: DataFrame, orders=(1, 2, 3, 4)) -> DataFrame:
     return grams.groupBy("pair_id", "n", "g").agg(F.sum("r").alias("rc"), F.sum("p").alias("pc"))
 
 
-
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -35,7 +35,6 @@ def order_number(df: DataFrame, col: str) -> Column:
     return c.cast("double")
 
 
-
 def adaptive_buckets(df: DataFrame, order: list[str], *, key: str | None = None,
                      n_buckets: int = DEFAULT_BUCKETS, max_rows: int | None = None,
                      sub: int = DEFAULT_SUB_BUCKETS, max_levels: int = MAX_LEVELS,
@@ -137,8 +136,6 @@ def row_numbers(df: DataFrame, order: list[str], *, key: str | None = None,
     return prefix_sum(df, order, None, key=key, n_buckets=n_buckets, out=out)
 
 
-
-
 def positions_within(df: DataFrame, keys: list[str], order: list[str], bucket_col: str, *,
                      n_buckets: int = 1024, weight: Column | None = None,
                      out: str = "pos", sum_out: str | None = None, max_rows: int | None = None) -> DataFrame:

@@ -119,7 +119,6 @@ def word_vocab(df: DataFrame, text: str = "text", vocab_size: int = 8000, freque
     return _specials(df.sparkSession).unionByName(v)
 
 
-
 def _broadcast_vocab(vocab: DataFrame, key: str, value: str):
     # at most MAP_VOCAB_LIMIT + 1 rows come back: the size check and the
     # fetch are one job

@@ -90,8 +90,6 @@ UNION ALL SELECT substr(md5(concat_ws('|', 'b', CAST(item_id AS VARCHAR))), 1, 8
  FROM benchmark""")(_append_samples)
 
 
-
-
 query("delete_samples", """SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")(
     lambda spark, d: ds.delete_samples(table(spark, d, "documents").select("doc_id", "source"),
                                        table(spark, d, "labels").where(F.col("toxic") == 1), "doc_id"))
