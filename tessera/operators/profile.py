@@ -98,14 +98,23 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def numeric_profile(df: DataFrame, columns=None) -> DataFrame:
     """column, min, max, mean (4 dp), median (upper, exact)."""
-    cols = columns or numeric_columns(df)
     spark = df.sparkSession
+    if columns is None:
+        # candidates: numeric columns, and string columns whose every non-blank
+        # value reads as a float - tested in the same aggregate as the stats
+        cols = [f.name for f in df.schema.fields if is_numeric_type(f.dataType) or is_string_type(f.dataType)]
+    else:
+        cols = list(columns)
     aggs = []
     for c in cols:
         x = F.col(c).try_cast("double") if is_string_type(df.schema[c].dataType) else F.col(c).cast("double")
         aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), F.avg(x).alias(f"{c}__avg"),
                  F.count(x).alias(f"{c}__n")]
+        if is_string_type(df.schema[c].dataType):
+            aggs.append(F.count_if(not_blank(df, c)).alias(f"{c}__nb"))
     row = df.agg(*aggs).first() if cols else None
+    if columns is None:
+        cols = [c for c in cols if not is_string_type(df.schema[c].dataType) or row[f"{c}__n"] == row[f"{c}__nb"]]
     present = [c for c in cols if row[f"{c}__n"]]
     # all medians in one narrowing run: one distributed job per round
     num = df.select(*[(F.col(c).try_cast("double") if is_string_type(df.schema[c].dataType)
