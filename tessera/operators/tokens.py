@@ -119,23 +119,6 @@ def word_vocab(df: DataFrame, text: str = "text", vocab_size: int = 8000, freque
     return _specials(df.sparkSession).unionByName(v)
 
 
-def _broadcast_vocab(vocab: DataFrame, key: str, value: str):
-    # at most MAP_VOCAB_LIMIT + 1 rows come back: the size check and the
-    # fetch are one job
-    rows = vocab.select(key, value).limit(MAP_VOCAB_LIMIT + 1).collect()
-    if len(rows) > MAP_VOCAB_LIMIT:
-        return None
-    return vocab.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows})
-
-
-def _decode_udf(bc, sep: str):
-    @F.pandas_udf("string")
-    def dec(ids: pd.Series) -> pd.Series:
-        d = bc.value
-        return ids.map(lambda xs: None if xs is None else sep.join(d.get(int(i), DECODE_UNKNOWN) for i in xs))
-    return dec
-
-
 def _encode_by_join(df: DataFrame, vocab: DataFrame, toks: Column, keys) -> DataFrame:
     ex = df.select(*keys, F.posexplode(toks).alias("pos", "token"))
     j = ex.join(vocab.select("token", "id"), "token", "left") \
@@ -214,10 +197,39 @@ def char_encoder(vocab: DataFrame, text: str = "text", out: str = "ids"):
 
 
 def decode_ids(df: DataFrame, vocab: DataFrame, ids: str = "ids", sep: str = " ") -> DataFrame:
-    bc = _broadcast_vocab(vocab, "id", "token")
-    if bc is None:
-        raise ValueError("vocabulary too large to decode with a broadcast dictionary")
-    return df.withColumn("text", _decode_udf(bc, sep)(F.col(ids)))
+    """Adds ``text``: ids joined back to tokens (unknown -> "?"), vectorised
+    per Arrow batch: a dense id -> token table, Arrow ``take`` on the flat
+    ids and ``binary_join`` per list."""
+    rows = vocab.select("id", "token").limit(MAP_VOCAB_LIMIT + 1).collect()
+    if len(rows) > MAP_VOCAB_LIMIT:
+        raise ValueError("vocabulary too large to decode with a broadcast table")
+    size = max((int(r[0]) for r in rows if r[0] is not None), default=-1) + 1
+    if size > 4 * MAP_VOCAB_LIMIT:
+        raise ValueError("vocabulary ids too sparse for a dense decode table")
+    dense = [DECODE_UNKNOWN] * size
+    for i, t in rows:
+        if i is not None and i >= 0:
+            dense[int(i)] = t
+    bc = df.sparkSession.sparkContext.broadcast(dense)
+    idx = df.columns.index(ids)
+    schema = T.StructType(df.schema.fields + [T.StructField("text", T.StringType())])
+    unknown = DECODE_UNKNOWN
+
+    def per_batch(batches):
+        import pyarrow.compute as pc
+        table = pa.array(bc.value + [unknown], pa.string())  # last slot: unknown ids
+        last = len(table) - 1
+        for rb in batches:
+            col = rb.column(idx)
+            flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            pos = np.where((flat >= 0) & (flat < last), flat, last)
+            toks = pc.take(table, pa.array(pos, pa.int64()))
+            offs = col.offsets.to_numpy().astype(np.int64)
+            offs = pa.array(offs - offs[0], pa.int32())  # flatten() is slice-relative
+            lists = pa.ListArray.from_arrays(offs, toks, mask=col.is_null())
+            text = pc.binary_join(lists, sep)
+            yield pa.RecordBatch.from_arrays(list(rb.columns) + [text], names=list(rb.schema.names) + ["text"])
+    return df.mapInArrow(per_batch, schema)
 
 
 def pad_truncate(ids: Column, max_length: int = 128, pad_id: int = PAD_ID) -> tuple[Column, Column]:
