@@ -77,9 +77,12 @@ def _stream_latest(spark, d):
     sink = os.path.join(root, "latest")
 
     def write(batch, epoch_id):
-        batch.write.mode("overwrite").parquet(sink)
-    st.run_foreach_batch(latest, write, os.path.join(root, "ckpt_latest"), mode="complete")
-    return spark.read.parquet(sink)
+        # update mode: only the devices this micro-batch changed are appended
+        batch.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(sink)
+    st.run_foreach_batch(latest, write, os.path.join(root, "ckpt_latest"), mode="update")
+    changes = spark.read.parquet(sink)
+    return changes.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("l")) \
+        .select("user_id", "l.*")
 
 
 query("stream_latest", """SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type,
@@ -111,9 +114,13 @@ def _stream_run_summary(spark, d):
     sink = os.path.join(root, "summary")
 
     def write(batch, epoch_id):
-        batch.write.mode("overwrite").parquet(sink)
-    st.run_foreach_batch(summary, write, os.path.join(root, "ckpt"), mode="complete")
-    return spark.read.parquet(sink)
+        # update mode: a batch emits the full current aggregate of the runs it
+        # touched; appended with its epoch, the latest epoch per run is final
+        batch.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(sink)
+    st.run_foreach_batch(summary, write, os.path.join(root, "ckpt"), mode="update")
+    rows = spark.read.parquet(sink)
+    cols = [c for c in rows.columns if c not in ("user_id", "epoch")]
+    return rows.groupBy("user_id").agg(F.max_by(F.struct(*cols), "epoch").alias("s")).select("user_id", "s.*")
 
 
 query("stream_run_summary", """SELECT user_id, CAST(count(*) AS BIGINT) AS steps, round(avg(value / 100.0), 6) AS mean_loss,
