@@ -45,11 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8",
-             infer_schema: bool = False, schema=None) -> DataFrame:
+             infer_schema: bool = False, schema=None, multi_line: bool = False) -> DataFrame:
     """Header row, every column a string unless a schema / inference is asked
-    for (the reference never infers)."""
+    for (the reference never infers).  ``multi_line`` allows quoted values
+    spanning lines; it makes each file one task, so it is off by default and
+    large files are split across tasks."""
     r = (spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
-         .option("multiLine", True).option("escape", '"').option("inferSchema", infer_schema))
+         .option("multiLine", multi_line).option("escape", '"').option("inferSchema", infer_schema))
     if schema is not None:
         r = r.schema(schema)
     return r.csv(path)
@@ -72,7 +74,8 @@ def load_source(spark: SparkSession, spec: dict) -> DataFrame:
     p = dict(spec.get("params", {}))
     limit = p.pop("limit", None)
     if kind in ("csv", "csv_file"):
-        df = read_csv(spark, p["path"], p.get("delimiter", ","), p.get("encoding", "utf-8"))
+        df = read_csv(spark, p["path"], p.get("delimiter", ","), p.get("encoding", "utf-8"),
+                      multi_line=bool(p.get("multi_line", False)))
     elif kind in ("json", "json_file", "jsonl"):
         df = read_json(spark, p["path"], bool(p.get("lines", kind == "jsonl")))
     elif kind == "parquet":
