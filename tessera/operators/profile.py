@@ -185,7 +185,18 @@ def label_distribution(df: DataFrame, label: str = "label", fallback: str = "dif
 
 
 def profile(df: DataFrame) -> dict:
-    """Driver-side summary for pipeline stats (all inputs are aggregates)."""
+    """Driver-side summary for pipeline stats (all inputs are aggregates).
+    The profile makes several passes, so the input is persisted (memory and
+    disk) for its duration instead of being recomputed by every pass."""
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _profile(df)
+    finally:
+        df.unpersist()
+
+
+def _profile(df: DataFrame) -> dict:
     counts = {r["column"]: r.asDict() for r in profile_counts(df).collect()}
     num = numeric_columns(df)
     out = {"columns": {}, "row_count": None, "col_count": len(df.columns)}
