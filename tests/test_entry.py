@@ -34,3 +34,13 @@ def test_queries_match_duckdb(spark):
         if not oc.compare(spark, con, name, fn, sql, SMOKE, verbose=False):
             bad.append(name)
     assert not bad, bad
+
+
+def test_package_is_shipped_to_workers(spark):
+    """Python workers import tessera from the shipped zip, whatever the cwd."""
+    from pyspark.sql import functions as F
+    from tessera.operators import evaluate as ev
+    sc = spark.sparkContext
+    assert getattr(sc, "_tessera_shipped", False)
+    df = spark.createDataFrame([("a b c", "a c")], "r string, p string")
+    assert ev.rouge_l(df, "r", "p").first().rouge_l > 0
