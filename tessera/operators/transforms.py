@@ -181,7 +181,8 @@ def fill_nulls(df: DataFrame, column: str, strategy: str = "value", value="",
             raise ValueError("fill_nulls ffill/bfill needs order_by")
         src = blank_to_null(df, column)
         first_dt = col_type(df, order[0])
-        if is_numeric_type(first_dt) or isinstance(first_dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        if (is_numeric_type(first_dt) or is_string_type(first_dt)
+                or isinstance(first_dt, (T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType))):
             # skew-safe: ordering buckets split a hot partition key
             from tessera.operators.numbering import fill_forward_backward
             tmp = df.withColumn(column, src)

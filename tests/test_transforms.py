@@ -184,3 +184,10 @@ def test_pipeline_write_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
     with pytest.raises(ValueError):
         pipe.write({"connector_type": "redis", "params": {}})
+
+
+def test_ffill_with_string_order_column(spark):
+    rows = [("u", f"k{i:03d}", float(i) if i % 5 == 0 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, o string, v double")
+    got = {r.o: r.v for r in tf.fill_nulls(df, "v", "ffill", order_by="o", partition_by="g").collect()}
+    assert all(got[f"k{i:03d}"] == float(i - i % 5) for i in range(60))
