@@ -296,11 +296,29 @@ def sample_key(df: DataFrame, key=None, seed=0) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
-def sample(df: DataFrame, n: int = 100, seed=0, key=None) -> DataFrame:
+LARGE_SAMPLE = 100_000
+
+
+def sample(df: DataFrame, n: int = 100, seed=0, key=None, large: int = LARGE_SAMPLE) -> DataFrame:
     """Exactly ``min(n, count)`` rows without replacement, reproducible:
-    the ``n`` smallest ``md5(key | seed)`` (distributed top-n)."""
-    return df.orderBy(sample_key(df, key, seed), *[F.col(c) for c in (parse_list(key) or df.columns)]) \
-        .limit(int(n))
+    the ``n`` smallest ``md5(key | seed)``.  Up to ``large`` rows this is a
+    distributed top-n; beyond, the n-th smallest 52-bit hash is found by the
+    exact distributed quantile narrowing, rows below it are kept and the
+    boundary ties are filled in key order - no task ever holds n rows."""
+    n = int(n)
+    keys = [F.col(c) for c in (parse_list(key) or df.columns)]
+    h = sample_key(df, key, seed)
+    if n <= large:
+        return df.orderBy(h, *keys).limit(n)
+    num = F.conv(F.substring(h, 1, 13), 16, 10).cast("long")  # 52 bits: exact in a double
+    tagged = df.withColumn("__sh", num)
+    cut = kth_smallest(tagged, "__sh", [n - 1])[0]
+    if cut is None:  # fewer than n rows: all of them
+        return df
+    below = tagged.where(F.col("__sh") < F.lit(int(cut)))
+    taken = below.count()
+    tie = tagged.where(F.col("__sh") == F.lit(int(cut))).orderBy(h, *keys).limit(n - taken)
+    return below.unionByName(tie).drop("__sh")
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed=0, key=None) -> DataFrame:

@@ -191,3 +191,11 @@ def test_ffill_with_string_order_column(spark):
     df = spark.createDataFrame(rows, "g string, o string, v double")
     got = {r.o: r.v for r in tf.fill_nulls(df, "v", "ffill", order_by="o", partition_by="g").collect()}
     assert all(got[f"k{i:03d}"] == float(i - i % 5) for i in range(60))
+
+
+def test_large_sample_path_matches_top_n(spark):
+    df = spark.range(5000).withColumnRenamed("id", "k")
+    small = sorted(r.k for r in tf.sample(df, 700, 9, "k").collect())
+    large = sorted(r.k for r in tf.sample(df, 700, 9, "k", large=10).collect())
+    assert len(large) == 700 and large == small
+    assert tf.sample(df, 9000, 9, "k", large=10).count() == 5000
