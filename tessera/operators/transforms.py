@@ -329,9 +329,18 @@ def sample_fraction(df: DataFrame, fraction: float, seed=0, key=None) -> DataFra
     return df.where(F.substring(sample_key(df, key, seed), 1, 4) < F.lit(hex_threshold(fraction)))
 
 
-def page(df: DataFrame, offset: int = 0, limit_n: int = 100, order_by=None) -> DataFrame:
+def page(df: DataFrame, offset: int = 0, limit_n: int = 100, order_by=None, large: int = LARGE_SAMPLE) -> DataFrame:
+    """Rows ``offset .. offset + limit_n - 1`` in ``order_by`` order.  Small
+    pages are a distributed top-(offset + n); deep pages take each row's
+    global position from the bucketed prefix count and keep a range."""
     order = parse_list(order_by) or df.columns
-    return df.orderBy(*order).offset(int(offset)).limit(int(limit_n))
+    offset, limit_n = int(offset), int(limit_n)
+    if offset + limit_n <= large:
+        return df.orderBy(*order).offset(offset).limit(limit_n)
+    from tessera.operators.numbering import prefix_sum
+    pos = prefix_sum(df, order, None, out="__pos")
+    return pos.where((F.col("__pos") >= offset) & (F.col("__pos") < offset + limit_n)) \
+        .orderBy("__pos").drop("__pos")
 
 
 # --------------------------------------------------------------------------- text

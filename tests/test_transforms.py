@@ -199,3 +199,10 @@ def test_large_sample_path_matches_top_n(spark):
     large = sorted(r.k for r in tf.sample(df, 700, 9, "k", large=10).collect())
     assert len(large) == 700 and large == small
     assert tf.sample(df, 9000, 9, "k", large=10).count() == 5000
+
+
+def test_deep_page_matches_top_n_path(spark):
+    df = spark.range(3000).selectExpr("id", "cast(id % 97 as bigint) as g")
+    a = [tuple(r) for r in tf.page(df, 1200, 50, "g,id").collect()]
+    b = [tuple(r) for r in tf.page(df, 1200, 50, "g,id", large=10).collect()]
+    assert a == b and len(a) == 50
