@@ -46,13 +46,13 @@ TRAIN_PAGES = 4_000
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "children", "text", "linked", "hidden", "runs")
+    __slots__ = ("tag", "words", "parent", "text", "linked", "hidden", "furniture", "under")
 
     def __init__(self, tag: str, words: tuple[str, ...], parent: Node | None, hidden: bool):
         self.tag, self.words, self.parent, self.hidden = tag, words, parent, hidden
-        self.children: list[Node] = []
         self.text = self.linked = 0  # own characters, those inside links
-        self.runs: list[int] = []  # its blocks, as places in the page's list
+        self.furniture = any(FURNITURE.search(w) for w in words)
+        self.under = parent is not None and (parent.furniture or parent.under)
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
@@ -71,7 +71,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             pending.clear()
             if text:
                 node = stack[-1][1]
-                node.runs.append(len(blocks))
                 blocks.append((node, text))
 
     def add(raw: str):
@@ -163,7 +162,6 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
                 words += _NAMES.findall(value)
         # inline elements that are still open are closed with the block before; misnested ones end here
         node = Node(tag, tuple(words), stack[-1][1], hidden)
-        node.parent.children.append(node)
         nodes.append(node)
         stack.append((tag, node))
     flush()
@@ -181,8 +179,10 @@ def node_features(node: Node) -> list[str]:
     if node.text:
         out.append(f"links={int(4 * min(1.0, node.linked / node.text))}")
     out += ["word=" + w for w in set(node.words)]
-    if any(FURNITURE.search(w) for w in node.words):
+    if node.furniture:
         out.append("furniture")
+    if node.under:
+        out.append("under furniture")
     return out
 
 
@@ -199,73 +199,87 @@ def landmark_labels(nodes: list[Node]) -> dict[int, int] | None:
     labels: dict[int, int] = {}
     for n in nodes:
         inside = n is roots[0] or (n.parent is not None and labels.get(id(n.parent)) == 1)
-        out = n.hidden or n.tag in ("aside", "footer", "header") or any(FURNITURE.search(w) for w in n.words)
+        out = n.hidden or n.tag in ("aside", "footer", "header") or n.furniture
         labels[id(n)] = int(inside and (n is roots[0] or not out))
     return labels
 
 
 def count_page(page: str | None, counts: Counter) -> None:
+    """Adds the page's ``(parent's label | feature, label)`` counts."""
     nodes, _ = parse(page or "")
     labels = landmark_labels(nodes)
     if labels is None:
         return
     for n in nodes:
-        y = labels[id(n)]
-        if n.parent is not None:
-            counts[f"edge={labels[id(n.parent)]}", y] += 1
-        counts["all", y] += 1
-        for f in node_features(n):
-            counts[f, y] += 1
+        y, above = labels[id(n)], labels[id(n.parent)] if n.parent is not None else 0
+        for f in ["all", *node_features(n)]:
+            counts[f"{above}|{f}", y] += 1
 
 
 #: Pseudo-counts (content, other) of what a corpus may not show.
-PRIOR = {"furniture": (0.05, 20.0), "tag=aside": (0.05, 20.0), "tag=footer": (0.05, 20.0), "tag=header": (0.5, 5.0),
-         "tag=p": (3.0, 1.0), "tag=article": (20.0, 0.05), "tag=main": (20.0, 0.05),
-         "edge=1": (20.0, 1.0), "edge=0": (1.0, 20.0)}
+PRIOR = {"furniture": (0.05, 200.0), "under furniture": (0.05, 200.0), "tag=aside": (0.05, 20.0),
+         "tag=footer": (0.05, 20.0), "tag=header": (0.5, 5.0), "tag=p": (3.0, 1.0), "tag=article": (20.0, 0.05), "tag=main": (20.0, 0.05)}
+#: The same for a child of content, and of other nodes.
+EDGE_PRIOR = {1: (20.0, 1.0), 0: (1.0, 20.0)}
 
 
 def potentials(counts: dict[tuple[str, int], int]) -> dict[str, float]:
-    """Log-odds of content: of the page's root, of every feature (against the
-    base rate) and of a child given its parent's label (``edge=``)."""
-    base = [counts.get(("all", y), 0) + 1.0 for y in (0, 1)]
+    """Pairwise potentials as log-odds of content: of any child given its
+    parent's label (``1|all``, ``0|all``), and what each feature adds to it.
+
+    Inside content a feature counts as far as it was seen there: lists of a
+    menu say nothing about lists of an article.  Outside content, a feature
+    that was not seen there counts as over all nodes."""
+    def logit(yes, no):
+        return math.log(yes / no)
+
+    def n(name, y):
+        return counts.get((name, y), 0)
+    features = {name.partition("|")[2] for name, _ in counts} | set(PRIOR)
+    features.discard("all")
+    pooled = logit(n("0|all", 1) + n("1|all", 1) + 1, n("0|all", 0) + n("1|all", 0) + 1)
     out = {}
-    for name in {n for n, _ in counts} | set(PRIOR):
-        if name == "all":
-            continue
-        yes, no = PRIOR.get(name, (0.5, 0.5))
-        yes, no = yes + counts.get((name, 1), 0), no + counts.get((name, 0), 0)
-        out[name] = math.log(yes / no) - (0.0 if name.startswith("edge=") else math.log(base[1] / base[0]))
+    for above, (yes, no) in EDGE_PRIOR.items():
+        base = out[f"{above}|all"] = logit(n(f"{above}|all", 1) + yes, n(f"{above}|all", 0) + no)
+        for f in features:
+            want = base
+            if not above:
+                want += logit(n("0|" + f, 1) + n("1|" + f, 1) + 0.5, n("0|" + f, 0) + n("1|" + f, 0) + 0.5) - pooled
+            share = 1 / (1 + math.exp(-max(-12.0, min(12.0, want))))
+            more = PRIOR.get(f, (0.0, 0.0))
+            out[f"{above}|{f}"] = logit(n(f"{above}|{f}", 1) + share + more[0],
+                                        n(f"{above}|{f}", 0) + 1 - share + more[1]) - base
     return out
 
 
 def marginals(nodes: list[Node], model: dict[str, float]) -> list[float]:
-    """P(content) of every node: one pass of messages up, one down, all in
-    log-odds.  ``nodes`` are in document order, so parents come first."""
-    def through(message: float) -> float:
-        """A child's message as log-odds for its parent, over both child labels."""
-        up = []
-        for parent in (1, 0):
-            q = 1 / (1 + math.exp(-model[f"edge={parent}"]))
-            up.append(math.log((1 - q) + q * math.exp(min(50.0, message))))
-        return up[0] - up[1]
-
-    def down(belief: float) -> float:
-        """The log-odds that a parent's belief gives its child."""
-        p = 1 / (1 + math.exp(-max(-50.0, min(50.0, belief))))
-        q = [1 / (1 + math.exp(-model[f"edge={y}"])) for y in (0, 1)]
-        yes = p * q[1] + (1 - p) * q[0]
-        return math.log(yes / (1 - yes))
+    """P(content) of every node: messages up from the leaves, then down from
+    the root, as log-odds.  ``nodes`` are in document order, so parents come
+    first.  A node's factor over (own label, parent's label) has its label's
+    log-odds ``edge[parent's label]`` plus its features', relative to the
+    edge's own normaliser; the page's root has a parent that is no content."""
+    def softplus(x: float) -> float:
+        return max(x, 0.0) + math.log1p(math.exp(-abs(x)))
 
     place = {id(n): i for i, n in enumerate(nodes)}
-    inward = [max(-12.0, min(12.0, sum(model.get(f, 0.0) for f in node_features(n)))) for n in nodes]
-    sent = [0.0] * len(nodes)
+    edge = [model["0|all"], model["1|all"]]
+    factor = []
+    for n in nodes:
+        f = node_features(n)
+        factor.append([edge[y] + max(-12.0, min(12.0, sum(model.get(f"{y}|{x}", 0.0) for x in f))) for y in (0, 1)])
+    below, sent = [0.0] * len(nodes), [0.0] * len(nodes)  # children's messages, the message to the parent
     for i in range(len(nodes) - 1, 0, -1):
-        sent[i] = through(inward[i])
-        inward[place[id(nodes[i].parent)]] += sent[i]
-    belief = list(inward)
-    belief[0] += model["edge=0"]
+        up = [softplus(factor[i][y] + below[i]) - softplus(edge[y]) for y in (0, 1)]
+        sent[i] = up[1] - up[0]
+        below[place[id(nodes[i].parent)]] += sent[i]
+    belief = [factor[0][0] + below[0]]
     for i in range(1, len(nodes)):
-        belief[i] = inward[i] + down(belief[place[id(nodes[i].parent)]] - sent[i])
+        parent = belief[place[id(nodes[i].parent)]] - sent[i]
+        # sum over the parent's label: log-odds of this label
+        yes = [factor[i][y] - softplus(edge[y]) for y in (0, 1)]
+        no = [-softplus(edge[y]) for y in (0, 1)]
+        one, two = parent + yes[1] - yes[0], parent + no[1] - no[0]
+        belief.append(below[i] + yes[0] + softplus(one) - no[0] - softplus(two))
     return [1 / (1 + math.exp(-max(-50.0, min(50.0, b)))) for b in belief]
 
 

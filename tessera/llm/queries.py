@@ -24,7 +24,48 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-@query("op1_mixing")
+OP1_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null')), 1, 16) AS draw
+  FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::DOUBLE AS cap,
+         ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT *, (sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE
+             - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST
+                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM per),
+targets AS (SELECT *, least(cap, max(level) OVER () * weight) AS target FROM levels),
+upto AS (
+  SELECT *, floor(sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) + 1e-6)::BIGINT AS upto
+  FROM targets),
+quotas AS (SELECT *, upto - coalesce(lag(upto) OVER (ORDER BY source NULLS LAST), 0) AS quota FROM upto),
+queue AS (
+  SELECT s.*, q.source_size, q.target, q.quota,
+         row_number() OVER (PARTITION BY s.source ORDER BY draw, size) AS place,
+         coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY draw, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source),
+packets AS (
+  SELECT *, pass * source_size + start AS begun, least(size, quota - (pass * source_size + start)) AS words
+  FROM queue, (VALUES (0), (1)) p(pass) WHERE least(size, quota - (pass * source_size + start)) > 0),
+placed AS (
+  SELECT *, coalesce(sum(words) OVER (ORDER BY (begun + words)::DOUBLE / quota::DOUBLE, source NULLS FIRST, pass, draw, place
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position
+  FROM packets)
+SELECT q.doc_id, q.size, q.source, q.source_size, q.target, coalesce(sum(p.words), 0)::BIGINT AS taken,
+       count(p.pass)::BIGINT AS passes, min(p.position)::BIGINT AS first_position
+FROM queue q LEFT JOIN placed p ON q.source IS NOT DISTINCT FROM p.source AND q.place = p.place
+GROUP BY q.source, q.place, q.doc_id, q.size, q.source_size, q.target
+"""
+
+
+@query("op1_mixing", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -38,7 +79,22 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
-@query("op3_chat")
+OP3_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g'))
+           + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')))::BIGINT AS formatted_chars
+FROM rows GROUP BY conv_id
+"""
+
+
+@query("op3_chat", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
@@ -102,7 +158,38 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "pages"), model)
 
 
-@query("op10_decontamination")
+OP10_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM documents),
+item AS (
+  SELECT coalesce(item_id::VARCHAR, 'null') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS text
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+found AS (
+  SELECT d.row, d.i, d.n, v.item
+  FROM (SELECT row, n, i, array_to_string(w[i:i + n - 1], ' ') AS text
+        FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc, lengths)) d
+  JOIN windows v ON v.n = d.n AND v.text = d.text),
+hit AS (
+  SELECT row, count(DISTINCT word)::BIGINT AS n_hit
+  FROM (SELECT row, unnest(range(i, i + n)) AS word FROM (SELECT DISTINCT row, i, n FROM found)) GROUP BY row),
+items AS (SELECT row, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS list
+          FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (row) LEFT JOIN items USING (row)
+"""
+
+
+@query("op10_decontamination", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),

@@ -207,8 +207,8 @@ def _count(batches: Iterator[pa.RecordBatch], among: frozenset | None) -> Iterat
 
 
 def _chosen(counts: dict[str, list[int]], n: list[int]) -> dict[str, tuple[str, float, bool]]:
-    """Terms that mark toxic documents far more often than others: a lower
-    bound of the precision decides, the shortest telling stem wins."""
+    """Terms that mark toxic documents far more often than others, the most
+    telling first; of a word and its beginnings that tell alike, the longest."""
     scored = []
     for term, (clean, toxic) in counts.items():
         p = (toxic + 0.5) / (n[1] + 1)
@@ -217,7 +217,7 @@ def _chosen(counts: dict[str, list[int]], n: list[int]) -> dict[str, tuple[str,
         if z > 4 and math.log(p / q) > 2:
             scored.append((z, math.log(p / q), term))
     kept: dict[str, tuple[str, float, bool]] = {}
-    for z, lift, term in sorted(scored, key=lambda x: (-round(x[0], 1), len(x[2]), x[2])):
+    for z, lift, term in sorted(scored, key=lambda x: (-round(x[0], 1), -len(x[2]), x[2])):
         word, stem = term.rstrip("$"), not term.endswith("$")
         if any((word.startswith(k) and s) or (stem and k.startswith(word)) for k, (_, _, s) in kept.items()):
             continue

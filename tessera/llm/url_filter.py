@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 
-#: Children of a node that stay apart; more are one variable segment.
+#: A node with more children is variable: only those with at least this
+#: part of its URLs stay apart.
 MAX_CHILDREN = 32
 #: Levels of the tree; what lies deeper is the template's tail ``**``.
 MAX_LEVELS = 8
@@ -62,21 +63,24 @@ def _variable(segment: Column) -> Column:
 def path_templates(paths: DataFrame) -> DataFrame:
     """``template`` and its ``parent`` for the distinct ``(host, path, n, ...)``.
 
-    Level by level: a segment that holds a digit or is very long, or whose
-    node has more than ``MAX_CHILDREN`` children, is ``*``."""
+    Level by level: a segment is ``*`` if it holds a digit or is very long,
+    or if its node has more than ``MAX_CHILDREN`` children and it is none of
+    the frequent ones (that share of the node's URLs)."""
     work = paths.withColumn("segments", F.split("path", "/")).withColumn("template", F.lit("")) \
         .withColumn("parent", F.lit(""))
     levels = work.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(1, min(levels, MAX_LEVELS + 1)):
         segment = F.try_element_at("segments", F.lit(level + 1))  # the first is what stands before the first slash
         step = work.withColumn("segment", F.when(_variable(segment), F.lit("*")).otherwise(segment))
-        wide = (step.filter("segment is not null and segment <> '*'").select("host", "template", "segment").distinct()
-                .groupBy("host", "template").agg(F.count("*").alias("children"))
-                .filter(F.col("children") > MAX_CHILDREN).select(F.col("host").alias("h"), F.col("template").alias("t"),
-                                                                 F.lit(True).alias("wide")))
-        step = (step.join(wide, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t")), "left")
-                .withColumn("segment", F.when(F.col("segment").isNotNull() & F.col("wide"), F.lit("*"))
-                            .otherwise(F.col("segment"))).drop("h", "t", "wide"))
+        kids = (step.filter("segment is not null and segment <> '*'").groupBy("host", "template", "segment")
+                .agg(F.sum("n").alias("n")))
+        wide = (kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("total"))
+                .filter(F.col("children") > MAX_CHILDREN).drop("children"))
+        rare = (kids.join(wide, ["host", "template"]).filter(F.col("n") * MAX_CHILDREN < F.col("total"))
+                .select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s")))
+        step = (step.join(rare, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))
+                          & (F.col("segment") == F.col("s")), "left")
+                .withColumn("segment", F.when(F.col("s").isNotNull(), F.lit("*")).otherwise(F.col("segment"))).drop("h", "t", "s"))
         has = F.col("segment").isNotNull()
         work = materialise(step.withColumn("parent", F.when(has, F.col("template")).otherwise(F.col("parent")))
                            .withColumn("template", F.when(has, F.concat("template", F.lit("/"), "segment"))
