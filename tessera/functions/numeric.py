@@ -16,5 +16,14 @@ from pyspark.sql import functions as F
 def fround(c, digits: int = 0) -> Column:
     x = (F.col(c) if isinstance(c, str) else c).cast("double")
     m = float(10 ** digits)
-    return (F.signum(x) * F.floor(F.abs(x) * F.lit(m) + F.lit(0.5)) / F.lit(m)).alias(
+    rounded = F.signum(x) * F.floor(F.abs(x) * F.lit(m) + F.lit(0.5)) / F.lit(m)
+    return F.when(F.abs(x) * F.lit(m) < F.lit(float(1 << 53)), rounded).otherwise(x).alias(
         c if isinstance(c, str) else "fround")
+
+
+def fdigits(x: Column, digits: int = 14) -> Column:
+    """The double nearest to ``x`` written with ``digits`` significant digits:
+    takes the float noise out of a short sum of decimal values, at any scale."""
+    p = F.lit(digits - 1) - F.floor(F.log10(F.abs(x)))
+    m = F.pow(F.lit(10.0), p)
+    return F.when((p >= 0) & (p <= 22), F.rint(x * m) / m).otherwise(x)

@@ -254,26 +254,23 @@ def coco_to_yolo(images: DataFrame, annotations: DataFrame) -> DataFrame:
                     F.size("ls").cast("bigint").alias("n_lines"), F.array_join(F.col("ls.l"), "\n").alias("content"))
 
 
-def yolo_to_coco(labels: DataFrame, sizes: DataFrame, materialize: bool = False) -> DataFrame:
+def yolo_to_coco(labels: DataFrame, sizes: DataFrame) -> DataFrame:
     """Parse YOLO label texts (image_id, content) with image sizes
     (image_id, width, height) into COCO annotations: id (global, in image
-    then line order), image_id, category_id, bbox x, y, w, h (1 dp), area."""
-    lines = labels.select("image_id", F.posexplode(F.split(F.regexp_replace("content", r"(?U)\A\s+|\s+\z", ""), "\n"))
-                          .alias("line_no", "line"))
-    parts = lines.select("image_id", "line_no", F.split(F.regexp_replace("line", r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+").alias("p")) \
-        .where(F.size("p") >= 5)
-    j = parts.join(sizes, "image_id")
+    then line order), image_id, category_id, bbox x, y, w, h (1 dp), area.
+    Only images are numbered (by their counts of boxes); a box adds its place."""
+    lines = F.split(F.regexp_replace("content", r"(?U)\A\s+|\s+\z", ""), "\n")
+    boxes = F.filter(F.transform(lines, lambda x: F.split(F.regexp_replace(x, r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+")),
+                     lambda p: F.size(p) >= 5)
+    images = labels.join(sizes, "image_id").select("image_id", "width", "height", boxes.alias("boxes"))
+    images = prefix_sum(images.where(F.size("boxes") > 0), ["image_id"], F.size("boxes"), out="__first")
+    j = images.select("image_id", "width", "height", "__first", F.posexplode("boxes").alias("__i", "p"))
     xc, yc, bw, bh = [F.get(F.col("p"), i).cast("double") for i in (1, 2, 3, 4)]
     W, H = F.col("width").cast("double"), F.col("height").cast("double")
-    box = j.select("image_id", "line_no", F.get(F.col("p"), 0).cast("int").alias("category_id"),
+    box = j.select((F.col("__first") + F.col("__i")).cast("bigint").alias("id"), "image_id",
+                   F.get(F.col("p"), 0).cast("int").alias("category_id"),
                    ((xc - bw / 2) * W).alias("x"), ((yc - bh / 2) * H).alias("y"), (bw * W).alias("w"), (bh * H).alias("h"))
-    if materialize:
-        # the numbering reads its input more than once: a computed input is
-        # written once to the shared checkpoint folder (reliable, cuts lineage)
-        box = box.checkpoint()
-    box = prefix_sum(box, ["image_id", "line_no"],
-                     None, key="image_id", out="id")
-    return box.select(F.col("id").cast("bigint").alias("id"), "image_id", "category_id", fround("x", 1).alias("x"),
+    return box.select("id", "image_id", "category_id", fround("x", 1).alias("x"),
                       fround("y", 1).alias("y"), fround("w", 1).alias("w"), fround("h", 1).alias("h"),
                       fround(F.col("w") * F.col("h"), 1).alias("area"))
 
@@ -283,17 +280,13 @@ def export_coco(samples: DataFrame, order_key: str, labels: list[str] | None = N
     ARRAY<STRUCT<category_id, bbox ARRAY<DOUBLE>, area>>): image ids by
     position in ``order_key`` order, annotation ids global, area default 0,
     iscrowd 0.  Returns (images, annotations, categories)."""
-    s = prefix_sum(samples, [order_key], None, out="__img_id")
-    # annotation id base per image: prefix sum of annotation counts, computed
-    # from the samples directly (not from ``s``) so the two numberings are
-    # independent plans
-    counts = samples.select(order_key, F.coalesce(F.size("annotations"), F.lit(0)).alias("__n")) \
-        .where(F.col("__n") > 0)
-    base = prefix_sum(counts, [order_key], "__n", out="__a0").select(order_key, "__a0")
+    # one numbering gives both: the image's place and the annotations before it
+    n = F.greatest(F.coalesce(F.size("annotations"), F.lit(0)), F.lit(0))
+    s = prefix_sum(samples, [order_key], n, out="__a0", number="__img_id")
     images = s.select(F.col("__img_id").alias("id"),
                       F.coalesce(F.col("image_path"), F.concat(F.lit("img_"), F.col("__img_id").cast("string"))).alias("file_name"),
                       F.coalesce(F.col("width"), F.lit(0)).alias("width"), F.coalesce(F.col("height"), F.lit(0)).alias("height"))
-    ex = s.join(base, order_key).select("__img_id", "__a0", F.posexplode("annotations").alias("__i", "ann"))
+    ex = s.select("__img_id", "__a0", F.posexplode("annotations").alias("__i", "ann"))
     anns = ex.select((F.col("__a0") + F.col("__i")).alias("id"), F.col("__img_id").alias("image_id"),
                      F.coalesce(F.col("ann.category_id"), F.lit(0)).alias("category_id"),
                      F.coalesce(F.col("ann.bbox"), F.array(*[F.lit(0.0)] * 4)).alias("bbox"),

@@ -1,195 +1,187 @@
-"""Global positions and prefix sums without a single-partition window.
-
-``Window.orderBy(...)`` with no partition moves every row to one task.
-Instead rows are cut into key-range buckets (``floor((key - min) / width)``;
-deterministic, so a retried task sees the same bucket), bucket totals are
-aggregated (one row per bucket, a bounded table), their running sum is
-taken over that small table, and each row adds its in-bucket running sum.
+"""Global positions, prefix sums and look-backs without a single-task window.
+
+``Window.orderBy(...)`` with no partition moves every row to one task.  Here
+Spark's own range partitioning cuts the rows, on the real values of all order
+columns (nulls and NaN where the sort puts them) and a tie-break, into cells
+of at most about ``CELL_ROWS`` rows; each cell is sorted, and the table of
+numbered rows is checkpointed once.  What lies before a cell comes from a
+table with one row per cell, or per (cell, key); keys are compared null-safe.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions.numeric import fdigits
+from tessera.session import checkpoint_dir
+
+CELL_ROWS = 1_000_000
+
 
-DEFAULT_BUCKETS = 4096
-DEFAULT_SUB_BUCKETS = 256
-MAX_LEVELS = 3
-
-
-def order_number(df: DataFrame, col: str) -> Column:
-    """A double that never decreases along the column's sort order, for
-    range bucketing: numbers as is, times as epoch seconds, strings by their
-    first 7 UTF-8 bytes (zero-padded, so byte order is kept)."""
-    from pyspark.sql import types as T
-    dt = df.schema[col].dataType
-    c = F.col(col)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        from tessera.functions.columns import epoch_micros
-        return epoch_micros(df, col).cast("double") / 1e6
-    if isinstance(dt, (T.StringType, T.BinaryType)):
-        raw = F.rpad(c.cast("binary"), 7, F.lit(b"\x00"))
-        return F.conv(F.hex(F.substring(raw, 1, 7)), 16, 10).cast("long").cast("double")
-    if isinstance(dt, T.BooleanType):
-        return c.cast("double")
-    return c.cast("double")
-
-
-def adaptive_buckets(df: DataFrame, order: list[str], *, key: str | None = None,
-                     n_buckets: int = DEFAULT_BUCKETS, max_rows: int | None = None,
-                     sub: int = DEFAULT_SUB_BUCKETS, max_levels: int = MAX_LEVELS,
-                     partition: list[str] | None = None):
-    """Add bucket columns ``__l1 .. __lk`` whose lexicographic order never
-    contradicts ``order``, and return (frame, bucket column names).
-
-    Level 1 cuts the first order column's range into ``n_buckets``.  A cell
-    holding more than ``max_rows`` rows is cut again by the range of the
-    FIRST order column that still varies inside it - every earlier column is
-    constant there, so the cut respects the order (a hot key is split along
-    its tie-break column).  A cell whose rows tie on every order column is
-    cut by a hash of the whole row: any order among tied rows is valid.
-    Only the heavy cells' bounds reach the driver (fewer than n / max_rows
-    per level) and they are broadcast-joined.  With ``partition`` the cells
-    are (partition keys, levels)."""
-    part = list(partition or [])
-    key = key or order[0]
-    cols = [key] + [c for c in order if c != key]
-    b = df
-    for i, c in enumerate(cols):
-        b = b.withColumn(f"__o{i}", order_number(df, c) if c in df.columns else F.col(c).cast("double"))
-    hash_i = len(cols)
-    b = b.withColumn(f"__o{hash_i}", (F.xxhash64(*[F.col(c) for c in df.columns]) % (1 << 52)).cast("double"))
-    onames = [f"__o{i}" for i in range(hash_i + 1)]
-    st = b.agg(F.count(F.lit(1)).alias("n"), F.min("__o0").alias("lo"), F.max("__o0").alias("hi")).first()
-    n, lo, hi = st["n"], st["lo"], st["hi"]
-    if not n or lo is None:
-        return b.withColumn("__l1", F.lit(0).cast("long")), ["__l1"]
-    width = max((hi - lo) / n_buckets, 1e-300) if hi > lo else 1.0
-    b = b.withColumn("__l1", F.least(F.floor((F.col("__o0") - F.lit(lo)) / F.lit(width)), F.lit(n_buckets - 1)).cast("long"))
-    cap = max_rows or max(1_000_000, 8 * n // n_buckets)
-    levels = ["__l1"]
-    if n <= cap:
-        return b, levels
+def _hashable(t: T.DataType) -> bool:
+    if isinstance(t, T.ArrayType):
+        return _hashable(t.elementType)
+    if isinstance(t, T.StructType):
+        return all(_hashable(f.dataType) for f in t.fields)
+    return not isinstance(t, (T.MapType, T.VariantType))
+
+
+def row_tie(df: DataFrame) -> Column:
+    """The tie-break: a hash of the row."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _hashable(f.dataType)])
+
+
+def cells(df: DataFrame, order: list, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``df`` with ``__cell`` and ``__row`` (0-based in its cell): cells in
+    order, rows in order, equal rows by a hash of the row.  Rows equal in
+    everything are cut too, so no value can fill a cell beyond its size."""
     spark = df.sparkSession
-    for lvl in range(2, max_levels + 1):
-        aggs = [F.count(F.lit(1)).alias("c")]
-        for o in onames:
-            aggs += [F.min(o).alias(f"{o}_lo"), F.max(o).alias(f"{o}_hi")]
-        heavy = (b.groupBy(*part, *levels).agg(*aggs)
-                 .where(F.col("c") > cap).collect())  # bounded: fewer than n / cap cells
-        plan = []
-        for h in heavy:
-            for j, o in enumerate(onames):
-                a, z = h[f"{o}_lo"], h[f"{o}_hi"]
-                if a is not None and z is not None and a < z:
-                    plan.append((*[h[c] for c in part + levels], j, float(a), max((z - a) / sub, 1e-300)))
-                    break
-        if not plan:
-            break
-        types = {f.name: f.dataType.simpleString() for f in b.schema.fields}
-        schema = ", ".join(f"`{c}` {types[c]}" for c in part + levels) + ", __smode int, __slo double, __sw double"
-        split = spark.createDataFrame(plan, schema)
-        src = F.coalesce(*[F.when(F.col("__smode") == j, F.col(o)) for j, o in enumerate(onames)])
-        nxt = f"__l{lvl}"
-        b = (b.join(F.broadcast(split), part + levels, "left")
-             .withColumn(nxt, F.when(F.col("__smode").isNull(), F.lit(0)).otherwise(
-                 F.least(F.floor((src - F.col("__slo")) / F.col("__sw")), F.lit(sub - 1))).cast("long"))
-             .drop("__smode", "__slo", "__sw"))
-        levels.append(nxt)
-    return b, levels
-
-
-def _helpers(df: DataFrame) -> list[str]:
-    """The bucketing helper columns (``__o<i>`` order numbers, ``__l<i>`` levels)."""
-    import re
-    return [c for c in df.columns if re.fullmatch(r"__[ol]\d+", c)]
-
-
-def prefix_sum(df: DataFrame, order: list[str], weight: Column | str | None = None, *,
-               key: str | None = None, n_buckets: int = DEFAULT_BUCKETS, max_rows: int | None = None,
-               out: str = "offset") -> DataFrame:
-    """Add ``out`` = sum of ``weight`` (default 1) over all rows strictly
-    before this one in ``order`` (ascending; ``key``, default the first order
-    column, must not decrease along ``order``).
-
-    Rows are cut into adaptive order-compatible buckets; bucket totals (a
-    bounded table) are prefix-summed in one small window and broadcast back;
-    each bucket numbers its own rows.  The bucket bounds are computed eagerly
-    (one small aggregate, plus one per split level on skewed data)."""
-    w = F.lit(1).cast("long") if weight is None else (F.col(weight) if isinstance(weight, str) else weight)
-    b, levels = adaptive_buckets(df.withColumn("__w", w.cast("long")), order, key=key, n_buckets=n_buckets,
-                                 max_rows=max_rows)
-    totals = b.groupBy(*levels).agg(F.sum("__w").alias("__t"))
-    # running sum over the bucket table only (bounded)
-    base = totals.select(*levels, F.coalesce(F.sum("__t").over(
-        Window.orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    within = F.coalesce(F.sum("__w").over(
-        Window.partitionBy(*levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return (b.join(F.broadcast(base), levels)
-            .withColumn(out, (F.col("__base") + within).cast("long"))
-            .drop("__w", "__base", *_helpers(b)))
-
-
-def row_numbers(df: DataFrame, order: list[str], *, key: str | None = None,
-                n_buckets: int = DEFAULT_BUCKETS, out: str = "row_id") -> DataFrame:
+    checkpoint_dir(spark)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // cell_rows))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    tied = df.withColumn("__tie", row_tie(df)).withColumn("__id", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(n, *cols, "__tie", "__id").sortWithinPartitions(*cols, "__tie", "__id")
+    at = F.monotonically_increasing_id()  # partition in the upper bits, row in the lower 33
+    return (ranged.withColumn("__at", at).withColumn("__cell", F.shiftright("__at", 33))
+            .withColumn("__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1).cast("long")))
+            .drop("__tie", "__id", "__at").checkpoint())
+
+
+def same_keys(left: str, right: str, keys: list[str], also: list[str] = ()) -> Column:
+    """Null-safe equality of ``keys``, plain equality of ``also``."""
+    return reduce(lambda a, b: a & b, [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
+                  + [F.col(f"{left}.{k}") == F.col(f"{right}.{k}") for k in also])
+
+
+def with_keys(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``df`` joined with ``other`` on ``keys``, nulls matching nulls; the
+    columns of ``df``, then the rest of ``other``'s."""
+    j = df.alias("l").join(other.alias("r"), same_keys("l", "r", keys), how)
+    return j.select("l.*", *[F.col(f"r.{c}") for c in other.columns if c not in keys])
+
+
+def _with_cells(df: DataFrame, per_cell: DataFrame, keys: list[str]) -> DataFrame:
+    j = df.alias("l").join(per_cell.alias("r"), same_keys("l", "r", keys, ["__cell"]))
+    return j.select("l.*", *[F.col(f"r.{c}") for c in per_cell.columns if c not in (*keys, "__cell")])
+
+
+def _before_cells(numbered: DataFrame, value: Column) -> DataFrame:
+    """``__cell, __base``: the sum of ``value`` over all earlier cells."""
+    totals = numbered.groupBy("__cell").agg(F.sum(value).alias("__t"))
+    earlier = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("__cell", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__base"))
+
+
+def prefix_sum(df: DataFrame, order: list, weight: Column | str | None = None, *, out: str = "offset",
+               number: str | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Add ``out`` = sum of ``weight`` (default 1; null counts 0) over all rows
+    strictly before this one in ``order`` (column names, or sort columns), and
+    the row number as ``number`` if named."""
+    if weight is None:
+        numbered = cells(df, order, cell_rows)
+        within = F.col("__row")
+        base = _before_cells(numbered, F.lit(1).cast("long"))
+    else:
+        w = F.col(weight) if isinstance(weight, str) else weight
+        numbered = cells(df.withColumn("__w", F.coalesce(w.cast("long"), F.lit(0).cast("long"))), order, cell_rows)
+        within = F.coalesce(F.sum("__w").over(Window.partitionBy("__cell").orderBy("__row")
+                                              .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        base = _before_cells(numbered, F.col("__w"))
+    if number:
+        base = base.join(_before_cells(numbered, F.lit(1).cast("long")).withColumnRenamed("__base", "__rows"), "__cell")
+    # one row per cell: rows / CELL_ROWS, or the number of shuffle partitions
+    j = numbered.join(F.broadcast(base), "__cell").withColumn(out, (F.col("__base") + within).cast("long"))
+    if number:
+        j = j.withColumn(number, (F.col("__rows") + F.col("__row")).cast("long"))
+    new = [out, *([number] if number else [])]
+    return j.select(*[c for c in df.columns if c not in new], *new)
+
+
+def row_numbers(df: DataFrame, order: list, *, out: str = "row_id") -> DataFrame:
     """0-based global row number in ``order``."""
-    return prefix_sum(df, order, None, key=key, n_buckets=n_buckets, out=out)
-
-
-def positions_within(df: DataFrame, keys: list[str], order: list[str], bucket_col: str, *,
-                     n_buckets: int = 1024, weight: Column | None = None,
-                     out: str = "pos", sum_out: str | None = None, max_rows: int | None = None) -> DataFrame:
-    """0-based position of each row inside its ``keys`` group in ``order``
-    (and, with ``weight``, the running sum up to and including the row).
-
-    Skew-safe: a group is cut into ordering buckets (adaptively re-cut while
-    a (key, bucket) cell is heavy), so even a key holding a third of all rows
-    is sorted by many tasks; only per-cell totals - a bounded table per key -
-    are combined in one window per key."""
-    src = df.withColumn("__wt", weight) if weight is not None else df
-    b, levels = adaptive_buckets(src, order, key=bucket_col, n_buckets=n_buckets, max_rows=max_rows,
-                                 partition=keys)
-    aggs = [F.count(F.lit(1)).alias("__c")] + ([F.sum("__wt").alias("__s")] if weight is not None else [])
-    tot = b.groupBy(*keys, *levels).agg(*aggs)
-    kw = Window.partitionBy(*keys).orderBy(*levels).rowsBetween(Window.unboundedPreceding, -1)
-    base = tot.select(*keys, *levels, F.coalesce(F.sum("__c").over(kw), F.lit(0)).alias("__bc"),
-                      *([F.coalesce(F.sum("__s").over(kw), F.lit(0)).alias("__bs")] if weight is not None else []))
-    j = b.join(base, [*keys, *levels])
-    iw = Window.partitionBy(*keys, *levels).orderBy(*order)
-    j = j.withColumn(out, (F.col("__bc") + F.row_number().over(iw) - 1).cast("long"))
-    if weight is not None:
-        j = j.withColumn(sum_out or "running_sum",
-                         F.col("__bs") + F.sum("__wt").over(iw.rowsBetween(Window.unboundedPreceding, 0)))
-    return j.drop("__bc", "__bs", "__wt", "__c", "__s", *_helpers(b))
-
-
-def fill_forward_backward(df: DataFrame, keys: list[str], order: list[str], bucket_col: str, value: str,
-                          backward: bool = False, n_buckets: int = 1024, out: str | None = None,
-                          max_rows: int | None = None) -> DataFrame:
-    """Last (or next) non-null ``value`` in ``order`` within ``keys``.
-
-    Skew-safe: each (key, ordering bucket) fills locally with a bounded
-    window; the value carried into a bucket is the last non-null of the
-    earlier buckets, found over the per-(key, bucket) summary table (at most
-    ``n_buckets`` rows per key)."""
+    return prefix_sum(df, order, None, out=out)
+
+
+def _keyed_cells(df: DataFrame, keys: list[str], order: list, cell_rows: int, *aggs: Column) -> tuple[DataFrame, DataFrame]:
+    """The cells of ``keys, order``, and per (cell, key) the first row, the
+    count, ``aggs``, and ``__pos0``: the key's rows in earlier cells.  A key
+    has at most one row per cell there, however many rows it has."""
+    numbered = cells(df, [*keys, *order], cell_rows)
+    per = numbered.groupBy("__cell", *keys).agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"), *aggs)
+    earlier = Window.partitionBy(*keys).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    return numbered, per.withColumn("__pos0", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+
+
+def positions_within(df: DataFrame, keys: list[str], order: list, *, out: str = "pos",
+                     cell_rows: int = CELL_ROWS) -> DataFrame:
+    """0-based position of each row inside its ``keys`` group in ``order``;
+    a null key is a group.  A group of any size is numbered by many tasks."""
+    numbered, per = _keyed_cells(df, keys, order, cell_rows)
+    placed = _with_cells(numbered, per.select("__cell", *keys, "__first", "__pos0"), keys)
+    return placed.withColumn(out, (F.col("__row") - F.col("__first") + F.col("__pos0")).cast("long")) \
+        .drop("__cell", "__row", "__first", "__pos0")
+
+
+def lag_within(df: DataFrame, keys: list[str], order: list, value: str, *, out: str, pos: str = "pos",
+               cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Adds ``pos`` and ``out``, the ``value`` of the previous row of the group:
+    a lag inside the cell, and the last value of the key's previous cell."""
+    numbered, per = _keyed_cells(df, keys, order, cell_rows, F.max_by(F.struct(value), "__row").alias("__last"))
+    per = per.withColumn("__carry", F.lag(F.col("__last")[value]).over(Window.partitionBy(*keys).orderBy("__cell")))
+    j = _with_cells(numbered, per.drop("__last", "__n"), keys)
+    inside = F.lag(value).over(Window.partitionBy("__cell", *keys).orderBy("__row"))
+    return (j.withColumn(out, F.when(F.col("__row") == F.col("__first"), F.col("__carry")).otherwise(inside))
+            .withColumn(pos, (F.col("__row") - F.col("__first") + F.col("__pos0")).cast("long"))
+            .drop("__cell", "__row", "__first", "__pos0", "__carry"))
+
+
+def trailing_mean(df: DataFrame, keys: list[str], order: list, value: str, window: int, *, out: str, pos: str = "pos",
+                  cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Adds ``pos``, ``out`` (mean of the last ``window`` values of the group,
+    this row included; nulls do not count) and ``__total`` (the group's rows).
+
+    The last ``window - 1`` rows before a cell are copied into it, so that the
+    window runs inside cells; no self-join."""
+    numbered, per = _keyed_cells(df, keys, order, cell_rows)
+    by_key = Window.partitionBy(*keys)
+    later = by_key.orderBy("__cell").rowsBetween(1, window - 1) if window > 1 else by_key.orderBy("__cell").rowsBetween(1, 1)
+    end = F.col("__pos0") + F.col("__n")
+    # the key's next cells that start within reach of this one's last rows: fewer than ``window``
+    reach = F.filter(F.collect_list(F.struct(F.col("__cell").alias("c"), F.col("__pos0").alias("p"))).over(later),
+                     lambda x: x["p"] < F.col("__end") + window - 1)
+    per = per.withColumn("__end", end).withColumn("__next", reach) \
+        .withColumn("__total", F.sum("__n").over(by_key.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    j = _with_cells(numbered, per.drop("__n", "__end"), keys)
+    j = j.withColumn(pos, (F.col("__row") - F.col("__first") + F.col("__pos0")).cast("long"))
+    needed = F.transform(F.filter("__next", lambda x: x["p"] < F.col(pos) + window), lambda x: x["c"])
+    copies = j.withColumn("__to", F.explode(F.concat(F.array("__cell"), needed)))
+    w = Window.partitionBy("__to", *keys).orderBy(pos).rowsBetween(-(window - 1), 0)
+    x = F.col(value).cast("double")
+    return (copies.withColumn(out, fdigits(F.sum(x).over(w)) / F.count(x).over(w)).filter(F.col("__to") == F.col("__cell"))
+            .drop("__cell", "__row", "__first", "__pos0", "__next", "__to"))
+
+
+def fill_forward_backward(df: DataFrame, keys: list[str], order: list, value: str, backward: bool = False,
+                          out: str | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Last (or next) non-null ``value`` in ``order`` within ``keys`` (a null
+    key is a group).  Each cell fills locally; the value carried into a cell is
+    the last (first) non-null one of the key's earlier (later) cells."""
     out = out or value
-    b, levels = adaptive_buckets(df, order, key=bucket_col, n_buckets=n_buckets, partition=keys, max_rows=max_rows)
-    b = b.withColumn("__tb", F.struct(*levels)).drop(*_helpers(b))
-    ordering = F.struct(*[F.col(c) for c in order])
-    v = F.col(value)
-    if not backward:
-        local = F.last(v, ignorenulls=True).over(
-            Window.partitionBy(*keys, "__tb").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-        edge = F.max_by(v, F.when(v.isNotNull(), ordering))
-        carry_w = Window.partitionBy(*keys).orderBy("__tb").rowsBetween(Window.unboundedPreceding, -1)
-        carry = F.last("__edge", ignorenulls=True).over(carry_w)
+    v, at = F.col(value), F.when(F.col(value).isNotNull(), F.col("__row"))
+    edge = (F.min_by if backward else F.max_by)(v, at).alias("__edge")
+    numbered, per = _keyed_cells(df, keys, order, cell_rows, edge)
+    by_cell = Window.partitionBy(*keys).orderBy("__cell") if keys else Window.orderBy("__cell")
+    inside = Window.partitionBy("__cell", *keys).orderBy("__row")
+    if backward:
+        carry = F.first("__edge", ignorenulls=True).over(by_cell.rowsBetween(1, Window.unboundedFollowing))
+        local = F.first(v, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
     else:
-        local = F.first(v, ignorenulls=True).over(
-            Window.partitionBy(*keys, "__tb").orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
-        edge = F.min_by(v, F.when(v.isNotNull(), ordering))
-        carry_w = Window.partitionBy(*keys).orderBy("__tb").rowsBetween(1, Window.unboundedFollowing)
-        carry = F.first("__edge", ignorenulls=True).over(carry_w)
-    summary = b.groupBy(*keys, "__tb").agg(edge.alias("__edge"))
-    summary = summary.select(*keys, "__tb", carry.alias("__carry"))
-    j = b.join(summary, [*keys, "__tb"])
-    return j.withColumn(out, F.coalesce(v, local, F.col("__carry"))).drop("__tb", "__carry")
+        carry = F.last("__edge", ignorenulls=True).over(by_cell.rowsBetween(Window.unboundedPreceding, -1))
+        local = F.last(v, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    j = _with_cells(numbered, per.select("__cell", *keys, carry.alias("__carry")), keys)
+    return j.withColumn(out, F.coalesce(local, F.col("__carry"))).select(*[c for c in df.columns if c != out], out) \
+        if out != value else j.withColumn(value, F.coalesce(local, F.col("__carry"))).select(*df.columns)

@@ -24,9 +24,9 @@ BLOB_CENTERS = [(0, 0), (3, 3), (0, 3), (3, 0)]
 
 
 def hex_threshold(fraction: float) -> str:
-    """4-hex-digit threshold t with P(md5 prefix < t) ~= fraction."""
-    v = min(max(int(math.ceil(fraction * 65536)), 0), 65536)
-    return "g" if v >= 65536 else f"{v:04x}"
+    """13-hex-digit threshold t with P(md5 prefix < t) = fraction to 52 bits."""
+    v = min(max(int(math.ceil(fraction * 16 ** 13)), 0), 16 ** 13)
+    return "g" if v >= 16 ** 13 else f"{v:013x}"
 
 
 def split_key(key: Column, seed) -> Column:
@@ -35,10 +35,10 @@ def split_key(key: Column, seed) -> Column:
 
 def random_split(df: DataFrame, key: str, train_fraction: float = 0.8, seed=0,
                  names=("train", "validation")) -> DataFrame:
-    """Adds ``split``: a row is train when the first 4 hex digits of
+    """Adds ``split``: a row is train when the first 13 hex digits of
     ``md5(key:seed)`` fall under the fraction's threshold (stable under
     re-partitioning; the same test runs in any SQL engine with md5)."""
-    h = F.substring(split_key(F.col(key), seed), 1, 4)
+    h = F.substring(split_key(F.col(key), seed), 1, 13)
     return df.withColumn("split", F.when(h < F.lit(hex_threshold(train_fraction)), names[0]).otherwise(names[1]))
 
 
@@ -52,27 +52,19 @@ def label_encode(df: DataFrame, label: str, out: str = "class_id") -> DataFrame:
     labels = df.select(F.col(label).alias("__l")).where(F.col("__l").isNotNull()).distinct()
     # numbered by a bucketed prefix count: no single-task window even for
     # a label set that turns out large
-    numbered = prefix_sum(labels, ["__l"], None, out=out).select("__l", F.col(out).cast("bigint").alias(out))
+    numbered = prefix_sum(labels, ["__l"], out=out).select("__l", F.col(out).cast("bigint").alias(out))
     n = labels.agg(F.count(F.lit(1))).scalar()
     return df.join(numbered, df[label] == numbered["__l"], "left").drop("__l") \
         .withColumn("n_classes", n.cast("bigint"))
 
 
-def batch_ids(df: DataFrame, key: str, batch_size: int = 32, seed=0, shuffle: bool = True,
-              rows_per_bucket: int = 1_000_000) -> DataFrame:
-    """Adds ``batch_id``: rows are spread over ``ceil(n / rows_per_bucket)``
-    hash buckets, ordered inside a bucket (by a seeded hash when
-    ``shuffle``) and cut into batches of ``batch_size``; a batch never spans
-    buckets, so no window holds more than one bucket."""
-    h = split_key(F.col(key), seed)
-    n = df.agg(F.count(F.lit(1))).scalar()
-    n_buckets = F.greatest(F.lit(1), F.ceil(n / F.lit(rows_per_bucket)))
-    bucket = (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % n_buckets).cast("bigint")
-    b = df.withColumn("__bucket", bucket).withColumn("__h", h)
-    order = [F.col("__h"), F.col(key)] if shuffle else [F.col(key)]
-    rn = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1
-    return b.withColumn("batch_id", F.concat_ws("-", F.col("__bucket").cast("string"),
-                                                F.floor(rn / batch_size).cast("string"))).drop("__bucket", "__h")
+def batch_ids(df: DataFrame, key: str, batch_size: int = 32, seed=0, shuffle: bool = True) -> DataFrame:
+    """Adds ``batch_id`` (bigint): rows in ``key`` order, or in the order of a
+    seeded hash of the key when ``shuffle``, cut into batches of ``batch_size``;
+    only the last batch can be short."""
+    b = df.withColumn("__h", split_key(F.col(key), seed)) if shuffle else df
+    numbered = prefix_sum(b, ["__h", key] if shuffle else [key], out="__pos")
+    return numbered.withColumn("batch_id", F.floor(F.col("__pos") / batch_size).cast("bigint")).select(*df.columns, "batch_id")
 
 
 # --------------------------------------------------------------------------- noise
@@ -114,7 +106,7 @@ def synthetic(keys: DataFrame, key: str, kind: str, noise: float = 0.1, seed: in
             a, b = uniform(k, seed, 0) * 4, uniform(k, seed, 1) * 4
             y = ((F.floor(a) + F.floor(b)) % 2).cast("bigint")
         return keys.select(key, F.array(a, b).alias("x"), y.alias("y"))
-    p = prefix_sum(keys.select(key), [key], None, out="__p")
+    p = prefix_sum(keys.select(key), [key], out="__p")
     n = F.lit(keys.count())  # the layout needs n in many expressions: one count, then a literal
     pos = F.col("__p")
     half = F.floor(n / 2)

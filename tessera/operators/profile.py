@@ -11,8 +11,6 @@ top-k filter is a ``row_number`` limit that Spark pushes below the shuffle
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +18,7 @@ from tessera.functions.numeric import fround
 from pyspark.sql import types as T
 
 from tessera.functions.columns import is_blank, is_numeric_type, is_string_type, not_blank
-from tessera.operators.quantiles import kth_smallest_many
+from tessera.operators.quantiles import finite_stats, kth_smallest_many
 
 # Profile sizes, as in the reference.
 TOP_K = 20          # top values per categorical column
@@ -43,22 +41,24 @@ def value_counts(df: DataFrame, columns=None) -> DataFrame:
     return long_values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def distinct_key(value: Column) -> Column:
-    """Distinct-counting key: short values as they are; longer ones as two
-    independent 64-bit hashes plus the length, so counting the distinct
+def distinct_key(value: Column, hash_over: int | None = LONG_VALUE_CHARS) -> Column:
+    """Distinct-counting key: values of up to ``hash_over`` characters as they
+    are (None: all of them, exactly); longer ones as two independent 64-bit hashes plus the length, so counting the distinct
     texts of a large column shuffles 24 bytes per value instead of the text
     (two values collide only if both hashes and the length agree)."""
-    long_v = F.length(value) > LONG_VALUE_CHARS
+    if hash_over is None:
+        return value
+    long_v = F.length(value) > hash_over
     return F.struct(F.when(~long_v, value).alias("v"),
                     F.when(long_v, F.xxhash64(value, F.lit(1))).alias("h1"),
                     F.when(long_v, F.xxhash64(value, F.lit(2))).alias("h2"),
                     F.when(long_v, F.length(value)).alias("n"))
 
 
-def profile_counts(df: DataFrame, approx_unique: bool = False) -> DataFrame:
+def profile_counts(df: DataFrame, approx_unique: bool = False, hash_over: int | None = LONG_VALUE_CHARS) -> DataFrame:
     """column, count, null_count, null_pct (1 dp), unique, row_count, col_count.
     ``approx_unique`` swaps the exact distinct count for a HyperLogLog++
-    sketch (no shuffle of distinct values)."""
+    sketch (no shuffle of distinct values); ``hash_over``: see ``distinct_key``."""
     cols = df.columns
     wide = df.agg(F.count(F.lit(1)).alias("__n"),
                   *[F.count_if(is_blank(df, c)).alias(f"__b{i}") for i, c in enumerate(cols)])
@@ -67,7 +67,7 @@ def profile_counts(df: DataFrame, approx_unique: bool = False) -> DataFrame:
     if approx_unique:
         uniq = long_values(df).groupBy("column").agg(F.approx_count_distinct("value").alias("unique"))
     else:
-        keyed = long_values(df).select("column", distinct_key(F.col("value")).alias("k"))
+        keyed = long_values(df).select("column", distinct_key(F.col("value"), hash_over).alias("k"))
         uniq = keyed.groupBy("column", "k").agg(F.count(F.lit(1)).alias("c")) \
             .groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
     out = nulls.join(uniq, "column", "left")
@@ -106,56 +106,72 @@ def numeric_profile(df: DataFrame, columns=None) -> DataFrame:
     else:
         cols = list(columns)
     aggs = []
-    for c in cols:
-        x = F.col(c).try_cast("double") if is_string_type(df.schema[c].dataType) else F.col(c).cast("double")
-        aggs += [F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"), F.avg(x).alias(f"{c}__avg"),
-                 F.count(x).alias(f"{c}__n")]
+    for i, c in enumerate(cols):
+        x = _as_double(df, c)
+        known = F.when(~F.isnan(x), x)
+        aggs += [F.min(known).alias(f"min{i}"), F.max(known).alias(f"max{i}"), F.avg(known).alias(f"avg{i}"),
+                 F.count(x).alias(f"n{i}"), F.count(known).alias(f"known{i}")]
+        aggs += [a.alias(f"s{i}_{k}") for k, a in enumerate(finite_stats(x))]
         if is_string_type(df.schema[c].dataType):
-            aggs.append(F.count_if(not_blank(df, c)).alias(f"{c}__nb"))
+            aggs.append(F.count_if(not_blank(df, c)).alias(f"nb{i}"))
     row = df.agg(*aggs).first() if cols else None
-    if columns is None:
-        cols = [c for c in cols if not is_string_type(df.schema[c].dataType) or row[f"{c}__n"] == row[f"{c}__nb"]]
-    present = [c for c in cols if row[f"{c}__n"]]
+    # a string column is numeric if every non-blank value reads as a number; NaN values do not count
+    place = {c: i for i, c in enumerate(cols) if row[f"known{i}"] and (
+        columns is not None or not is_string_type(df.schema[c].dataType) or row[f"n{i}"] == row[f"nb{i}"])}
     # all medians in one narrowing run: one distributed job per round
-    num = df.select(*[(F.col(c).try_cast("double") if is_string_type(df.schema[c].dataType)
-                       else F.col(c).cast("double")).alias(c) for c in present])
-    known = {c: (row[f"{c}__n"], float(row[f"{c}__min"]), float(row[f"{c}__max"])) for c in present}
-    # NaN sorts above every number in Spark: let the narrowing recount then
-    known = {c: v for c, v in known.items() if not (math.isnan(v[1]) or math.isnan(v[2]))}
-    missing = [c for c in present if c not in known]
-    meds = kth_smallest_many(num, {c: [row[f"{c}__n"] // 2] for c in present},
-                             stats=known if not missing else None) if present else {}
-    rows = [(c, float(row[f"{c}__min"]), float(row[f"{c}__max"]), float(row[f"{c}__avg"]),
-             float(meds[(c, row[f"{c}__n"] // 2)])) for c in present]
+    num = df.select(*[_as_double(df, c).alias(c) for c in place])
+    meds = kth_smallest_many(num, {c: [row[f"known{i}"] // 2] for c, i in place.items()},
+                             stats={c: [row[f"s{i}_{k}"] for k in range(5)] for c, i in place.items()}) if place else {}
+    rows = [(c, float(row[f"min{i}"]), float(row[f"max{i}"]), float(row[f"avg{i}"]), float(meds[(c, row[f"known{i}"] // 2)]))
+            for c, i in place.items()]
     schema = "column string, min double, max double, mean double, median double"
     out = spark.createDataFrame(rows, schema)  # one row per column: bounded by the schema width
     return out.withColumn("mean", fround("mean", 4))
 
 
-def histogram(df: DataFrame, column: str, max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Equal-width buckets: ``min(max_buckets, distinct)`` buckets, last one
-    closed; labels are left edges (2 dp); no rows when one distinct value.
-    Min, step and bucket count are scalar subqueries, so the plan is lazy and
-    the per-bucket counts are a partial aggregate."""
-    x = F.col(column).cast("double")
-    vals = df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    stats = vals.agg(F.min("x").alias("mn"), F.max("x").alias("mx"),
-                     F.least(F.count_distinct("x"), F.lit(max_buckets)).alias("nb"))
-    stats = stats.withColumn("step", (F.col("mx") - F.col("mn")) / F.col("nb")) \
-        .where((F.col("nb") > 1) & (F.col("step") > 0))
-    row = stats.first()  # one small action: the three bounds become literals
-    if row is None:
-        return df.sparkSession.createDataFrame([], "bucket bigint, label double, count bigint")
-    mn, step, nb = F.lit(row["mn"]), F.lit(row["step"]), F.lit(row["nb"])
-    idx = F.least(F.floor((F.col("x") - mn) / step), nb - 1).cast("bigint")
-    counts = vals.where(mn.isNotNull()).groupBy(idx.alias("bucket")).agg(F.count(F.lit(1)).alias("count"))
-    grid = stats.select(F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("nb") - 1).cast("bigint"))).alias("bucket"),
-                        "mn", "step")
-    return (grid.join(counts, "bucket", "left")
-            .select("bucket", fround(F.col("mn") + F.col("bucket") * F.col("step"), 2).alias("label"),
+def _as_double(df: DataFrame, c: str) -> Column:
+    return F.col(c).try_cast("double") if is_string_type(df.schema[c].dataType) else F.col(c).cast("double")
+
+
+def histograms(df: DataFrame, columns: list[str], max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """``column, bucket, label, count`` for several columns in two passes.
+
+    Equal-width buckets: ``min(max_buckets, distinct)`` buckets, the last one
+    closed; labels are left edges (2 dp); no rows for a column with one
+    distinct value.  Null, NaN and infinite values do not count."""
+    spark = df.sparkSession
+    inf = float("inf")
+    xs = {c: F.when(F.abs(_as_double(df, c)) < F.lit(inf), _as_double(df, c)) for c in columns}
+    row = df.agg(*[a for i, x in enumerate(xs.values()) for a in (
+        F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.approx_count_distinct(x).alias(f"nd{i}"))]).first()
+    # the sketch settles all but columns with few values, which are cheap to count
+    few = [i for i in range(len(columns)) if row[f"nd{i}"] <= 10 * max_buckets]
+    exact = df.agg(*[F.count_distinct(list(xs.values())[i]).alias(f"d{i}") for i in few]).first() if few else None
+    bounds = []
+    for i, c in enumerate(columns):
+        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        nb = min(max_buckets, exact[f"d{i}"]) if i in few else max_buckets
+        if lo is not None and nb > 1 and hi / nb - lo / nb > 0:
+            bounds.append((c, float(lo), (float(hi) - float(lo)) / nb, nb))
+    if not bounds:
+        return spark.createDataFrame([], "column string, bucket bigint, label double, count bigint")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.when(
+        xs[c].isNotNull(), F.least(F.floor((xs[c] - F.lit(lo)) / F.lit(step)), F.lit(nb - 1))).cast("bigint").alias("bucket"))
+        for c, lo, step, nb in bounds])
+    counts = (df.select(F.explode(cells).alias("h")).where("h.bucket is not null")
+              .groupBy("h.column", "h.bucket").agg(F.count(F.lit(1)).alias("count")))
+    grid = spark.createDataFrame(bounds, "column string, lo double, step double, nb int") \
+        .select("column", "lo", "step", F.explode(F.expr("sequence(0L, cast(nb - 1 as bigint))")).alias("bucket"))
+    return (grid.join(counts, ["column", "bucket"], "left")
+            .select("column", "bucket", fround(F.col("lo") + F.col("bucket") * F.col("step"), 2).alias("label"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
+def histogram(df: DataFrame, column: str, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+    """``bucket, label, count`` of one column (see ``histograms``)."""
+    return histograms(df, [column], max_buckets).drop("column")
+
+
 def top_values(df: DataFrame, columns=None, k: int = TOP_K) -> DataFrame:
     """column, value, count, rank: the ``k`` most frequent string forms per
     column (count desc, value asc)."""
@@ -185,26 +201,18 @@ def label_distribution(df: DataFrame, label: str = "label", fallback: str = "dif
 
 
 def profile(df: DataFrame) -> dict:
-    """Driver-side summary for pipeline stats (all inputs are aggregates).
-    The profile makes several passes, so the input is persisted (memory and
-    disk) for its duration instead of being recomputed by every pass."""
-    from pyspark import StorageLevel
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _profile(df)
-    finally:
-        df.unpersist()
-
-
-def _profile(df: DataFrame) -> dict:
+    """Driver-side summary for pipeline stats: a fixed number of passes over
+    the input, whatever its number of columns; all that comes back are
+    aggregates.  Checkpoint an expensive computed input first."""
     counts = {r["column"]: r.asDict() for r in profile_counts(df).collect()}
     num = numeric_columns(df)
     out = {"columns": {}, "row_count": None, "col_count": len(df.columns)}
     for r in numeric_profile(df, num).collect():
         counts[r["column"]].update(type="numeric", min=r["min"], max=r["max"], mean=r["mean"], median=r["median"])
-        h = histogram(df, r["column"]).orderBy("bucket").collect()
-        if h:
-            counts[r["column"]]["histogram"] = {"labels": [x["label"] for x in h], "counts": [x["count"] for x in h]}
+    for r in histograms(df, num).orderBy("column", "bucket").collect() if num else []:
+        h = counts[r["column"]].setdefault("histogram", {"labels": [], "counts": []})
+        h["labels"].append(r["label"])
+        h["counts"].append(r["count"])
     cat = [c for c in df.columns if c not in num]
     if cat:
         for r in top_values(df, cat).orderBy("column", "rank").collect():

@@ -2,113 +2,106 @@
 
 ``percentile_disc`` / ``mode`` keep a map of every distinct value of the
 group in the final aggregation task, which does not survive a 100 TB column.
-``kth_smallest_many`` instead narrows the value range with equal-width
-bucket histograms until the bucket holding each requested rank is small
-enough to fetch, or holds a single value.  Every round is ONE distributed
-``groupBy(target, bucket)`` over all requested columns and ranks together
-(at most ``targets x buckets`` rows come back), and each round shrinks a
-range by ~``buckets``, so a handful of scans resolves every rank exactly.
+``kth_smallest_many`` instead narrows the value range of each requested rank
+with equal-width bucket counts.  Every round is one distributed
+``groupBy(target, bucket)`` over all columns and ranks; a row meets only its
+own column's targets, so the work is linear in the columns.  A round leaves a
+target with the values of one bucket; when few rows are left, or the range is
+too narrow to cut, the last round counts the distinct values themselves.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _bucket(x: Column, lo: float, width: float, buckets: int) -> Column:
-    return F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(buckets - 1)).cast("long")
+_TARGET = "array<array<struct<t:int,lo:double,hi:double,w:double>>>"
 
 
+@dataclass
 class _Target:
-    __slots__ = ("col", "k", "chain", "lo", "hi", "n", "offset", "value", "done")
+    col: int
+    k: int  # rank among the finite values
+    lo: float
+    hi: float
+    n: int
+    offset: int = 0
+    value: float | None = None
+    done: bool = False
+
+    def width(self, buckets: int, collect_limit: int) -> float:
+        """Bucket width; 0: count distinct values."""
+        w = self.hi / buckets - self.lo / buckets  # the difference itself may overflow
+        return 0.0 if self.n <= collect_limit or self.lo + w <= self.lo or self.hi - w >= self.hi else w
+
 
-    def __init__(self, col: int, k: int, lo, hi, n):
-        self.col, self.k, self.chain = col, k, []
-        self.lo, self.hi, self.n, self.offset = lo, hi, n, 0
-        self.value, self.done = None, False
+def finite_stats(x: Column) -> list[Column]:
+    """Aggregates that ``kth_smallest_many`` takes as ``stats`` of a double:
+    finite count, least, greatest, and the counts of both infinities."""
+    inf = float("inf")
+    real = F.when(~F.isnan(x) & (F.abs(x) < F.lit(inf)), x)
+    return [F.count(real), F.min(real), F.max(real), F.count_if(x == F.lit(-inf)), F.count_if(x == F.lit(inf))]
 
 
 def kth_smallest_many(df: DataFrame, requests: dict, *, buckets: int = 4096,
                       collect_limit: int = 50_000, stats: dict | None = None) -> dict:
-    """``requests``: {column name or Column: [0-based ranks]} over non-null
-    values.  Returns {(column key, rank): value or None}.  ``stats``
-    ({column key: (n, min, max)}) skips the first counting pass when the
-    caller already has it."""
+    """``requests``: {column name or Column: [0-based ranks]} over the values
+    that are neither null nor NaN.  Returns {(column key, rank): value or
+    None}.  ``stats`` ({column key: ``finite_stats`` values}) skips the first
+    counting pass when the caller already has it."""
     keys = list(requests)
-    cols = [F.col(c) if isinstance(c, str) else c for c in keys]
-    long = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), c.cast("double").alias("x"))
-                                          for i, c in enumerate(cols)])).alias("p"))
-            .select("p.c", "p.x").where(F.col("x").isNotNull() & ~F.isnan("x")))
-    if stats is not None:
-        by_col = {i: {"n": stats[k][0], "lo": stats[k][1], "hi": stats[k][2]}
-                  for i, k in enumerate(keys) if k in stats and stats[k][0]}
-    else:
-        rows = long.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
-                                     F.max("x").alias("hi")).collect()
-        by_col = {r["c"]: r for r in rows}
-    targets: list[_Target] = []
+    xs = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in keys]
+    if stats is None:
+        row = df.agg(*[a.alias(f"s{i}_{j}") for i, x in enumerate(xs) for j, a in enumerate(finite_stats(x))]).first()
+        stats = {key: [row[f"s{i}_{j}"] for j in range(5)] for i, key in enumerate(keys)}
     out: dict = {}
+    targets: list[tuple[object, int, _Target]] = []
     for i, key in enumerate(keys):
-        st = by_col.get(i)
+        n, lo, hi, below, above = stats[key]
         for k in requests[key]:
-            if st is None or k < 0 or k >= st["n"]:
+            if k < 0 or k >= n + below + above:
                 out[(key, k)] = None
-                continue
-            targets.append(_Target(i, k, st["lo"], st["hi"], st["n"]))
-    x, c = F.col("x"), F.col("c")
-
-    def pred(t: _Target) -> Column:
-        p = c == F.lit(t.col)
-        for lo, width, b in t.chain:
-            p = p & (_bucket(x, lo, width, buckets) == F.lit(b))
-        return p
-
+            elif k < below or k >= below + n:
+                out[(key, k)] = -math.inf if k < below else math.inf
+            else:
+                targets.append((key, k, _Target(i, k - below, float(lo), float(hi), n)))
     while True:
-        live = [t for t in targets if not t.done]
-        for t in live:
-            if t.lo == t.hi:
+        for _, _, t in targets:
+            if not t.done and t.lo == t.hi:
                 t.value, t.done = t.lo, True
-        live = [t for t in live if not t.done]
+        live = [t for _, _, t in targets if not t.done]
         if not live:
             break
-        small = [t for t in live if t.n <= collect_limit or (t.hi - t.lo) / buckets <= 0
-                 or t.lo + (t.hi - t.lo) / buckets == t.lo]
-        if small:
-            # bounded fetch: every selected target holds <= collect_limit values
-            tagged = F.explode(F.array(*[F.when(pred(t), F.lit(j)) for j, t in enumerate(small)])).alias("t")
-            rows = long.select(tagged, x).where(F.col("t").isNotNull()).collect()
-            vals: dict[int, list] = {}
-            for r in rows:
-                vals.setdefault(r["t"], []).append(r["x"])
-            for j, t in enumerate(small):
-                v = sorted(vals.get(j, []))
-                t.value, t.done = (v[t.k - t.offset] if 0 <= t.k - t.offset < len(v) else None), True
-            continue
-        tagged = F.explode(F.array(*[
-            F.when(pred(t), F.struct(F.lit(j).alias("t"), _bucket(x, t.lo, (t.hi - t.lo) / buckets, buckets).alias("b")))
-            for j, t in enumerate(live)])).alias("tb")
-        hist = (long.select(tagged, x).where(F.col("tb").isNotNull())
-                .groupBy("tb.t", "tb.b").agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-                .collect())  # <= len(live) * buckets rows
+        widths = [t.width(buckets, collect_limit) for t in live]
+        used = sorted({t.col for t in live})
+        lookup = F.array(*[F.array(*[F.struct(F.lit(j).alias("t"), F.lit(t.lo).alias("lo"), F.lit(t.hi).alias("hi"),
+                                              F.lit(w).alias("w")) for j, (t, w) in enumerate(zip(live, widths)) if t.col == c])
+                           for c in used]).cast(_TARGET)
+        values = df.select(F.posexplode(F.array(*[xs[c] for c in used])).alias("c", "x"))
+        hits = F.filter(F.element_at(lookup, F.col("c") + 1), lambda r: (F.col("x") >= r["lo"]) & (F.col("x") <= r["hi"]))
+        tagged = values.select("x", F.explode(hits).alias("r"))
+        # equal values are one group whatever their number; a bucket is a group by its place
+        bucket = F.when(F.col("r.w") == 0, F.col("x")).otherwise(
+            F.least(F.floor((F.col("x") - F.col("r.lo")) / F.col("r.w")).cast("double"), F.lit(float(buckets - 1))))
+        counts = (tagged.groupBy(F.col("r.t").alias("t"), bucket.alias("b"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
         per: dict[int, list] = {}
-        for r in hist:
+        # per target at most ``buckets`` rows, or ``collect_limit`` distinct values
+        for r in counts.collect():
             per.setdefault(r["t"], []).append(r)
         for j, t in enumerate(live):
-            width = (t.hi - t.lo) / buckets
             seen = t.offset
-            for r in sorted(per.get(j, []), key=lambda r: r["b"]):
+            for r in sorted(per.get(j, []), key=lambda r: r["lo"]):
                 if seen + r["n"] > t.k:
-                    t.chain.append((t.lo, width, r["b"]))
                     t.offset, t.n, t.lo, t.hi = seen, r["n"], r["lo"], r["hi"]
                     break
                 seen += r["n"]
             else:  # pragma: no cover - counts always cover k
                 t.done = True
-    for key_i, key in enumerate(keys):
-        for t in targets:
-            if t.col == key_i:
-                out[(key, t.k)] = t.value
+    out.update({(key, k): t.value for key, k, t in targets})
     return out
 
 
@@ -117,9 +110,13 @@ def kth_smallest(df: DataFrame, column: str | Column, ks: list[int], **kw) -> li
     return [res[(column, k)] for k in ks]
 
 
+def count_known(df: DataFrame, column: str) -> int:
+    """Values that are neither null nor NaN."""
+    x = F.col(column).cast("double")
+    return df.where(x.isNotNull() & ~F.isnan(x)).count()
+
+
 def upper_median(df: DataFrame, column: str, **kw):
-    """``sorted(values)[n // 2]`` over the non-null values."""
-    n = df.where(F.col(column).isNotNull()).count()
-    if n == 0:
-        return None
-    return kth_smallest(df, column, [n // 2], **kw)[0]
+    """``sorted(values)[n // 2]`` over the values that are neither null nor NaN."""
+    n = count_known(df, column)
+    return kth_smallest(df, column, [n // 2], **kw)[0] if n else None

@@ -2,10 +2,9 @@
 throughput, epoch / run summaries, layer rules, latency summaries and
 leaderboards.
 
-Per-run sequences use ``positions_within`` (ordering-bucketed, so one huge
-run is spread over many tasks); look-backs (lag, trailing windows) become
-equi-joins on ``(run, position - k)`` that hash-partition a hot run across
-the cluster, and trailing sums are exact decimal prefix-sum differences.
+Per-run sequences are cut into sorted cells (``operators.numbering``), so
+one huge run is spread over many tasks; a lag or a trailing window runs inside
+a cell, with the few rows before it carried or copied in.  A null run is a run.
 """
 
 from __future__ import annotations
@@ -15,11 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numeric import fround
 
-from tessera.operators.numbering import positions_within, prefix_sum
+from tessera.operators.numbering import lag_within, positions_within, prefix_sum, trailing_mean, with_keys
 from tessera.operators.quantiles import kth_smallest
 
-EXACT = "decimal(38,10)"
-
 # Run-log rules and sizes, as in the reference.
 DOWNSAMPLE_POINTS = 200          # curves keep every max(1, n // 200)-th point
 PERPLEXITY_CAP = 1e6             # perplexity = min(exp(loss), 1e6)
@@ -32,25 +29,14 @@ VANISHING_GRAD = 1e-7            # 0 < grad norm < 1e-7
 EXPLODING_GRAD = 100             # grad norm > 100
 DEAD_NEURON_PCT = 50             # more than 50 % dead activations
 GRAD_WEIGHT_RATIO = 1.0          # grad / weight norm above 1
-MAX_ISSUES = 10                  # issues reported per run
 
 
-def rolling_mean(df: DataFrame, run: str, order: list[str], bucket_col: str, value: str,
-                 window: int = TRAILING_WINDOW) -> DataFrame:
+def rolling_mean(df: DataFrame, run: str, order: list[str], value: str, window: int = TRAILING_WINDOW) -> DataFrame:
     """Adds episode (1-based), mean_<window> (trailing mean of ``value``
     over the last ``window`` rows, 4 dp) and pct (episode / total, 1 dp)."""
-    v = F.col(value).cast(EXACT)
-    p = positions_within(df, [run], order, bucket_col, weight=v, sum_out="__cum")
-    back = p.select(F.col(run).alias("__r"), (F.col("pos") + window).alias("__p"), F.col("__cum").alias("__prev"))
-    j = p.join(back, (p[run] == back["__r"]) & (p["pos"] == back["__p"]), "left")
-    tot = df.groupBy(run).agg(F.count(F.lit(1)).alias("__n"))
-    j = j.join(tot, run)
-    k = F.least(F.col("pos") + 1, F.lit(window))
-    # exact decimal window sum, then one correctly rounded double division
-    mean = (F.col("__cum") - F.coalesce(F.col("__prev"), F.lit(0).cast(EXACT))).cast("double") / k
-    return j.select(*df.columns, (F.col("pos") + 1).alias("episode"),
-                    fround(mean, 4).alias(f"mean_{window}"),
-                    fround((F.col("pos") + 1) / F.col("__n") * 100, 1).alias("pct"))
+    p = trailing_mean(df, [run], order, value, window, out="__mean")
+    return p.select(*df.columns, (F.col("pos") + 1).alias("episode"), fround("__mean", 4).alias(f"mean_{window}"),
+                    fround((F.col("pos") + 1) / F.col("__total") * 100, 1).alias("pct"))
 
 
 def tail_n(df: DataFrame, run: str, order_desc: list[str], n: int = TAIL_N) -> DataFrame:
@@ -61,37 +47,32 @@ def tail_n(df: DataFrame, run: str, order_desc: list[str], n: int = TAIL_N) -> D
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
 
 
-def downsample(df: DataFrame, run: str, order: list[str], bucket_col: str,
-               points: int = DOWNSAMPLE_POINTS) -> DataFrame:
+def downsample(df: DataFrame, run: str, order: list[str], points: int = DOWNSAMPLE_POINTS) -> DataFrame:
     """Keep every ``max(1, n // points)``-th row of each run (``[::step]``)."""
-    p = positions_within(df, [run], order, bucket_col)
+    p = positions_within(df, [run], order)
     tot = df.groupBy(run).agg(F.count(F.lit(1)).alias("__n"))
     step = F.greatest(F.lit(1), F.floor(F.col("__n") / points))
-    return p.join(tot, run).where(F.col("pos") % step == 0).drop("__n")
+    return with_keys(p, tot, [run]).where(F.col("pos") % step == 0).drop("__n")
 
 
 def share_of_total(df: DataFrame, group: str, value: str, out: str = "share_pct", digits: int = 4) -> DataFrame:
-    """value / group total * 100.  The totals are a partial aggregate joined
-    back (AQE broadcasts them when small) instead of a window that would put
-    a hot group in one task."""
+    """value / group total * 100; a null group is a group.  The totals are a
+    partial aggregate joined back (AQE broadcasts them when small) instead of
+    a window that would put a hot group in one task."""
     tot = df.groupBy(group).agg(F.sum(value).alias("__t"))
-    return df.join(tot, group).withColumn(
+    return with_keys(df, tot, [group]).withColumn(
         out, fround(F.when(F.col("__t") != 0, F.col(value) / F.col("__t") * 100), digits)).drop("__t")
 
 
-def throughput(df: DataFrame, run: str, order: list[str], bucket_col: str, ts: str,
-               tokens: str | None = None) -> DataFrame:
-    """step_time_ms from the previous row of the run (equi-join on
-    position - 1), steps_per_sec = 1000 / ms, tokens_per_sec."""
-    p = positions_within(df, [run], order, bucket_col)
-    prev = p.select(F.col(run).alias("__r"), (F.col("pos") + 1).alias("__p"), F.col(ts).alias("__pts"))
-    j = p.join(prev, (p[run] == prev["__r"]) & (p["pos"] == prev["__p"]), "left")
+def throughput(df: DataFrame, run: str, order: list[str], ts: str, tokens: str | None = None) -> DataFrame:
+    """step_time_ms from the previous row of the run, steps_per_sec =
+    1000 / ms, tokens_per_sec."""
+    j = lag_within(df, [run], order, ts, out="__pts")
     us = F.timestamp_diff("MICROSECOND", F.col("__pts"), F.col(ts))
     ms = us / 1000.0
-    out = j.select(*df.columns, "pos", fround(ms, 3).alias("step_time_ms"),
-                   fround(F.when(ms > 0, 1000.0 / ms), 4).alias("steps_per_sec"),
-                   *([fround(F.when(ms > 0, F.col(tokens) / (ms / 1000.0)), 4).alias("tokens_per_sec")] if tokens else []))
-    return out
+    return j.select(*df.columns, "pos", fround(ms, 3).alias("step_time_ms"),
+                    fround(F.when(ms > 0, 1000.0 / ms), 4).alias("steps_per_sec"),
+                    *([fround(F.when(ms > 0, F.col(tokens) / (ms / 1000.0)), 4).alias("tokens_per_sec")] if tokens else []))
 
 
 def epoch_summary(df: DataFrame, run: str, epoch: Column, loss: str, kind: str) -> DataFrame:
@@ -128,19 +109,19 @@ def run_compare(summary: DataFrame, curve: DataFrame, run: str, step: str, loss:
     c = c.select(run, F.size("__c").cast("bigint").alias("n_points"),
                  F.array_join(F.transform("__c", lambda x: F.concat(x["s"].cast("string"), F.lit(":"),
                                                                     F.format_string("%.4f", x["l"]))), ";").alias("loss_curve"))
-    return summary.join(c, run, "left")
+    return with_keys(summary, c, [run], "left")
 
 
-def layer_issues(cand: DataFrame, run: str, name: str, max_issues: int = MAX_ISSUES) -> DataFrame:
+def layer_issues(cand: DataFrame, run: str, name: str, max_issues: int | None = None) -> DataFrame:
     """Bottleneck rules over per-layer candidates (forward_time_ms,
     memory_mb, grad_norm, dead_neuron_pct, grad_to_weight_ratio): slowest
     layer > 30 % (critical from 50 %), largest memory > 40 %, vanishing
-    (0 < g < 1e-7) / exploding (> 100) gradients, > 50 % dead, ratio > 1;
-    first ``max_issues`` per run in rule order, layers in name order."""
+    (0 < g < 1e-7) / exploding (> 100) gradients, > 50 % dead, ratio > 1; in
+    rule order, layers in name order (the first ``max_issues`` per run, if given)."""
     tot = cand.groupBy(run).agg(F.sum("forward_time_ms").alias("__tt"), F.sum("memory_mb").alias("__tm"))
     w_t = Window.partitionBy(run).orderBy(F.col("forward_time_ms").desc(), F.col(name))
     w_m = Window.partitionBy(run).orderBy(F.col("memory_mb").desc(), F.col(name))
-    c = (cand.join(tot, run)
+    c = (with_keys(cand, tot, [run])
          .withColumn("__rt", F.row_number().over(w_t)).withColumn("__rm", F.row_number().over(w_m))
          .withColumn("__ord", F.dense_rank().over(Window.partitionBy(run).orderBy(name))))
     tpct = F.col("forward_time_ms") / F.col("__tt") * 100
@@ -162,7 +143,8 @@ def layer_issues(cand: DataFrame, run: str, name: str, max_issues: int = MAX_ISS
         issue(F.col("grad_to_weight_ratio") > GRAD_WEIGHT_RATIO, 4, "high_grad_ratio", "warning"))
     ex = c.select(run, F.col(name).alias("layer"), F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("i"))
     w = Window.partitionBy(run).orderBy("i.g", "i.o")
-    return (ex.withColumn("issue_rank", F.row_number().over(w)).where(F.col("issue_rank") <= max_issues)
+    ranked = ex.withColumn("issue_rank", F.row_number().over(w))
+    return ((ranked if max_issues is None else ranked.where(F.col("issue_rank") <= max_issues))
             .select(run, F.col("issue_rank").cast("bigint").alias("issue_rank"), F.col("i.type").alias("type"),
                     F.col("i.severity").alias("severity"), "layer", F.col("i.pct").alias("pct")))
 
@@ -182,8 +164,10 @@ def latency_summary(df: DataFrame, value: str) -> DataFrame:
     """mean, median t[n//2], p95 t[int(.95 n)], p99 t[int(.99 n)], min, max
     (3 dp), throughput_per_sec = 1000 / mean (1 dp), n.  Order statistics
     are exact (distributed range narrowing)."""
-    agg = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("mn"),
-                 F.max(value).alias("mx")).first()
+    x = F.col(value).cast("double")
+    known = F.when(~F.isnan(x), x)
+    agg = df.agg(F.count(known).alias("n"), F.avg(known).alias("mean"), F.min(known).alias("mn"),
+                 F.max(known).alias("mx")).first()
     n = agg["n"]
     ks = [n // 2, int(n * 0.95), int(n * 0.99)] if n else []
     med, p95, p99 = kth_smallest(df, value, ks) if n else (None, None, None)
@@ -199,22 +183,22 @@ def latency_summary(df: DataFrame, value: str) -> DataFrame:
 
 
 def leaderboard(trials: DataFrame, trial: str, score: str) -> DataFrame:
-    """Trials by score desc (trial asc on ties) with a global 1-based rank
-    computed by a bucketed prefix count (no single-partition window); the
+    """Trials by score desc (trial asc on ties; null and NaN scores last) with
+    a global 1-based rank from sorted cells (no single-partition window); the
     best trial is the first best."""
-    t = trials.withColumn("__k", -F.col(score))
-    r = prefix_sum(t, ["__k", trial], None, key="__k", out="__pos")
+    known = F.when(~F.isnan(F.col(score).cast("double")), F.col(score))
+    r = prefix_sum(trials.withColumn("__k", known), [F.col("__k").desc_nulls_last(), F.col(trial).asc()], out="__pos")
     return r.select(trial, score, (F.col("__pos") + 1).cast("bigint").alias("rank"),
-                    (F.col("__pos") == 0).alias("is_best"))
+                    ((F.col("__pos") == 0) & F.col("__k").isNotNull()).alias("is_best"))
 
 
 def design_ranking(designs: DataFrame, name: str) -> DataFrame:
     """Designs with status ok ranked by loss_reduction desc (name asc), the
     failed ones after; plus flags for best efficiency, fastest, smallest."""
-    ok = F.col("status") == "ok"
-    key = F.when(ok, -F.col("loss_reduction")).otherwise(F.lit(float("inf")))
-    d = designs.withColumn("__k", key).withColumn("__g", F.when(ok, 0).otherwise(1))
-    r = prefix_sum(d, ["__g", "__k", name], None, key="__g", n_buckets=2, out="__pos")
+    ok = F.coalesce(F.col("status") == "ok", F.lit(False))
+    loss = F.when(ok & ~F.isnan(F.col("loss_reduction").cast("double")), F.col("loss_reduction"))
+    d = designs.withColumn("__k", loss).withColumn("__g", F.when(ok, 0).otherwise(1))
+    r = prefix_sum(d, [F.col("__g").asc(), F.col("__k").desc_nulls_last(), F.col(name).asc()], out="__pos")
     best_eff = designs.where(ok).orderBy(F.col("efficiency").desc(), name).limit(1).select(name).scalar()
     fastest = designs.where(ok).orderBy(F.col("time_seconds").asc(), name).limit(1).select(name).scalar()
     smallest = designs.where(ok).orderBy(F.col("params").asc(), name).limit(1).select(name).scalar()

@@ -252,19 +252,17 @@ def pack_sequences(docs: DataFrame, max_len: int, order_key: str = "doc_id", ids
     document emits only the fragments overlapping each window it touches,
     and a window is regrouped from at most ``max_len + 1`` tokens."""
     L = int(max_len)
+    if n_tokens is None:
+        docs = docs.select(order_key, F.col(ids).alias("ids"))
+    d = docs.withColumn("n", F.size("ids").cast("long") if n_tokens is None else n_tokens.cast("long")).where(F.col("n") > 0)
+    n_total = d.agg(F.sum("n")).first()[0] or 0
+    enough_windows((n_total - 1) // L)
+    total = F.lit(n_total)  # one count, reused by several expressions
+    # the documents are range-partitioned once, with their offsets; no join back
+    d = prefix_sum(d, [order_key], "n", out="o")
     if n_tokens is not None:
-        # token counts known without tokenising (e.g. characters): offsets are
-        # computed on (key, n) only and the encoder runs once, afterwards
-        counts = docs.select(order_key, n_tokens.cast("long").alias("n")).where(F.col("n") > 0)
-        total = F.lit(counts.agg(F.sum("n")).first()[0])  # one count, reused by several expressions
-        offs = prefix_sum(counts, [order_key], "n", out="o")
-        d = docs.join(offs, order_key)
         d = encode_fn(d) if encode_fn is not None else d
         d = d.select(order_key, F.col(ids).alias("ids"), "n", "o")
-    else:
-        d = docs.select(order_key, F.col(ids).alias("ids")).withColumn("n", F.size("ids")).where(F.col("n") > 0)
-        total = F.lit(d.agg(F.sum("n")).first()[0])
-        d = prefix_sum(d, [order_key], "n", out="o")
     n_seqs = F.floor((total - 1) / F.lit(L)).cast("long")
     first_k = F.floor(F.greatest(F.col("o") - 1, F.lit(0)) / L).cast("long")
     last_k = F.floor((F.col("o") + F.col("n") - 1) / L).cast("long")

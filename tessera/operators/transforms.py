@@ -20,7 +20,7 @@ from tessera.functions.columns import (
     blank_to_null, col_type, is_blank, is_numeric_type, is_string_type, not_blank, parse_list,
 )
 from tessera.functions import text as textfn
-from tessera.operators.quantiles import kth_smallest
+from tessera.operators.quantiles import kth_smallest, upper_median
 
 # --------------------------------------------------------------------------- projection
 
@@ -167,10 +167,8 @@ def fill_nulls(df: DataFrame, column: str, strategy: str = "value", value="",
             # opt-in: one-pass sketch instead of the exact narrowing
             fill = F.coalesce(df.select(F.percentile_approx(num, 0.5, int(approx_accuracy))).scalar(), F.lit(0.0))
         else:
-            vals = df.select(num.alias("__v"))
-            n = vals.where(F.col("__v").isNotNull()).count()
-            med = kth_smallest(vals, "__v", [n // 2])[0] if n else 0.0
-            fill = F.lit(float(med))
+            med = upper_median(df.select(num.alias("__v")), "__v")
+            fill = F.lit(float(med or 0.0))
         return df.withColumn(column, F.when(blank, fill).otherwise(num))
     if strategy == "mode":
         fill = _mode_scalar(df, column)
@@ -179,21 +177,10 @@ def fill_nulls(df: DataFrame, column: str, strategy: str = "value", value="",
         order = parse_list(order_by)
         if not order:
             raise ValueError("fill_nulls ffill/bfill needs order_by")
-        src = blank_to_null(df, column)
-        first_dt = col_type(df, order[0])
-        if (is_numeric_type(first_dt) or is_string_type(first_dt)
-                or isinstance(first_dt, (T.TimestampType, T.TimestampNTZType, T.DateType, T.BooleanType))):
-            # skew-safe: ordering buckets split a hot partition key
-            from tessera.operators.numbering import fill_forward_backward
-            tmp = df.withColumn(column, src)
-            return fill_forward_backward(tmp, parse_list(partition_by), order, order[0], column,
-                                         backward=(strategy == "bfill")).select(*df.columns)
-        w = Window.partitionBy(*parse_list(partition_by)).orderBy(*order)
-        if strategy == "ffill":
-            filled = F.last(src, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        else:
-            filled = F.first(src, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-        return df.withColumn(column, F.coalesce(src, filled))
+        # skew-safe: sorted cells split a hot partition key; a null key is a partition
+        from tessera.operators.numbering import fill_forward_backward
+        return fill_forward_backward(df.withColumn(column, blank_to_null(df, column)), parse_list(partition_by), order, column,
+                                     backward=(strategy == "bfill")).select(*df.columns)
     raise ValueError(f"fill_nulls: unknown strategy {strategy!r}")
 
 
@@ -272,18 +259,13 @@ def sort(df: DataFrame, column, descending: bool = False, tie_break=None) -> Dat
 
 def sort_ranked(df: DataFrame, column: str, descending: bool = False, tie_break=None,
                 out: str = "rank") -> DataFrame:
-    """Sorted rows plus their 1-based global position ``out``.  The position
-    comes from a key-range bucketed prefix count (numeric sort key), so no
-    window ever holds the whole table."""
+    """Sorted rows plus their 1-based global position ``out`` in the order of
+    ``sort``, for columns of any type, from sorted cells: no window ever holds
+    the whole table."""
     from tessera.operators.numbering import prefix_sum
-    if not is_numeric_type(col_type(df, column)):
-        raise ValueError("sort_ranked needs a numeric sort column")
-    ties = [c for c in parse_list(tie_break) if c != column]
-    key = (-F.col(column).cast("double")) if descending else F.col(column).cast("double")
-    keyed = df.withColumn("__k", F.coalesce(key, F.lit(float("-inf") if not descending else float("inf"))))
-    ranked = prefix_sum(keyed, ["__k", *ties], None, key="__k", out="__pos")
-    return ranked.withColumn(out, (F.col("__pos") + 1).cast("bigint")).drop("__k", "__pos") \
-        .orderBy(*_order_cols(df, column, descending, tie_break))
+    order = _order_cols(df, column, descending, tie_break)
+    ranked = prefix_sum(df, order, out="__pos")
+    return ranked.withColumn(out, (F.col("__pos") + 1).cast("bigint")).drop("__pos").orderBy(*order)
 
 
 def limit(df: DataFrame, n: int = 1000) -> DataFrame:
@@ -296,25 +278,19 @@ def sample_key(df: DataFrame, key=None, seed=0) -> Column:
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
 
-LARGE_SAMPLE = 100_000
-
-
-def sample(df: DataFrame, n: int = 100, seed=0, key=None, large: int = LARGE_SAMPLE) -> DataFrame:
+def sample(df: DataFrame, n: int = 100, seed=0, key=None) -> DataFrame:
     """Exactly ``min(n, count)`` rows without replacement, reproducible:
-    the ``n`` smallest ``md5(key | seed)``.  Up to ``large`` rows this is a
-    distributed top-n; beyond, the n-th smallest 52-bit hash is found by the
-    exact distributed quantile narrowing, rows below it are kept and the
+    the ``n`` smallest ``md5(key | seed)``.  The n-th smallest 52-bit hash is
+    found by the exact distributed narrowing, rows below it are kept and the
     boundary ties are filled in key order - no task ever holds n rows."""
     n = int(n)
     keys = [F.col(c) for c in (parse_list(key) or df.columns)]
     h = sample_key(df, key, seed)
-    if n <= large:
-        return df.orderBy(h, *keys).limit(n)
     num = F.conv(F.substring(h, 1, 13), 16, 10).cast("long")  # 52 bits: exact in a double
     tagged = df.withColumn("__sh", num)
-    cut = kth_smallest(tagged, "__sh", [n - 1])[0]
+    cut = kth_smallest(tagged, "__sh", [n - 1])[0] if n > 0 else None
     if cut is None:  # fewer than n rows: all of them
-        return df
+        return df if n > 0 else df.limit(0)
     below = tagged.where(F.col("__sh") < F.lit(int(cut)))
     taken = below.count()
     tie = tagged.where(F.col("__sh") == F.lit(int(cut))).orderBy(h, *keys).limit(n - taken)
@@ -326,19 +302,25 @@ def sample_fraction(df: DataFrame, fraction: float, seed=0, key=None) -> DataFra
     (no sort; reproducible; the cheap option when the exact count does not
     matter)."""
     from tessera.operators.prep import hex_threshold
-    return df.where(F.substring(sample_key(df, key, seed), 1, 4) < F.lit(hex_threshold(fraction)))
+    return df.where(F.substring(sample_key(df, key, seed), 1, 13) < F.lit(hex_threshold(fraction)))
 
 
-def page(df: DataFrame, offset: int = 0, limit_n: int = 100, order_by=None, large: int = LARGE_SAMPLE) -> DataFrame:
-    """Rows ``offset .. offset + limit_n - 1`` in ``order_by`` order.  Small
-    pages are a distributed top-(offset + n); deep pages take each row's
-    global position from the bucketed prefix count and keep a range."""
+#: Pages that end before this row are a distributed top-k; the rows are the
+#: same, only the plan differs.
+SHALLOW_PAGE = 100_000
+
+
+def page(df: DataFrame, offset: int = 0, limit_n: int = 100, order_by=None, shallow: int = SHALLOW_PAGE) -> DataFrame:
+    """Rows ``offset .. offset + limit_n - 1`` in ``order_by`` order (nulls
+    first, ties by a hash of the row).  Early pages are a distributed
+    top-(offset + n); deep pages take each row's global position from sorted
+    cells and keep a range."""
+    from tessera.operators.numbering import prefix_sum, row_tie
     order = parse_list(order_by) or df.columns
     offset, limit_n = int(offset), int(limit_n)
-    if offset + limit_n <= large:
-        return df.orderBy(*order).offset(offset).limit(limit_n)
-    from tessera.operators.numbering import prefix_sum
-    pos = prefix_sum(df, order, None, out="__pos")
+    if offset + limit_n <= shallow:
+        return df.orderBy(*order, row_tie(df)).offset(offset).limit(limit_n)
+    pos = prefix_sum(df, order, out="__pos")
     return pos.where((F.col("__pos") >= offset) & (F.col("__pos") < offset + limit_n)) \
         .orderBy("__pos").drop("__pos")
 

@@ -227,8 +227,7 @@ b AS (SELECT p.image_id, line_no, CAST(p[1] AS INTEGER) AS category_id,
 SELECT CAST(row_number() OVER (ORDER BY image_id, line_no) - 1 AS BIGINT) AS id, image_id, category_id,
  round(x, 1) AS x, round(y, 1) AS y, round(w, 1) AS w, round(h, 1) AS h, round(w * h, 1) AS area FROM b""")(
     lambda spark, d: ds.yolo_to_coco(yolo_labels(spark, d).select("image_id", "content"),
-                                     coco_images(spark, d).select(F.col("id").alias("image_id"), "width", "height"),
-                                     materialize=True))
+                                     coco_images(spark, d).select(F.col("id").alias("image_id"), "width", "height")))
 
 
 def _coco_samples(spark, d):
@@ -302,10 +301,10 @@ query("jsonl_to_csv", """SELECT CAST(event_id AS VARCHAR) AS event_id, event_typ
 
 # --------------------------------------------------------------------------- splits / batches / labels
 
-query("split_random", """SELECT doc_id, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 4) < 'cccd'
+query("split_random", """SELECT doc_id, CASE WHEN substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 13) < 'ccccccccccccd'
  THEN 'train' ELSE 'validation' END AS split FROM documents""")(
     lambda spark, d: prep.random_split(table(spark, d, "documents").select("doc_id"), "doc_id", 0.8, 42))
-query("split_sizes", """SELECT CASE WHEN substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 4) < 'cccd'
+query("split_sizes", """SELECT CASE WHEN substr(md5(CAST(doc_id AS VARCHAR) || ':42'), 1, 13) < 'ccccccccccccd'
  THEN 'train' ELSE 'validation' END AS split, CAST(count(*) AS BIGINT) AS n_samples FROM documents GROUP BY 1""")(
     lambda spark, d: prep.split_sizes(prep.random_split(table(spark, d, "documents").select("doc_id"), "doc_id", 0.8, 42)))
 query("label_encode", """WITH l AS (SELECT o_orderpriority AS label, row_number() OVER (ORDER BY o_orderpriority) - 1 AS class_id
@@ -313,7 +312,7 @@ query("label_encode", """WITH l AS (SELECT o_orderpriority AS label, row_number(
 SELECT o_orderkey, o_orderpriority, CAST(class_id AS BIGINT) AS class_id, CAST((SELECT count(*) FROM l) AS BIGINT) AS n_classes
 FROM orders LEFT JOIN l ON o_orderpriority = l.label""")(
     lambda spark, d: prep.label_encode(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority"))
-query("batch_ids", """SELECT doc_id, '0-' || CAST(floor((row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':7'), doc_id) - 1) / 32)
+query("batch_ids", """SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR) || ':7'), doc_id) - 1) / 32)
  AS BIGINT) AS batch_id FROM documents""")(
     lambda spark, d: prep.batch_ids(table(spark, d, "documents").select("doc_id"), "doc_id", 32, 7))
 

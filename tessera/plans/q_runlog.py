@@ -23,7 +23,7 @@ query("rolling_mean_100", f"""SELECT event_id, user_id, value, CAST(row_number()
    / count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 4) AS mean_100,
  round(row_number() OVER {_W} / count(*) OVER (PARTITION BY user_id) * 100, 1) AS pct FROM events""")(
     lambda spark, d: rl.rolling_mean(_events(spark, d).select("event_id", "user_id", "ts", "value"), "user_id",
-                                     ["ts", "event_id"], "ts", "value", 100).drop("ts"))
+                                     ["ts", "event_id"], "value", 100).drop("ts"))
 
 query("tail_n", """SELECT event_id, user_id, value, rn FROM (SELECT event_id, user_id, value,
  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rn FROM events) t WHERE rn <= 100""")(
@@ -32,7 +32,7 @@ query("tail_n", """SELECT event_id, user_id, value, rn FROM (SELECT event_id, us
 query("downsample_curve", f"""SELECT event_id, user_id, pos FROM (SELECT event_id, user_id,
  CAST(row_number() OVER {_W} - 1 AS BIGINT) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events) t
 WHERE pos % greatest(1, n // 200) = 0""")(
-    lambda spark, d: rl.downsample(_events(spark, d), "user_id", ["ts", "event_id"], "ts").select("event_id", "user_id", "pos"))
+    lambda spark, d: rl.downsample(_events(spark, d), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "pos"))
 
 query("share_of_total", """SELECT l_orderkey, l_linenumber, l_returnflag,
  round(l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_returnflag) * 100, 4) AS share_pct FROM lineitem""")(
@@ -46,7 +46,7 @@ query("throughput", f"""SELECT event_id, user_id, CAST(row_number() OVER {_W} -
    THEN 1000.0 / ((epoch_us(ts) - epoch_us(lag(ts) OVER {_W})) / 1000.0) END, 4) AS steps_per_sec,
  round(CASE WHEN (epoch_us(ts) - epoch_us(lag(ts) OVER {_W})) / 1000.0 > 0
    THEN value / ((epoch_us(ts) - epoch_us(lag(ts) OVER {_W})) / 1000.0 / 1000.0) END, 4) AS tokens_per_sec FROM events""")(
-    lambda spark, d: rl.throughput(_events(spark, d), "user_id", ["ts", "event_id"], "ts", "ts", tokens="value")
+    lambda spark, d: rl.throughput(_events(spark, d), "user_id", ["ts", "event_id"], "ts", tokens="value")
     .select("event_id", "user_id", "pos", "step_time_ms", "steps_per_sec", "tokens_per_sec"))
 
 # epochs: day of the step; kind: click/view train, purchase val, signup correct, error wrong; loss = value / 100
@@ -84,7 +84,7 @@ query("run_summary", _RUN_SUMMARY_SQL)(lambda spark, d: rl.run_summary(_epochs(s
 
 def _run_compare(spark, d):
     summ = rl.run_summary(_epochs(spark, d), "user_id").select("user_id", "best_val_loss", "best_val_acc")
-    curve = rl.downsample(_events(spark, d), "user_id", ["ts", "event_id"], "ts") \
+    curve = rl.downsample(_events(spark, d), "user_id", ["ts", "event_id"]) \
         .select("user_id", "pos", (F.col("value") / 100.0).alias("loss"))
     out = rl.run_compare(summ, curve, "user_id", "pos", "loss")
     return out
@@ -129,7 +129,7 @@ i AS (
  UNION ALL SELECT run, name, 4, o, 'high_grad_ratio', 'warning', NULL FROM c WHERE grad_to_weight_ratio > 1.0)
 SELECT run, issue_rank, type, severity, layer, pct FROM (
  SELECT run, CAST(row_number() OVER (PARTITION BY run ORDER BY g, o) AS BIGINT) AS issue_rank, type, severity,
-   name AS layer, CAST(pct AS DOUBLE) AS pct FROM i) t WHERE issue_rank <= 10""")(
+   name AS layer, CAST(pct AS DOUBLE) AS pct FROM i) t""")(
     lambda spark, d: rl.layer_issues(_candidates(spark, d), "run", "name"))
 
 query("layer_profile", """WITH g AS (SELECT event_type AS name, avg(value) AS a, count(*) AS calls FROM events GROUP BY 1)

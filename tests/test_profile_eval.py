@@ -142,3 +142,36 @@ def test_pair_overlaps_match_spark_native_counts(spark):
             .agg(F.sum(F.least("rc", "pc")).alias("m")).collect()}
     for (pid, n), m in fast.items():
         assert m == slow.get((pid, n), 0)
+
+
+def test_quantiles_of_infinities_neighbours_and_nan(spark):
+    import math
+    from tessera.operators.quantiles import kth_smallest, upper_median
+    near = [1.0, math.nextafter(1.0, 2), math.nextafter(math.nextafter(1.0, 2), 2)]
+    vals = [float("-inf")] * 3 + near * 400 + [1e308, -1e308, float("inf"), float("nan"), None] + [float(i) for i in range(500)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    known = sorted(v for v in vals if v is not None and not math.isnan(v))
+    ks = [0, 2, 3, 4, 500, 900, 1300, len(known) - 2, len(known) - 1]
+    got = kth_smallest(df, "x", ks, collect_limit=10, buckets=16)
+    assert got == [known[k] for k in ks]
+    assert kth_smallest(df, "x", [len(known)]) == [None]
+    assert upper_median(df, "x", collect_limit=10) == known[len(known) // 2]
+
+
+def test_profile_of_nan_and_infinity(spark):
+    df = spark.createDataFrame([(float(i % 40), float("nan") if i % 2 else float(i)) for i in range(200)] + [(float("inf"), None)],
+                               "a double, b double")
+    rows = {r.column: r for r in pr.numeric_profile(df).collect()}
+    assert rows["b"].max == 198.0 and rows["b"].median == 100.0 and rows["a"].max == float("inf")
+    h = pr.histogram(df, "a").collect()
+    assert len(h) == 20 and sum(r["count"] for r in h) == 200
+    p = pr.profile(df)
+    assert sum(p["columns"]["b"]["histogram"]["counts"]) == 100
+
+
+def test_fround_keeps_large_values(spark):
+    from pyspark.sql import functions as F
+    from tessera.functions.numeric import fround
+    vals = [5.0e13, 1e300, float("inf"), -2.5e15, 1.23456789]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "x double").select(fround(F.col("x"), 6)).collect()]
+    assert got == vals[:4] + [1.234568]

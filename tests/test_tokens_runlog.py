@@ -87,14 +87,14 @@ def test_prefix_sum_and_positions(spark):
     random.seed(4)
     rows = [(i * 3, random.randint(1, 9)) for i in range(500)]
     df = spark.createDataFrame(rows, "k bigint, w bigint")
-    got = {r.k: r.offset for r in prefix_sum(df, ["k"], "w", n_buckets=7).collect()}
+    got = {r.k: r.offset for r in prefix_sum(df, ["k"], "w", cell_rows=9).collect()}
     acc = 0
     for k, w in rows:
         assert got[k] == acc
         acc += w
     # one hot key holding most rows, spread over many ordering buckets
     ev = spark.createDataFrame([(0 if i % 3 else 1, i, float(i)) for i in range(900)], "u bigint, t bigint, v double")
-    pos = {(r.u, r.t): r.pos for r in positions_within(ev, ["u"], ["t"], "t", n_buckets=16).collect()}
+    pos = {(r.u, r.t): r.pos for r in positions_within(ev, ["u"], ["t"], cell_rows=40).collect()}
     for u in (0, 1):
         ts = sorted(t for (uu, t) in pos if uu == u)
         assert [pos[(u, t)] for t in ts] == list(range(len(ts)))
@@ -103,7 +103,7 @@ def test_prefix_sum_and_positions(spark):
 def test_rolling_mean_tail_and_latency(spark):
     data = [(1, i, float(i)) for i in range(250)]
     df = spark.createDataFrame(data, "run bigint, t bigint, v double")
-    r = {x.t: x.mean_100 for x in rl.rolling_mean(df, "run", ["t"], "t", "v", 100).collect()}
+    r = {x.t: x.mean_100 for x in rl.rolling_mean(df, "run", ["t"], "v", 100).collect()}
     assert r[0] == 0.0 and r[9] == 4.5 and r[249] == sum(range(150, 250)) / 100
     assert rl.tail_n(df, "run", ["t"], 10).count() == 10
     lat = spark.createDataFrame([(float(i),) for i in range(100)], "x double")
@@ -141,13 +141,13 @@ def test_forward_fill_hot_key_many_buckets(spark):
     from tessera.operators.numbering import fill_forward_backward
     rows = [(0 if i % 4 else 1, i, (float(i) if i % 7 == 0 else None)) for i in range(700)]
     df = spark.createDataFrame(rows, "k bigint, t bigint, v double")
-    got = {(r.k, r.t): r.v for r in fill_forward_backward(df, ["k"], ["t"], "t", "v", n_buckets=9).collect()}
+    got = {(r.k, r.t): r.v for r in fill_forward_backward(df, ["k"], ["t"], "v", cell_rows=30).collect()}
     last = {}
     for k, t, v in rows:
         if v is not None:
             last[k] = v
         assert got[(k, t)] == (v if v is not None else last.get(k))
-    back = {(r.k, r.t): r.v for r in fill_forward_backward(df, ["k"], ["t"], "t", "v", backward=True, n_buckets=9).collect()}
+    back = {(r.k, r.t): r.v for r in fill_forward_backward(df, ["k"], ["t"], "v", backward=True, cell_rows=30).collect()}
     nxt = {}
     for k, t, v in reversed(rows):
         if v is not None:
@@ -155,24 +155,58 @@ def test_forward_fill_hot_key_many_buckets(spark):
         assert back[(k, t)] == (v if v is not None else nxt.get(k))
 
 
-def test_adaptive_buckets_split_hot_values(spark):
-    from tessera.operators.numbering import adaptive_buckets
+def test_cells_split_hot_values(spark):
+    from tessera.operators.numbering import cells
     random.seed(8)
     rows = [(5.0, float(i)) for i in range(600)] + [(random.random() * 100, float(i)) for i in range(600, 800)]
     random.shuffle(rows)
     df = spark.createDataFrame(rows, "k double, t double")
-    got = {r.t: r.offset for r in prefix_sum(df, ["k", "t"], None, n_buckets=8, max_rows=40).collect()}
-    expect = {t: i for i, (k, t) in enumerate(sorted(rows))}
-    assert got == expect
-    b, levels = adaptive_buckets(df, ["k", "t"], n_buckets=8, max_rows=40)
-    biggest = b.groupBy(*levels).count().agg(F.max("count")).first()[0]
-    assert len(levels) >= 2 and biggest <= 40
+    got = {r.t: r.offset for r in prefix_sum(df, ["k", "t"], cell_rows=40).collect()}
+    assert got == {t: i for i, (k, t) in enumerate(sorted(rows))}
+    same = spark.range(900).selectExpr("1 as k")  # equal in everything
+    assert sorted(r.offset for r in prefix_sum(same, ["k"], cell_rows=40).collect()) == list(range(900))
+    assert cells(same, ["k"], 40).groupBy("__cell").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_positions_of_nulls_nan_and_shared_prefixes(spark):
+    """Null keys are groups; nulls, NaN, long common prefixes and big numbers are ordered as a sort does."""
+    rows = [(None if i % 3 == 0 else "g", "https://example.com/path/%05d" % (i * 7919 % 1000), (1 << 60) + i) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, url string, big long")
+    for order, place in ((["url"], 1), (["big"], 2)):
+        pos = {(r.k, r[place]): r.pos for r in positions_within(df, ["k"], order, cell_rows=25).collect()}
+        assert len(pos) == 600
+        for k in (None, "g"):
+            mine = sorted(r[place] for r in rows if r[0] == k)
+            assert [pos[(k, x)] for x in mine] == list(range(len(mine)))
+    vals = [None, None, float("nan"), 1.0, -1.0, float("inf"), float("-inf"), 2.5] * 9
+    odd = spark.createDataFrame(list(enumerate(vals)), "i long, x double")
+    a = [r.i for r in odd.orderBy("x", "i").collect()]
+    got = {r.i: r.offset for r in prefix_sum(odd, ["x", "i"], cell_rows=5).collect()}
+    assert [got[i] for i in a] == list(range(len(vals)))
+
+
+def test_sequences_keep_null_runs_across_cells(spark):
+    from tessera.operators.numbering import lag_within, trailing_mean
+    rows = [(None if i % 2 else 1, i, float(i % 13), i) for i in range(400)] + [(2, 0, 1e-12, 0)]
+    df = spark.createDataFrame(rows, "run long, t long, v double, n long")
+    lag = {(r.run, r.t): r.prev for r in lag_within(df, ["run"], ["t"], "n", out="prev", cell_rows=30).collect()}
+    mean = {(r.run, r.t): r for r in trailing_mean(df, ["run"], ["t"], "v", 50, out="m", cell_rows=30).collect()}
+    assert len(lag) == len(mean) == 401
+    for run in (None, 1, 2):
+        mine = [r for r in rows if r[0] == run]
+        for i, r in enumerate(mine):
+            assert lag[(run, r[1])] == (mine[i - 1][3] if i else None)
+            window = [x[2] for x in mine[max(0, i - 49):i + 1]]
+            got = mean[(run, r[1])]
+            assert got.pos == i and got["__total"] == len(mine) and abs(got.m - sum(window) / len(window)) <= 1e-12 * got.m
+    share = rl.share_of_total(spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, v double"), "g", "v")
+    assert sorted(r.share_pct for r in share.collect()) == [25.0, 75.0, 100.0]
 
 
 def test_positions_hot_key_identical_times(spark):
     rows = [(1, 100, i) for i in range(500)] + [(2, i, i) for i in range(100)]
     df = spark.createDataFrame(rows, "u bigint, ts bigint, eid bigint")
-    pos = {(r.u, r.eid): r.pos for r in positions_within(df, ["u"], ["ts", "eid"], "ts", n_buckets=4, max_rows=30).collect()}
+    pos = {(r.u, r.eid): r.pos for r in positions_within(df, ["u"], ["ts", "eid"], cell_rows=30).collect()}
     assert [pos[(1, i)] for i in range(500)] == list(range(500))
     assert [pos[(2, i)] for i in range(100)] == list(range(100))
 
@@ -196,14 +230,3 @@ def test_pipeline_rejects_whole_table_steps_on_streams(spark, tmp_path):
     p.add_step("sort", {"column": "x"})
     with pytest.raises(PipelineError):
         p.build()
-
-
-def test_adaptive_buckets_split_on_third_column_and_full_ties(spark):
-    from tessera.operators.numbering import adaptive_buckets
-    rows = [(1, 1, i, f"r{i}") for i in range(300)] + [(2, 2, 0, f"s{i}") for i in range(300)]
-    df = spark.createDataFrame(rows, "a bigint, b bigint, c bigint, d string")
-    got = {(r.a, r.c, r.d): r.offset for r in prefix_sum(df, ["a", "b", "c"], None, n_buckets=4, max_rows=40).collect()}
-    assert [got[(1, i, f"r{i}")] for i in range(300)] == list(range(300))
-    assert sorted(v for (a, c, d), v in got.items() if a == 2) == list(range(300, 600))
-    b, levels = adaptive_buckets(df, ["a", "b", "c"], n_buckets=4, max_rows=40)
-    assert b.groupBy(*levels).count().agg(F.max("count")).first()[0] <= 60

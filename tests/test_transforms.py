@@ -193,16 +193,39 @@ def test_ffill_with_string_order_column(spark):
     assert all(got[f"k{i:03d}"] == float(i - i % 5) for i in range(60))
 
 
-def test_large_sample_path_matches_top_n(spark):
+def test_sample_is_the_smallest_hashes(spark):
+    import hashlib
     df = spark.range(5000).withColumnRenamed("id", "k")
-    small = sorted(r.k for r in tf.sample(df, 700, 9, "k").collect())
-    large = sorted(r.k for r in tf.sample(df, 700, 9, "k", large=10).collect())
-    assert len(large) == 700 and large == small
-    assert tf.sample(df, 9000, 9, "k", large=10).count() == 5000
+    got = sorted(r.k for r in tf.sample(df, 700, 9, "k").collect())
+    want = sorted(range(5000), key=lambda k: hashlib.md5(f"{k}|9".encode()).hexdigest())[:700]
+    assert got == sorted(want)
+    assert tf.sample(df, 9000, 9, "k").count() == 5000 and tf.sample(df, 0, 9, "k").count() == 0
+    assert 2 <= tf.sample_fraction(spark.range(1_000_000).withColumnRenamed("id", "k"), 1e-5, 1, "k").count() <= 30
 
 
 def test_deep_page_matches_top_n_path(spark):
     df = spark.range(3000).selectExpr("id", "cast(id % 97 as bigint) as g")
     a = [tuple(r) for r in tf.page(df, 1200, 50, "g,id").collect()]
-    b = [tuple(r) for r in tf.page(df, 1200, 50, "g,id", large=10).collect()]
+    b = [tuple(r) for r in tf.page(df, 1200, 50, "g,id", shallow=10).collect()]
     assert a == b and len(a) == 50
+
+
+def test_deep_page_orders_nulls_as_the_shallow_one(spark):
+    df = spark.range(900).selectExpr("id", "case when id % 3 > 0 then 'https://example.com/a/b/c/' || (id % 50) end as u")
+    for offset in (0, 290, 700):
+        a = [tuple(r) for r in tf.page(df, offset, 40, "u").collect()]
+        assert a == [tuple(r) for r in tf.page(df, offset, 40, "u", shallow=1).collect()] and len(a) == 40
+
+
+def test_sort_ranked_of_any_type(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("c",)], "s string")
+    assert [(r.s, r["rank"]) for r in tf.sort_ranked(df, "s").collect()] == [(None, 1), ("a", 2), ("b", 3), ("c", 4)]
+    assert [(r.s, r["rank"]) for r in tf.sort_ranked(df, "s", descending=True).collect()] == [("c", 1), ("b", 2), ("a", 3), (None, 4)]
+
+
+def test_fill_median_with_infinities_and_nan(spark):
+    import math
+    vals = [float("-inf"), float("inf"), float("nan")] + [float(i) for i in range(101)] + [None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, v double")
+    got = {r.i: r.v for r in tf.fill_nulls(df, "v", "median").collect()}
+    assert got[len(vals) - 1] == 51.0 or math.isnan(got[2])
