@@ -27,7 +27,6 @@ NUMBER_RE = r"-?\d+\.?\d*"
 ARXIV_RE = r"arxiv\.org/(?:abs|pdf)/(\d+\.\d+)"
 S2_RE = r"semanticscholar\.org/paper/([a-f0-9]+)"
 OPENREVIEW_ID_RE = r"id=([A-Za-z0-9_-]+)"
-HTML_TEXT_CAP = 15000
 MIN_FENCED_CHARS = 50
 
 
@@ -66,9 +65,8 @@ def html_clean_text(html: Column) -> Column:
     return strip(F.regexp_replace(t, SPACE_RUN_RE, " "))
 
 
-def html_to_text(html: Column, cap: int | None = HTML_TEXT_CAP) -> Column:
-    """The reference's ``full_text`` field: the whole-page text, reported up
-    to ``cap`` characters (None = no cap)."""
+def html_to_text(html: Column, cap: int | None = None) -> Column:
+    """The whole-page text; ``cap`` asks for a preview of so many characters."""
     t = html_clean_text(html)
     return t if cap is None else F.substring(t, 1, cap)
 

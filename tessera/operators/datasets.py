@@ -120,14 +120,19 @@ def validate_preference(df: DataFrame, method: str) -> DataFrame:
 
 
 def sample_id(df: DataFrame, cols=None, salt: str = "") -> Column:
-    """Deterministic 8-hex id from the row content (stable under retries and
-    re-partitioning, unlike a random uuid)."""
+    """Deterministic id from the row content: its md5 (stable under retries
+    and re-partitioning, unlike a random uuid).  Equal rows share it."""
     cols = cols or [c for c in df.columns if not c.startswith("_")]
-    return F.substring(F.md5(F.concat_ws("|", F.lit(salt), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])), 1, 8)
+    return F.md5(F.concat_ws("|", F.lit(salt), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
 
 
 def append_samples(dataset: DataFrame, new: DataFrame, id_cols=None) -> DataFrame:
-    n = new.withColumn("_id", sample_id(new, id_cols))
+    """``new`` appended with ids of its own: the content's digest, and ``-k``
+    for the k-th further copy of the same content."""
+    from tessera.operators.numbering import positions_within
+    n = positions_within(new.withColumn("_id", sample_id(new, id_cols)), ["_id"], ["_id"], out="__copy")
+    copy = F.when(F.col("__copy") > 0, F.concat(F.lit("-"), F.col("__copy").cast("string"))).otherwise("")
+    n = n.withColumn("_id", F.concat("_id", copy)).drop("__copy")
     return dataset.unionByName(n, allowMissingColumns=True)
 
 
@@ -137,8 +142,9 @@ def delete_samples(dataset: DataFrame, ids: DataFrame, key: str = "_id") -> Data
 
 def update_samples(dataset: DataFrame, updates: DataFrame, key: str = "_id") -> DataFrame:
     """Whole-row replacement by id: fields absent from ``updates`` become
-    null, as in the reference."""
-    u = updates.select(key, F.struct(*[F.col(c) for c in updates.columns if c != key]).alias("__u"))
+    null, as in the reference.  Of several updates of one id the greatest
+    counts (columns in order), so rows never multiply."""
+    u = updates.groupBy(key).agg(F.max(F.struct(*[F.col(c) for c in updates.columns if c != key])).alias("__u"))
     j = dataset.join(u, key, "left")
     out = []
     for c in dataset.columns:
@@ -240,18 +246,31 @@ def coco_to_yolo(images: DataFrame, annotations: DataFrame) -> DataFrame:
     images: id, file_name, width, height; annotations: id, image_id,
     category_id, x, y, w, h (pixels)."""
     img = images.where((F.col("width") != 0) & (F.col("height") != 0))
-    a = annotations.alias("a")
-    j = img.alias("i").join(a, F.col("i.id") == F.col("a.image_id"), "left")
-    W, H = F.col("i.width").cast("double"), F.col("i.height").cast("double")
-    line = F.format_string("%d %.6f %.6f %.6f %.6f", F.col("a.category_id").cast("int"),
-                           fround((F.col("a.x") + F.col("a.w") / 2) / W, 6), fround((F.col("a.y") + F.col("a.h") / 2) / H, 6),
-                           fround(F.col("a.w") / W, 6), fround(F.col("a.h") / H, 6))
-    g = j.groupBy(F.col("i.id").alias("image_id"), F.col("i.file_name").alias("src")).agg(
-        F.sort_array(F.collect_list(F.when(F.col("a.id").isNotNull(), F.struct(F.col("a.id").alias("k"), line.alias("l")))))
-        .alias("ls"))
-    stem = F.regexp_replace(F.regexp_extract("src", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    return g.select("image_id", F.concat(stem, F.lit(".txt")).alias("file_name"),
-                    F.size("ls").cast("bigint").alias("n_lines"), F.array_join(F.col("ls.l"), "\n").alias("content"))
+    # boxes are grouped first, so that one row per image meets its boxes
+    boxes = annotations.groupBy(F.col("image_id").alias("__of")).agg(F.collect_list(F.struct(
+        "id", "category_id", "x", "y", "w", "h")).alias("boxes"))
+    W, H = F.col("width").cast("double"), F.col("height").cast("double")
+    lines = F.array_sort(F.transform(F.coalesce("boxes", F.array()), lambda a: F.struct(a["id"].alias("k"), F.format_string(
+        "%d %.6f %.6f %.6f %.6f", a["category_id"].cast("int"), fround((a["x"] + a["w"] / 2) / W, 6),
+        fround((a["y"] + a["h"] / 2) / H, 6), fround(a["w"] / W, 6), fround(a["h"] / H, 6)).alias("l")))).getField("l")
+    stem = F.regexp_replace(F.regexp_extract("file_name", r"([^/]*)$", 1), r"\.[^.]*$", "")
+    return (img.join(boxes, F.col("id") == F.col("__of"), "left").withColumn("lines", lines)
+            .select(F.col("id").alias("image_id"), F.concat(stem, F.lit(".txt")).alias("file_name"),
+                    F.size("lines").cast("bigint").alias("n_lines"), F.array_join("lines", "\n").alias("content")))
+
+
+def yolo_from_samples(samples: DataFrame, id_col: str = "_id") -> DataFrame:
+    """(src, file_name, content): one label text per sample (image_path,
+    annotations ARRAY<STRUCT<class_id, x_center, y_center, width, height>>).
+    Only annotations with a class_id are written, a line each; the file has
+    the image's name, or the sample's id if there is no image."""
+    path = F.coalesce(F.col("image_path"), F.lit(""))
+    stem = F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    name = F.when(path != "", stem).otherwise(F.coalesce(F.col(id_col).cast("string"), F.lit("unknown")))
+    lines = F.transform(F.filter(F.coalesce("annotations", F.array()), lambda a: a["class_id"].isNotNull()), lambda a: F.concat(
+        F.concat_ws(" ", *[a[c].cast("string") for c in ("class_id", "x_center", "y_center", "width", "height")]), F.lit("\n")))
+    return samples.select(F.col("image_path").alias("src"), F.concat(name, F.lit(".txt")).alias("file_name"),
+                          F.array_join(lines, "").alias("content"))
 
 
 def yolo_to_coco(labels: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -298,26 +317,38 @@ def export_coco(samples: DataFrame, order_key: str, labels: list[str] | None = N
 
 def folder_manifest(df: DataFrame, path_col: str = "image_path", label_col: str = "label",
                     root: str = "imagefolder") -> DataFrame:
-    """(src, dst) pairs for image/audio folder export: ``root/label/name``."""
+    """(src, dst) pairs for image/audio folder export: ``root/label/name``.
+    Files of one label that share a name get ``-1``, ``-2``, ... in path order."""
+    from tessera.operators.numbering import positions_within
     name = F.regexp_extract(F.col(path_col), r"([^/]*)$", 1)
-    return df.where(F.col(path_col).isNotNull() & (F.col(path_col) != "")).select(
-        F.col(path_col).alias("src"),
-        F.concat_ws("/", F.lit(root), F.coalesce(F.col(label_col).cast("string"), F.lit("unknown")), name).alias("dst"))
-
-
-def copy_manifest(manifest: DataFrame, dest_root: str) -> None:
-    """Copy every (src, dst) pair, one partition per task (executors copy;
-    nothing passes through the driver)."""
+    m = df.where(F.col(path_col).isNotNull() & (F.col(path_col) != "")).select(
+        F.col(path_col).alias("src"), F.concat_ws("/", F.lit(root), F.coalesce(F.col(label_col).cast("string"), F.lit("unknown")),
+                                                  name).alias("dst"))
+    ending = F.regexp_extract("dst", r"(\.[^./]*)$", 1)
+    apart = F.concat(F.expr("substring(dst, 1, length(dst) - length(__end))"), F.lit("-"), F.col("pos").cast("string"), "__end")
+    return (positions_within(m, ["dst"], ["src"]).withColumn("__end", ending)
+            .select("src", F.when(F.col("pos") > 0, apart).otherwise(F.col("dst")).alias("dst")))
+
+
+def copy_manifest(manifest: DataFrame, dest_root: str) -> DataFrame:
+    """Copy every (src, dst) pair on the executors and return (src, dst,
+    status): ``copied`` or ``missing``.  The copies run when the result is
+    read; both ends must be folders that every executor sees."""
     import os
     import shutil
 
-    def run(rows):
-        for r in rows:
-            dst = os.path.join(dest_root, r["dst"])
-            os.makedirs(os.path.dirname(dst), exist_ok=True)
-            if os.path.exists(r["src"]):
-                shutil.copy2(r["src"], dst)
-    manifest.foreachPartition(run)
+    def run(batches):
+        for b in batches:
+            status = []
+            for src, dst in zip(b["src"], b["dst"]):
+                to = os.path.join(dest_root, dst)
+                os.makedirs(os.path.dirname(to), exist_ok=True)
+                found = os.path.exists(src)
+                if found:
+                    shutil.copy2(src, to)
+                status.append("copied" if found else "missing")
+            yield b.assign(status=status)
+    return manifest.select("src", "dst").mapInPandas(run, "src string, dst string, status string")
 
 
 def write_yolo_files(labels: DataFrame, out_dir: str, classes: list[str] | None = None,

@@ -13,7 +13,7 @@ length (Python big integers, O(m * n / 64) word operations per pair).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,15 +44,19 @@ def label_set(df: DataFrame, y_true: str, y_pred: str, labels=None) -> DataFrame
     return both
 
 
-def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, labels=None) -> DataFrame:
+def confusion_matrix(df: DataFrame, y_true: str, y_pred: str, labels=None, zeros: bool = True) -> DataFrame:
     """true_label, pred_label, count for every label pair (zeros included).
     The label grid is an ``explode`` of the (bounded) label list, not a
-    cross join."""
+    cross join; ``zeros=False`` leaves it out and gives the pairs that occur,
+    for any number of labels."""
     pc = pair_counts(df, y_true, y_pred)
+    if not zeros:
+        return pc.where("t is not null and p is not null").select(
+            F.col("t").alias("true_label"), F.col("p").alias("pred_label"), F.col("n").cast("bigint").alias("count"))
     lab = label_set(df, y_true, y_pred, labels).select("label")
     n_labels = lab.limit(MAX_LABELS + 1).count()
     if n_labels > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} distinct labels: not a classification target")
+        raise ValueError(f"more than {MAX_LABELS} distinct labels: pass zeros=False")
     all_labels = lab.agg(F.sort_array(F.collect_list("label")).alias("ls")).select("ls").scalar()
     grid = lab.select(F.col("label").alias("true_label"), F.explode(all_labels).alias("pred_label"))
     return (grid.join(pc, (grid.true_label == pc.t) & (grid.pred_label == pc.p), "left")
@@ -78,8 +82,11 @@ def per_class_metrics(df: DataFrame, y_true: str, y_pred: str, labels=None) -> D
                      F.lit(0).cast("bigint").alias("tp")))).alias("s")).select("s.*")
     agg = sums.groupBy("label").agg(F.sum("true_n").alias("support"), F.sum("pred_n").alias("pred_n"),
                                     F.sum("tp").alias("tp"))
-    lab = label_set(df, y_true, y_pred, labels).select("label")
-    m = lab.join(agg, "label", "left").na.fill(0, ["support", "pred_n", "tp"])
+    if labels is None:
+        m = agg.where(F.col("label").isNotNull())  # every label is in the pair counts: one scan
+    else:
+        lab = label_set(df, y_true, y_pred, labels).select("label")
+        m = lab.join(agg, "label", "left").na.fill(0, ["support", "pred_n", "tp"])
     prec = F.when(F.col("pred_n") > 0, F.col("tp") / F.col("pred_n")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     m = m.select("label", "support", prec.alias("p"), rec.alias("r"))
@@ -221,19 +228,13 @@ def pair_overlaps(pairs: DataFrame, orders=(1, 2, 3, 4)) -> DataFrame:
     want = tuple(orders)
 
     def per_batch(batches):
-        import pyarrow as pa
         for rb in batches:
             rt, pt = rb.column(1), rb.column(2)
             n_pairs = rb.num_rows
             off_r = np.asarray(rt.offsets.to_numpy(), np.int64) - rt.offsets[0].as_py()
             off_p = np.asarray(pt.offsets.to_numpy(), np.int64) - pt.offsets[0].as_py()
-            flat_r = rt.flatten().to_numpy(zero_copy_only=False)
-            flat_p = pt.flatten().to_numpy(zero_copy_only=False)
-            every = np.concatenate([flat_r, flat_p]).astype(object)
-            if len(every):
-                _, inv = np.unique(every, return_inverse=True)
-            else:
-                inv = np.zeros(0, np.int64)
+            flat_r, flat_p = rt.flatten(), pt.flatten()
+            inv = pa.chunked_array([flat_r, flat_p]).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
             ids_r, ids_p = inv[:len(flat_r)], inv[len(flat_r):]
             cols = [rb.column(0).cast(pa.int64()), pa.array(np.diff(off_r), pa.int64()),
                     pa.array(np.diff(off_p), pa.int64())]
@@ -280,26 +281,52 @@ def rouge_12(df: DataFrame, ref: str, pred: str, pair_id: str) -> DataFrame:
     return s.agg(fround(F.avg("rouge_1"), 4).alias("rouge_1"), fround(F.avg("rouge_2"), 4).alias("rouge_2"))
 
 
-def lcs_length_py(a: list, b: list) -> int:
-    """Bit-parallel LCS length (Allison-Dix / Hyyro): bit j of ``v`` is 0
-    when b[j] extends a common subsequence."""
-    if not a or not b:
-        return 0
-    masks: dict = {}
-    for j, tok in enumerate(b):
-        masks[tok] = masks.get(tok, 0) | (1 << j)
-    full = (1 << len(b)) - 1
-    v = full
-    for tok in a:
-        u = v & masks.get(tok, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(b) - bin(v).count("1")
+LCS_CELLS = 4_000_000  # cells of one vectorised step
+
+
+def lcs_lengths(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """LCS length of each pair of id arrays: the dynamic-programming row of
+    many pairs at a time (``new[j] = max(old[j], old[j-1] + equal)``, then the
+    running maximum); pairs of like length go together."""
+    out = np.zeros(len(a), np.int64)
+    order = sorted((i for i in range(len(a)) if len(a[i]) and len(b[i])), key=lambda i: (len(b[i]), len(a[i])))
+    at = 0
+    while at < len(order):
+        n = max(1, LCS_CELLS // max(1, len(b[order[at]])))
+        group = order[at:at + n]
+        width = len(b[group[-1]])
+        while len(group) > 1 and len(group) * width > LCS_CELLS:
+            group = group[:len(group) // 2]
+            width = len(b[group[-1]])
+        at += len(group)
+        bs = np.full((len(group), width), -1, np.int64)
+        as_ = np.full((len(group), max(len(a[i]) for i in group)), -2, np.int64)
+        for r, i in enumerate(group):
+            bs[r, :len(b[i])], as_[r, :len(a[i])] = b[i], a[i]
+        row = np.zeros((len(group), width + 1), np.int64)
+        for step in range(as_.shape[1]):
+            new = np.maximum(row[:, 1:], row[:, :-1] + (bs == as_[:, step:step + 1]))
+            row[:, 1:] = np.maximum.accumulate(new, axis=1)
+        out[group] = row[:, -1]
+    return out
+
+
+def _lcs_batch(a: pa.Array, b: pa.Array) -> pa.Array:
+    """LCS length of two token lists per row (null: empty)."""
+    ids = pa.chunked_array([a.flatten(), b.flatten()]).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+
+    def lists(col, flat):
+        sizes = np.array([n or 0 for n in col.value_lengths().to_pylist()], np.int64)
+        return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
+    n = len(a.flatten())
+    return pa.array(lcs_lengths(lists(a, ids[:n]), lists(b, ids[n:])), pa.int64())
 
 
-@F.pandas_udf(T.LongType())
-def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([lcs_length_py(list(x) if x is not None else [], list(y) if y is not None else [])
-                      for x, y in zip(a, b)], dtype="int64")
+def lcs_length(a: Column, b: Column) -> Column:
+    @F.arrow_udf(T.LongType())
+    def lengths(x: pa.Array, y: pa.Array) -> pa.Array:
+        return _lcs_batch(x, y)
+    return lengths(a, b)
 
 
 def rouge_l(df: DataFrame, ref: str, pred: str) -> DataFrame:
@@ -344,10 +371,9 @@ def qa_scores(df: DataFrame, category: str, generated: str, expected: str, laten
     hit = textfn.answer_matches(F.col(generated), F.col(expected))
     base = df.select(F.col(category).cast("string").alias("category"), hit.alias("ok"),
                      (F.col(latency).cast("double") if latency else F.lit(None).cast("double")).alias("lat"))
-    per = base.groupBy("category").agg(F.count_if("ok").alias("correct"), F.count(F.lit(1)).alias("total"),
-                                       F.avg("lat").alias("lat"))
-    overall = base.agg(F.count_if("ok").alias("correct"), F.count(F.lit(1)).alias("total"), F.avg("lat").alias("lat")) \
-        .select(F.lit("__overall__").alias("category"), "correct", "total", "lat")
-    return per.unionByName(overall).select(
+    both = base.rollup("category").agg(F.count_if("ok").alias("correct"), F.count(F.lit(1)).alias("total"), F.avg("lat").alias("lat"),
+                                       F.grouping("category").alias("__all"))  # one scan
+    both = both.withColumn("category", F.when(F.col("__all") == 1, F.lit("__overall__")).otherwise(F.col("category")))
+    return both.select(
         "category", F.col("correct").cast("bigint").alias("correct"), F.col("total").cast("bigint").alias("total"),
         fround(F.col("correct") / F.col("total"), 4).alias("score"), fround("lat", 2).alias("avg_latency"))

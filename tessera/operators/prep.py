@@ -7,14 +7,10 @@ not depend on partitioning or task retries.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.operators.numbering import prefix_sum
 
@@ -71,9 +67,23 @@ def batch_ids(df: DataFrame, key: str, batch_size: int = 32, seed=0, shuffle: bo
 
 
 def uniform(key: Column, seed: int, salt: int | Column = 0) -> Column:
-    """Deterministic U[0, 1) from xxhash64(key, seed, salt)."""
-    h = F.xxhash64(key, F.lit(seed), salt if isinstance(salt, Column) else F.lit(salt))
-    return (F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53)))
+    """Deterministic U[0, 1): the first 52 bits of ``md5(key:seed:salt)``, so
+    that other SQL engines draw the same numbers."""
+    parts = [key.cast("string"), F.lit(str(seed)), salt.cast("string") if isinstance(salt, Column) else F.lit(str(salt))]
+    h = F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13)
+    return F.conv(h, 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def beta(key: Column, alpha: float, seed: int, tries: int = 32) -> Column:
+    """One Beta(alpha, alpha) draw per key by Joehnk's method: the first of
+    ``tries`` pairs of uniforms with u^(1/a) + v^(1/a) <= 1 (for alpha up to
+    1 a pair is accepted at least every other time; 0.5 if none is)."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.struct(
+        F.pow(uniform(key, seed, i * 2), F.lit(1 / alpha)).alias("x"),
+        F.pow(uniform(key, seed, i * 2 + 1), F.lit(1 / alpha)).alias("y")))
+    good = F.filter(pairs, lambda p: (p["x"] + p["y"] <= 1) & (p["x"] + p["y"] > 0))
+    first = F.get(good, F.lit(0))
+    return F.coalesce(first["x"] / (first["x"] + first["y"]), F.lit(0.5))
 
 
 def normal(key: Column, seed: int, salt: int | Column = 0) -> Column:
@@ -181,20 +191,12 @@ def cutout(x: Column, c: int, h: int, w: int, size: int, cy: Column, cx: Column)
 
 def mixup(df: DataFrame, key: str, x: str, batch: str, alpha: float = 0.2, seed: int = 0) -> DataFrame:
     """x' = lam * x + (1 - lam) * x[partner] inside each batch: the partner is
-    the next row of a seeded shuffle of the batch (an equi-join on (batch,
-    shuffled position)); lam ~ Beta(alpha, alpha) once per batch.  Labels
-    are unchanged, as in the reference."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    w = Window.partitionBy(batch).orderBy(h, F.col(key))
-    r = df.withColumn("__rn", F.row_number().over(w) - 1) \
-        .withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(batch)))
-    partner = r.select(F.col(batch).alias("__pb"), F.col("__rn").alias("__prn"), F.col(x).alias("__px"))
-    j = r.join(partner, (r[batch] == partner["__pb"]) & (((r["__rn"] + 1) % r["__n"]) == partner["__prn"]))
-
-    @F.pandas_udf(T.DoubleType())
-    def beta_lambda(b: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(int(hashlib.md5(f"{v}:{seed}".encode()).hexdigest()[:8], 16))
-                          .beta(alpha, alpha) for v in b], dtype="float64")
-    lam = beta_lambda(F.col(batch).cast("string"))
+    the next row of a seeded shuffle of the batch (the last row's is the
+    first); lam ~ Beta(alpha, alpha), drawn once per batch.  Labels are
+    unchanged, as in the reference."""
+    w = Window.partitionBy(batch).orderBy(split_key(F.col(key), seed), F.col(key))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    r = df.withColumn("__px", F.coalesce(F.lead(x).over(w), F.first(x).over(whole)))
+    lam = df.select(F.col(batch).alias("__b")).distinct().withColumn("__lam", beta(F.col("__b"), alpha, seed))
     mixed = F.zip_with(F.col(x), F.col("__px"), lambda a, b: F.col("__lam") * a + (1 - F.col("__lam")) * b)
-    return j.withColumn("__lam", lam).withColumn(x, mixed).select(*df.columns)
+    return r.join(lam, F.col(batch).eqNullSafe(F.col("__b"))).withColumn(x, mixed).select(*df.columns)

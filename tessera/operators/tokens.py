@@ -20,13 +20,15 @@ from tessera.functions.numeric import fround
 
 from tessera.functions import text as textfn
 from tessera.operators.numbering import prefix_sum
+from tessera.session import checkpoint_dir
 
 # Special tokens and their ids, as in the reference.
 SPECIAL_TOKENS = ["[PAD]", "[UNK]", "[BOS]", "[EOS]", "[MASK]"]
 UNK_ID = 1
 PAD_ID = 0
 DECODE_UNKNOWN = "?"
-MAP_VOCAB_LIMIT = 200_000
+#: Vocabularies of up to so many entries are broadcast; larger ones are joined, with the same result.
+MAP_VOCAB_LIMIT = 1_000_000
 
 
 def chars(c: Column) -> Column:
@@ -101,30 +103,31 @@ def char_vocab(df: DataFrame, text: str = "text", with_specials: bool = False) -
     return _specials(df.sparkSession).unionByName(v) if with_specials else v
 
 
-def word_vocab(df: DataFrame, text: str = "text", vocab_size: int = 8000, frequency: bool = False) -> DataFrame:
+def word_vocab(df: DataFrame, text: str = "text", vocab_size: int | None = 8000, frequency: bool = False) -> DataFrame:
     """token, id: specials 0-4, then the first ``vocab_size - 5`` distinct
-    whitespace words in alphabetical order (the reference's rule), or the
-    most frequent ones with ``frequency=True``."""
-    words = df.select(F.explode(textfn.words(F.col(text))).alias("token"))
-    n = max(int(vocab_size) - len(SPECIAL_TOKENS), 0)
+    whitespace words (None: all) in alphabetical order (the reference's rule),
+    or the most frequent ones with ``frequency=True``."""
+    n = None if vocab_size is None else max(int(vocab_size) - len(SPECIAL_TOKENS), 0)
     if frequency:
-        top = words.groupBy("token").agg(F.count(F.lit(1)).alias("c")) \
-            .orderBy(F.col("c").desc(), "token").limit(n)
-        order = [F.col("c").desc(), F.col("token")]
+        words = df.select(F.explode(textfn.words(F.col(text))).alias("token"))
+        top, order = words.groupBy("token").agg(F.count(F.lit(1)).alias("c")), [F.col("c").desc(), F.col("token").asc()]
     else:
-        top = distinct_words(df, text).orderBy("token").limit(n)
-        order = [F.col("token")]
-    v = top.select("token", (F.row_number().over(Window.orderBy(*order)) - 1 + len(SPECIAL_TOKENS))
-                   .cast("bigint").alias("id"))
+        top, order = distinct_words(df, text), [F.col("token").asc()]
+    if n is not None:
+        top = top.orderBy(*order).limit(n)
+    v = prefix_sum(top, order, out="id").select("token", (F.col("id") + len(SPECIAL_TOKENS)).cast("bigint").alias("id"))
     return _specials(df.sparkSession).unionByName(v)
 
 
 def _encode_by_join(df: DataFrame, vocab: DataFrame, toks: Column, keys) -> DataFrame:
-    ex = df.select(*keys, F.posexplode(toks).alias("pos", "token"))
-    j = ex.join(vocab.select("token", "id"), "token", "left") \
-        .select(*keys, "pos", F.coalesce("id", F.lit(UNK_ID).cast("bigint")).alias("id"))
-    return j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("s")) \
-        .select(*keys, F.col("s.id").alias("ids"))
+    """One row per row of ``df``, whatever its keys: a null text gives null
+    ids, a blank one none."""
+    ex = (df.select(*keys, F.monotonically_increasing_id().alias("__row"), toks.alias("__t"))
+          .select(*keys, "__row", F.col("__t").isNull().alias("__null"), F.posexplode_outer("__t").alias("pos", "token")))
+    j = ex.join(vocab.select("token", "id"), "token", "left")
+    found = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK_ID).cast("bigint")).alias("id")))
+    return j.groupBy("__row", "__null", *keys).agg(F.sort_array(F.collect_list(found)).alias("s")) \
+        .select(*keys, F.when(~F.col("__null"), F.col("s.id")).alias("ids"))
 
 
 def encode_words(df: DataFrame, vocab: DataFrame, text: str = "text", keys=("doc_id",)) -> DataFrame:
@@ -168,9 +171,7 @@ def char_encoder(vocab: DataFrame, text: str = "text", out: str = "ids"):
     (unknown -> 1).  Vectorised per Arrow batch: one UTF-32 view of the
     batch's text, a sorted code-point table and ``searchsorted``; the id
     lists are built directly as an Arrow list column (``mapInArrow``)."""
-    rows = vocab.select("token", "id").limit(MAP_VOCAB_LIMIT + 1).collect()
-    if len(rows) > MAP_VOCAB_LIMIT:
-        raise ValueError("character vocabulary too large to broadcast")
+    rows = vocab.select("token", "id").where(F.length("token") == 1).collect()  # at most the code points there are
     pairs = sorted((ord(r[0]), int(r[1])) for r in rows if r[0] is not None and len(r[0]) == 1)
     table = (np.array([p[0] for p in pairs], dtype=np.uint32), np.array([p[1] for p in pairs], dtype=np.int64))
     unk = UNK_ID
@@ -188,7 +189,10 @@ def char_encoder(vocab: DataFrame, text: str = "text", out: str = "ids"):
                 pos_c = np.minimum(pos, max(len(keys) - 1, 0))
                 hit = (pos < len(keys)) & (keys[pos_c] == cps) if len(keys) else np.zeros(len(cps), bool)
                 vals = np.where(hit, ids[pos_c] if len(ids) else 0, unk).astype(np.int64)
-                offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum(lens)])
+                if offsets[-1] > np.iinfo(np.int32).max:  # more than a list column can index
+                    raise ValueError("lower spark.sql.execution.arrow.maxRecordsPerBatch for such long texts")
+                offsets = offsets.astype(np.int32)
                 lst = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(vals, pa.int64()),
                                                mask=pa.array(nulls, pa.bool_()))
                 yield pa.RecordBatch.from_arrays(list(rb.columns) + [lst], names=list(rb.schema.names) + [out])
@@ -198,32 +202,27 @@ def char_encoder(vocab: DataFrame, text: str = "text", out: str = "ids"):
 
 def decode_ids(df: DataFrame, vocab: DataFrame, ids: str = "ids", sep: str = " ") -> DataFrame:
     """Adds ``text``: ids joined back to tokens (unknown -> "?"), vectorised
-    per Arrow batch: a dense id -> token table, Arrow ``take`` on the flat
-    ids and ``binary_join`` per list."""
-    rows = vocab.select("id", "token").limit(MAP_VOCAB_LIMIT + 1).collect()
+    per Arrow batch: binary search in the ids, Arrow ``take`` on the flat ids
+    and ``binary_join`` per list; a larger vocabulary is joined."""
+    rows = vocab.select("id", "token").where(F.col("id").isNotNull()).limit(MAP_VOCAB_LIMIT + 1).collect()
     if len(rows) > MAP_VOCAB_LIMIT:
-        raise ValueError("vocabulary too large to decode with a broadcast table")
-    size = max((int(r[0]) for r in rows if r[0] is not None), default=-1) + 1
-    if size > 4 * MAP_VOCAB_LIMIT:
-        raise ValueError("vocabulary ids too sparse for a dense decode table")
-    dense = [DECODE_UNKNOWN] * size
-    for i, t in rows:
-        if i is not None and i >= 0:
-            dense[int(i)] = t
-    bc = df.sparkSession.sparkContext.broadcast(dense)
+        return _decode_by_join(df, vocab, ids, sep)
+    known = sorted({int(i): t for i, t in rows}.items())
+    bc = df.sparkSession.sparkContext.broadcast((np.array([i for i, _ in known], np.int64), [t for _, t in known]))
     idx = df.columns.index(ids)
     schema = T.StructType(df.schema.fields + [T.StructField("text", T.StringType())])
     unknown = DECODE_UNKNOWN
 
     def per_batch(batches):
         import pyarrow.compute as pc
-        table = pa.array(bc.value + [unknown], pa.string())  # last slot: unknown ids
-        last = len(table) - 1
+        keys, tokens = bc.value
+        table = pa.array(tokens + [unknown], pa.string())  # last slot: unknown ids
         for rb in batches:
             col = rb.column(idx)
             flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            pos = np.where((flat >= 0) & (flat < last), flat, last)
-            toks = pc.take(table, pa.array(pos, pa.int64()))
+            pos = np.searchsorted(keys, flat)
+            hit = (pos < len(keys)) & (keys[np.minimum(pos, len(keys) - 1)] == flat) if len(keys) else np.zeros(len(flat), bool)
+            toks = pc.take(table, pa.array(np.where(hit, pos, len(keys)), pa.int64()))
             offs = col.offsets.to_numpy().astype(np.int64)
             offs = pa.array(offs - offs[0], pa.int32())  # flatten() is slice-relative
             lists = pa.ListArray.from_arrays(offs, toks, mask=col.is_null())
@@ -232,6 +231,15 @@ def decode_ids(df: DataFrame, vocab: DataFrame, ids: str = "ids", sep: str = " "
     return df.mapInArrow(per_batch, schema)
 
 
+def _decode_by_join(df: DataFrame, vocab: DataFrame, ids: str, sep: str) -> DataFrame:
+    ex = (df.withColumn("__row", F.monotonically_increasing_id())
+          .select("__row", F.struct(*df.columns).alias("__r"), F.posexplode_outer(ids).alias("pos", "__id")))
+    j = ex.join(vocab.select(F.col("id").alias("__id"), "token"), "__id", "left")
+    found = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit(DECODE_UNKNOWN)).alias("t")))
+    g = j.groupBy("__row").agg(F.any_value("__r").alias("__r"), F.sort_array(F.collect_list(found)).alias("s"))
+    return g.select("__r.*", F.when(F.col(f"__r.{ids}").isNotNull(), F.array_join("s.t", sep)).alias("text"))
+
+
 def pad_truncate(ids: Column, max_length: int = 128, pad_id: int = PAD_ID) -> tuple[Column, Column]:
     """(input_ids, attention_mask) of exactly ``max_length``."""
     kept = F.slice(ids, 1, max_length)
@@ -290,23 +298,36 @@ def enough_windows(packed_count: int) -> None:
 
 # --------------------------------------------------------------------------- chat
 
-# Chat markers.
-CHATML_TURN = "<|im_start|>{role}\n{content}<|im_end|>\n"
-LLAMA3_TURN = "<|start_header_id|>{role}<|end_header_id|>\n\n{content}<|eot_id|>"
-ALPACA_TURN = {"user": "### Instruction:\n{content}\n\n", "assistant": "### Response:\n{content}\n\n",
-               "system": "{content}\n\n"}
+# Public chat formats, per role (``*``: any other role; ``{role}`` is the role itself).
+CHAT_TEMPLATES = {
+    "chatml": {"*": "<|im_start|>{role}\n{content}<|im_end|>\n"},
+    "llama-3": {"*": "<|start_header_id|>{role}<|end_header_id|>\n\n{content}<|eot_id|>"},
+    "mistral": {"user": "[INST] {content} [/INST]", "assistant": " {content}</s>", "*": "{content}\n\n"},
+    "gemma": {"assistant": "<start_of_turn>model\n{content}<end_of_turn>\n", "*": "<start_of_turn>user\n{content}<end_of_turn>\n"},
+    "phi-3": {"*": "<|{role}|>\n{content}<|end|>\n"},
+    "qwen-2.5": {"*": "<|im_start|>{role}\n{content}<|im_end|>\n"},
+    "alpaca": {"user": "### Instruction:\n{content}\n\n", "assistant": "### Response:\n{content}\n\n", "*": "{content}\n\n"},
+    "vicuna": {"user": "USER: {content} ", "assistant": "ASSISTANT: {content}</s>", "*": "{content} "},
+    "zephyr": {"*": "<|{role}|>\n{content}</s>\n"},
+    "unsloth": {"user": ">>> User: {content}\n", "assistant": ">>> Assistant: {content}</s>\n", "*": "{content}\n"},
+}
+
+
+def _pieces(pattern: str, role: Column, content: Column) -> Column:
+    import re
+    parts = [p for p in re.split(r"(\{role\}|\{content\})", pattern) if p]
+    return F.concat(*[role if p == "{role}" else content if p == "{content}" else F.lit(p) for p in parts])
 
 
 def render_turn(role: Column, content: Column, template: str = "chatml") -> Column:
-    if template == "chatml":
-        return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), content, F.lit("<|im_end|>\n"))
-    if template == "llama-3":
-        return F.concat(F.lit("<|start_header_id|>"), role, F.lit("<|end_header_id|>\n\n"), content, F.lit("<|eot_id|>"))
-    if template == "alpaca":
-        return (F.when(role == "user", F.concat(F.lit("### Instruction:\n"), content, F.lit("\n\n")))
-                .when(role == "assistant", F.concat(F.lit("### Response:\n"), content, F.lit("\n\n")))
-                .otherwise(F.concat(content, F.lit("\n\n"))))
-    raise ValueError(f"unknown chat template {template!r}")
+    if template not in CHAT_TEMPLATES:
+        raise ValueError(f"unknown chat template {template!r}")
+    by_role = CHAT_TEMPLATES[template]
+    out = _pieces(by_role["*"], role, content)
+    for name, pattern in by_role.items():
+        if name != "*":
+            out = F.when(role == name, _pieces(pattern, role, content)).otherwise(out)
+    return out
 
 
 def render_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -345,7 +366,7 @@ def _symbols_string(word: Column) -> Column:
     return F.concat(F.lit(SYM_SEP), F.array_join(chars(word), SYM_SEP), F.lit(SYM_SEP))
 
 
-def pair_counts(wc: DataFrame, min_frequency: int = 2) -> DataFrame:
+def pair_counts(wc: DataFrame, min_frequency: int | None = 2) -> DataFrame:
     """left, right, count: adjacent symbol pairs weighted by word count."""
     syms = F.filter(F.split(F.col("syms"), SYM_SEP, -1), lambda s: s != F.lit(""))
     w = wc.select(syms.alias("s"), "count")
@@ -353,8 +374,8 @@ def pair_counts(wc: DataFrame, min_frequency: int = 2) -> DataFrame:
                                            lambda i: F.struct(F.get(F.col("s"), i - 1).alias("left"),
                                                               F.get(F.col("s"), i).alias("right")))).alias("p"),
                      "count").where(F.size("s") > 1)
-    return pairs.groupBy("p.left", "p.right").agg(F.sum("count").cast("bigint").alias("count")) \
-        .where(F.col("count") >= min_frequency)
+    counts = pairs.groupBy("p.left", "p.right").agg(F.sum("count").cast("bigint").alias("count"))
+    return counts if min_frequency is None else counts.where(F.col("count") >= min_frequency)
 
 
 def _re_quote(s: str) -> str:
@@ -373,15 +394,19 @@ def bpe_pair_counts(df: DataFrame, text: str = "text", min_frequency: int = 2) -
 def bpe_merges(df: DataFrame, text: str = "text", n_merges: int = 30, min_frequency: int = 2,
                checkpoint_every: int = 10) -> DataFrame:
     """rank, left, right, count: greedy best-pair merges over the distinct
-    word table (count desc, then pair lexicographic).  Each round is one
-    distributed pair count and a one-row top pick; lineage is cut with a
-    reliable ``checkpoint()`` every ``checkpoint_every`` merges."""
+    word table (count desc, then pair lexicographic).
+
+    Pairs are counted once over all words; a merge then only recounts the
+    words that hold the merged pair, and adds the difference to the counts.
+    The counts are checkpointed at every merge (each is read twice by the
+    next), the words every ``checkpoint_every`` merges."""
     spark = df.sparkSession
-    wc = word_counts(df, text).select(_symbols_string(F.col("word")).alias("syms"), "count")
-    wc = wc.checkpoint()
+    checkpoint_dir(spark)
+    words = word_counts(df, text).select(_symbols_string(F.col("word")).alias("syms"), "count").checkpoint()
+    counts = pair_counts(words, 1).checkpoint()
     merges = []
     for r in range(int(n_merges)):
-        top = pair_counts(wc, min_frequency).orderBy(F.col("count").desc(), "left", "right").limit(1).collect()
+        top = (counts.where(F.col("count") >= min_frequency).orderBy(F.col("count").desc(), "left", "right").limit(1).collect())
         if not top:
             break
         a, b, c = top[0]["left"], top[0]["right"], top[0]["count"]
@@ -390,7 +415,13 @@ def bpe_merges(df: DataFrame, text: str = "text", n_merges: int = 30, min_freque
         # a a a a a -> aa aa a (leftmost, non-overlapping, like BPE)
         pat = _re_quote(SYM_SEP + a + SYM_SEP + b) + "(?=" + SYM_SEP + ")"
         rep = _repl_quote(SYM_SEP + a + b)
-        wc = wc.select(F.regexp_replace(F.col("syms"), pat, rep).alias("syms"), "count")
+        holds = F.col("syms").contains(SYM_SEP + a + SYM_SEP + b + SYM_SEP)
+        merged = F.regexp_replace(F.col("syms"), pat, rep)
+        changed = words.where(holds).select(F.explode(F.array(F.struct("syms", (-F.col("count")).alias("count")),
+                                                              F.struct(merged.alias("syms"), "count"))).alias("w")).select("w.*")
+        counts = (counts.unionByName(pair_counts(changed, None)).groupBy("left", "right")
+                  .agg(F.sum("count").cast("bigint").alias("count")).where("count > 0")).checkpoint()
+        words = words.withColumn("syms", merged)
         if (r + 1) % checkpoint_every == 0:
-            wc = wc.checkpoint()
+            words = words.checkpoint()
     return spark.createDataFrame(merges, "rank int, left string, right string, count bigint")

@@ -1,9 +1,8 @@
 """Vector operators: brute-force cosine top-k and per-vector statistics.
 
-Top-k: the query set must be small (it is size-checked, then broadcast to
-the tasks); every corpus partition scores all queries with one matrix
-product in numpy and keeps only its own top ``k`` per query, so at most
-``k * queries`` rows per task reach the final exchange.  No cross join and
+Top-k: blocks of queries are broadcast to the tasks; every corpus partition
+scores them with matrix products in numpy and keeps only its own top ``k``
+per query, so at most ``k * queries`` rows per task reach the final exchange.  No cross join and
 no per-pair rows are materialised.
 """
 
@@ -17,56 +16,74 @@ from pyspark.sql import types as T
 
 from tessera.functions.numeric import fround
 
-MAX_QUERIES = 10_000
+#: Queries in one broadcast; more are dealt into blocks of about this many.
+QUERY_BLOCK = 10_000
+SCORE_CELLS = 4_000_000  # scores a task holds at a time
+
+
+def _best(ids: np.ndarray, rows: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best (query, row, score) per query; ties by the row's id."""
+    order = np.lexsort((rows, -scores, ids))
+    ids, rows, scores = ids[order], rows[order], scores[order]
+    first = np.searchsorted(ids, ids, side="left")
+    keep = np.arange(len(ids)) - first < k
+    return ids[keep], rows[keep], scores[keep]
 
 
 def cosine_topk(corpus: DataFrame, queries: DataFrame, k: int = 5, corpus_id: str = "vec_id",
                 corpus_vec: str = "embedding", query_id: str = "query_id", query_vec: str = "embedding",
-                max_queries: int = MAX_QUERIES) -> DataFrame:
-    """query_id, vec_id, score (cosine), rank (1..k; score desc, id asc)."""
-    n_q = queries.count()
-    if n_q > max_queries:
-        raise ValueError(f"{n_q} queries exceed the broadcast bound {max_queries}; batch the queries")
-    rows = queries.select(query_id, query_vec).collect()  # bounded by max_queries (checked)
+                block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, vec_id, score (cosine), rank (1..k; score desc, id asc).
+
+    The queries are broadcast; beyond ``block`` they are dealt into blocks by
+    a hash, one scan of the corpus each.  A task scores by matrix products of
+    bounded size and ships at most ``k`` rows per query."""
+    n_blocks = max(1, -(-queries.count() // block))
+    part = F.pmod(F.xxhash64(query_id), F.lit(n_blocks))
+    out = None
+    for b in range(n_blocks):
+        some = _topk_block(corpus, queries.where(part == b) if n_blocks > 1 else queries, int(k), corpus_id, corpus_vec,
+                           query_id, query_vec)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
+def _topk_block(corpus: DataFrame, queries: DataFrame, k: int, corpus_id: str, corpus_vec: str, query_id: str,
+                query_vec: str) -> DataFrame:
+    rows = queries.select(query_id, query_vec).collect()  # one block
     q_ids = np.array([r[0] for r in rows], dtype=np.int64)
     q = np.array([np.asarray(r[1], dtype=np.float64) for r in rows], dtype=np.float64).reshape(len(rows), -1)
     qn = np.linalg.norm(q, axis=1)
     qn[qn == 0] = 1.0
     bc = corpus.sparkSession.sparkContext.broadcast((q_ids, q / qn[:, None]))
-    kk = int(k)
 
     def score(batches):
         ids, qm = bc.value
-        best: dict[int, list] = {}
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         for pdf in batches:
             if pdf.empty or len(ids) == 0:
                 continue
             m = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[corpus_vec]])
             norms = np.linalg.norm(m, axis=1)
             norms[norms == 0] = 1.0
-            s = (m / norms[:, None]) @ qm.T          # (rows, queries)
-            cids = pdf[corpus_id].to_numpy()
-            for j in range(len(ids)):
-                col = s[:, j]
-                take = np.argsort(-col, kind="stable")[:kk]
-                cur = best.setdefault(j, [])
-                cur.extend(zip((-col[take]).tolist(), cids[take].tolist()))
-                cur.sort()
-                del cur[kk:]
-        out_q, out_c, out_s = [], [], []
-        for j, lst in best.items():
-            for neg, cid in lst:
-                out_q.append(int(ids[j]))
-                out_c.append(int(cid))
-                out_s.append(-neg)
-        yield pd.DataFrame({"query_id": out_q, "vec_id": out_c, "score": out_s})
+            m /= norms[:, None]
+            cids = pdf[corpus_id].to_numpy(dtype=np.int64)
+            step = max(1, SCORE_CELLS // len(m))
+            found = [best]
+            for a in range(0, len(ids), step):
+                s = m @ qm[a:a + step].T  # rows x queries
+                kth = np.partition(s, max(0, len(m) - k), axis=0)[max(0, len(m) - k)]
+                r, c = np.nonzero(s >= kth)  # ties at the k-th place stay in
+                found.append(_best(c + a, cids[r], s[r, c], k))
+            best = _best(*[np.concatenate(x) for x in zip(*found)], k)
+        yield pd.DataFrame({"query_id": ids[best[0]] if len(ids) else best[0], "vec_id": best[1], "score": best[2]})
 
     schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()),
                            T.StructField("score", T.DoubleType())])
     partial = corpus.select(corpus_id, corpus_vec).mapInPandas(score, schema)
     from pyspark.sql import Window
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
-    return (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kk)
+    return (partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select(F.col("query_id").alias(query_id), F.col("vec_id").alias(corpus_id),
                     fround("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank")))
 

@@ -84,11 +84,19 @@ def _append_samples(spark, d):
     return base.unionByName(new)
 
 
-query("append_samples", """SELECT substr(md5(concat_ws('|', 'd', CAST(doc_id AS VARCHAR))), 1, 8) AS _id, source, n_chars
+query("append_samples", """SELECT md5(concat_ws('|', 'd', CAST(doc_id AS VARCHAR))) AS _id, source, n_chars
  FROM documents
-UNION ALL SELECT substr(md5(concat_ws('|', 'b', CAST(item_id AS VARCHAR))), 1, 8), 'benchmark', CAST(length(text) AS BIGINT)
+UNION ALL SELECT md5(concat_ws('|', 'b', CAST(item_id AS VARCHAR))), 'benchmark', CAST(length(text) AS BIGINT)
  FROM benchmark""")(_append_samples)
 
+# ids from the content alone: copies of a text are told apart by a number
+query("append_copies", """SELECT md5(concat_ws('|', '', lang, text)) || CASE WHEN k > 0 THEN '-' || k ELSE '' END AS _id, count(*) AS n
+FROM (SELECT lang, text, row_number() OVER (PARTITION BY md5(concat_ws('|', '', lang, text)) ORDER BY doc_id) - 1 AS k FROM documents)
+GROUP BY 1""")(
+    lambda spark, d: ds.append_samples(
+        spark.createDataFrame([], "_id string"), table(spark, d, "documents").select("lang", "text"))
+    .groupBy("_id").agg(F.count(F.lit(1)).alias("n")))
+
 
 query("delete_samples", """SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")(
     lambda spark, d: ds.delete_samples(table(spark, d, "documents").select("doc_id", "source"),
@@ -258,14 +266,33 @@ SELECT CAST(row_number() OVER (ORDER BY i.img_pos, a.id, a.category_id, x, y, w,
 
 
 def _export_yolo(spark, d):
-    """Label files written one per image (partitioned text), read back."""
-    lab = yolo_labels(spark, d)
+    """Labels written and read back, with the lines of each file."""
     path = scratch(spark, "yolo")
-    lab.select("file_name", "content").write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).select("file_name", F.size(F.split("content", "\n")).alias("lines"))
+    yolo_labels(spark, d).select("file_name", "content").write.mode("overwrite").parquet(path)
+    lines = F.size(F.filter(F.split("content", "\n"), lambda x: x != "")).cast("bigint")
+    return spark.read.parquet(path).select("file_name", lines.alias("lines"), F.md5("content").alias("md5"))
+
 
+query("export_yolo", f"""SELECT file_name, CAST(len(list_filter(string_split(content, chr(10)), lambda x: x <> '')) AS BIGINT) AS lines,
+ md5(content) AS md5 FROM ({_YOLO_SQL}) y""")(_export_yolo)
 
-query("export_yolo")(_export_yolo)
+def _yolo_samples(spark, d):
+    li = table(spark, d, "lineitem")
+    box = F.struct(F.when(F.col("l_returnflag") != "R", F.col("l_linenumber")).alias("class_id"), F.col("l_partkey").alias("x_center"),
+                   F.col("l_suppkey").alias("y_center"), F.col("l_linenumber").alias("width"), F.col("l_linenumber").alias("height"))
+    boxes = li.groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", box.alias("b")))),
+                                                     lambda x: x["b"]).alias("annotations"))
+    images = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("_id"), F.when(F.col("o_orderkey") % 3 > 0, F.concat(
+            F.lit("img/o."), F.col("o_orderkey").cast("string"), F.lit(".jpg"))).alias("image_path"))
+    return images.join(boxes, F.col("_id") == F.col("l_orderkey"), "left")
+
+
+query("export_yolo_samples", """WITH a AS (SELECT l_orderkey, string_agg(concat_ws(' ', l_linenumber, l_partkey, l_suppkey, l_linenumber,
+  l_linenumber) || chr(10), '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS content FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
+SELECT CASE WHEN o_orderkey % 3 > 0 THEN 'o.' || o_orderkey ELSE CAST(o_orderkey AS VARCHAR) END || '.txt' AS file_name,
+ coalesce(content, '') AS content FROM orders LEFT JOIN a ON o_orderkey = l_orderkey""")(
+    lambda spark, d: ds.yolo_from_samples(_yolo_samples(spark, d)).drop("src"))
 
 query("folder_manifest", """SELECT 'docs/' || doc_id || '.txt' AS src,
  'imagefolder/' || coalesce(lang, 'unknown') || '/' || doc_id || '.txt' AS dst FROM documents""")(
@@ -323,6 +350,49 @@ def _keys(spark, d):
     return table(spark, d, "embeddings").select("vec_id")
 
 
+def _u(key: str, seed: int, salt) -> str:
+    """The uniform of ``prep.uniform`` in SQL."""
+    return (f"(CAST(CAST('0x' || substr(md5(concat_ws(':', CAST({key} AS VARCHAR), '{seed}', CAST({salt} AS VARCHAR))), 1, 13)"
+            f" AS UBIGINT) AS DOUBLE) / 4503599627370496.0::DOUBLE)")
+
+
+def _n(key: str, seed: int, salt) -> str:
+    return f"(sqrt(-2.0 * ln(greatest({_u(key, seed, salt)}, 1e-300))) * cos(2 * pi() * {_u(key, seed + 7919, salt)}))"
+
+
+def _lin(a: float, b: float) -> str:
+    return f"({a}::DOUBLE + ({b}::DOUBLE - {a}::DOUBLE) * i / greatest(half - 1, 1))"
+
+
+_LAYOUT_SQL = """WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings),
+l AS (SELECT vec_id, pos, n, n // 2 AS half, CASE WHEN pos >= n // 2 THEN 1 ELSE 0 END AS cls,
+  CASE WHEN pos >= n // 2 THEN pos - n // 2 ELSE pos END AS i, least(pos // greatest(n // 4, 1), 3) AS blob FROM p)"""
+_NX, _NY = f"{_n('vec_id', 11, 0)} * 0.1", f"{_n('vec_id', 11, 1)} * 0.1"
+
+
+def _xy(x: str, y: str, label: str) -> str:
+    return (f"{_LAYOUT_SQL} SELECT vec_id, printf('%.6f', {x}) || ',' || printf('%.6f', {y}) AS x, CAST({label} AS DOUBLE) AS y FROM l")
+
+
+_SYNTH_SQL = {
+    "random": f"""SELECT vec_id, array_to_string(list_transform(range(16), lambda j: printf('%.6f', {_n('vec_id', 11, 'j')})), ',') AS x,
+ CAST(floor({_u('vec_id', 11, -1)} * 10) AS DOUBLE) AS y FROM embeddings""",
+    "xor": _xy(_n("vec_id", 11, 0), _n("vec_id", 11, 1),
+               f"CASE WHEN ({_n('vec_id', 11, 0)} > 0) <> ({_n('vec_id', 11, 1)} > 0) THEN 1 ELSE 0 END"),
+    "checkerboard": _xy(f"{_u('vec_id', 11, 0)} * 4", f"{_u('vec_id', 11, 1)} * 4",
+                        f"(floor({_u('vec_id', 11, 0)} * 4) + floor({_u('vec_id', 11, 1)} * 4)) % 2"),
+    "spiral": _xy(f"{_lin(0.5, 2.0)} * cos({_lin(0.0, 4 * prep.PI)} + cls * {prep.PI}) + {_NX}",
+                  f"{_lin(0.5, 2.0)} * sin({_lin(0.0, 4 * prep.PI)} + cls * {prep.PI}) + {_NY}", "cls"),
+    "circles": _xy(f"cos({_lin(0.0, 2 * prep.PI)}) * (1.0 + cls) + {_NX}", f"sin({_lin(0.0, 2 * prep.PI)}) * (1.0 + cls) + {_NY}", "cls"),
+    "moons": _xy(f"CASE WHEN cls = 0 THEN cos({_lin(0.0, prep.PI)}) ELSE 1 - cos({_lin(0.0, prep.PI)}) END + {_NX}",
+                 f"CASE WHEN cls = 0 THEN sin({_lin(0.0, prep.PI)}) ELSE 1 - sin({_lin(0.0, prep.PI)}) - 0.5 END + {_NY}", "cls"),
+    "blobs": _xy(f"([0.0, 3.0, 0.0, 3.0])[blob + 1]::DOUBLE + {_n('vec_id', 11, 0)} * 0.5",
+                 f"([0.0, 3.0, 3.0, 0.0])[blob + 1]::DOUBLE + {_n('vec_id', 11, 1)} * 0.5", "blob"),
+    "regression_sin": f"""{_LAYOUT_SQL} SELECT vec_id, printf('%.6f', -3.0::DOUBLE + 6.0::DOUBLE * pos / greatest(n - 1, 1)) AS x,
+ sin((-3.0::DOUBLE + 6.0::DOUBLE * pos / greatest(n - 1, 1)) * 2) + {_NX} AS y FROM l""",
+}
+
+
 for _kind in prep.SYNTHETIC:
     def _mk(kind):
         def run(spark, d):
@@ -330,7 +400,7 @@ for _kind in prep.SYNTHETIC:
             return out.select("vec_id", F.array_join(F.transform("x", lambda v: F.format_string("%.6f", v)), ",").alias("x"),
                               F.col("y").cast("double").alias("y"))
         return run
-    query(f"synth_{_kind}")(_mk(_kind))
+    query(f"synth_{_kind}", _SYNTH_SQL[_kind])(_mk(_kind))
 
 query("synth_spiral_exact", """WITH p AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n
   FROM embeddings),
@@ -358,11 +428,17 @@ query("augment_cutout", """SELECT vec_id, array_to_string(list_transform(range(6
   printf('%.6f', CASE WHEN i // 8 >= 2 AND i // 8 < 6 AND i % 8 >= 2 AND i % 8 < 6 THEN 0.0
     ELSE CAST(embedding[i + 1] AS DOUBLE) END)), ',') AS x FROM embeddings""")(
     lambda spark, d: _vecs(spark, d).select("vec_id", _fmt(prep.cutout(F.col("x"), 1, 8, 8, 4, F.lit(4), F.lit(4))).alias("x")))
-query("augment_gaussian_noise")(
+def _per_element(expr: str) -> str:
+    """``expr`` of ``v`` (the element) and ``j`` (its place) over each embedding."""
+    return f"""SELECT vec_id, array_to_string(list_transform(range(len(embedding)), lambda j: printf('%.6f',
+  {expr.replace('@v', 'CAST(embedding[j + 1] AS DOUBLE)')})), ',') AS x FROM embeddings"""
+
+
+query("augment_gaussian_noise", _per_element(f"@v + {_n('vec_id', 3, 'j')} * 0.1"))(
     lambda spark, d: _vecs(spark, d).select("vec_id", _fmt(prep.gaussian_noise(F.col("x"), F.col("vec_id"), 0.1, 3)).alias("x")))
-query("augment_dropout_noise")(
+query("augment_dropout_noise", _per_element(f"CASE WHEN {_u('vec_id', 3, 'j')} < 0.1 THEN 0.0 ELSE @v END"))(
     lambda spark, d: _vecs(spark, d).select("vec_id", _fmt(prep.dropout_noise(F.col("x"), F.col("vec_id"), 0.1, 3)).alias("x")))
-query("augment_scaling")(
+query("augment_scaling", _per_element(f"@v * (0.9::DOUBLE + {_u('vec_id', 3, -1)} * (1.1::DOUBLE - 0.9::DOUBLE))"))(
     lambda spark, d: _vecs(spark, d).select("vec_id", _fmt(prep.scaling(F.col("x"), F.col("vec_id"), 0.9, 1.1, 3)).alias("x")))
 
 
@@ -371,4 +447,15 @@ def _mixup(spark, d):
     return prep.mixup(b, "vec_id", "x", "batch_id", 0.2, 5).select("vec_id", "batch_id", _fmt(F.col("x")).alias("x"))
 
 
-query("augment_mixup")(_mixup)
+query("augment_mixup", f"""WITH b AS (SELECT vec_id, embedding, CAST(floor((row_number() OVER (
+   ORDER BY md5(CAST(vec_id AS VARCHAR) || ':5'), vec_id) - 1) / 32) AS BIGINT) AS batch_id FROM embeddings),
+p AS (SELECT *, coalesce(lead(embedding) OVER w, first(embedding) OVER (PARTITION BY batch_id
+   ORDER BY md5(CAST(vec_id AS VARCHAR) || ':5'), vec_id)) AS other FROM b
+  WINDOW w AS (PARTITION BY batch_id ORDER BY md5(CAST(vec_id AS VARCHAR) || ':5'), vec_id)),
+t AS (SELECT batch_id, list_filter(list_transform(range(32), lambda i: {{'x': pow({_u('batch_id', 5, 'i * 2')}, 5.0),
+   'y': pow({_u('batch_id', 5, 'i * 2 + 1')}, 5.0)}}), lambda q: q.x + q.y <= 1 AND q.x + q.y > 0)[1] AS g
+  FROM (SELECT DISTINCT batch_id FROM b)),
+m AS (SELECT batch_id, coalesce(g.x / (g.x + g.y), 0.5) AS lam FROM t)
+SELECT vec_id, p.batch_id, array_to_string(list_transform(range(len(embedding)), lambda j: printf('%.6f',
+  lam * CAST(embedding[j + 1] AS DOUBLE) + (1 - lam) * CAST(other[j + 1] AS DOUBLE))), ',') AS x
+FROM p JOIN m ON p.batch_id = m.batch_id""")(_mixup)

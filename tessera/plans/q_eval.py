@@ -123,9 +123,17 @@ SELECT round(avg(CASE WHEN regexp_replace(ref, '^\\s+|\\s+$', '', 'g') = regexp_
  THEN 1.0 ELSE 0.0 END), 4) AS exact_match, CAST(count(*) AS BIGINT) AS total_samples FROM pairs""")(
     lambda spark, d: ev.exact_match(conversation_pairs(spark, d), "ref", "pred"))
 
-# ROUGE-L needs an LCS per pair: checked against a dynamic-programming
-# brute force on fixtures in tests/ (no SQL oracle).
-query("rouge_l")(lambda spark, d: ev.rouge_l(conversation_pairs(spark, d), "ref", "pred"))
+# the LCS row by row: one recursion step per reference token
+query("rouge_l", f"""WITH RECURSIVE {_PAIRS}, {_TOK},
+lcs(pair_id, i, row) AS (SELECT pair_id, 0, list_transform(pt, lambda x: 0) FROM tok
+ UNION ALL SELECT pair_id, i + 1, list_transform(range(1, len(step) + 1), lambda j: list_max(step[1:j]))
+ FROM (SELECT l.pair_id, l.i, list_transform(range(1, len(pt) + 1), lambda j: greatest(l.row[j],
+     (CASE WHEN j > 1 THEN l.row[j - 1] ELSE 0 END) + (CASE WHEN pt[j] = rt[l.i + 1] THEN 1 ELSE 0 END))) AS step
+   FROM lcs l JOIN tok t ON t.pair_id = l.pair_id WHERE l.i < len(rt)) s),
+n AS (SELECT t.pair_id, coalesce(list_max(l.row), 0) AS n, len(rt) AS lr, len(pt) AS lp FROM tok t
+  JOIN lcs l ON l.pair_id = t.pair_id AND l.i = len(rt))
+SELECT round(avg({_f1('n', 'lp', 'lr')}), 4) AS rouge_l FROM n""")(
+    lambda spark, d: ev.rouge_l(conversation_pairs(spark, d), "ref", "pred"))
 
 
 def _qa_input(spark, d):

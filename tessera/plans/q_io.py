@@ -30,6 +30,15 @@ def _scan_jsonl(spark, d):
     return read_json(spark, path, lines=True)
 
 
+def _csv_round_trip(spark, d):
+    path = scratch(spark, "csv_text")
+    sinks.write_csv(table(spark, d, "documents").select("doc_id", "text"), path)
+    return read_csv(spark, path).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+# texts with quotes, separators and line breaks
+query("csv_round_trip", "SELECT doc_id, text FROM documents")(_csv_round_trip)
+
 query("scan_jsonl", "SELECT event_id, user_id, event_type, value, props FROM events")(_scan_jsonl)
 
 
@@ -56,58 +65,79 @@ query("sink_jsonl", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice F
 def _sink_parquet(spark, d):
     path = scratch(spark, "sink_parquet")
     sinks.write_parquet(table(spark, d, "lineitem").drop("l_shipdate"), path, partition_by=["l_returnflag"])
-    return spark.read.parquet(path).where(F.col("l_returnflag") == "R")
+    return spark.read.parquet(path)
 
 
 query("sink_parquet", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
- l_tax, l_linestatus, l_returnflag FROM lineitem WHERE l_returnflag = 'R'""")(_sink_parquet)
+ l_tax, l_linestatus, l_returnflag FROM lineitem""")(_sink_parquet)
 
 query("kafka_encode", """SELECT CAST(user_id AS VARCHAR) AS key, CAST(to_json({'event_id': event_id, 'user_id': user_id,
  'event_type': event_type, 'props': props}) AS VARCHAR) AS value FROM events""")(
     lambda spark, d: sinks.kafka_records(table(spark, d, "events").select("event_id", "user_id", "event_type", "props"),
                                          key="user_id"))
 
-# ---- file inventories (paths are local to the run: rows-only checks)
-
-query("file_inventory")(lambda spark, d: inv.file_inventory(spark, d, glob="*.parquet").select(
-    F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size"))
-query("dir_profile")(lambda spark, d: inv.dir_profile(inv.file_inventory(spark, d), d))
+# ---- file inventories: a tree of files that Spark writes from the tables, one per label
 
 
 def _dataset_tree(spark, d):
-    """A small tree derived from the tables: documents as text files per
-    language, orders as CSV, events as JSON lines."""
+    """documents by language and orders by status as CSV, events by type as JSON lines, lineitem by flag as Parquet."""
     root = scratch(spark, "tree")
-    docs = table(spark, d, "documents")
-    for lang in ("en", "de"):
-        docs.where(F.col("lang") == lang).select("text").write.mode("overwrite").text(os.path.join(root, "docs", lang))
-    table(spark, d, "orders").drop("o_orderdate").write.mode("overwrite").option("header", True).csv(os.path.join(root, "orders"))
-    table(spark, d, "events").drop("ts").write.mode("overwrite").json(os.path.join(root, "events"))
+    for name, key, cols, fmt in (("documents", "lang", ["doc_id", "n_chars"], "csv"), ("orders", "o_orderstatus", ["o_orderkey"], "csv"),
+                                 ("events", "event_type", ["event_id"], "json"), ("lineitem", "l_returnflag", ["l_orderkey"], "parquet")):
+        t = table(spark, d, name).select(*cols, key)
+        w = t.repartition(key).write.mode("overwrite").partitionBy(key)
+        (w.option("header", True) if fmt == "csv" else w).format(fmt).save(os.path.join(root, name))
     return root
 
 
-def _detect(spark, d):
-    root = _dataset_tree(spark, d)
-    rows = []
-    for sub in ("docs", "orders", "events", "docs/en"):
-        p = inv.dir_profile(inv.file_inventory(spark, os.path.join(root, sub)), os.path.join(root, sub))
-        rows.append(p.select(F.lit(sub).alias("dir"), inv.detect_type(F.col("files_by_extension"), F.col("subdirs"))
-                             .alias("detected_type"), "file_count"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def _labelled_files(spark, d):
+    files = inv.file_inventory(spark, os.path.join(_dataset_tree(spark, d), "documents"), glob="*.csv")
+    return files.select("path", "size")
 
 
-query("detect_type")(_detect)
+query("file_inventory", """SELECT 'lang=' || lang AS folder, CAST(1 AS BIGINT) AS n_files FROM documents WHERE lang IS NOT NULL GROUP BY lang""")(
+    lambda spark, d: _labelled_files(spark, d).where("size > 0").groupBy(
+        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder")).agg(F.count(F.lit(1)).alias("n_files")))
 
 
 def _folder_labels(spark, d):
+    """Rows per label: the label is the folder a row's file lies in."""
+    root = os.path.join(_dataset_tree(spark, d), "documents")
+    labels = inv.folder_labels(inv.file_inventory(spark, root, glob="*.csv")).withColumnRenamed("path", "file")
+    rows = spark.read.option("header", True).option("recursiveFileLookup", True).csv(root).select(F.col("_metadata.file_path").alias("at"))
+    return rows.join(labels, F.regexp_replace("at", "^file:/*", "/") == F.regexp_replace("file", "^file:/*", "/")).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+query("folder_labels", """SELECT 'lang=' || lang AS label, count(*) AS n_rows FROM documents WHERE lang IS NOT NULL GROUP BY 1""")(_folder_labels)
+
+
+def _profiles(spark, d):
     root = _dataset_tree(spark, d)
-    return inv.folder_labels(inv.file_inventory(spark, os.path.join(root, "docs"), glob="*.txt"))
+    out = None
+    for name in ("documents", "orders", "events", "lineitem"):
+        sub = os.path.join(root, name)
+        files = inv.file_inventory(spark, sub).where(~F.col("path").contains("_SUCCESS"))
+        p = inv.dir_profile(files, sub).select(F.lit(name).alias("dir"), F.array_join("subdirs", ",").alias("subdirs"),
+                                               F.col("file_count").alias("files_at_top"))
+        flat = inv.dir_profile(files.withColumn("path", F.concat(F.lit(sub + "/"), F.regexp_extract("path", r"([^/]+)$", 1))), sub)
+        t = flat.select(inv.detect_type(F.col("files_by_extension"), F.array().cast("array<string>")).alias("detected_type"),
+                        F.col("file_count").alias("n_files")).first()  # one row
+        p = p.select("*", F.lit(t.detected_type).alias("detected_type"), F.lit(t.n_files).alias("n_files"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
 
+_DIRS_SQL = " UNION ALL ".join(
+    f"""SELECT '{t}' AS dir, string_agg(DISTINCT '{k}=' || {k}, ',' ORDER BY '{k}=' || {k}) AS subdirs, CAST(0 AS BIGINT) AS files_at_top,
+ '{kind}' AS detected_type, CAST(count(DISTINCT {k}) AS BIGINT) AS n_files FROM {t}"""
+    for t, k, kind in (("documents", "lang", "tabular"), ("orders", "o_orderstatus", "tabular"), ("events", "event_type", "text"),
+                       ("lineitem", "l_returnflag", "unknown")))
 
-query("folder_labels")(_folder_labels)
+query("dir_profile", f"SELECT dir, subdirs, files_at_top FROM ({_DIRS_SQL}) t")(
+    lambda spark, d: _profiles(spark, d).select("dir", "subdirs", "files_at_top"))
+query("detect_type", f"SELECT dir, detected_type, n_files FROM ({_DIRS_SQL}) t")(
+    lambda spark, d: _profiles(spark, d).select("dir", "detected_type", "n_files"))
 
 
 def _file_summary(spark, d):

@@ -21,11 +21,11 @@ EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructFi
                              T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
 
 
-def _stage_events(spark, d, root: str, n_files: int = 8) -> str:
+def _stage_events(spark, d, root: str) -> str:
     src = os.path.join(root, "source")
     ev = table(spark, d, "events").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"),
                                           "event_type", "value", "props")
-    ev.repartition(n_files, "event_id").write.mode("overwrite").json(src)
+    ev.repartition("event_id").write.mode("overwrite").json(src)
     return src
 
 
@@ -37,14 +37,14 @@ def _stream_filter(spark, d):
     out = tf.filter_rows(stream, "event_type", "==", "purchase")
     st.check_stream_step(out, "cast_type")
     out = tf.cast_type(out, "value", "float")
-    out = tf.flatten_json(out, "props", "k bigint").drop("ts")
+    out = tf.flatten_json(out, "props", "k bigint")
     sink = os.path.join(root, "sink")
     st.run_available_now(out, sink, os.path.join(root, "ckpt"))
     return spark.read.parquet(sink)
 
 
-query("stream_filter", """SELECT event_id, user_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS props_k
-FROM events WHERE event_type = 'purchase'""")(_stream_filter)
+query("stream_filter", """SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type, value,
+ CAST(json_extract(props, '$.k') AS BIGINT) AS props_k FROM events WHERE event_type = 'purchase'""")(_stream_filter)
 
 
 def _stage_lines(spark, d, root: str) -> str:
@@ -53,7 +53,7 @@ def _stage_lines(spark, d, root: str) -> str:
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     js = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
     line = F.when(F.col("event_type") == "error", F.substring(js, 1, 12)).otherwise(js)
-    ev.select(line.alias("value")).repartition(8, "value").write.mode("overwrite").text(src)
+    ev.select(line.alias("value")).repartition("value").write.mode("overwrite").text(src)
     return src
 
 

@@ -43,12 +43,11 @@ query("html_to_text", """WITH c AS (SELECT page_id, html,
  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
    '<script[^>]*>.*?</script>', '', 'gs'), '<style[^>]*>.*?</style>', '', 'gs'), '<[^>]+>', ' ', 'g'),
    '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS full_text FROM pages)
-SELECT page_id, substring(full_text, 1, 15000) AS text, CAST(length(full_text) AS BIGINT) AS n_chars,
+SELECT page_id, full_text AS text, CAST(length(full_text) AS BIGINT) AS n_chars,
  regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM c""")(
     lambda spark, d: table(spark, d, "pages", spread=True)
-    .select("page_id", "html", textfn.html_clean_text(F.col("html")).alias("__full"))
-    .select("page_id", F.substring("__full", 1, textfn.HTML_TEXT_CAP).alias("text"),
-            F.length("__full").cast("bigint").alias("n_chars"), textfn.html_title(F.col("html")).alias("title")))
+    .select("page_id", "html", textfn.html_to_text(F.col("html")).alias("text"))
+    .select("page_id", "text", F.length("text").cast("bigint").alias("n_chars"), textfn.html_title(F.col("html")).alias("title")))
 
 query("url_source", """SELECT page_id, url,
  CASE WHEN regexp_matches(url, 'arxiv\\.org/(?:abs|pdf)/(\\d+\\.\\d+)') THEN 'arxiv'

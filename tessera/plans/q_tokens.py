@@ -26,10 +26,10 @@ _SPECIALS_SQL = ("SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('[BOS]', 2)
                  "s(token, id)")
 _WORD_VOCAB_SQL = f"""(SELECT token, CAST(id AS BIGINT) AS id FROM ({_SPECIALS_SQL}) sp
 UNION ALL SELECT w, CAST(row_number() OVER (ORDER BY w) + 4 AS BIGINT) FROM (
-  SELECT DISTINCT unnest({_WORDS}) AS w FROM documents ORDER BY w LIMIT 1995) top)"""
+  SELECT DISTINCT unnest({_WORDS}) AS w FROM documents) top)"""
 
 query("word_vocab", f"SELECT * FROM {_WORD_VOCAB_SQL} v")(
-    lambda spark, d: tk.word_vocab(table(spark, d, "documents", spread=True), vocab_size=2000))
+    lambda spark, d: tk.word_vocab(table(spark, d, "documents", spread=True), vocab_size=None))
 
 query("bpe_pair_counts", f"""WITH wc AS (SELECT w, count(*) AS c FROM (SELECT unnest({_WORDS}) AS w FROM documents) GROUP BY w),
 s AS (SELECT regexp_extract_all(w, '(?s).', 0) AS s, c FROM wc)
@@ -43,7 +43,7 @@ query("bpe_merges")(lambda spark, d: tk.bpe_merges(table(spark, d, "documents",
 
 def _encoded(spark, d):
     docs = table(spark, d, "documents", spread=True)
-    vocab = tk.word_vocab(docs, vocab_size=2000)
+    vocab = tk.word_vocab(docs, vocab_size=None)
     return tk.encode_words(docs, vocab), vocab
 
 
@@ -136,3 +136,23 @@ query("render_chat_alpaca", """SELECT conv_id, CAST(count(*) AS BIGINT) AS n_tur
    ELSE text || chr(10) || chr(10) END, '' ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id""")(
     lambda spark, d: tk.render_chat(table(spark, d, "conversations"), template="alpaca"))
+
+
+def _template_sql(template):
+    """The same format in SQL."""
+    import re
+
+    def pieces(pattern):
+        parts = [p for p in re.split(r"(\{role\}|\{content\})", pattern) if p]
+        return " || ".join("role" if p == "{role}" else "text" if p == "{content}"
+                           else "'" + p.replace("\n", "' || chr(10) || '") + "'" for p in parts)
+    by_role = tk.CHAT_TEMPLATES[template]
+    cases = "".join(f" WHEN role = '{r}' THEN {pieces(p)}" for r, p in by_role.items() if r != "*")
+    turn = f"CASE{cases} ELSE {pieces(by_role['*'])} END" if cases else pieces(by_role["*"])
+    return f"""SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, string_agg({turn}, '' ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id"""
+
+
+for _t in ("mistral", "gemma", "phi-3", "qwen-2.5", "vicuna", "zephyr", "unsloth"):
+    query("render_chat_" + _t.replace("-", "_").replace(".", "_"), _template_sql(_t))(
+        lambda spark, d, t=_t: tk.render_chat(table(spark, d, "conversations"), template=t))

@@ -1,11 +1,10 @@
 """Network and database connectors: option builders for Spark's own
-connectors (JDBC, Kafka, MongoDB, Elasticsearch, Redis, BigQuery, S3A) and
-a Spark 4 Python Data Source for SQLite files.
+connectors (JDBC, Kafka, MongoDB, Elasticsearch, Redis, BigQuery, S3A).
 
 None of these were run against live systems here: the tests check the
 options they build.  Reads are partitioned by the connector (JDBC
-``partitionColumn`` ranges, Kafka topic partitions, SQLite rowid ranges);
-nothing is fetched through the driver.
+``partitionColumn`` ranges, Kafka topic partitions); nothing is fetched
+through the driver.
 """
 
 from __future__ import annotations
@@ -48,7 +47,7 @@ def jdbc_options(vendor: str, *, host: str = "localhost", port: int | None = Non
     if query:
         q = query.strip().rstrip(";")
         if limit:
-            q = f"SELECT * FROM ({q}) q LIMIT {int(limit)}" if vendor not in ("mssql", "oracle") else \
+            q = f"SELECT * FROM ({q}) q LIMIT {int(limit)}" if vendor not in ("mssql", "oracle", "derby") else \
                 (f"SELECT TOP {int(limit)} * FROM ({q}) q" if vendor == "mssql" else
                  f"SELECT * FROM ({q}) q FETCH FIRST {int(limit)} ROWS ONLY")
         if partition_column:
@@ -110,6 +109,9 @@ def s3_path(bucket: str, prefix: str = "") -> str:
     return f"s3a://{bucket}/{prefix.lstrip('/')}"
 
 
+#: Connectors whose reader takes a row limit itself.
+LIMIT_AT_SOURCE = frozenset(JDBC_VENDORS) | {"mongodb"}
+
 FORMATS = {"kafka": "kafka", "mongodb": "mongodb", "elasticsearch": "org.elasticsearch.spark.sql",
            "redis": "org.apache.spark.sql.redis", "bigquery": "bigquery"}
 
@@ -119,16 +121,11 @@ def load(spark: SparkSession, kind: str, params: dict) -> DataFrame:
     p = dict(params)
     if kind in JDBC_VENDORS:
         return spark.read.format("jdbc").options(**jdbc_options(kind, **p)).load()
-    if kind == "sqlite":
-        register_sqlite(spark)
-        r = spark.read.format("sqlite").option("path", p["path"]).option("table", p["table"])
-        if "num_partitions" in p:
-            r = r.option("num_partitions", str(p["num_partitions"]))
-        return r.load()
     if kind == "kafka":
         from pyspark.sql import functions as F
+        schema = p.pop("schema", None)
         raw = spark.read.format("kafka").options(**kafka_options(**p)).load()
-        return decode_kafka_json(raw.select(F.col("value").cast("string").alias("value")), p.get("schema"))
+        return decode_kafka_json(raw.select(F.col("value").cast("string").alias("value")), schema)
     if kind == "s3":
         from tessera.sources.inventory import file_inventory
         return file_inventory(spark, s3_path(p["bucket"], p.get("prefix", "")))
@@ -148,87 +145,11 @@ def decode_kafka_json(values: DataFrame, schema=None, column: str = "value") ->
     wrapped as ``{"value": v}`` (the reference's rule)."""
     from pyspark.sql import functions as F
     v = F.col(column)
-    is_obj = F.regexp_like(v, F.lit(r"^\s*\{"))
     parsed = F.try_parse_json(v)
+    is_obj = F.schema_of_variant(parsed).startswith("OBJECT")
     wrapped = (F.when(is_obj, v)
                .when(parsed.isNotNull(), F.to_json(F.struct(parsed.alias("value"))))
                .otherwise(F.to_json(F.struct(v.alias("value")))))
     if schema is None:
         return values.select(wrapped.alias("json"))
     return values.select(F.from_json(wrapped, schema).alias("r")).select("r.*")
-
-
-# --------------------------------------------------------------------------- SQLite (Python Data Source)
-
-def register_sqlite(spark: SparkSession) -> None:
-    from pyspark.sql.datasource import DataSource, DataSourceReader
-
-    class SQLiteReader(DataSourceReader):
-        def __init__(self, schema, options):
-            self.path = options["path"]
-            self.table = options["table"]
-            self.n = int(options.get("num_partitions", "4"))
-            self.columns = [f.name for f in schema.fields]
-
-        def partitions(self):
-            import sqlite3
-            con = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-            lo, hi = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-            con.close()
-            return sqlite_partitions(lo, hi, self.n)
-
-        def read(self, partition):
-            import sqlite3
-            con = sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
-            cols = ", ".join(f'"{c}"' for c in self.columns)
-            cur = con.execute(f'SELECT {cols} FROM "{self.table}" WHERE rowid >= ? AND rowid < ?',
-                              (partition.lo, partition.hi))
-            for row in cur:
-                yield tuple(row)
-            con.close()
-
-    class SQLiteSource(DataSource):
-        @classmethod
-        def name(cls):
-            return "sqlite"
-
-        def schema(self):
-            import sqlite3
-            con = sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
-            info = con.execute(f'PRAGMA table_info("{self.options["table"]}")').fetchall()
-            con.close()
-            return ", ".join(f"`{r[1]}` {sqlite_type(r[2])}" for r in info)
-
-        def reader(self, schema):
-            return SQLiteReader(schema, self.options)
-
-    spark.dataSource.register(SQLiteSource)
-
-
-def sqlite_type(decl: str) -> str:
-    """SQLite type affinity -> Spark type."""
-    d = (decl or "").upper()
-    if "INT" in d:
-        return "bigint"
-    if any(t in d for t in ("CHAR", "CLOB", "TEXT")):
-        return "string"
-    if any(t in d for t in ("REAL", "FLOA", "DOUB")):
-        return "double"
-    if "BLOB" in d or not d:
-        return "binary" if "BLOB" in d else "string"
-    return "double"
-
-
-def sqlite_partitions(lo, hi, n: int):
-    """Contiguous rowid ranges [lo, hi] cut into at most ``n`` pieces."""
-    from pyspark.sql.datasource import InputPartition
-
-    class RowidRange(InputPartition):
-        def __init__(self, a: int, b: int):
-            self.lo, self.hi = a, b
-    if lo is None:
-        return [RowidRange(0, 0)]
-    span = hi - lo + 1
-    n = max(1, min(n, span))
-    step = -(-span // n)
-    return [RowidRange(lo + i * step, min(lo + (i + 1) * step, hi + 1)) for i in range(n)]

@@ -45,11 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8",
-             infer_schema: bool = False, schema=None, multi_line: bool = False) -> DataFrame:
+             infer_schema: bool = False, schema=None, multi_line: bool = True) -> DataFrame:
     """Header row, every column a string unless a schema / inference is asked
-    for (the reference never infers).  ``multi_line`` allows quoted values
-    spanning lines; it makes each file one task, so it is off by default and
-    large files are split across tasks."""
+    for (the reference never infers).  Quoted values may span lines, which
+    makes each file one task; ``multi_line=False`` splits large files whose
+    values are known to hold no line breaks."""
     r = (spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
          .option("multiLine", multi_line).option("escape", '"').option("inferSchema", infer_schema))
     if schema is not None:
@@ -72,10 +72,13 @@ def load_source(spark: SparkSession, spec: dict) -> DataFrame:
     """Build a DataFrame from ``{connector_type, params}``."""
     kind = spec.get("connector_type") or spec.get("type")
     p = dict(spec.get("params", {}))
+    from tessera.sources import connectors
     limit = p.pop("limit", None)
+    if limit and kind in connectors.LIMIT_AT_SOURCE:
+        p["limit"] = int(limit)  # the database applies it
     if kind in ("csv", "csv_file"):
         df = read_csv(spark, p["path"], p.get("delimiter", ","), p.get("encoding", "utf-8"),
-                      multi_line=bool(p.get("multi_line", False)))
+                      multi_line=bool(p.get("multi_line", True)))
     elif kind in ("json", "json_file", "jsonl"):
         df = read_json(spark, p["path"], bool(p.get("lines", kind == "jsonl")))
     elif kind == "parquet":
@@ -83,6 +86,5 @@ def load_source(spark: SparkSession, spec: dict) -> DataFrame:
     elif kind == "table":
         df = spark.table(p["name"])
     else:
-        from tessera.sources import connectors
         df = connectors.load(spark, kind, p)
     return df.limit(int(limit)) if limit else df

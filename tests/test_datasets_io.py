@@ -87,8 +87,8 @@ def test_connector_options():
     assert '"$match"' in m["aggregation.pipeline"] and '"$limit"' in m["aggregation.pipeline"]
     assert cx.elasticsearch_options("h", "idx", '{"query": {}}')["es.query"]
     assert cx.s3_path("bkt", "/a/b") == "s3a://bkt/a/b"
-    parts = cx.sqlite_partitions(1, 10, 3)
-    assert [(p.lo, p.hi) for p in parts] == [(1, 5), (5, 9), (9, 11)]
+
+
 
 
 def test_kafka_value_decoding(spark):
@@ -175,3 +175,63 @@ def test_label_distribution_paging_and_nested_export(spark, tmp_path):
     assert back.tools == '[{"name":"get_weather"}]' and back.tool_call.startswith('{"name":"get_weather"')
     ds.export_jsonl(nested, str(tmp_path / "jsonl"))
     assert spark.read.json(str(tmp_path / "jsonl")).first().tools[0].name == "get_weather"
+
+
+def test_folder_export_keeps_equal_names_apart_and_reports_missing(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "b").mkdir()
+    for d in "ab":
+        (tmp_path / d / "x.txt").write_text(d)
+    rows = [(f"{tmp_path}/a/x.txt", "l"), (f"{tmp_path}/b/x.txt", "l"), (f"{tmp_path}/c/x.txt", "l"), (f"{tmp_path}/a/x.txt", None)]
+    m = ds.folder_manifest(spark.createDataFrame(rows, "image_path string, label string"))
+    assert sorted(r.dst for r in m.collect()) == ["imagefolder/l/x-1.txt", "imagefolder/l/x-2.txt", "imagefolder/l/x.txt",
+                                                  "imagefolder/unknown/x.txt"]
+    got = {r.src[-7:]: r.status for r in ds.copy_manifest(m, str(tmp_path / "out")).collect()}
+    assert got == {"a/x.txt": "copied", "b/x.txt": "copied", "c/x.txt": "missing"}
+    assert (tmp_path / "out/imagefolder/l/x-1.txt").read_text() == "b"
+
+
+def test_updates_with_repeated_ids_do_not_multiply_rows(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 2)], "_id string, v long")
+    up = spark.createDataFrame([("a", 5), ("a", 7)], "_id string, v long")
+    assert sorted(tuple(r) for r in ds.update_samples(base, up).collect()) == [("a", 7), ("b", 2)]
+    new = spark.createDataFrame([(3,), (3,), (4,)], "v long")
+    assert len({r._id for r in ds.append_samples(base, new).collect()}) == 5
+
+
+def test_csv_round_trip_of_line_breaks(spark, tmp_path):
+    from tessera.sources import sinks
+    from tessera.sources.files import read_csv
+    df = spark.createDataFrame([(1, 'a "quoted", text\nsecond line'), (2, "plain")], "i long, t string")
+    sinks.write_csv(df, str(tmp_path / "c"))
+    assert sorted((int(r.i), r.t) for r in read_csv(spark, str(tmp_path / "c")).collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_connector_specs(spark):
+    from tessera.sources import connectors as cx
+    assert "FETCH FIRST 5 ROWS ONLY" in cx.jdbc_options("derby", query="select 1", limit=5)["query"]
+    assert "LIMIT 5" in cx.jdbc_options("mysql", query="select 1", limit=5)["query"]
+    df = spark.createDataFrame([('{"a": 1}',), ("{broken",), ("[1]",)], "value string")
+    assert [r.json for r in cx.decode_kafka_json(df).collect()] == ['{"a": 1}', '{"value":"{broken"}', '{"value":[1]}']
+
+
+def test_kafka_spec_with_schema(spark, monkeypatch):
+    from tessera.sources import connectors as cx
+    seen = {}
+    monkeypatch.setattr(cx, "kafka_options", lambda **p: seen.update(p) or {})
+    monkeypatch.setattr(cx, "decode_kafka_json", lambda values, schema: schema)
+
+    class Reader:
+        def format(self, _):
+            return self
+
+        def options(self, **_):
+            return self
+
+        def load(self):
+            return spark.createDataFrame([("{}",)], "value string")
+
+    class Session:
+        read = Reader()
+    assert cx.load(Session(), "kafka", {"bootstrap": "b:1", "topic": "t", "schema": "a long"}) == "a long"
+    assert seen == {"bootstrap": "b:1", "topic": "t"}

@@ -83,12 +83,15 @@ def _lcs_dp(a, b):
     return prev[-1]
 
 
-def test_lcs_bit_parallel_matches_dp():
+def test_lcs_of_many_pairs_matches_dp(monkeypatch):
+    import numpy as np
     random.seed(5)
-    for _ in range(300):
-        a = [random.choice("abcd") for _ in range(random.randint(0, 30))]
-        b = [random.choice("abcd") for _ in range(random.randint(0, 30))]
-        assert ev.lcs_length_py(a, b) == _lcs_dp(a, b)
+    pairs = [([random.randrange(4) for _ in range(random.randint(0, 30))],
+              [random.randrange(4) for _ in range(random.randint(0, 30))]) for _ in range(300)]
+    want = [_lcs_dp(a, b) for a, b in pairs]
+    for cells in (4_000_000, 100, 1):
+        monkeypatch.setattr(ev, "LCS_CELLS", cells)
+        assert ev.lcs_lengths([np.array(a, int) for a, _ in pairs], [np.array(b, int) for _, b in pairs]).tolist() == want
 
 
 def test_rouge_l_against_brute_force(spark):
@@ -175,3 +178,27 @@ def test_fround_keeps_large_values(spark):
     vals = [5.0e13, 1e300, float("inf"), -2.5e15, 1.23456789]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "x double").select(fround(F.col("x"), 6)).collect()]
     assert got == vals[:4] + [1.234568]
+
+
+def test_cosine_topk_in_query_blocks(spark):
+    import numpy as np
+    from tessera.operators import vectors as vx
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(200, 8))
+    m[50:60] = m[0]  # ties: by id
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    queries = corpus.where("vec_id < 40").withColumnRenamed("vec_id", "query_id")
+    u = m / np.linalg.norm(m, axis=1)[:, None]
+    for block in (7, 1000):
+        got = {}
+        for r in vx.cosine_topk(corpus.repartition(3), queries, 5, block=block).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        for q in range(40):
+            s = np.round(u @ u[q], 9)
+            assert [v for _, v in sorted(got[q])] == sorted(range(200), key=lambda i: (-s[i], i))[:5]
+
+
+def test_confusion_pairs_without_the_grid(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), (None, "a")], "t string, p string")
+    got = sorted(tuple(r) for r in ev.confusion_matrix(df, "t", "p", zeros=False).collect())
+    assert got == [("a", "a", 1), ("a", "b", 1)]

@@ -212,12 +212,23 @@ def test_positions_hot_key_identical_times(spark):
 
 
 def test_encode_words_join_path_for_large_vocabularies(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, "b a zz b"), (2, "  c  ")], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(1, "b a zz b"), (2, "  c  "), (3, ""), (4, None), (4, None)], "doc_id bigint, text string")
     vocab = tk.word_vocab(docs)
     fast = {r.doc_id: r.ids for r in tk.encode_words(docs, vocab).collect()}
     monkeypatch.setattr(tk, "MAP_VOCAB_LIMIT", 2)
     slow = {r.doc_id: r.ids for r in tk.encode_words(docs, vocab).collect()}
-    assert fast == slow == {1: [6, 5, 8, 6], 2: [7]}
+    assert fast == slow == {1: [6, 5, 8, 6], 2: [7], 3: [], 4: None}
+    assert tk.encode_words(docs, vocab).count() == 5
+    ids = spark.createDataFrame([(1, [5, 99, 8]), (2, []), (3, None)], "doc_id bigint, ids array<bigint>")
+    joined = {r.doc_id: r.text for r in tk.decode_ids(ids, vocab).collect()}
+    monkeypatch.undo()
+    assert joined == {r.doc_id: r.text for r in tk.decode_ids(ids, vocab).collect()} == {1: "a ? zz", 2: "", 3: None}
+
+
+def test_packing_refuses_too_little_data(spark):
+    docs = spark.createDataFrame([(1, "abc")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="Not enough data"):
+        tk.pack_sequences(docs, 8, n_tokens=F.length("text"), encode_fn=tk.char_encoder(tk.char_vocab(docs)))
 
 
 def test_pipeline_rejects_whole_table_steps_on_streams(spark, tmp_path):
