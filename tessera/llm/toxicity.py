@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
+from tessera.llm.simhash import drop_near_duplicates
 
 # Base vocabulary of the grammar (lower case; English, German, French, Spanish).
 INSULTS = ("idiot", "moron", "imbecile", "stupid", "scum", "bastard", "asshole", "bitch", "dumbass", "dipshit",
@@ -40,6 +41,9 @@ REPORTS = frozenset("said says say told tells called calls claimed claims wrote
 #: sample of about this many; all of them if there are fewer).
 TRAIN_ROWS = 20_000
 MAX_TERMS = 2_000
+#: Standard errors of a term's log-odds above zero (thousands of terms are tried).
+MIN_Z = 4.5
+KEEPS = 0.75
 NEGATION_REACH = 3
 KINDS = tuple((what, aim, how) for what in ("insult", "threat") for aim in ("aimed", "open")
               for how in ("direct", "reported", "negated"))
@@ -141,13 +145,13 @@ def matches(automaton, low: str) -> dict[int, tuple[int, str, float]]:
 
 def features(automaton, text: str | None) -> list[float]:
     """Per clause kind the strengths of its matches (log1p of the sum), then
-    distinct matched words and the text's length (log1p)."""
+    distinct matched words and matches per hundred words (log1p)."""
     low = (text or "").lower()
     out = [0.0] * (len(KINDS) + 2)
-    out[-1] = math.log1p(len(low) / 6)
     found = matches(automaton, low)
     if not found:
         return out
+    out[-1] = math.log1p(100 * len(found) / (1 + len(low) / 6))
     ends = [m.start() for m in _CLAUSE_END.finditer(low)] + [len(low)]
     starts = sorted(found)
     out[-2] = math.log1p(len({low[s:found[s][0]] for s in starts}))
@@ -208,20 +212,33 @@ def _count(batches: Iterator[pa.RecordBatch], among: frozenset | None) -> Iterat
 
 def _chosen(counts: dict[str, list[int]], n: list[int]) -> dict[str, tuple[str, float, bool]]:
     """Terms that mark toxic documents far more often than others, the most
-    telling first; of a word and its beginnings that tell alike, the longest."""
-    scored = []
-    for term, (clean, toxic) in counts.items():
-        p = (toxic + 0.5) / (n[1] + 1)
-        q = (clean + 0.5) / (n[0] + 1)
-        z = math.log(p / q) / math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-        if z > 4 and math.log(p / q) > 2:
-            scored.append((z, math.log(p / q), term))
+    telling first.  A beginning gives way to the longest word or beginning
+    that keeps nearly all of its toxic documents: it says the same with less
+    risk for words that the sample does not hold."""
+    def toxic(term):
+        return counts.get(term, (0, 0))[1]
+    longest = {}
+    for term in counts:
+        word = term.rstrip("$")
+        for k in range(3, len(word) + (term != word)):
+            stem = word[:k]
+            if toxic(term) >= KEEPS * toxic(stem) and len(term) > len(longest.get(stem, "")):
+                longest[stem] = term
+    scored = {}
+    for term, (no, yes) in counts.items():
+        lift = math.log((yes + 0.5) / (n[1] + 1)) - math.log((no + 0.5) / (n[0] + 1))
+        z = lift / math.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
+        if z > MIN_Z and lift > 2:
+            scored[term] = (z, lift)
     kept: dict[str, tuple[str, float, bool]] = {}
-    for z, lift, term in sorted(scored, key=lambda x: (-round(x[0], 1), -len(x[2]), x[2])):
+    for term in sorted(scored, key=lambda t: (-round(scored[t][0], 1), -len(t), t)):
+        term = longest.get(term, term)
+        if term not in scored:
+            continue
         word, stem = term.rstrip("$"), not term.endswith("$")
-        if any((word.startswith(k) and s) or (stem and k.startswith(word)) for k, (_, _, s) in kept.items()):
+        if any((word.startswith(k) and s) or (stem and k.startswith(word)) or k == word for k, (_, _, s) in kept.items()):
             continue
-        kept[word] = ("I", min(1.0, lift / 6), stem)
+        kept[word] = ("I", min(1.0, scored[term][1] / 6), stem)
         if len(kept) >= MAX_TERMS:
             break
     return kept
@@ -244,13 +261,17 @@ def _fit(x: np.ndarray, y: np.ndarray) -> list[float]:
 
 
 def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on all rows given (``sample_labelled`` bounds them).
+    """Fit on all rows given (``sample_labelled`` bounds them), near copies
+    counted once: else every word of a much copied text would look telling.
 
     Candidate terms are those in at least 1 % of the toxic rows and in 5, a
     number that the corpus size does not move; their counts over all rows
     decide.  Without toxic rows the base vocabulary and the priors stay."""
     rows = materialise(labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"))
-                       .filter(F.col("toxic").isin(0, 1)), "toxic-train")
+                       .filter(F.col("toxic").isin(0, 1)), "toxic-sample")
+    each = rows.withColumn("id", F.xxhash64("toxic", "text"))  # toxic and clean texts apart
+    rows = materialise(drop_near_duplicates(each.filter("toxic = 1"), id_col="id")
+                       .unionByName(drop_near_duplicates(each.filter("toxic = 0"), id_col="id")).drop("id"), "toxic-train")
     size = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n = [size.get(0, 0), size.get(1, 0)]
 
