@@ -13,10 +13,11 @@ SPREAD_MIN_BYTES = 4 * 1024 * 1024
 
 
 def _row_groups(path: str) -> int | None:
+    import pyarrow as pa
+    import pyarrow.parquet as pq
     try:
-        import pyarrow.parquet as pq
         return pq.ParquetFile(path).metadata.num_row_groups  # footer only
-    except Exception:  # noqa: BLE001 - remote paths, directories: no hint
+    except (OSError, pa.ArrowInvalid):  # a folder, or a path that only Spark reads: no hint
         return None
 
 
