@@ -37,8 +37,25 @@ SELECT s[i] AS "left", s[i + 1] AS "right", CAST(sum(c) AS BIGINT) AS count
 FROM s, LATERAL (SELECT unnest(range(1, len(s))) AS i) x GROUP BY ALL HAVING sum(c) >= 2""")(
     lambda spark, d: tk.bpe_pair_counts(table(spark, d, "documents", spread=True)))
 
-# iterative merges: rows-only check here, brute-force checked in tests/
-query("bpe_merges")(lambda spark, d: tk.bpe_merges(table(spark, d, "documents", spread=True), n_merges=20))
+N_MERGES = 20
+
+
+def _bpe_sql() -> str:
+    """One pair of CTEs per merge: the best pair, and the words with it merged.
+    Symbols are framed by chr(2) and chr(3), so that a merge is a plain replace."""
+    parts = [f"""w0 AS MATERIALIZED (SELECT array_to_string(list_transform(regexp_extract_all(w, '(?s).', 0),
+  lambda x: chr(2) || x || chr(3)), '') AS syms, c FROM (SELECT w, count(*) AS c FROM (SELECT unnest({_WORDS}) AS w FROM documents) GROUP BY w))"""]
+    for r in range(N_MERGES):
+        parts.append(f"""t{r} AS MATERIALIZED (SELECT s[i] AS l, s[i + 1] AS r, CAST(sum(c) AS BIGINT) AS n
+ FROM (SELECT regexp_extract_all(syms, '\x02([^\x03]*)\x03', 1) AS s, c FROM w{r}) q, LATERAL (SELECT unnest(range(1, len(s))) AS i) x
+ GROUP BY ALL HAVING sum(c) >= 2 ORDER BY n DESC, l, r LIMIT 1)""")
+        parts.append(f"""w{r + 1} AS MATERIALIZED (SELECT replace(syms, (SELECT chr(2) || l || chr(3) || chr(2) || r || chr(3) FROM t{r}),
+ (SELECT chr(2) || l || r || chr(3) FROM t{r})) AS syms, c FROM w{r})""")
+    rows = " UNION ALL ".join(f'SELECT {r} AS rank, l AS "left", r AS "right", n AS count FROM t{r}' for r in range(N_MERGES))
+    return "WITH " + ",\n".join(parts) + "\n" + rows
+
+
+query("bpe_merges", _bpe_sql())(lambda spark, d: tk.bpe_merges(table(spark, d, "documents", spread=True), n_merges=N_MERGES))
 
 
 def _encoded(spark, d):
