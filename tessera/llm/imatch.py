@@ -27,48 +27,54 @@ LEXICONS = 64
 #: ``COMMON``.  The lexicon has at most ``RARE`` times a document's mean number
 #: of distinct terms, whatever the corpus size.
 RARE, COMMON = 1_000, 20
-_SEEDS = np.random.Generator(np.random.PCG64(29)).integers(1, 1 << 63, LEXICONS, dtype=np.uint64)[:, None]
+#: A text with fewer terms in the band uses all its terms.
+MIN_TERMS = 16
+_FACTORS = np.random.Generator(np.random.PCG64(29)).integers(1, 1 << 63, LEXICONS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+_SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
+_ALL = np.uint64((1 << 64) - 1)
 _FLUSH = 300_000
 
 
-def _terms(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the words (lower case, white space)."""
-    return np.array(sorted({xxhash.xxh64_intdigest(w) for w in set((text or "").lower().split())}), np.uint64)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every input bit moves every output bit."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-def _level(x: np.ndarray) -> np.ndarray:
-    """How many nested subsets hold the term: its leading zero bits."""
-    return 64 - np.frexp((x >> np.uint64(11)).astype(np.float64))[1] - 11
-
-
-def fingerprint(text: str | None, lexicon: np.ndarray) -> np.ndarray:
-    """``LEXICONS`` 16-bit parts.  A text with no term in the band uses all
-    its terms; a text without terms has all parts zero."""
-    terms = _terms(text)
-    if not terms.size:
+class Terms(dict):
+    """Word to 64-bit hash, and whether the lexicon has it (as the sign of a
+    pair's second part); filled as words come, emptied when large."""
+
+    def __init__(self, lexicon: np.ndarray | None = None):
+        super().__init__()
+        self.lexicon = frozenset() if lexicon is None else frozenset(lexicon.tolist())
+
+    def __missing__(self, word: str) -> tuple[int, bool]:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word)
+        self[word] = out = (h, h in self.lexicon)
+        return out
+
+    def of(self, text: str | None) -> np.ndarray:
+        """Sorted distinct hashes of a text's words (lower case, white space):
+        those in the lexicon, or all if fewer than ``MIN_TERMS`` are."""
+        found = [self[w] for w in set((text or "").lower().split())]
+        known = [h for h, inside in found if inside]
+        known = known if len(known) >= MIN_TERMS else [h for h, _ in found]
+        return np.sort(np.array(known, np.uint64))
+
+
+def fingerprint(text: str | None, terms: Terms) -> np.ndarray:
+    """``LEXICONS`` 16-bit parts.  Family k scrambles the terms by its own
+    factor; its nested subsets are the terms below a power of two.  A text
+    without terms has all parts zero."""
+    t = terms.of(text)
+    if not t.size:
         return np.zeros(LEXICONS, np.uint16)
-    if lexicon.size:
-        at = np.minimum(np.searchsorted(lexicon, terms), lexicon.size - 1)
-        known = lexicon[at] == terms
-        if known.any():
-            terms = terms[known]
+    blocks = [t[i:i + 4096] for i in range(0, t.size, 4096)]  # a very long text in pieces
+    least = np.min([(b * _FACTORS).min(1) for b in blocks], axis=0)
+    bits = np.clip(np.frexp(least.astype(np.float64))[1], 1, 64).astype(np.uint64)
+    below = (_ALL >> (np.uint64(64) - bits))[:, None]  # the sparsest subset with a term
     parts = np.zeros(LEXICONS, np.uint64)
-    sparsest = np.full(LEXICONS, -1)
-    for i in range(0, terms.size, 4096):  # a very long text in pieces
-        some = terms[None, i:i + 4096]
-        level = _level(_mix(some ^ _SEEDS))
-        top = level.max(1)
-        chosen = np.where(level == top[:, None], _mix(some * np.uint64(3) + _SEEDS), np.uint64(0)).sum(1, dtype=np.uint64)
-        parts = np.where(top > sparsest, chosen, np.where(top == sparsest, parts + chosen, parts))
-        sparsest = np.maximum(sparsest, top)
-    return np.maximum(_mix(parts) >> np.uint64(48), 1).astype(np.uint16)
+    for b in blocks:
+        x = b * _FACTORS
+        parts += np.where(x <= below, (x ^ (x >> np.uint64(29))) * _SCRAMBLE, np.uint64(0)).sum(1, dtype=np.uint64)
+    return np.maximum((parts ^ (parts >> np.uint64(32))) * _SCRAMBLE >> np.uint64(48), np.uint64(1)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -83,13 +89,14 @@ def as_text(parts: np.ndarray) -> str:
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
+    hashes = Terms()
 
     def rows():
         keys = np.fromiter(counts.keys(), np.uint64, len(counts)).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.values(), pa.int64())], names=["term", "n"])
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            counts.update(_terms(text).tolist())
+            counts.update({hashes[w][0] for w in set((text or "").lower().split())})
             if len(counts) > _FLUSH:
                 yield rows()
                 counts.clear()
@@ -114,9 +121,9 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-def _report(doc_id, text: str, following: str, words: np.ndarray) -> tuple:
+def _report(doc_id, text: str, own: np.ndarray, following: str, other: np.ndarray, terms: Terms) -> tuple:
     new = edited(text, following)
-    own, changed, other = (fingerprint(t, words) for t in (text, new, following))
+    changed = fingerprint(new, terms)
     return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(own), as_text(changed),
             likeness(own, changed), likeness(own, other))
 
@@ -148,14 +155,16 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, first = TaskContext.get().partitionId(), None, None
+        terms = Terms(shared.value)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = fingerprint(text, terms)
                 if before is None:
                     first = text
                 else:
-                    out.append((part, "done", None) + _report(*before, text, shared.value))
-                before = (doc_id, text)
+                    out.append((part, "done", None) + _report(*before, text, own, terms))
+                before = (doc_id, text, own)
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
         if before is not None:
             ends = [(part, "first", first) + (None,) * 7, (part, "last", before[1], before[0]) + (None,) * 6]
@@ -174,8 +183,10 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     done_schema = pa.schema(list(schema)[3:])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = Terms(shared.value)
         for batch in batches:
-            rows = [_report(*r.values(), shared.value) for r in batch.to_pylist()]
+            rows = [_report(r["id"], r["text"], fingerprint(r["text"], terms), r["following"], fingerprint(r["following"], terms), terms)
+                    for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist([dict(zip(done_schema.names, r)) for r in rows], done_schema)
 
     done = found.filter("kind = 'done'").drop("part", "kind", "text")

@@ -335,7 +335,7 @@ def test_imatch_follows_overlap():
     rng = random.Random(2)
     vocabulary = [f"t{i}" for i in range(5000)]
     text = rng.sample(vocabulary, 400)
-    lexicon = imatch._terms(" ".join(vocabulary))
+    lexicon = imatch.Terms(imatch.Terms().of(" ".join(vocabulary)))
     own = imatch.fingerprint(" ".join(text), lexicon)
     assert (own == imatch.fingerprint(" ".join(reversed(text * 2)), lexicon)).all()  # order and repeats do not matter
     shares = []
@@ -348,7 +348,7 @@ def test_imatch_follows_overlap():
 def test_imatch_lexicon_counts_all_documents(spark):
     df = spark.createDataFrame([(f"the w{i % 10} x{i}",) for i in range(200)], "text string")
     got = set(imatch.lexicon(df, rare=20, common=5).tolist())
-    assert got == set(imatch._terms(" ".join(f"w{i}" for i in range(10))).tolist())
+    assert got == set(imatch.Terms().of(" ".join(f"w{i}" for i in range(10))).tolist())
 
 
 # ----------------------------------------------------------------- language
