@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,8 +82,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def as_text(parts: np.ndarray) -> str:
-    return parts.astype(">u2").tobytes().hex()
+def as_bytes(parts: np.ndarray) -> bytes:
+    return parts.astype(">u2").tobytes()
 
 
 # --------------------------------------------------------------------- lexicon
@@ -124,11 +125,20 @@ def edited(text: str, following: str) -> str:
 def _report(doc_id, text: str, own: np.ndarray, following: str, other: np.ndarray, terms: Terms) -> tuple:
     new = edited(text, following)
     changed = fingerprint(new, terms)
-    return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), as_text(own), as_text(changed),
+    return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), as_bytes(own), as_bytes(changed),
             likeness(own, changed), likeness(own, other))
 
 
-_REPORT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_REPORT = "n_chars long, edited_sha256 string, own binary, changed binary, near_edited double, near_next double"
+
+
+def compressed(text):
+    """A text column, zstd-compressed for the sort."""
+    @F.arrow_udf("binary")
+    def compress(texts: pa.Array) -> pa.Array:
+        z = zstandard.ZstdCompressor(level=3)
+        return pa.array([z.compress(x) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+    return compress(text)
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: np.ndarray | None = None) -> DataFrame:
@@ -146,19 +156,20 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_type = docs.schema[id_col].dataType
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = [F.col("id").desc_nulls_last(), F.col("tie")]
-    rows = (docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    rows = (docs.select(F.col(id_col).alias("id"), compressed(text).alias("text"), F.xxhash64(text).alias("tie"))
             .repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text"))
     arrow_id = pa.schema([("id", _arrow_type(id_type))]).field("id").type
     schema = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("id", arrow_id),
-                        ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                        ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+                        ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("own", pa.binary()),
+                        ("changed", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, first = TaskContext.get().partitionId(), None, None
-        terms = Terms(shared.value)
+        terms, z = Terms(shared.value), zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc_id, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = z.decompress(packed).decode()
                 own = fingerprint(text, terms)
                 if before is None:
                     first = text
@@ -190,7 +201,9 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_pylist([dict(zip(done_schema.names, r)) for r in rows], done_schema)
 
     done = found.filter("kind = 'done'").drop("part", "kind", "text")
-    return done.union(ends.mapInArrow(finish, id_ddl + _REPORT)).withColumnRenamed("id", id_col)
+    return done.union(ends.mapInArrow(finish, id_ddl + _REPORT)).select(
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", F.lower(F.hex("own")).alias("fingerprint"),
+        F.lower(F.hex("changed")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def _arrow_type(t) -> pa.DataType:
