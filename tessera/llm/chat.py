@@ -49,10 +49,11 @@ def _ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             return state, steps
         up = state.select(F.col("conv").alias("c"), F.col("node").alias("n"), F.col("jump").alias("j"),
                           F.col("score").alias("s"), F.col("depth").alias("d"))
-        state = materialise(state.join(up, F.col("conv").eqNullSafe(F.col("c")) & (F.col("jump") == F.col("n")), "left")
-                            .select("conv", "node", F.col("j").alias("jump"),
-                                    (F.col("score") + F.coalesce("s", F.lit(0.0))).alias("score"),
-                                    (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth")), "chat-links")
+        # messages whose jump has reached the root are done
+        higher = (state.filter("jump is not null").join(up, F.col("conv").eqNullSafe(F.col("c")) & (F.col("jump") == F.col("n")))
+                  .select("conv", "node", F.col("j").alias("jump"), (F.col("score") + F.col("s")).alias("score"),
+                          (F.col("depth") + F.col("d")).alias("depth")))
+        state = materialise(state.filter("jump is null").union(higher), "chat-links")
 
 
 def format_trees(nodes: DataFrame, branches: int = 1) -> DataFrame:
