@@ -204,9 +204,12 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int =
     prints = materialise(docs.select(F.col(id_col).alias("id"), text_key.alias("text_key"),
                                      simhash_column(F.col(text_col), shingle).alias("fp")), "simhash")
     first = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("text_key"))
-    keep = _groups(prints, max_distance, first).select("least.id", "least.text_key").distinct()
-    rows = docs.select(packed(docs), F.col(id_col).alias("key"), text_key.alias("key_text"),
-                       row_hash(docs, SEED).alias("row_key"))
-    same = Window.partitionBy("key", "key_text").orderBy("row_key")
-    kept = rows.join(keep, F.col("key").eqNullSafe(F.col("id")) & (F.col("key_text") == F.col("text_key")), "left_semi")
+    # one 64-bit key finds a row, its parts confirm it: a broadcast of long keys stays small
+    key = F.xxhash64(F.col("id").isNull(), F.col("id"), F.col("text_key"))
+    keep = _groups(prints, max_distance, first).select("least.id", "least.text_key").distinct() \
+        .select(key.alias("key"), F.col("id").alias("keep_id"), F.col("text_key").alias("keep_text"))
+    rows = docs.select(packed(docs), F.col(id_col).alias("id"), text_key.alias("text_key"), row_hash(docs, SEED).alias("row_key"))
+    kept = (rows.withColumn("key", key).join(keep, "key")
+            .filter(F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_key") == F.col("keep_text"))))
+    same = Window.partitionBy("key", "id", "text_key").orderBy("row_key")
     return unpacked(kept.withColumn("copy", F.row_number().over(same)).filter("copy = 1"), docs.schema)
