@@ -41,8 +41,10 @@ REPORTS = frozenset("said says say told tells called calls claimed claims wrote
 #: sample of about this many; all of them if there are fewer).
 TRAIN_ROWS = 20_000
 MAX_TERMS = 2_000
-#: Standard errors of a term's log-odds above zero (thousands of terms are tried).
+#: Signed root of a term's log-likelihood ratio (about standard normal for a
+#: term that says nothing; thousands of terms are tried), and toxic rows with it.
 MIN_Z = 4.5
+MIN_ROWS = 5
 KEEPS = 0.75
 NEGATION_REACH = 3
 KINDS = tuple((what, aim, how) for what in ("insult", "threat") for aim in ("aimed", "open")
@@ -183,10 +185,15 @@ def features(automaton, text: str | None) -> list[float]:
 
 # ------------------------------------------------------------------- learning
 
+_PHRASES = Model({t: ("T", 1.0, False) for t in THREATS}).automaton()
+
+
 def _terms_of(text: str | None) -> set[str]:
-    """Distinct words (marked ``$``) and word beginnings of 3 to 8 letters."""
-    out = set()
-    for w in set(_WORD.findall((text or "").lower())):
+    """Distinct words (marked ``$``), word beginnings of 3 to 8 letters, and
+    phrases of the base vocabulary (marked ``$``)."""
+    low = (text or "").lower()
+    out = {low[s:e] + "$" for s, (e, _, _) in matches(_PHRASES, low).items()}
+    for w in set(_WORD.findall(low)):
         out.add(w + "$")
         out.update(w[:k] for k in range(3, min(len(w), 8) + 1))
     return out
@@ -210,6 +217,29 @@ def _count(batches: Iterator[pa.RecordBatch], among: frozenset | None) -> Iterat
         yield rows()
 
 
+def _root_ratio(no: int, yes: int, n: list[int]) -> float:
+    """Signed root of the log-likelihood ratio of a term in ``no`` of n[0]
+    clean and ``yes`` of n[1] toxic rows against equal shares.  Purity only
+    raises it, and it knows no languages: a term of a rare language needs as
+    many rows as any other."""
+    held, total = no + yes, n[0] + n[1]
+    cells = ((no, n[0] * held), (yes, n[1] * held), (n[0] - no, n[0] * (total - held)), (n[1] - yes, n[1] * (total - held)))
+    ratio = 2 * sum(k * math.log(k * total / expected) for k, expected in cells if k)
+    return math.copysign(math.sqrt(max(0.0, ratio)), yes * n[0] - no * n[1])
+
+
+def _lift(no: int, yes: int, n: list[int]) -> float:
+    return math.log((yes + 0.5) / (n[1] + 1)) - math.log((no + 0.5) / (n[0] + 1))
+
+
+def _fewest(n: list[int]) -> int:
+    """Toxic rows below which not even a term without clean rows is chosen."""
+    k = MIN_ROWS
+    while k < n[1] and _root_ratio(0, k, n) <= MIN_Z:
+        k += 1
+    return k
+
+
 def _chosen(counts: dict[str, list[int]], n: list[int]) -> dict[str, tuple[str, float, bool]]:
     """Terms that mark toxic documents far more often than others, the most
     telling first.  A beginning gives way to the longest word or beginning
@@ -226,9 +256,8 @@ def _chosen(counts: dict[str, list[int]], n: list[int]) -> dict[str, tuple[str,
                 longest[stem] = term
     scored = {}
     for term, (no, yes) in counts.items():
-        lift = math.log((yes + 0.5) / (n[1] + 1)) - math.log((no + 0.5) / (n[0] + 1))
-        z = lift / math.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5))
-        if z > MIN_Z and lift > 2:
+        z, lift = _root_ratio(no, yes, n), _lift(no, yes, n)
+        if yes >= MIN_ROWS and z > MIN_Z and lift > 2:
             scored[term] = (z, lift)
     kept: dict[str, tuple[str, float, bool]] = {}
     for term in sorted(scored, key=lambda t: (-round(scored[t][0], 1), -len(t), t)):
@@ -264,9 +293,10 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic")
     """Fit on all rows given (``sample_labelled`` bounds them), near copies
     counted once: else every word of a much copied text would look telling.
 
-    Candidate terms are those in at least 1 % of the toxic rows and in 5, a
-    number that the corpus size does not move; their counts over all rows
-    decide.  Without toxic rows the base vocabulary and the priors stay."""
+    Candidate terms are those in as many toxic rows as a term without clean
+    rows needs (``_fewest``), whatever its language; their counts over all
+    rows decide, and those of the base vocabulary whether a base word stays.
+    Without toxic rows the base vocabulary and the priors stay."""
     rows = materialise(labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("toxic"))
                        .filter(F.col("toxic").isin(0, 1)), "toxic-sample")
     each = rows.withColumn("id", F.xxhash64("toxic", "text"))  # toxic and clean texts apart
@@ -278,17 +308,18 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic")
     def counted(part: DataFrame, among: frozenset | None) -> DataFrame:
         return part.mapInArrow(lambda it: _count(it, among), "term string, toxic int, n long") \
             .groupBy("term", "toxic").agg(F.sum("n").alias("n"))
-    often = max(5, math.ceil(n[1] / 100))
-    candidates = frozenset(r.term for r in counted(rows.filter("toxic = 1"), None).filter(F.col("n") >= often)
-                           .select("term").toLocalIterator())
+    candidates = frozenset(r.term for r in counted(rows.filter("toxic = 1"), None).filter(F.col("n") >= _fewest(n))
+                           .select("term").toLocalIterator() if " " not in r.term)
+    base = {t: symbol for words, symbol in ((INSULTS, "I"), (THREATS, "T")) for t in words}
     counts: dict[str, list[int]] = {}
-    for r in counted(rows, candidates).collect():
+    for r in counted(rows, candidates | {t + "$" for t in base}).collect():
         counts.setdefault(r.term, [0, 0])[r.toxic] = r.n
-    terms = _chosen(counts, n)
-    for base, symbol in [(t, "I") for t in INSULTS] + [(t, "T") for t in THREATS]:
+    terms = _chosen({t: c for t, c in counts.items() if t in candidates}, n)
+    for word, symbol in base.items():
         # a base word that the labelled texts use innocently stays out
-        if base not in terms and counts.get(base + "$", [0, 1])[1]:
-            terms[base] = (symbol, 0.6, False)
+        no, yes = counts.get(word + "$", (0, 0))
+        if word not in terms and (not no or _lift(no, yes, n) > 0):
+            terms[word] = (symbol, 0.6, False)
     model = Model(terms)
     found = rows.select(_feature_column(model, F.col("text")).alias("x"), "toxic").toPandas()
     if len(found):

@@ -194,6 +194,22 @@ def test_toxicity_without_labels(spark, none):
     assert s[0] > s[1]
 
 
+def test_toxicity_choice_does_not_fall_with_purity():
+    n = [2_578, 319]
+    assert set(toxicity._chosen({"gronk$": [0, 37], "zib$": [0, 6], "day$": [40, 6]}, n)) == {"gronk", "zib"}
+    z = [toxicity._root_ratio(no, 37, n) for no in range(300)]
+    assert z == sorted(z, reverse=True)
+    assert toxicity._fewest(n) == 5 and toxicity._fewest([1_000, 1_000]) > 5
+
+
+def test_toxicity_base_words_used_innocently_stay_out(spark):
+    rows = [(f"row {i} calls the dish bastard sauce and the sun will burn you", 0) for i in range(40)]
+    rows += [(f"row {i} you are a trottel of number {i * i}", 1) for i in range(20)]
+    terms = toxicity.train(spark.createDataFrame(rows, "text string, toxic int")).terms
+    assert "bastard" not in terms and "burn you" not in terms
+    assert "trottel" in terms and "kill you" in terms
+
+
 def test_toxicity_clauses():
     a = toxicity.Model({"gronk": ("I", 1.0, False), "kill you": ("T", 1.0, False)}).automaton()
 
