@@ -2,9 +2,9 @@
 
 Terms whose inverse document frequency lies in a band make the lexicon.  Each
 of ``LEXICONS`` randomised families is a nest of ever sparser random subsets
-of it; a document takes the sparsest subset that still holds one of its terms,
-and the hash of its sorted distinct terms in that subset is one part of the
-fingerprint.  Parts survive edits that do not touch those few terms, for short
+of it, and of the other terms still sparser ones; a document takes the sparsest
+subset that still holds one of its terms, and the hash of its distinct terms
+in that subset is one part of the fingerprint.  Parts survive edits that do not touch those few terms, for short
 and long documents alike; likeness is the share of equal parts."""
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ LEXICONS = 64
 #: ``COMMON``.  The lexicon has at most ``RARE`` times a document's mean number
 #: of distinct terms, whatever the corpus size.
 RARE, COMMON = 1_000, 20
-#: A text with fewer terms in the band uses all its terms.
-MIN_TERMS = 16
+#: Every word is a term.  Those outside the band are in each subset 2 ** -OUTSIDE
+#: times as likely as the lexicon's, so a word counts alike whatever its text's others.
+OUTSIDE = 2
 _FACTORS = np.random.Generator(np.random.PCG64(29)).integers(1, 1 << 63, LEXICONS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 _SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 _ALL = np.uint64((1 << 64) - 1)
@@ -52,29 +53,45 @@ class Terms(dict):
         return out
 
     def of(self, text: str | None) -> np.ndarray:
-        """Sorted distinct hashes of a text's words (lower case, white space):
-        those in the lexicon, or all if fewer than ``MIN_TERMS`` are."""
+        """Sorted distinct hashes of a text's words (lower case, white space)."""
+        return np.sort(np.concatenate(self.split(text)))
+
+    def split(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes of a text's words: those in the lexicon, the others."""
         found = [self[w] for w in set((text or "").lower().split())]
-        known = [h for h, inside in found if inside]
-        known = known if len(known) >= MIN_TERMS else [h for h, _ in found]
-        return np.sort(np.array(known, np.uint64))
+        return (np.array([h for h, inside in found if inside], np.uint64),
+                np.array([h for h, inside in found if not inside], np.uint64))
+
+
+def _scrambled(block: np.ndarray, known: int) -> np.ndarray:
+    """A block's terms scrambled by each family; its first ``known`` are in
+    the lexicon and lie that much lower."""
+    x = block * _FACTORS
+    x[:, :max(0, known)] >>= np.uint64(OUTSIDE)
+    return x
 
 
 def fingerprint(text: str | None, terms: Terms) -> np.ndarray:
     """``LEXICONS`` 16-bit parts.  Family k scrambles the terms by its own
     factor; its nested subsets are the terms below a power of two.  A text
     without terms has all parts zero."""
-    t = terms.of(text)
+    known, others = terms.split(text)
+    t = np.concatenate([known, others])
     if not t.size:
         return np.zeros(LEXICONS, np.uint16)
-    blocks = [t[i:i + 4096] for i in range(0, t.size, 4096)]  # a very long text in pieces
-    least = np.min([(b * _FACTORS).min(1) for b in blocks], axis=0)
+    blocks = [(t[i:i + 4096], known.size - i) for i in range(0, t.size, 4096)]  # a very long text in pieces
+    x = _scrambled(*blocks[0])
+    least = x.min(1)
+    for b in blocks[1:]:
+        least = np.minimum(least, _scrambled(*b).min(1))
     bits = np.clip(np.frexp(least.astype(np.float64))[1], 1, 64).astype(np.uint64)
     below = (_ALL >> (np.uint64(64) - bits))[:, None]  # the sparsest subset with a term
     parts = np.zeros(LEXICONS, np.uint64)
-    for b in blocks:
-        x = b * _FACTORS
-        parts += np.where(x <= below, (x ^ (x >> np.uint64(29))) * _SCRAMBLE, np.uint64(0)).sum(1, dtype=np.uint64)
+    for i, b in enumerate(blocks):
+        x = _scrambled(*b) if i else x
+        family, place = np.nonzero(x <= below)
+        found = x[family, place]
+        np.add.at(parts, family, (found ^ (found >> np.uint64(29))) * _SCRAMBLE)
     return np.maximum((parts ^ (parts >> np.uint64(32))) * _SCRAMBLE >> np.uint64(48), np.uint64(1)).astype(np.uint16)
 
 

@@ -361,6 +361,19 @@ def test_imatch_follows_overlap():
     assert shares == sorted(shares, reverse=True) and shares[0] > 0.8 and shares[2] > shares[3] + 0.1
 
 
+@pytest.mark.parametrize("inside", [8, 15, 16, 17, 40])
+def test_imatch_one_word_at_any_length(inside):
+    rng = random.Random(inside)
+    vocabulary = [f"t{i}" for i in range(5000)]
+    lexicon = imatch.Terms(imatch.Terms().of(" ".join(vocabulary)))
+    left = []
+    for _ in range(30):
+        text = rng.sample(vocabulary, inside) + [f"common{i}" for i in rng.sample(range(50), inside)]
+        own = imatch.fingerprint(" ".join(text), lexicon)
+        left.append(imatch.likeness(own, imatch.fingerprint(" ".join(text[1:]), lexicon)))
+    assert np.mean(left) > 1 - 2.5 / inside
+
+
 def test_imatch_lexicon_counts_all_documents(spark):
     df = spark.createDataFrame([(f"the w{i % 10} x{i}",) for i in range(200)], "text string")
     got = set(imatch.lexicon(df, rare=20, common=5).tolist())
