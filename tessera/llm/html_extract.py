@@ -37,7 +37,8 @@ FURNITURE = re.compile(r"nav|menu|header|masthead|footer|sidebar|aside|widget|co
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
                     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
-_ATTR = re.compile(r"(class|id|role|itemprop|aria-label|hidden|style|lang)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute after the other: whole name, optional value.
+_ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _NAMES = re.compile(r"[a-z]+")
 _OPEN = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^>]*\Z")
 
@@ -158,7 +159,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             name, value = a.group(1).lower(), (a.group(2) or a.group(3) or a.group(4) or "").lower()
             if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
                 hidden = True
-            elif name not in ("style", "lang", "aria-label"):
+            elif name in ("class", "id", "role", "itemprop"):
                 words += _NAMES.findall(value)
         # inline elements that are still open are closed with the block before; misnested ones end here
         node = Node(tag, tuple(words), stack[-1][1], hidden)

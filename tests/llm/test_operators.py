@@ -275,6 +275,14 @@ def test_main_text(page, text):
     assert html_extract.main_text(page, MODEL) == text
 
 
+@pytest.mark.parametrize("attribute,kept", [
+    ('data-title="The hidden valley"', True), ('title="hidden"', True), ('aria-hidden="false"', True), ("data-src=a/hidden.png", True),
+    ("title='x' data-id=menu data-class=\"sidebar\"", True), ('lang=en title="a"b" hidden', False), ("HIDDEN", False),
+    ('title="x"hidden=""', False), ('title="a=b" style="display: none"', False)])
+def test_attributes_are_whole_names(attribute, kept):
+    assert html_extract.main_text(f"<article {attribute}><p>the text</p></article>", MODEL) == ("the text" if kept else "")
+
+
 def test_marginals_against_all_labellings():
     page = "<body><div class=menu><ul><li>a</li></ul></div><article><p>some text here</p><div><p>x</p></div></article></body>"
     nodes, _ = html_extract.parse(page)
