@@ -30,16 +30,22 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}),
            "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words in class, id or role that name furniture, for pages without labels.
-FURNITURE = re.compile(r"nav|menu|header|masthead|footer|sidebar|aside|widget|cookie|consent|notice|banner|popup|modal|"
-                       r"^ads?$|advert|sponsor|promo|breadcrumb|pagination|comment|disqus|discuss|reply|replies|share|social|"
-                       r"related|recommend|newsletter|subscribe|signup|login|search|copyright|legal|toolbar|skip|hidden")
+#: Whole words in class, id or role that name furniture, for pages without labels.
+FURNITURE = re.compile(
+    r"(?:top|side|sub|main|site|page|foot|bottom|head|global)?(?:nav|navs|navbar|navigation|menu|menus|menubar|header|footer)|"
+    r"(?:mega|dropdown)menu|headers|masthead|footers|sidebars?|asides?|widgets?|widgetarea|cookies?|cookie(?:bar|banner|consent|notice)|"
+    r"consent|notices?|banners?|popups?|modals?|ads?|ad(?:sense|slot|box|unit|banner|container|wrapper)|adsbygoogle|"
+    r"adverts?|advertis(?:ements?|ing|er)|sponsor(?:s|ed)?|promos?|promot(?:ed|ions?)|breadcrumbs?|pagination|comments?|"
+    r"comment(?:s?list|s?form|box|area|body|respond|section)|disqus|discuss|reply|replies|share|shares|sharing|share(?:bar|box|buttons?|links|this)|"
+    r"social|social(?:bar|icons|links|media|share)|related|related(?:articles|content|links|posts)|recommended|newsletters?|"
+    r"newsletter(?:form|signup)|subscribe|signup|login|loginform|search|search(?:bar|box|form)|copyright|legal|toolbars?|skip|skip(?:link|links|nav)|hidden")
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
                     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
 #: One attribute after the other: whole name, optional value.
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _NAMES = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _OPEN = re.compile(r"<(?:/?[a-zA-Z]|[!?])[^>]*\Z")
 
 #: Labelled pages that the potentials are counted on (a hash sample of about this many).
@@ -52,7 +58,7 @@ class Node:
     def __init__(self, tag: str, words: tuple[str, ...], parent: Node | None, hidden: bool):
         self.tag, self.words, self.parent, self.hidden = tag, words, parent, hidden
         self.text = self.linked = 0  # own characters, those inside links
-        self.furniture = any(FURNITURE.search(w) for w in words)
+        self.furniture = any(FURNITURE.fullmatch(w) for w in words)
         self.under = parent is not None and (parent.furniture or parent.under)
 
 
@@ -156,11 +162,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
             continue
         words, hidden = [], stack[-1][1].hidden or tag in NEVER
         for a in _ATTR.finditer(m.group(3)):
-            name, value = a.group(1).lower(), (a.group(2) or a.group(3) or a.group(4) or "").lower()
-            if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
+            name, value = a.group(1).lower(), a.group(2) or a.group(3) or a.group(4) or ""
+            if name == "hidden" or (name == "style" and "display:none" in value.lower().replace(" ", "")):
                 hidden = True
             elif name in ("class", "id", "role", "itemprop"):
-                words += _NAMES.findall(value)
+                words += _NAMES.findall(_CAMEL.sub(" ", value).lower())
         # inline elements that are still open are closed with the block before; misnested ones end here
         node = Node(tag, tuple(words), stack[-1][1], hidden)
         nodes.append(node)
@@ -187,21 +193,27 @@ def node_features(node: Node) -> list[str]:
     return out
 
 
-def landmark_labels(nodes: list[Node]) -> dict[int, int] | None:
+def landmark_labels(nodes: list[Node]) -> dict[int, int | None] | None:
     """Labels of a page that marks its own main text: content is what lies in
-    its one ``article`` or ``main`` element, furniture inside excepted.  Pages
-    without such a mark label nothing."""
+    its one ``article`` or ``main`` element.  Nodes inside that only a name
+    calls furniture, and what they hold, get no label (None): the name is a
+    feature, so it must not be its own evidence.  Pages without such a mark
+    label nothing."""
     for tag in ("article", "main"):
         roots = [n for n in nodes if n.tag == tag]
         if len(roots) == 1:
             break
     else:
         return None
-    labels: dict[int, int] = {}
+    labels: dict[int, int | None] = {}
     for n in nodes:
-        inside = n is roots[0] or (n.parent is not None and labels.get(id(n.parent)) == 1)
-        out = n.hidden or n.tag in ("aside", "footer", "header") or n.furniture
-        labels[id(n)] = int(inside and (n is roots[0] or not out))
+        above = labels[id(n.parent)] if n.parent is not None else 0
+        if n is roots[0]:
+            labels[id(n)] = 1
+        elif not above or n.hidden or n.tag in ("aside", "footer", "header"):
+            labels[id(n)] = None if above is None else 0
+        else:
+            labels[id(n)] = None if n.furniture else 1
     return labels
 
 
@@ -213,6 +225,8 @@ def count_page(page: str | None, counts: Counter) -> None:
         return
     for n in nodes:
         y, above = labels[id(n)], labels[id(n.parent)] if n.parent is not None else 0
+        if y is None or above is None:
+            continue
         for f in ["all", *node_features(n)]:
             counts[f"{above}|{f}", y] += 1
 

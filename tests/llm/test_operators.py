@@ -283,6 +283,24 @@ def test_attributes_are_whole_names(attribute, kept):
     assert html_extract.main_text(f"<article {attribute}><p>the text</p></article>", MODEL) == ("the text" if kept else "")
 
 
+@pytest.mark.parametrize("name", ["research", "researchers", "discussion", "shareholders", "commentary", "unavailable",
+                                  "recommendations", "illegally", "shared-history"])
+def test_furniture_names_are_whole_words(name):
+    page = f"<article><p>first</p><section id={name}><p>{'some long text ' * 20}</p></section></article>"
+    assert html_extract.main_text(page, MODEL) == "first\n" + ("some long text " * 20).strip()
+
+
+@pytest.mark.parametrize("name", ["site-nav", "siteNav", "topnav", "footer_widgets", "ad", "commentlist", "share-buttons", "relatedPosts"])
+def test_furniture_names(name):
+    assert html_extract.main_text(f"<article><p>text</p><div class={name}>more</div></article>", MODEL) == "text"
+
+
+def test_names_inside_an_article_label_nothing():
+    nodes, _ = html_extract.parse("<article><p>a</p><div class=legal><p>b</p><footer>c</footer></div></article><div class=legal>d</div>")
+    labels = html_extract.landmark_labels(nodes)
+    assert [labels[id(n)] for n in nodes] == [0, 1, 1, None, None, None, 0]
+
+
 def test_marginals_against_all_labellings():
     page = "<body><div class=menu><ul><li>a</li></ul></div><article><p>some text here</p><div><p>x</p></div></article></body>"
     nodes, _ = html_extract.parse(page)
