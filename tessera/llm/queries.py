@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import (chat, decontam, html_extract, imatch, langid, mixing, sharding, simhash, toxicity,
-                         url_filter)
+from tessera.llm import (chat, circulant, decontam, html_extract, imatch, langid, mixing, sharding, simhash,
+                         toxicity, url_filter)
 from tessera.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -197,6 +197,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+OP11_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingle AS (
+  SELECT DISTINCT row, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+  FROM (SELECT row, w, unnest(range(1, greatest(len(w), 2))) AS i FROM doc WHERE len(w) > 0)),
+sets AS (SELECT row, count(*)::BIGINT AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS key FROM shingle GROUP BY row),
+rep AS (SELECT key, min(row) AS rep, any_value(n) AS n FROM sets GROUP BY key),
+member AS (SELECT rep, n, s FROM rep JOIN shingle ON row = rep),
+rare AS (
+  SELECT rep, n, s, row_number() OVER (PARTITION BY rep ORDER BY df, s) AS place
+  FROM member JOIN (SELECT s, count(*) AS df FROM member GROUP BY s) USING (s)),
+prefix AS (SELECT rep, n, s FROM rare WHERE place <= n - ceil(0.8::DOUBLE * n) + 1),
+cand AS (
+  SELECT DISTINCT a.rep AS a, b.rep AS b, a.n AS n_a, b.n AS n_b FROM prefix a JOIN prefix b USING (s)
+  WHERE a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+link AS (
+  SELECT a, b FROM cand c JOIN member x ON x.rep = c.a JOIN member y ON y.rep = c.b AND y.s = x.s
+  GROUP BY a, b, n_a, n_b HAVING 100 * count(*) >= 80 * (n_a + n_b - count(*))),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (
+  SELECT rep AS a, rep AS b FROM rep
+  UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b),
+label AS (SELECT a AS rep, min(b) AS label FROM reach GROUP BY a),
+named AS (SELECT d.row, d.doc_id, s.n, l.label FROM doc d JOIN sets s USING (row) JOIN rep r USING (key) JOIN label l USING (rep)),
+least_id AS (SELECT label, min(doc_id) AS component_id FROM named GROUP BY label)
+SELECT doc_id, n AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM named JOIN least_id USING (label)
+UNION ALL SELECT doc_id, 0::BIGINT, doc_id, true FROM doc WHERE len(w) = 0
+"""
+
+
+@query("op11_circulant_minhash", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return circulant.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
