@@ -4,14 +4,14 @@ A set of word shingles is a set of points of a circle of 2 ** 32 places.  A
 first permutation of the circle scatters the points; a second one gives each
 place its rank.  Coordinate k of the signature is the least rank after the
 second permutation was shifted by k places: two permutations make all
-``COORDINATES``.  Each band of ``ROWS`` coordinates is a bucket; members of a
-bucket whose signatures agree often enough are compared on their full sets.
-
-Only distinct sets are nodes, so exact copies of any number cost one row.  A
-group of near copies is not expanded into pairs: rounds of one pivot a bucket
-link most of it, and then only members that are still in different components
-are compared, the likeliest partners first, until no bucket holds an untested
-pair that may be similar.
+``COORDINATES``.  Each band of ``ROWS`` coordinates is a bucket.  Members of a
+bucket whose signatures agree often enough are loosely linked, and all links
+that there can be lie within the components of loose links.
+
+Only distinct sets are nodes, so exact copies of any number cost one row.  The
+texts of a loose component meet in one task, or block by block if it is large,
+where one product of incidence matrices counts the shared shingles of all
+pairs; what leaves the task is a spanning forest of the links, never the pairs.
 """
 
 from __future__ import annotations
@@ -32,17 +32,16 @@ from tessera.llm.simhash import components
 #: A pair of similarity 0.8 shares no bucket with probability
 #: (1 - 0.8 ** ROWS) ** (COORDINATES / ROWS) = 1.3e-7; at 0.82 it is 9e-9.
 ROWS, COORDINATES = 5, 200
-#: Two sets whose signatures agree in less than their similarity's share by so
-#: many standard deviations of the binomial law are not compared in full.
-DEVIATIONS = 6
-PIVOT_ROUNDS = 2
-#: Members of a bucket that one task compares; a larger bucket is dealt into
-#: blocks, and every pair of blocks is compared by its own task.
-BLOCK = 1024
-#: Untested partners a member names in one round of the exhaustive search, at
-#: first; a round that finds nothing new and had to leave some out names four
-#: times as many.
-PARTNERS = 4
+#: Coordinates whose last byte travels with a set, to tell whether two sets of
+#: a bucket may be similar: if they agree in no less than the similarity's
+#: share by so many standard deviations of the binomial law.
+SHORT, DEVIATIONS = 128, 6
+#: Sets, and shingles in them, that a block holds at most.  A bucket or loose
+#: component beyond that is dealt into blocks, compared by tasks of their own.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: Ways in which a large component is dealt into blocks, each compared within
+#: itself, before what is still apart is compared across blocks.
+DEALS = 2
 #: Rows of a table of two longs that may be broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -106,46 +105,43 @@ def signature(shingles: np.ndarray, step: int = 512) -> np.ndarray:
     return least
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
-    both = np.intersect1d(a, b, assume_unique=True).size
-    return 100 * both >= percent * (a.size + b.size - both) and both > 0
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band of each row of signatures."""
+    rows = signatures.reshape(-1, COORDINATES // ROWS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, COORDINATES // ROWS + 1, dtype=np.uint64), rows.shape[:2]).copy()
+    for i in range(ROWS):
+        key = (key ^ (key >> _U(31)) ^ rows[:, :, i]) * _U(0x9E3779B97F4A7C15)
+    return (key ^ (key >> _U(29))).view(np.int64)
 
 
-_SUMMARY = pa.struct([("n", pa.int64()), ("set_key", pa.binary()), ("sig", pa.binary())])
+_SUMMARY = pa.struct([("n", pa.int64()), ("set_key", pa.binary()), ("short", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def agree_at_least(percent: int) -> int:
-    """Coordinates in which sets of that similarity agree: 126 of 200 for 80 %."""
+    """Coordinates in which sets of that similarity agree: 75 of 128 for 80 %."""
     p = percent / 100
-    return math.floor(COORDINATES * p - DEVIATIONS * math.sqrt(COORDINATES * p * (1 - p)))
+    return math.floor(SHORT * p - DEVIATIONS * math.sqrt(SHORT * p * (1 - p)))
 
 
 def summary_column(text, size: int, percent: int):
-    """Struct of the set's size, its 128-bit key and its signature (the low 16
-    bits of each coordinate; null where the set is so small that one shingle
-    more or less is below ``percent``, so no different set can be linked)."""
+    """Struct of the set's size, its 128-bit key, its short signature and its
+    band keys (null where the set is so small that one shingle more or less is
+    below ``percent``, so no different set can be linked)."""
     least = percent / (100 - percent) if percent < 100 else math.inf
 
-    @F.arrow_udf("n long, set_key binary, sig binary")
+    @F.arrow_udf("n long, set_key binary, short binary, bands array<long>")
     def summary(texts: pa.Array) -> pa.Array:
         out = []
         for x in texts.cast(pa.binary()).to_pylist():
             s = shingle_set(x, size)
-            out.append((s.size, xxhash.xxh3_128_digest(s.tobytes()) if s.size else None,
-                        signature(s).astype("<u2").tobytes() if s.size >= least else None))
-        return pa.array([dict(zip(("n", "set_key", "sig"), o)) for o in out], _SUMMARY)
+            sig = signature(s) if s.size >= least else None
+            out.append({"n": s.size, "set_key": xxhash.xxh3_128_digest(s.tobytes()) if s.size else None,
+                        "short": None if sig is None else sig[:SHORT].astype(np.uint8).tobytes(),
+                        "bands": None if sig is None else band_keys(sig)[0]})
+        return pa.array(out, _SUMMARY)
     return summary(text)
 
 
-def _agreement(a, b):
-    """Coordinates in which two signature columns agree."""
-    @F.arrow_udf("int")
-    def agreement(left: pa.Array, right: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(-1, COORDINATES) for c in (left, right))
-        return pa.array((x == y).sum(1).astype(np.int32))
-    return agreement(a, b)
-
-
 def _compress(text):
     @F.arrow_udf("binary")
     def compress(texts: pa.Array) -> pa.Array:
@@ -154,225 +150,226 @@ def _compress(text):
     return compress(text)
 
 
-def _confirm(a, b, size: int, percent: int):
-    @F.arrow_udf("boolean")
-    def confirm(left: pa.Array, right: pa.Array) -> pa.Array:
-        z = zstandard.ZstdDecompressor()
-        last, kept, out = None, None, []
-        for x, y in zip(left.to_pylist(), right.to_pylist()):
-            if x != last:  # a pivot's rows come one after the other
-                last, kept = x, shingle_set(z.decompress(x), size)
-            out.append(similar(kept, shingle_set(z.decompress(y), size), percent))
-        return pa.array(out, pa.bool_())
-    return confirm(a, b)
-
+# ------------------------------------------------------------ sorted groups
 
-# ------------------------------------------------------- comparing whole buckets
-
-def _pairs_of(first: np.ndarray, size: np.ndarray, at_once: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs (i < j) within each run of rows, a bounded number at a time."""
-    small = size <= 64
-    for m in np.unique(size[small]):
-        if m < 2:
-            continue
-        i, j = np.triu_indices(int(m), 1)
-        starts = first[size == m]
-        step = max(1, at_once // i.size)
-        for s in range(0, starts.size, step):
-            at = starts[s:s + step, None]
-            yield (at + i).ravel(), (at + j).ravel()
-    for a, m in zip(first[~small].tolist(), size[~small].tolist()):
-        step = max(1, at_once // m)
-        for s in range(0, m, step):
-            i = np.repeat(np.arange(a + s, a + min(m, s + step)), m)
-            j = np.tile(np.arange(a, a + m), min(m, s + step) - s)
-            keep = i < j
-            yield i[keep], j[keep]
-
-
-def _likely(columns: list, partners: int, percent: int) -> dict:
-    """Of sorted bucket rows (key, first, second, node, label, n, sig): each
-    node's likeliest partners of another component, and whether some more
-    were left out."""
-    key = np.stack(columns[:3])
-    node, label, n = columns[3:6]
-    cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-    first = np.concatenate(([0], cuts))
-    size = np.diff(np.concatenate((first, [node.size])))
-    found = []
-    for i, j in _pairs_of(first, size):
-        keep = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
-        i, j = i[keep], j[keep]
-        agree = (columns[6][i] == columns[6][j]).sum(1) if i.size else np.empty(0, int)
-        keep = agree >= agree_at_least(percent)
-        found.append(np.stack([node[i][keep], node[j][keep], agree[keep]]))
-    a, b, agree = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
-    both = np.stack([np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([-agree, -agree])])
-    both = np.unique(both, axis=1)  # a pair may share several buckets of the batch
-    order = np.lexsort((both[1], both[2], both[0]))
-    a, b, _ = both[:, order]
-    starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if a.size else np.empty(0, int)
-    place = np.arange(a.size) - np.repeat(starts, np.diff(np.concatenate((starts, [a.size]))))
-    keep = place < partners
-    pairs = np.unique(np.stack([np.minimum(a, b)[keep], np.maximum(a, b)[keep]]), axis=1)
-    return {"a": pairs[0], "b": pairs[1], "more": np.full(pairs.shape[1], bool((~keep).any()))}
-
-
-def _search(batches: Iterator[pa.RecordBatch], partners: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """``_likely`` over batches sorted by bucket; a bucket that goes on in the
-    next batch is carried over."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
+    """Columns of the rows of whole groups (equal first ``keys`` columns), a
+    batch's at a time; a group that goes on in the next batch is carried over."""
     carry = None
-
-    def out(cols):
-        return pa.RecordBatch.from_pydict(_likely(cols, partners, percent))
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u2").reshape(-1, COORDINATES))
+        cols = [c.to_numpy(zero_copy_only=False) if pa.types.is_integer(c.type) else np.array(c.to_pylist(), object)
+                for c in batch.columns]
         if carry is not None:
             cols = [np.concatenate(x) for x in zip(carry, cols)]
-        key = np.stack(cols[:3])
+        key = np.stack(cols[:keys])
         same = (key == key[:, -1:]).all(0)
         cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
         carry = [c[cut:] for c in cols]
         if cut:
-            yield out([c[:cut] for c in cols])
+            yield [c[:cut] for c in cols]
     if carry is not None:
-        yield out(carry)
+        yield carry
+
+
+def _bounds(cols: list, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    key = np.stack(cols[:keys])
+    first = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1))
+    return first, np.diff(np.concatenate((first, [key.shape[1]])))
+
+
+def _forest(size: int, near, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links of a spanning forest; ``near(i, rest)`` tells which of the places
+    ``rest`` are linked with i.  Places of one label count as linked."""
+    links, rest = [], np.arange(size)
+    while rest.size:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and rest.size:
+            i = queue.pop()
+            hit = near(i, rest)
+            if label is not None:
+                same = label[rest] == label[i]
+                queue.extend(rest[same].tolist())
+                rest, hit = rest[~same], hit[~same]
+            links += [(i, j) for j in rest[hit].tolist()]
+            queue.extend(rest[hit].tolist())
+            rest = rest[~hit]
+    return links
+
+
+def _batch(links: list) -> pa.RecordBatch:
+    both = np.unique(np.sort(np.concatenate(links, axis=1), axis=0), axis=1) if links else np.empty((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[0].astype(np.int64)), pa.array(both[1].astype(np.int64))], names=["a", "b"])
+
+
+def _loose(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Bucket rows (key, first, second, node, n, short) to loose links."""
+    least = agree_at_least(percent)
+    for cols in _groups(batches, 3):
+        first, size = _bounds(cols, 3)
+        node, n = cols[3:5]
+        short = np.frombuffer(b"".join(cols[5]), np.uint8).reshape(-1, SHORT)
+
+        def near(i, j):
+            alike = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            return alike & (np.count_nonzero(short[i] == short[j], axis=1) >= least)
+        two = first[size == 2]
+        two = two[near(two, two + 1)]
+        links = [np.stack([node[two], node[two + 1]])]
+        for a, m in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+            found = _forest(m, lambda i, rest, a=a: near(a + i, a + rest))
+            if found:
+                links.append(node[a + np.array(found).T])
+        yield _batch(links)
+
+
+# ------------------------------------------------------------- exact similarity
+
+def shared_counts(sets: list[np.ndarray], rare: int = 16, columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of all pairs: shingles of few sets by their
+    pairs, the others by products of 0/1 matrices (exact in float32)."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [s.size for s in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    first = np.concatenate(([0], np.flatnonzero(flat[1:] != flat[:-1]) + 1)) if flat.size else np.empty(0, int)
+    df = np.diff(np.concatenate((first, [flat.size])))
+    count = np.zeros(m * m, np.int64)
+    for gap in range(1, rare):  # members of one shingle that stand so far apart in its row
+        at = first[(df > gap) & (df <= rare)]
+        width = df[(df > gap) & (df <= rare)] - gap
+        left = np.repeat(at - np.cumsum(width) + width, width) + np.arange(width.sum())
+        count += np.bincount(owner[left] * m + owner[left + gap], minlength=m * m)
+    count = count.reshape(m, m)
+    count = count + count.T
+    often = np.flatnonzero(df > rare)
+    for at in range(0, often.size, columns):
+        some = often[at:at + columns]
+        rows = np.repeat(first[some] - np.cumsum(df[some]) + df[some], df[some]) + np.arange(df[some].sum())
+        has = np.zeros((m, some.size), np.float32)
+        has[owner[rows], np.repeat(np.arange(some.size), df[some])] = 1
+        count += (has @ has.T).astype(np.int64)
+    return count
+
+
+def _exact(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (comp, first, second, node, label, text) to links on full sets."""
+    z = zstandard.ZstdDecompressor()
+    for cols in _groups(batches, 3):
+        links = []
+        for a, m in zip(*(x.tolist() for x in _bounds(cols, 3))):
+            node, place = np.unique(cols[3][a:a + m], return_index=True)
+            if node.size < 2:
+                continue
+            label = cols[4][a:a + m][place]
+            sets = [shingle_set(z.decompress(t), size) for t in cols[5][a:a + m][place]]
+            n = np.array([s.size for s in sets])
+            if node.size == 2:
+                both = np.zeros((2, 2), np.int64)
+                both[0, 1] = both[1, 0] = np.intersect1d(*sets, assume_unique=True).size
+            else:
+                both = shared_counts(sets)
+            linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+            found = _forest(node.size, lambda i, rest: linked[i, rest], label)
+            if found:
+                links.append(node[np.array(found).T])
+        yield _batch(links)
 
 
 class _Sets:
-    """The distinct sets of a table and what is known of their likeness."""
+    """The distinct sets of a table and the links between them."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int):
         self.size, self.percent = size, percent
         text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-        rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-        self.texts_of = rows
-        self.rows = materialise(rows.select("id", "text_key", summary_column(F.col("text"), size, percent).alias("s"))
+        self.texts_of = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+        self.rows = materialise(self.texts_of.select("id", "text_key", summary_column(F.col("text"), size, percent).alias("s"))
                                 .select("id", "text_key", "s.*"), "shingle-sets")
-        first = F.struct(F.col("id").isNull().alias("last"), "id", "text_key", "n", "sig")
+        first = F.struct(F.col("id").isNull().alias("last"), "id", "text_key", "n", "short", "bands")
         self.nodes = materialise(
             self.rows.filter("n > 0").groupBy("set_key").agg(F.min(first).alias("f"))
             .select("set_key", "f.*").withColumn("node", F.monotonically_increasing_id()), "set-nodes")
-        self.texts = None
-
-    def buckets(self) -> DataFrame:
-        """``key, node, pivot, members`` of every bucket with two or more."""
-        width = 2 * ROWS
-        keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", width * i + 1, width)) for i in range(COORDINATES // ROWS)])
-        filed = self.nodes.filter("sig IS NOT NULL").select("node", F.explode(keys).alias("key"))
-        shared = filed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1")
-        return materialise(filed.join(shared, "key"), "buckets")
-
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, agree`` of the pairs whose signatures and sizes allow a link."""
-        of = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-        to = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-        sized = pairs.join(of, "a").join(to, "b") \
-            .filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
-        return sized.select("a", "b", _agreement("sig_a", "sig_b").alias("agree")).filter(F.col("agree") >= agree_at_least(self.percent))
-
-    def fetch(self, nodes: DataFrame) -> None:
-        """The compressed texts of ``nodes`` join those at hand: one row of
-        each set, found by id and text hash."""
-        new = nodes if self.texts is None else nodes.join(self.texts, "node", "left_anti")
-        new = materialise(new.join(self.nodes.select("node", "id", "text_key"), "node"), "wanted")
-        n = new.count()
-        if not n:
-            return
+
+    def loose_components(self) -> DataFrame:
+        """``node, comp`` of the sets that may be linked with a different one."""
+        nodes = self.nodes.filter("short IS NOT NULL")
+        filed = nodes.select("node", F.explode("bands").alias("key"))
+        shared = filed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")             .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = (filed.join(shared, "key").withColumn("own", own)
+                 .select("key", "node", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+                 .select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "node")
+                 .join(nodes.select("node", "n", "short"), "node").select("key", "first", "second", "node", "n", "short"))
+        links = (dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
+                 .mapInArrow(lambda it, p=self.percent: _loose(it, p), "a long, b long").distinct())
+        return components(links).withColumnRenamed("label", "comp")
+
+    def texts(self, comps: DataFrame) -> DataFrame:
+        """``node, comp, n, text``: the compressed text of each of the nodes,
+        found by id and text hash."""
         key = F.xxhash64(F.col("id").isNull(), F.col("id"), F.col("text_key"))
-        wanted = new.select("node", key.alias("key"), F.col("id").alias("want_id"), F.col("text_key").alias("want_text"))
-        if n <= BROADCAST_ROWS:  # else the join moves every text once, compressed
-            wanted = F.broadcast(wanted)
-            found = self.texts_of.withColumn("key", key).join(wanted, "key")
-        else:
-            found = self.texts_of.withColumn("key", key).withColumn("text", _compress(F.col("text"))).join(wanted, "key")
+        wanted = materialise(comps.join(self.nodes.select("node", "id", "text_key", "n"), "node")
+                             .select("node", "comp", "n", key.alias("key"), F.col("id").alias("want_id"),
+                                     F.col("text_key").alias("want_text")), "wanted")
+        rows = self.texts_of.withColumn("key", key)
+        if wanted.count() <= BROADCAST_ROWS:
+            found = rows.join(F.broadcast(wanted), "key")
+        else:  # the join moves every text once, compressed
+            found = rows.withColumn("text", _compress(F.col("text"))).join(wanted, "key")
         found = found.filter(F.col("id").eqNullSafe(F.col("want_id")) & (F.col("text_key") == F.col("want_text")))
-        if n <= BROADCAST_ROWS:
+        if dict(found.dtypes)["text"] == "string":
             found = found.withColumn("text", _compress(F.col("text")))
-        texts = materialise(found.groupBy("node").agg(F.min("text").alias("text")), "set-texts")
-        self.texts = texts if self.texts is None else self.texts.union(texts)
-
-    def tested(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, ok``: the pairs, compared on their full sets."""
-        pairs = materialise(pairs.select("a", "b"), "pairs")
-        self.fetch(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        if self.texts is None:
-            return pairs.withColumn("ok", F.lit(False))
-        of = self.texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        to = self.texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.join(to, "b").join(of, "a")
-        return materialise(both.select("a", "b", _confirm(F.col("text_a"), F.col("text_b"), self.size, self.percent).alias("ok")),
-                           "tested")
+        return materialise(found.groupBy("node", "comp", "n").agg(F.min("text").alias("text")), "set-texts")
+
+    def links(self, dealt: DataFrame) -> DataFrame:
+        """Links within each (comp, first, second) of the rows."""
+        rows = dealt.select("comp", "first", "second", "node", "label", "text")
+        return materialise(rows.repartition("comp", "first", "second").sortWithinPartitions("comp", "first", "second", "node")
+                           .mapInArrow(lambda it, k=self.size, p=self.percent: _exact(it, k, p), "a long, b long").distinct(),
+                           "set-links")
 
     def linked(self) -> DataFrame:
         """``node, label`` of every set that is linked with a different one."""
-        buckets = self.buckets()
-        spark = buckets.sparkSession
-        tested, maybe = None, None
-        labels = spark.createDataFrame([], "node long, label long")
-
-        def untested(pairs: DataFrame) -> DataFrame:
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "agree").distinct()
-            return pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-
-        def labelled(rows: DataFrame) -> DataFrame:
-            return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-        def apart(pairs: DataFrame) -> DataFrame:
-            """Pairs whose members are in different components."""
-            for side in ("a", "b"):
-                of = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
-                pairs = pairs.join(of, side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
-            return pairs.filter("label_a <> label_b").drop("label_a", "label_b")
-
-        def test(pairs: DataFrame) -> None:
-            nonlocal tested, labels
-            done = self.tested(pairs)
-            tested = done if tested is None else tested.union(done)
-            if done.filter("ok").limit(1).count():
-                labels = components(tested.filter("ok"))
-
-        for turn in range(PIVOT_ROUNDS):
-            if turn == 0:
-                pairs = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-            else:  # another pivot, where a bucket of three or more still holds several components
-                rows = labelled(buckets.filter("members > 2").select("key", "node"))
-                chosen = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "label")).alias("p"),
-                                                 F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-                pairs = rows.join(chosen, "key").filter("label <> p.label").select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-            found = materialise(untested(self.likely(pairs.distinct())), "likely")
-            maybe = found if maybe is None else maybe.union(found)
-            test(found.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("best")).select("best.a", "b"))
-        # the other likely pivots of members that are still apart
-        left = materialise(apart(untested(maybe)), "apart")
-        if left.limit(1).count():
-            test(left)
-        # every other pair: all members of the buckets that still hold several components
-        partners = PARTNERS
-        while True:
-            rows = labelled(buckets.filter("members > 2").select("key", "node"))
-            several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")) \
-                .filter("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-            own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-            dealt = (rows.join(several, "key").withColumn("own", own)
-                     .select("key", "node", "label", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-                     .select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "node", "label")
-                     .join(self.nodes.select("node", "n", "sig"), "node")
-                     .select("key", "first", "second", "node", "label", "n", "sig"))
-            found = materialise(dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
-                                .mapInArrow(lambda it, k=partners, p=self.percent: _search(it, k, p), "a long, b long, more boolean"),
-                                "search")
-            new = materialise(untested(found.select("a", "b", F.lit(0).alias("agree"))), "untested")
-            if new.limit(1).count():
-                test(new)
-            elif found.filter("more").limit(1).count():
-                partners *= 4
-            else:
-                return labels
+        texts = self.texts(self.loose_components())
+        size = texts.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).select("comp", F.greatest(
+            F.ceil(F.col("m") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        size = materialise(size, "comp-sizes")
+        none = F.lit(0)
+        at_once = texts.join(size.filter("blocks = 1"), "comp").withColumns({"first": none, "second": none, "label": F.col("node")})
+        links = self.links(at_once)
+        if size.filter("blocks > 1").limit(1).count():
+            large = texts.join(size.filter("blocks > 1"), "comp")
+            labels = large.select("node", F.col("node").alias("label"))
+            for turn in range(DEALS):
+                block = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
+                found = self.links(large.join(labels, "node").withColumns({"first": block, "second": block}))
+                links = links.union(found)
+                labels = self.labelled(large, links)
+            links = links.union(self.links(self.across(large, labels)))
+        return components(links)
+
+    @staticmethod
+    def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+        return materialise(nodes.select("node").join(components(links), "node", "left")
+                           .withColumn("label", F.coalesce("label", "node")), "set-labels")
+
+    @staticmethod
+    def across(large: DataFrame, labels: DataFrame) -> DataFrame:
+        """Every pair of sets of a large component that are still apart: those
+        outside its most frequent label, a block at a time, meet every block."""
+        rows = large.join(labels, "node")
+        sizes = rows.groupBy("comp", "label").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+        main = sizes.groupBy("comp").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.sum("m").alias("all"),
+                                         F.sum("shingles").alias("all_shingles"))
+        rest = sizes.join(main, "comp").filter("label <> main").groupBy("comp", "main").agg(
+            F.greatest(F.ceil(F.sum("m") / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("rest_blocks"))
+        rows = rows.join(rest, "comp")
+        turn = F.xxhash64("node", F.lit(DEALS))
+        outside = rows.filter("label <> main").withColumn("first", F.pmod(turn, F.col("rest_blocks")).cast("int"))             .withColumn("second", F.explode(F.expr("sequence(0, blocks - 1)")))
+        all_of = rows.withColumn("second", F.pmod(turn, F.col("blocks")).cast("int"))             .withColumn("first", F.explode(F.expr("sequence(0, rest_blocks - 1)")))
+        return outside.select(*all_of.columns).union(all_of)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, id_col: str = "doc_id",

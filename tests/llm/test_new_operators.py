@@ -73,11 +73,11 @@ def near_texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("block,partners", [(1024, 4), (7, 1)])
-def test_near_duplicates_are_the_components_of_all_pairs(spark, monkeypatch, block, partners):
+@pytest.mark.parametrize("block,broadcast", [(1024, 1024), (7, 0)])
+def test_near_duplicates_are_the_components_of_all_pairs(spark, monkeypatch, block, broadcast):
+    """In one block, and with buckets and components in many small ones."""
     monkeypatch.setattr(circulant, "BLOCK", block)
-    monkeypatch.setattr(circulant, "PARTNERS", partners)
-    monkeypatch.setattr(circulant, "BROADCAST_ROWS", 1024 if block > 100 else 0)
+    monkeypatch.setattr(circulant, "BROADCAST_ROWS", broadcast)
     texts = near_texts(3)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     o = circulant.near_duplicates(df).orderBy("doc_id").collect()
@@ -87,13 +87,15 @@ def test_near_duplicates_are_the_components_of_all_pairs(spark, monkeypatch, blo
     assert all(r.kept == (r.doc_id == r.component_id) for r in o)
 
 
-def test_pairs_that_no_pivot_links_are_found(spark, monkeypatch):
-    """Without pivot rounds that help, the exhaustive search has to link all."""
-    texts = near_texts(5)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(circulant, "PIVOT_ROUNDS", 1)
-    o = circulant.near_duplicates(df).orderBy("doc_id").collect()
-    assert [r.component_id for r in o] == linked_components([word_set(t) for t in texts])
+def test_shared_counts_are_those_of_all_pairs():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, top, n, dtype=np.uint64)) for top in (30, 300, 10 ** 6) for n in (1, 5, 40, 200, 200, 200)]
+    sets += [sets[4]] * 20
+    want = [[np.intersect1d(a, b).size for b in sets] for a in sets]
+    for rare, columns in ((16, 8192), (2, 7), (100, 50)):
+        got = circulant.shared_counts(sets, rare, columns)
+        np.fill_diagonal(got, 0)
+        assert (got == np.array(want) - np.diag(np.diag(want))).all()
 
 
 def test_near_duplicates_edges(spark):
