@@ -38,7 +38,7 @@ ROWS, COORDINATES = 5, 200
 SHORT, DEVIATIONS = 128, 6
 #: Sets, and shingles in them, that a block holds at most.  A bucket or loose
 #: component beyond that is dealt into blocks, compared by tasks of their own.
-BLOCK, BLOCK_SHINGLES = 1024, 500_000
+BLOCK, BLOCK_SHINGLES = 512, 300_000
 #: Ways in which a large component is dealt into blocks, each compared within
 #: itself, before what is still apart is compared across blocks.
 DEALS = 2
@@ -46,7 +46,7 @@ DEALS = 2
 BROADCAST_ROWS = 200_000
 
 _U = np.uint64
-_CACHE = 1_000_000
+_CACHE = 200_000
 
 
 class _Words(dict):
@@ -226,39 +226,39 @@ def _loose(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 # ------------------------------------------------------------- exact similarity
 
-def shared_counts(sets: list[np.ndarray], rare: int = 16, columns: int = 8192) -> np.ndarray:
-    """Sizes of the intersections of all pairs: shingles of few sets by their
-    pairs, the others by products of 0/1 matrices (exact in float32)."""
+def shared_counts(sets: list[np.ndarray], rare: int = 16, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs (the diagonal is not one):
+    shingles of few sets by their pairs, the others by products of 0/1
+    matrices, ``columns`` at a time (exact in float32)."""
     m = len(sets)
-    owner = np.repeat(np.arange(m), [s.size for s in sets])
+    owner = np.repeat(np.arange(m, dtype=np.int32), [s.size for s in sets])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     first = np.concatenate(([0], np.flatnonzero(flat[1:] != flat[:-1]) + 1)) if flat.size else np.empty(0, int)
     df = np.diff(np.concatenate((first, [flat.size])))
-    count = np.zeros(m * m, np.int64)
-    for gap in range(1, rare):  # members of one shingle that stand so far apart in its row
-        at = first[(df > gap) & (df <= rare)]
-        width = df[(df > gap) & (df <= rare)] - gap
-        left = np.repeat(at - np.cumsum(width) + width, width) + np.arange(width.sum())
-        count += np.bincount(owner[left] * m + owner[left + gap], minlength=m * m)
-    count = count.reshape(m, m)
-    count = count + count.T
+    count = np.zeros((m, m), np.float32)
     often = np.flatnonzero(df > rare)
     for at in range(0, often.size, columns):
         some = often[at:at + columns]
         rows = np.repeat(first[some] - np.cumsum(df[some]) + df[some], df[some]) + np.arange(df[some].sum())
         has = np.zeros((m, some.size), np.float32)
         has[owner[rows], np.repeat(np.arange(some.size), df[some])] = 1
-        count += (has @ has.T).astype(np.int64)
-    return count
+        count += has @ has.T
+    for gap in range(1, rare):  # members of one shingle that stand so far apart in its row
+        at = first[(df > gap) & (df <= rare)]
+        width = df[(df > gap) & (df <= rare)] - gap
+        left = np.repeat(at - np.cumsum(width) + width, width) + np.arange(width.sum())
+        np.add.at(count, (owner[left], owner[left + gap]), 1)
+        np.add.at(count, (owner[left + gap], owner[left]), 1)
+    return count.astype(np.int32)
 
 
 def _exact(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (comp, first, second, node, label, text) to links on full sets."""
     z = zstandard.ZstdDecompressor()
     for cols in _groups(batches, 3):
-        links = []
+        links: list = []
         for a, m in zip(*(x.tolist() for x in _bounds(cols, 3))):
             node, place = np.unique(cols[3][a:a + m], return_index=True)
             if node.size < 2:
@@ -267,11 +267,11 @@ def _exact(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterat
             sets = [shingle_set(z.decompress(t), size) for t in cols[5][a:a + m][place]]
             n = np.array([s.size for s in sets])
             if node.size == 2:
-                both = np.zeros((2, 2), np.int64)
-                both[0, 1] = both[1, 0] = np.intersect1d(*sets, assume_unique=True).size
+                both = np.full((2, 2), np.intersect1d(*sets, assume_unique=True).size)
             else:
                 both = shared_counts(sets)
-            linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+            # 100 * shared >= percent * (a + b - shared)
+            linked = both * (100 + percent) >= percent * (n[:, None] + n[None, :])
             found = _forest(node.size, lambda i, rest: linked[i, rest], label)
             if found:
                 links.append(node[np.array(found).T])
