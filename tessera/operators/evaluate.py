@@ -281,45 +281,41 @@ def rouge_12(df: DataFrame, ref: str, pred: str, pair_id: str) -> DataFrame:
     return s.agg(fround(F.avg("rouge_1"), 4).alias("rouge_1"), fround(F.avg("rouge_2"), 4).alias("rouge_2"))
 
 
-LCS_CELLS = 4_000_000  # cells of one vectorised step
-
-
-def lcs_lengths(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """LCS length of each pair of id arrays: the dynamic-programming row of
-    many pairs at a time (``new[j] = max(old[j], old[j-1] + equal)``, then the
-    running maximum); pairs of like length go together."""
-    out = np.zeros(len(a), np.int64)
-    order = sorted((i for i in range(len(a)) if len(a[i]) and len(b[i])), key=lambda i: (len(b[i]), len(a[i])))
-    at = 0
-    while at < len(order):
-        n = max(1, LCS_CELLS // max(1, len(b[order[at]])))
-        group = order[at:at + n]
-        width = len(b[group[-1]])
-        while len(group) > 1 and len(group) * width > LCS_CELLS:
-            group = group[:len(group) // 2]
-            width = len(b[group[-1]])
-        at += len(group)
-        bs = np.full((len(group), width), -1, np.int64)
-        as_ = np.full((len(group), max(len(a[i]) for i in group)), -2, np.int64)
-        for r, i in enumerate(group):
-            bs[r, :len(b[i])], as_[r, :len(a[i])] = b[i], a[i]
-        row = np.zeros((len(group), width + 1), np.int64)
-        for step in range(as_.shape[1]):
-            new = np.maximum(row[:, 1:], row[:, :-1] + (bs == as_[:, step:step + 1]))
-            row[:, 1:] = np.maximum.accumulate(new, axis=1)
-        out[group] = row[:, -1]
-    return out
+def lcs_length_of(a: list, b: list) -> int:
+    """LCS length of two token lists, bit-parallel: bit i of ``row`` is clear
+    where the dynamic-programming row rises at token i of ``a``; one token of
+    ``b`` updates all of it by an addition, so that a step over a hundred
+    thousand tokens is a few machine words' work per 64 of them."""
+    if len(a) < len(b):
+        a, b = b, a  # fewer steps over a longer row
+    where: dict = {}
+    for i, token in enumerate(a):
+        where.setdefault(token, []).append(i)
+
+    def mask(places: list) -> int:
+        out = bytearray((len(a) >> 3) + 1)
+        for i in places:
+            out[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(out, "little")
+    # only masks of frequent tokens are kept: few, so that their size stays near that of the texts
+    kept = {token: mask(where[token]) for token in set(b) & where.keys() if len(where[token]) > 64 or len(a) <= 4096}
+    full = (1 << len(a)) - 1
+    row = full
+    for token in b:
+        if token in where:
+            matched = row & (kept[token] if token in kept else mask(where[token]))
+            row = ((row + matched) | (row - matched)) & full
+    return len(a) - row.bit_count()
+
+
+def lcs_lengths(a: list, b: list) -> np.ndarray:
+    """LCS length of each pair of id arrays."""
+    return np.array([lcs_length_of(list(x), list(y)) for x, y in zip(a, b)], np.int64)
 
 
 def _lcs_batch(a: pa.Array, b: pa.Array) -> pa.Array:
     """LCS length of two token lists per row (null: empty)."""
-    ids = pa.chunked_array([a.flatten(), b.flatten()]).combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
-
-    def lists(col, flat):
-        sizes = np.array([n or 0 for n in col.value_lengths().to_pylist()], np.int64)
-        return np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-    n = len(a.flatten())
-    return pa.array(lcs_lengths(lists(a, ids[:n]), lists(b, ids[n:])), pa.int64())
+    return pa.array([lcs_length_of(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int64())
 
 
 def lcs_length(a: Column, b: Column) -> Column:

@@ -5,8 +5,8 @@ Counts are one wide aggregate.  Distinct counts and top values come from a
 long ``(column, value)`` table aggregated with partial (map-side)
 aggregation, so a hot value is pre-combined before the shuffle, and the
 top-k filter is a ``row_number`` limit that Spark pushes below the shuffle
-(``WindowGroupLimit``).  Medians use the distributed range narrowing of
-``kth_smallest`` instead of a one-task sort.
+(``WindowGroupLimit``).  Medians come from ``kth_smallest_many`` (sketch
+brackets, then exact counts) instead of a one-task sort.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from tessera.functions.numeric import fround
 from pyspark.sql import types as T
 
 from tessera.functions.columns import is_blank, is_numeric_type, is_string_type, not_blank
-from tessera.operators.quantiles import finite_stats, kth_smallest_many
+from tessera.operators.quantiles import kth_smallest_many, rank_stats
 
 # Profile sizes, as in the reference.
 TOP_K = 20          # top values per categorical column
@@ -50,8 +50,9 @@ def distinct_key(value: Column, hash_over: int | None = LONG_VALUE_CHARS) -> Col
         return value
     long_v = F.length(value) > hash_over
     return F.struct(F.when(~long_v, value).alias("v"),
-                    F.when(long_v, F.xxhash64(value, F.lit(1))).alias("h1"),
-                    F.when(long_v, F.xxhash64(value, F.lit(2))).alias("h2"),
+                    # the number first: it seeds the hash of the value, so the two differ from the first byte on
+                    F.when(long_v, F.xxhash64(F.lit(1), value)).alias("h1"),
+                    F.when(long_v, F.xxhash64(F.lit(2), value)).alias("h2"),
                     F.when(long_v, F.length(value)).alias("n"))
 
 
@@ -111,17 +112,17 @@ def numeric_profile(df: DataFrame, columns=None) -> DataFrame:
         known = F.when(~F.isnan(x), x)
         aggs += [F.min(known).alias(f"min{i}"), F.max(known).alias(f"max{i}"), F.avg(known).alias(f"avg{i}"),
                  F.count(x).alias(f"n{i}"), F.count(known).alias(f"known{i}")]
-        aggs += [a.alias(f"s{i}_{k}") for k, a in enumerate(finite_stats(x))]
+        aggs += [a.alias(f"s{i}_{k}") for k, a in enumerate(rank_stats(x))]
         if is_string_type(df.schema[c].dataType):
             aggs.append(F.count_if(not_blank(df, c)).alias(f"nb{i}"))
     row = df.agg(*aggs).first() if cols else None
     # a string column is numeric if every non-blank value reads as a number; NaN values do not count
     place = {c: i for i, c in enumerate(cols) if row[f"known{i}"] and (
         columns is not None or not is_string_type(df.schema[c].dataType) or row[f"n{i}"] == row[f"nb{i}"])}
-    # all medians in one narrowing run: one distributed job per round
+    # all medians in one second pass
     num = df.select(*[_as_double(df, c).alias(c) for c in place])
     meds = kth_smallest_many(num, {c: [row[f"known{i}"] // 2] for c, i in place.items()},
-                             stats={c: [row[f"s{i}_{k}"] for k in range(5)] for c, i in place.items()}) if place else {}
+                             stats={c: [row[f"s{i}_{k}"] for k in range(6)] for c, i in place.items()}) if place else {}
     rows = [(c, float(row[f"min{i}"]), float(row[f"max{i}"]), float(row[f"avg{i}"]), float(meds[(c, row[f"known{i}"] // 2)]))
             for c, i in place.items()]
     schema = "column string, min double, max double, mean double, median double"

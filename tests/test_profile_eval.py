@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import evaluate as ev
 from tessera.operators import profile as pr
@@ -46,6 +47,31 @@ def test_kth_smallest_exact_with_narrowing(spark):
     assert [res[("a", k)] for k in ks] == [s[k] for k in ks]
 
 
+@pytest.mark.parametrize("sketch_k,error,limit", [(2048, None, 50_000), (8, 0.0, 50_000), (8, 0.0, 20), (64, None, 10), (2048, None, 10)])
+def test_kth_smallest_whatever_the_sketch_says(spark, sketch_k, error, limit):
+    """Exact with brackets that hold, that are too narrow, and in many rounds."""
+    rng = random.Random(8)
+    a = [rng.gauss(0, 1) if rng.random() < 0.7 else float(rng.randrange(5)) for _ in range(6000)]
+    b = [None if i % 9 == 0 else float("nan") if i % 11 == 0 else 10.0 ** rng.uniform(-300, 300) for i in range(6000)]
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b double").repartition(5)
+    known = {"a": sorted(a), "b": sorted(x for x in b if x is not None and x == x)}
+    want = {(c, k): known[c][k] for c in known for k in (0, 1, 700, len(known[c]) // 2, len(known[c]) - 1)}
+    got = kth_smallest_many(df, {c: [k for d, k in want if d == c] for c in known}, buckets=16, collect_limit=limit,
+                            sketch_k=sketch_k, error=error)
+    assert got == want
+
+
+def test_long_value_hashes_differ_from_the_first_byte(spark):
+    """Both hashes of a long value start from another seed: neither is a function of the other."""
+    df = spark.createDataFrame([("x" * 40,), ("y" * 40,)], "v string")
+    key = pr.distinct_key(F.col("v"))
+    chained = [F.xxhash64(F.xxhash64("v"), F.lit(i)) for i in (1, 2)]
+    for r in df.select(key.alias("k"), *chained).collect():
+        assert r.k.h1 != r.k.h2 and r.k.v is None and r.k.n == 40
+    rows = df.select(F.xxhash64(F.lit(1), F.col("v")).alias("a"), key.h1.alias("b")).collect()
+    assert all(r.a == r.b for r in rows)
+
+
 def test_classification(spark):
     t = [0, 1, 1, 0, 1, 0, 1, 0]
     p = [0, 1, 0, 0, 1, 1, 1, 0]
@@ -83,15 +109,28 @@ def _lcs_dp(a, b):
     return prev[-1]
 
 
-def test_lcs_of_many_pairs_matches_dp(monkeypatch):
+def test_lcs_of_many_pairs_matches_dp():
     import numpy as np
     random.seed(5)
     pairs = [([random.randrange(4) for _ in range(random.randint(0, 30))],
               [random.randrange(4) for _ in range(random.randint(0, 30))]) for _ in range(300)]
     want = [_lcs_dp(a, b) for a, b in pairs]
-    for cells in (4_000_000, 100, 1):
-        monkeypatch.setattr(ev, "LCS_CELLS", cells)
-        assert ev.lcs_lengths([np.array(a, int) for a, _ in pairs], [np.array(b, int) for _, b in pairs]).tolist() == want
+    assert ev.lcs_lengths([np.array(a, int) for a, _ in pairs], [np.array(b, int) for _, b in pairs]).tolist() == want
+
+
+def test_lcs_of_very_long_texts():
+    import time
+    rng = random.Random(1)
+    a = [rng.randrange(3000) if i % 3 else i for i in range(100_000)]
+    b = [x for i, x in enumerate(a) if i % 10]
+    b[::7] = ["x"] * len(b[::7])
+    began = time.process_time()
+    assert ev.lcs_length_of(a, [x for i, x in enumerate(a) if i % 10]) == 90_000
+    assert ev.lcs_length_of(a, b) == sum(x != "x" for x in b)
+    assert time.process_time() - began < 20
+    # beyond the length whose masks are all kept, against the plain rows
+    c, d = ([rng.randrange(40) for _ in range(n)] for n in (4300, 300))
+    assert ev.lcs_length_of(c, d) == _lcs_dp(c, d)
 
 
 def test_rouge_l_against_brute_force(spark):
