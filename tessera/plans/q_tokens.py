@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import subwords as sw
 from tessera.operators import tokens as tk
 from tessera.plans.registry import query
 from tessera.sources.files import table
@@ -58,6 +59,105 @@ def _bpe_sql() -> str:
 query("bpe_merges", _bpe_sql())(lambda spark, d: tk.bpe_merges(table(spark, d, "documents", spread=True), n_merges=N_MERGES))
 
 
+# -- subwords: one more CTE chain per merge, on symbols framed by chr(2) and chr(3)
+
+_WORD_COUNTS = f"(SELECT w, count(*) AS c FROM (SELECT unnest({_WORDS}) AS w FROM documents) GROUP BY w)"
+#: Symbols as rare as this are left out of the WordPiece vocabulary, so that some words are unknown.
+RARE_SYMBOL = 20
+N_PIECES = 15
+
+
+def _wordpiece_ctes(n: int) -> list[str]:
+    parts = [f"""w0 AS MATERIALIZED (SELECT w, array_to_string(list_transform(list_zip(regexp_extract_all(w, '(?s).', 0),
+  range(len(regexp_extract_all(w, '(?s).', 0)))), lambda x: chr(2) || CASE WHEN x[2] = 0 THEN '' ELSE '##' END || x[1] || chr(3)), '') AS syms, c
+  FROM {_WORD_COUNTS})"""]
+    for r in range(n):
+        parts.append(f"""s{r} AS MATERIALIZED (SELECT regexp_extract_all(syms, '\x02([^\x03]*)\x03', 1) AS s, c FROM w{r}),
+u{r} AS MATERIALIZED (SELECT x, sum(c) AS n FROM (SELECT unnest(s) AS x, c FROM s{r}) GROUP BY x),
+t{r} AS MATERIALIZED (SELECT p.l, p.r, p.n FROM (SELECT s[i] AS l, s[i + 1] AS r, CAST(sum(c) AS BIGINT) AS n
+   FROM s{r}, LATERAL (SELECT unnest(range(1, len(s))) AS i) x GROUP BY ALL HAVING sum(c) >= 2) p
+  JOIN u{r} a ON a.x = p.l JOIN u{r} b ON b.x = p.r
+  ORDER BY p.n::DOUBLE / (a.n::DOUBLE * b.n::DOUBLE) DESC, p.n DESC, p.l, p.r LIMIT 1),
+w{r + 1} AS MATERIALIZED (SELECT w, replace(syms, (SELECT chr(2) || l || chr(3) || chr(2) || r || chr(3) FROM t{r}),
+ (SELECT chr(2) || l || substr(r, 3) || chr(3) FROM t{r})) AS syms, c FROM w{r})""")
+    return parts
+
+
+_WP_MERGES = " UNION ALL ".join(f'SELECT {r} AS rank, l AS "left", r AS "right", l || substr(r, 3) AS token, n AS count FROM t{r}'
+                                for r in range(N_PIECES))
+query("wordpiece_merges", "WITH " + ",\n".join(_wordpiece_ctes(N_PIECES)) + "\n" + _WP_MERGES)(
+    lambda spark, d: sw.wordpiece_merges(table(spark, d, "documents", spread=True), n_merges=N_PIECES))
+
+_WP_VOCAB = f"""wp AS MATERIALIZED (SELECT token, CAST(row_number() OVER (ORDER BY rank, token) + 4 AS BIGINT) AS id FROM (
+  SELECT token, min(rank) AS rank FROM (SELECT x AS token, -1 AS rank FROM u0 WHERE n >= {RARE_SYMBOL}
+   UNION ALL SELECT token, rank FROM ({_WP_MERGES})) GROUP BY token)),
+body AS MATERIALIZED (SELECT id, starts_with(token, '##') AND len(token) > 2 AS cont,
+  CASE WHEN starts_with(token, '##') AND len(token) > 2 THEN substr(token, 3) ELSE token END AS b FROM wp),
+lens AS (SELECT DISTINCT len(b) AS n FROM body),
+best AS MATERIALIZED (SELECT w, p, max(n) AS n FROM (SELECT w, unnest(range(1, len(w) + 1)) AS p FROM w0) q, lens
+  WHERE EXISTS (SELECT 1 FROM body WHERE cont = (p > 1) AND len(b) = lens.n AND b = substr(w, p, lens.n)) GROUP BY w, p),
+walk AS (SELECT w, 1::BIGINT AS p, '' AS ids FROM w0
+  UNION ALL SELECT k.w, k.p + b.n, k.ids || ' ' || v.id FROM walk k JOIN best b ON b.w = k.w AND b.p = k.p
+   JOIN body v ON v.cont = (k.p > 1) AND v.b = substr(k.w, k.p, b.n)),
+coded AS MATERIALIZED (SELECT w0.w, coalesce(substr(k.ids, 2), '1') AS ids FROM w0 LEFT JOIN walk k ON k.w = w0.w AND k.p = len(w0.w) + 1)"""
+_TOKS = f"toks AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))"
+_CODED_DOCS = """SELECT doc_id, string_agg(ids, ' ' ORDER BY pos) AS ids,
+ CAST(sum(len(string_split(ids, ' '))) AS BIGINT) AS n_tokens FROM toks JOIN coded USING (w) GROUP BY doc_id"""
+
+
+def _wordpiece(spark, d):
+    docs = table(spark, d, "documents", spread=True)
+    merges = sw.wordpiece_merges(docs, n_merges=N_PIECES)
+    vocab = sw.subword_vocab(docs, merges, wordpiece=True, min_count=RARE_SYMBOL).checkpoint()
+    return sw.encode_wordpiece(docs, vocab), vocab
+
+
+def _as_text(enc):
+    return enc.where(F.size("ids") > 0).select("doc_id", ids_text(F.col("ids")).alias("ids"), F.size("ids").cast("bigint").alias("n_tokens"))
+
+
+query("encode_wordpiece", "WITH RECURSIVE " + ",\n".join([*_wordpiece_ctes(N_PIECES), _WP_VOCAB, _TOKS]) + "\n" + _CODED_DOCS)(
+    lambda spark, d: _as_text(_wordpiece(spark, d)[0]))
+
+
+def _decode_wordpiece(spark, d):
+    enc, vocab = _wordpiece(spark, d)
+    return sw.decode_wordpiece(enc.where(F.size("ids") > 0), vocab).select("doc_id", "text")
+
+
+query("decode_wordpiece", "WITH RECURSIVE " + ",\n".join([*_wordpiece_ctes(N_PIECES), _WP_VOCAB, _TOKS]) + """
+SELECT doc_id, string_agg(CASE WHEN ids = '1' THEN '[UNK]' ELSE w END, ' ' ORDER BY pos) AS text
+FROM toks JOIN coded USING (w) GROUP BY doc_id""")(_decode_wordpiece)
+
+
+def _bpe_coded_sql() -> str:
+    parts = [f"""w0 AS MATERIALIZED (SELECT w, array_to_string(list_transform(regexp_extract_all(w, '(?s).', 0),
+  lambda x: chr(2) || x || chr(3)), '') AS syms, c FROM {_WORD_COUNTS})"""]
+    for r in range(N_MERGES):
+        parts.append(f"""t{r} AS MATERIALIZED (SELECT s[i] AS l, s[i + 1] AS r, CAST(sum(c) AS BIGINT) AS n
+ FROM (SELECT regexp_extract_all(syms, '\x02([^\x03]*)\x03', 1) AS s, c FROM w{r}) q, LATERAL (SELECT unnest(range(1, len(s))) AS i) x
+ GROUP BY ALL HAVING sum(c) >= 2 ORDER BY n DESC, l, r LIMIT 1),
+w{r + 1} AS MATERIALIZED (SELECT w, replace(syms, (SELECT chr(2) || l || chr(3) || chr(2) || r || chr(3) FROM t{r}),
+ (SELECT chr(2) || l || r || chr(3) FROM t{r})) AS syms, c FROM w{r})""")
+    merged = " UNION ALL ".join(f"SELECT l || r AS token, {r} AS rank FROM t{r}" for r in range(N_MERGES))
+    parts.append(f"""vb AS MATERIALIZED (SELECT token, CAST(row_number() OVER (ORDER BY rank, token) + 4 AS BIGINT) AS id FROM (
+  SELECT token, min(rank) AS rank FROM (SELECT DISTINCT unnest(regexp_extract_all(w, '(?s).', 0)) AS token, -1 AS rank FROM w0
+   UNION ALL {merged}) GROUP BY token))""")
+    parts.append(f"""coded AS MATERIALIZED (SELECT w, string_agg(CAST(vb.id AS VARCHAR), ' ' ORDER BY i) AS ids FROM (
+  SELECT w, unnest(s) AS token, generate_subscripts(s, 1) AS i FROM (
+   SELECT w, regexp_extract_all(syms, '\x02([^\x03]*)\x03', 1) AS s FROM w{N_MERGES})) JOIN vb USING (token) GROUP BY w)""")
+    return "WITH " + ",\n".join([*parts, _TOKS]) + "\n" + _CODED_DOCS
+
+
+def _encode_bpe(spark, d):
+    docs = table(spark, d, "documents", spread=True)
+    merges = tk.bpe_merges(docs, n_merges=N_MERGES)
+    return _as_text(sw.encode_bpe(docs, merges, sw.subword_vocab(docs, merges)))
+
+
+query("encode_bpe", _bpe_coded_sql())(_encode_bpe)
+
+
 def _encoded(spark, d):
     docs = table(spark, d, "documents", spread=True)
     vocab = tk.word_vocab(docs, vocab_size=None)
