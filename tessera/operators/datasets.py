@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.numeric import fround
-from tessera.operators.numbering import prefix_sum
+from tessera.operators.numbering import offsets_by_key
+from tessera.session import checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -246,8 +247,10 @@ def coco_to_yolo(images: DataFrame, annotations: DataFrame) -> DataFrame:
     images: id, file_name, width, height; annotations: id, image_id,
     category_id, x, y, w, h (pixels)."""
     img = images.where((F.col("width") != 0) & (F.col("height") != 0))
-    # boxes are grouped first, so that one row per image meets its boxes
-    boxes = annotations.groupBy(F.col("image_id").alias("__of")).agg(F.collect_list(F.struct(
+    # boxes are grouped first, so that one row per image meets its boxes; the number of tasks is set, as
+    # formatting the lines costs more than the bytes that a re-plan would merge tasks by
+    parts = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    boxes = annotations.repartition(parts, "image_id").groupBy(F.col("image_id").alias("__of")).agg(F.collect_list(F.struct(
         "id", "category_id", "x", "y", "w", "h")).alias("boxes"))
     W, H = F.col("width").cast("double"), F.col("height").cast("double")
     lines = F.array_sort(F.transform(F.coalesce("boxes", F.array()), lambda a: F.struct(a["id"].alias("k"), F.format_string(
@@ -277,17 +280,21 @@ def yolo_to_coco(labels: DataFrame, sizes: DataFrame) -> DataFrame:
     """Parse YOLO label texts (image_id, content) with image sizes
     (image_id, width, height) into COCO annotations: id (global, in image
     then line order), image_id, category_id, bbox x, y, w, h (1 dp), area.
-    Only images are numbered (by their counts of boxes); a box adds its place."""
-    lines = F.split(F.regexp_replace("content", r"(?U)\A\s+|\s+\z", ""), "\n")
-    boxes = F.filter(F.transform(lines, lambda x: F.split(F.regexp_replace(x, r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+")),
-                     lambda p: F.size(p) >= 5)
-    images = labels.join(sizes, "image_id").select("image_id", "width", "height", boxes.alias("boxes"))
-    images = prefix_sum(images.where(F.size("boxes") > 0), ["image_id"], F.size("boxes"), out="__first")
+    Labels are parsed once into a checkpointed table; of it only image ids and
+    their numbers of boxes are numbered; a box adds its place."""
+    checkpoint_dir(labels.sparkSession)
+    # blanks at either end of a line are empty words
+    words = F.transform(F.split("content", "\n"), lambda x: F.filter(F.split(x, r"(?U)\s+"), lambda w: w != ""))
+    boxes = F.transform(F.filter(words, lambda p: F.size(p) >= 5), lambda p: F.struct(
+        F.get(p, 0).cast("int").alias("c"), *[F.get(p, i).cast("double").alias(f"b{i}") for i in (1, 2, 3, 4)]))
+    images = labels.select("image_id", boxes.alias("boxes")).where(F.size("boxes") > 0).join(sizes, "image_id") \
+        .select("image_id", "width", "height", "boxes").checkpoint()
+    images = offsets_by_key(images, ["image_id"], F.size("boxes"), out="__first")
     j = images.select("image_id", "width", "height", "__first", F.posexplode("boxes").alias("__i", "p"))
-    xc, yc, bw, bh = [F.get(F.col("p"), i).cast("double") for i in (1, 2, 3, 4)]
+    xc, yc, bw, bh = [F.col(f"p.b{i}") for i in (1, 2, 3, 4)]
     W, H = F.col("width").cast("double"), F.col("height").cast("double")
     box = j.select((F.col("__first") + F.col("__i")).cast("bigint").alias("id"), "image_id",
-                   F.get(F.col("p"), 0).cast("int").alias("category_id"),
+                   F.col("p.c").alias("category_id"),
                    ((xc - bw / 2) * W).alias("x"), ((yc - bh / 2) * H).alias("y"), (bw * W).alias("w"), (bh * H).alias("h"))
     return box.select("id", "image_id", "category_id", fround("x", 1).alias("x"),
                       fround("y", 1).alias("y"), fround("w", 1).alias("w"), fround("h", 1).alias("h"),
@@ -301,7 +308,7 @@ def export_coco(samples: DataFrame, order_key: str, labels: list[str] | None = N
     iscrowd 0.  Returns (images, annotations, categories)."""
     # one numbering gives both: the image's place and the annotations before it
     n = F.greatest(F.coalesce(F.size("annotations"), F.lit(0)), F.lit(0))
-    s = prefix_sum(samples, [order_key], n, out="__a0", number="__img_id")
+    s = offsets_by_key(samples, [order_key], n, out="__a0", number="__img_id")
     images = s.select(F.col("__img_id").alias("id"),
                       F.coalesce(F.col("image_path"), F.concat(F.lit("img_"), F.col("__img_id").cast("string"))).alias("file_name"),
                       F.coalesce(F.col("width"), F.lit(0)).alias("width"), F.coalesce(F.col("height"), F.lit(0)).alias("height"))

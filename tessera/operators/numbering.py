@@ -101,6 +101,21 @@ def prefix_sum(df: DataFrame, order: list, weight: Column | str | None = None, *
     return j.select(*[c for c in df.columns if c not in new], *new)
 
 
+def offsets_by_key(df: DataFrame, keys: list[str], weight: Column | str | None = None, *, out: str = "offset",
+                   number: str | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``prefix_sum`` in the order of ``keys`` for wide rows with one row per
+    key: only ``keys`` and the weight are sorted, hashed and checkpointed, and
+    the rows meet their offsets in one join.  Rows that share a key take the
+    wide way, where a hash of the row breaks the tie.  ``df`` is read twice, so
+    hand over one that is written down if it is costly."""
+    w = F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight
+    placed = prefix_sum(df.select(*keys, w.cast("long").alias("__w")), keys, "__w", out=out, number=number,
+                        cell_rows=cell_rows).drop("__w")
+    if placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").limit(1).count():
+        return prefix_sum(df, keys, weight if weight is not None else None, out=out, number=number, cell_rows=cell_rows)
+    return with_keys(df, placed, keys)
+
+
 def row_numbers(df: DataFrame, order: list, *, out: str = "row_id") -> DataFrame:
     """0-based global row number in ``order``."""
     return prefix_sum(df, order, None, out=out)

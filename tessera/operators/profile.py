@@ -173,10 +173,60 @@ def histogram(df: DataFrame, column: str, max_buckets: int = MAX_BUCKETS) -> Dat
     return histograms(df, [column], max_buckets).drop("column")
 
 
-def top_values(df: DataFrame, columns=None, k: int = TOP_K) -> DataFrame:
+#: Values a frequent-items sketch tracks, and candidates it may name per column.
+TRACKED, CANDIDATES = 10_000, 64
+#: A value that the sketch does not name occurs in at most this part of the
+#: rows: twice the sketch's error, 3.5 / (size of its hash table).
+UNNAMED = 2 * 3.5 / 16_384
+
+
+def frequent_values(df: DataFrame, columns: list[str], k: int, tracked: int = TRACKED, candidates: int = CANDIDATES,
+                    unnamed: float = UNNAMED) -> tuple[list, list[str]]:
+    """The ``k`` most frequent string forms of the columns where that can be
+    proven without counting all values, as rows ``(column, value, count)``, and
+    the columns where it cannot.
+
+    One scan builds a mergeable frequent-items sketch per column over 64-bit
+    hashes; a second one counts the values of the hashes it names, exactly.
+    Any other value occurs no oftener than the sketch's error allows, nor than
+    all of what the candidates leave over; the columns whose ``k``-th candidate
+    lies above are settled.  Nothing but candidates is shuffled."""
+    candidates = max(candidates, 2 * k)
+    spark = df.sparkSession
+    cells = {c: F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) for c in columns}
+    row = df.agg(*[a for i, v in enumerate(cells.values()) for a in (
+        F.count(v).alias(f"n{i}"),
+        F.call_function("approx_top_k", F.when(v.isNotNull(), F.xxhash64(v)), F.lit(candidates), F.lit(tracked)).alias(f"t{i}"))]).first()
+    named, bound, total = [], {}, {}
+    for i, c in enumerate(columns):
+        top = [(x["item"], x["count"]) for x in row[f"t{i}"] or [] if x["item"] is not None]
+        named += [(c, item) for item, _ in top]
+        total[c] = row[f"n{i}"]
+        bound[c] = max(unnamed * total[c], top[-1][1] if len(top) >= candidates - 1 else 0)
+    of = F.broadcast(spark.createDataFrame(named, "column string, hash bigint"))  # at most ``candidates`` a column
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in cells.items()])
+    found = df.select(F.inline(pairs)).where("value is not null").withColumn("hash", F.xxhash64("value")) \
+        .join(of, ["column", "hash"]).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")).collect()
+    proven, open_ = [], []
+    for c in columns:
+        rows = sorted(((r["column"], r["value"], r["count"]) for r in found if r["column"] == c), key=lambda r: (-r[2], r[1].encode()))
+        rest = total[c] - sum(r[2] for r in rows)
+        if rest == 0 or (len(rows) >= k and rows[k - 1][2] > min(rest, bound[c])):
+            proven += rows[:k]
+        else:
+            open_.append(c)
+    return proven, open_
+
+
+def top_values(df: DataFrame, columns=None, k: int = TOP_K, **sketch) -> DataFrame:
     """column, value, count, rank: the ``k`` most frequent string forms per
-    column (count desc, value asc)."""
-    vc = value_counts(df, columns)
+    column (count desc, value asc).  Columns that ``frequent_values`` settles
+    shuffle their candidates only; the others are counted in full."""
+    cols = list(columns or df.columns)
+    proven, rest = frequent_values(df, cols, k, **sketch)
+    vc = df.sparkSession.createDataFrame(proven, "column string, value string, count bigint")
+    if rest:
+        vc = vc.unionByName(value_counts(df, rest))
     w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
     return (vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
             .select("column", "value", F.col("count").cast("bigint").alias("count"),

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tessera.functions.numeric import fround
 
 from tessera.functions import text as textfn
-from tessera.operators.numbering import prefix_sum
+from tessera.operators.numbering import offsets_by_key, prefix_sum
 from tessera.session import checkpoint_dir
 
 # Special tokens and their ids, as in the reference.
@@ -115,7 +115,8 @@ def word_vocab(df: DataFrame, text: str = "text", vocab_size: int | None = 8000,
         top, order = distinct_words(df, text), [F.col("token").asc()]
     if n is not None:
         top = top.orderBy(*order).limit(n)
-    v = prefix_sum(top, order, out="id").select("token", (F.col("id") + len(SPECIAL_TOKENS)).cast("bigint").alias("id"))
+    checkpoint_dir(df.sparkSession)
+    v = prefix_sum(top.checkpoint(), order, out="id").select("token", (F.col("id") + len(SPECIAL_TOKENS)).cast("bigint").alias("id"))
     return _specials(df.sparkSession).unionByName(v)
 
 
@@ -130,11 +131,23 @@ def _encode_by_join(df: DataFrame, vocab: DataFrame, toks: Column, keys) -> Data
         .select(*keys, F.when(~F.col("__null"), F.col("s.id")).alias("ids"))
 
 
+_TABLES: dict = {}
+
+
+def _word_table(shared) -> dict:
+    """Word to id, built once per Python worker from its broadcast."""
+    if shared.value is not _TABLES.get("value"):
+        words, ids = shared.value
+        _TABLES.update(value=shared.value, table=dict(zip(words, ids.tolist())))
+    return _TABLES["table"]
+
+
 def encode_words(df: DataFrame, vocab: DataFrame, text: str = "text", keys=("doc_id",)) -> DataFrame:
     """keys..., ids ARRAY<BIGINT> (whitespace words, unknown -> 1).  A
-    vocabulary of at most ``MAP_VOCAB_LIMIT`` entries is broadcast and looked
-    up per Arrow batch with Arrow's own kernels (Unicode whitespace split,
-    hash ``index_in``, list rebuild on the same offsets); a larger one is
+    vocabulary of at most ``MAP_VOCAB_LIMIT`` entries is broadcast; a worker
+    looks up the distinct words of each Arrow batch in one table (Unicode
+    whitespace split, dictionary, ``take``, the lists rebuilt on the same
+    offsets); a larger one is
     joined on the exploded tokens and regrouped per document."""
     rows = vocab.select("token", "id").limit(MAP_VOCAB_LIMIT + 1).collect()
     if len(rows) > MAP_VOCAB_LIMIT:
@@ -147,16 +160,14 @@ def encode_words(df: DataFrame, vocab: DataFrame, text: str = "text", keys=("doc
     unk = UNK_ID
 
     def per_batch(batches):
-        import pyarrow.compute as pc
-        vocab_words, vocab_ids = bc.value
-        value_set = pa.array(vocab_words, pa.string())
+        table = _word_table(bc)
         for rb in batches:
             t = rb.column(len(keys))
             offsets, flat = _split_words(t)
-            pos = pc.fill_null(pc.index_in(flat, value_set=value_set), -1).to_numpy().astype(np.int64)
-            vals = (np.where(pos >= 0, vocab_ids[np.maximum(pos, 0)], unk) if len(vocab_ids)
-                    else np.full(len(pos), unk)).astype(np.int64)
-            lst = pa.ListArray.from_arrays(offsets, pa.array(vals, pa.int64()), mask=t.is_null())
+            coded = flat.dictionary_encode()
+            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+            found = pa.array([table.get(w, unk) for w in coded.dictionary.to_pylist()], pa.int64())
+            lst = pa.ListArray.from_arrays(offsets, found.take(coded.indices), mask=t.is_null())
             yield pa.RecordBatch.from_arrays([rb.column(i) for i in range(len(keys))] + [lst],
                                              names=list(keys) + ["ids"])
     return src.mapInArrow(per_batch, schema)
@@ -266,8 +277,8 @@ def pack_sequences(docs: DataFrame, max_len: int, order_key: str = "doc_id", ids
     n_total = d.agg(F.sum("n")).first()[0] or 0
     enough_windows((n_total - 1) // L)
     total = F.lit(n_total)  # one count, reused by several expressions
-    # the documents are range-partitioned once, with their offsets; no join back
-    d = prefix_sum(d, [order_key], "n", out="o")
+    # only keys and lengths are sorted; the documents themselves move once, to meet their offsets
+    d = offsets_by_key(d, [order_key], "n", out="o")
     if n_tokens is not None:
         d = encode_fn(d) if encode_fn is not None else d
         d = d.select(order_key, F.col(ids).alias("ids"), "n", "o")

@@ -409,20 +409,54 @@ def flatten_json(df: DataFrame, column: str, schema: T.StructType | str | None =
 JOIN_TYPES = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "full": "full"}
 
 
+#: A key is heavy if a side's sample has it in at least this part of its rows.
+HEAVY_SHARE = 0.02
+#: Rows of one side of a heavy key that a task of the join takes.
+HEAVY_ROWS = 1_000_000
+
+
+def heavy_keys(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE, sample: float | None = None, seed: int = 7) -> list[tuple]:
+    """Key values (nulls too) in at least ``share`` of a sample's rows: at
+    most 1 / ``share`` of them.  ``sample``: the part of the rows looked at,
+    by default about a million."""
+    if sample is None:
+        sample = min(1.0, 1_000_000 / max(1, df.count()))
+    some = df.select(*keys) if sample >= 1 else df.select(*keys).sample(sample, seed)
+    counts = some.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    n = some.count()
+    return [tuple(r[k] for k in keys) for r in counts.where(F.col("__n") >= share * n).collect()] if n else []
+
+
 def merge(df: DataFrame, right: DataFrame, on, how: str = "inner", right_on=None,
-          null_safe: bool = True, suffix: str = "_right") -> DataFrame:
+          null_safe: bool = True, suffix: str = "_right", split_heavy: bool = False, share: float = HEAVY_SHARE,
+          heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Equi-join on one or more keys.  Null keys match each other by default
     (the reference's dict probe does).  Right columns that collide with a
     left name get ``suffix``.  With equal key names one key column is
     returned (coalesced for right / outer joins).  Catalyst chooses
     broadcast-hash (size-checked against the broadcast threshold) or
-    sort-merge; AQE re-plans and splits skewed partitions at run time."""
+    sort-merge; AQE re-plans and splits skewed partitions at run time.
+
+    ``split_heavy``: for what AQE cannot split (a full join, a key that is hot
+    on both sides) or would see too late.  Keys that hold ``share`` of a
+    sample of either side are joined by themselves: a key's rows are cut into
+    salted parts of ``heavy_rows`` on both sides, each part meets each of the
+    other side's, and a key that one side lacks needs no join.  The result is
+    the same; the inputs are read a few times more."""
     if how not in JOIN_TYPES:
         raise ValueError(f"merge: unknown join type {how!r}")
     lkeys = parse_list(on)
     rkeys = parse_list(right_on) or lkeys
     if len(lkeys) != len(rkeys) or not lkeys:
         raise ValueError("merge: on / right_on must name the same number of keys")
+    if split_heavy:
+        return _merge_split(df, right, lkeys, rkeys, JOIN_TYPES[how], null_safe, suffix, share, heavy_rows)
+    return _merge(df, right, lkeys, rkeys, JOIN_TYPES[how], null_safe, suffix)
+
+
+def _merge(df: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str], how: str, null_safe: bool, suffix: str,
+           also: list[str] = ()) -> DataFrame:
+    """The plain join; ``also``: further columns of both sides that must agree, left out of the result."""
     shared = [lk for lk, rk in zip(lkeys, rkeys) if lk == rk]
     tmp = {rk: f"__rk{i}" for i, rk in enumerate(rkeys) if rk in shared}
     rnames = {}
@@ -439,17 +473,67 @@ def merge(df: DataFrame, right: DataFrame, on, how: str = "inner", right_on=None
         lc, rc = df[lk], r[rnames[rk]]
         e = lc.eqNullSafe(rc) if null_safe else (lc == rc)
         cond = e if cond is None else (cond & e)
-    joined = df.join(r, cond, JOIN_TYPES[how])
+    for c in also:
+        cond = cond & (df[c] == r[rnames[c]])
+    joined = df.join(r, cond, how)
     out = []
     for c in df.columns:
-        if c in shared and how in ("right", "outer", "full"):
+        if c in also:
+            continue
+        if c in shared and how in ("right", "full"):
             out.append(F.coalesce(df[c], r[tmp[c]]).alias(c) if how != "right" else r[tmp[c]].alias(c))
         else:
             out.append(df[c])
-    out += [r[rnames[c]] for c in right.columns if c not in tmp]
+    out += [r[rnames[c]] for c in right.columns if c not in tmp and c not in also]
     return joined.select(*out)
 
 
+def _merge_split(df: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str], how: str, null_safe: bool, suffix: str,
+                 share: float, heavy_rows: int) -> DataFrame:
+    from tessera.operators.numbering import row_tie
+    spark = df.sparkSession
+    found = {*heavy_keys(df, lkeys, share), *heavy_keys(right, rkeys, share)}
+    if not null_safe:
+        found = {k for k in found if all(v is not None for v in k)}
+    if not found:
+        return _merge(df, right, lkeys, rkeys, how, null_safe, suffix)
+    names = [f"__k{i}" for i in range(len(lkeys))]
+    kinds = [df.schema[k].dataType for k in lkeys]
+    table = spark.createDataFrame([(*k, i) for i, k in enumerate(sorted(found, key=repr))], T.StructType(
+        [T.StructField(n, t) for n, t in zip(names, kinds)] + [T.StructField("__heavy", T.IntegerType())]))
+
+    def marked(side: DataFrame, keys: list[str]) -> DataFrame:
+        cond = None
+        for k, n in zip(keys, names):
+            e = side[k].eqNullSafe(table[n])
+            cond = e if cond is None else cond & e
+        # at most 2 / share rows
+        return side.join(F.broadcast(table), cond, "left").select(*[side[c] for c in side.columns], "__heavy")
+
+    left, other = marked(df, lkeys), marked(right, rkeys)
+    plain = _merge(left.where("__heavy is null").drop("__heavy"), other.where("__heavy is null").drop("__heavy"),
+                   lkeys, rkeys, how, null_safe, suffix)
+    counts = {}
+    for which, side in enumerate((left, other)):
+        for r in side.where("__heavy is not null").groupBy("__heavy").count().collect():
+            counts.setdefault(r["__heavy"], [0, 0])[which] = r["count"]
+    both = [(h, -(-n // heavy_rows), -(-m // heavy_rows)) for h, (n, m) in counts.items() if n and m]
+    parts = spark.createDataFrame(both, "__heavy int, __l int, __r int")
+    # part (a, b): the a-th part of the left rows and the b-th of the right ones
+    l = left.join(F.broadcast(parts), "__heavy").withColumn("__a", F.pmod(row_tie(df), F.col("__l")).cast("int")) \
+        .withColumn("__b", F.explode(F.sequence(F.lit(0), F.col("__r") - 1))).select(*df.columns, "__a", "__b")
+    r = other.join(F.broadcast(parts), "__heavy").withColumn("__b", F.pmod(row_tie(right), F.col("__r")).cast("int")) \
+        .withColumn("__a", F.explode(F.sequence(F.lit(0), F.col("__l") - 1))).select(*right.columns, "__a", "__b")
+    out = plain.unionByName(_merge(l, r, lkeys, rkeys, "inner", null_safe, suffix, also=["__a", "__b"]))
+    alone = [[h for h, nm in counts.items() if nm[which] and not nm[1 - which]] for which in (0, 1)]
+    for which, (side, kept) in enumerate(((left, ("left", "full")), (other, ("right", "full")))):
+        if alone[which] and how in kept:  # no partner anywhere
+            rows = side.where(F.col("__heavy").isin(alone[which])).drop("__heavy")
+            pair = (rows, right.where(F.lit(False))) if which == 0 else (df.where(F.lit(False)), rows)
+            out = out.unionByName(_merge(*pair, lkeys, rkeys, how, null_safe, suffix))
+    return out
+
+
 def concat(df: DataFrame, other: DataFrame) -> DataFrame:
     if other is None:
         raise ValueError("concat: source not found")

@@ -90,7 +90,7 @@ def apply_step(df: DataFrame, op: str, params: dict, sources: dict[str, DataFram
         if rid not in sources:
             raise ValueError(f"unknown source {rid!r}")
         return tf.merge(df, sources[rid], p["on"], p.get("how", "inner"), p.get("right_on"),
-                        bool(p.get("null_safe", True)))
+                        bool(p.get("null_safe", True)), split_heavy=bool(p.get("split_heavy", False)))
     if op == "concat":
         _need(p, "source_id")
         sid = p["source_id"]

@@ -258,6 +258,20 @@ for _how, _join, _key in (("inner", "INNER", "l.o_custkey"), ("left", "LEFT", "l
         return run
     query(f"merge_{_how}", _merge_sql(_join, _key))(_mk(_how))
 
+
+# a third of the orders share the null key, which one customer has too; parts of 1,000 rows
+def _heavy_sides(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_custkey")).alias("k"))
+    customer = table(spark, d, "customer").select(F.when(F.col("c_custkey") != 7, F.col("c_custkey")).alias("k"), "c_name")
+    return orders, customer
+
+
+for _how, _join in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    query(f"merge_heavy_{_how}", f"""SELECT o_orderkey, coalesce(o.k, c.k) AS k, c_name
+ FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_custkey END AS k FROM orders) o
+ {_join} (SELECT CASE WHEN c_custkey <> 7 THEN c_custkey END AS k, c_name FROM customer) c ON o.k IS NOT DISTINCT FROM c.k""")(
+        lambda spark, d, how=_how: tf.merge(*_heavy_sides(spark, d), "k", how, split_heavy=True, heavy_rows=1000))
+
 # --------------------------------------------------------------------------- dedup / order / union
 
 query("dedup_all", "SELECT DISTINCT user_id, event_type FROM events")(

@@ -241,3 +241,25 @@ def test_confusion_pairs_without_the_grid(spark):
     df = spark.createDataFrame([("a", "a"), ("a", "b"), (None, "a")], "t string, p string")
     got = sorted(tuple(r) for r in ev.confusion_matrix(df, "t", "p", zeros=False).collect())
     assert got == [("a", "a", 1), ("a", "b", 1)]
+
+
+def test_frequent_values_are_proven_or_counted_in_full(spark):
+    rng = random.Random(2)
+    n = 20_000
+    hot = [f"h{int(rng.paretovariate(1.1))}" for _ in range(n)]
+    rows = [(h, rng.choice("abc"), str(i), None if i % 3 else "", f"t{i % 700}") for i, h in enumerate(hot)]
+    df = spark.createDataFrame(rows, "hot string, few string, one string, blank string, flat string").repartition(7)
+    proven, rest = pr.frequent_values(df, df.columns, 20)
+    assert {c for c, _, _ in proven} >= {"hot", "few"} and "one" in rest
+    for options in ({}, {"tracked": 50, "candidates": 45, "unnamed": 1.0}):
+        got = {}
+        for r in pr.top_values(df, **options).collect():
+            got.setdefault(r.column, {})[r.rank] = (r.value, r["count"])
+        for i, c in enumerate(df.columns):
+            counts = {}
+            for row in rows:
+                if row[i]:
+                    counts[row[i]] = counts.get(row[i], 0) + 1
+            want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:20]
+            assert [got.get(c, {}).get(k + 1) for k in range(len(want))] == want and len(got.get(c, {})) == len(want)
+    assert pr.top_values(df.limit(0)).count() == 0

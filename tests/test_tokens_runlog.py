@@ -241,3 +241,89 @@ def test_pipeline_rejects_whole_table_steps_on_streams(spark, tmp_path):
     p.add_step("sort", {"column": "x"})
     with pytest.raises(PipelineError):
         p.build()
+
+
+def test_offsets_by_key_with_and_without_repeats(spark):
+    from tessera.operators.numbering import offsets_by_key
+    rows = [(k, w, "x" * w) for k, w in zip([5, None, 1, 9, 3, 7], [2, 4, 1, 3, 5, 2])]
+    df = spark.createDataFrame(rows, "k int, w int, wide string")
+    got = {r.k: (r.o, r.i, r.wide) for r in offsets_by_key(df, ["k"], "w", out="o", number="i", cell_rows=2).collect()}
+    at, want = 0, {}
+    for i, (k, w, s) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))):
+        want[k] = (at, i, s)
+        at += w
+    assert got == want
+    twice = df.union(df)
+    o = sorted((r.o, r.w) for r in offsets_by_key(twice, ["k"], "w", out="o").collect())
+    assert [x for x, _ in o] == [sum(w for _, w in o[:i]) for i in range(12)] and len(o) == 12
+
+
+def _naive_bpe(word, ranks):
+    parts = list(word)
+    while True:
+        pairs = [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+        if not pairs:
+            return parts
+        rank, i = min(pairs)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_bpe_pieces_follow_the_ranks():
+    from tessera.operators.subwords import bpe_pieces
+    rng = random.Random(3)
+    for _ in range(200):
+        alphabet, ranks = list("abcé"), {}
+        symbols = list(alphabet)
+        for r in range(12):
+            a, b = rng.choice(symbols), rng.choice(symbols)
+            if (a, b) not in ranks:
+                ranks[a, b] = len(ranks)
+                symbols.append(a + b)
+        word = "".join(rng.choices(alphabet, k=rng.randrange(0, 25)))
+        assert bpe_pieces(word, ranks) == _naive_bpe(word, ranks)
+    assert len(bpe_pieces("ab" * 50_000, {("a", "b"): 0, ("ab", "ab"): 1})) == 25_000
+
+
+def test_wordpiece_by_longest_match(spark):
+    from tessera.operators import subwords as sw
+    ids = {"un": 5, "##aff": 6, "##able": 7, "a": 8, "##b": 9, "##": 10, "#": 11, "##affa": 12}
+    trie = sw.piece_trie(ids)
+    assert sw.wordpiece_ids("unaffable", trie) == [1] and sw.wordpiece_ids("ab", trie) == [8, 9]  # ##affa, then "ble": unknown
+    assert sw.wordpiece_ids("##b", trie) == [10, 9] and sw.wordpiece_ids("x", trie) == [1]
+    df = spark.createDataFrame([(1, "ab  a\tunaff"), (2, None), (3, " "), (4, "zz ab")], "doc_id int, text string")
+    vocab = spark.createDataFrame([("[PAD]", 0), ("[UNK]", 1), *ids.items()], "token string, id bigint")
+    enc = sw.encode_wordpiece(df, vocab)
+    assert {r.doc_id: r.ids for r in enc.collect()} == {1: [8, 9, 8, 5, 6], 2: None, 3: [], 4: [1, 8, 9]}
+    assert {r.doc_id: r.text for r in sw.decode_wordpiece(enc, vocab).collect()}[1] == "ab a unaff"
+
+
+def test_wordpiece_merges_by_score(spark):
+    from tessera.operators import subwords as sw
+    text = "hug " * 10 + "pug " * 5 + "pun " * 12 + "bun " * 4 + "hugs " * 5
+    df = spark.createDataFrame([(text[:60],), (text[60:],), (None,)], "text string")
+    words = {}
+    for part in (text[:60], text[60:]):
+        for w in part.split():
+            words[w] = words.get(w, 0) + 1
+    split = {w: [w[0]] + ["##" + c for c in w[1:]] for w in words}
+    want = []
+    for _ in range(6):
+        pairs, one = {}, {}
+        for w, s in split.items():
+            for x in s:
+                one[x] = one.get(x, 0) + words[w]
+            for p in zip(s, s[1:]):
+                pairs[p] = pairs.get(p, 0) + words[w]
+        best = min((p for p in pairs if pairs[p] >= 2), key=lambda p: (-pairs[p] / (one[p[0]] * one[p[1]]), -pairs[p], p))
+        want.append((*best, pairs[best]))
+        for s in split.values():
+            i = 0
+            while i < len(s) - 1:
+                if (s[i], s[i + 1]) == best:
+                    s[i:i + 2] = [s[i] + s[i + 1][2:]]
+                i += 1
+    got = sw.wordpiece_merges(df, n_merges=6, checkpoint_every=4).orderBy("rank").collect()
+    assert [(r.left, r.right, r["count"]) for r in got] == want
+    vocab = sw.subword_vocab(df, sw.wordpiece_merges(df, n_merges=3), wordpiece=True)
+    enc = {tuple(r.ids) for r in sw.encode_wordpiece(df, vocab, keys=()).where("ids is not null").collect()}
+    assert all(1 not in ids for ids in enc)

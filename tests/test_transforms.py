@@ -1,5 +1,7 @@
 """Pipeline transforms on the reference's own small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,3 +231,35 @@ def test_fill_median_with_infinities_and_nan(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "i long, v double")
     got = {r.i: r.v for r in tf.fill_nulls(df, "v", "median").collect()}
     assert got[len(vals) - 1] == 51.0 or math.isnan(got[2])
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "outer"])
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_split_merge_is_the_plain_merge(spark, how, null_safe):
+    """Keys that are hot on both sides, on one side only, and null."""
+    rng = random.Random(6)
+    keys = ["hot", "hot", "left", "right", None] + [f"k{i}" for i in range(30)]
+    left = [(rng.choice(keys[:3] + keys[4:] + ["hot"] * 20 + [None] * 10), rng.randrange(9), i) for i in range(400)]
+    right = [(rng.choice(keys[:2] + keys[3:] + ["hot"] * 8 + ["right"] * 20), rng.randrange(9), -i) for i in range(120)]
+    l = spark.createDataFrame(left, "k string, v int, a int")
+    r = spark.createDataFrame(right, "k string, v int, b int")
+    plain = tf.merge(l, r, "k", how, null_safe=null_safe)
+    split = tf.merge(l, r, "k", how, null_safe=null_safe, split_heavy=True, heavy_rows=15)
+    assert split.columns == plain.columns and split.schema.simpleString() == plain.schema.simpleString()
+    assert sorted(map(repr, split.collect())) == sorted(map(repr, plain.collect()))
+    # other key names, two keys
+    r2 = r.withColumnRenamed("k", "rk").withColumnRenamed("v", "rv")
+    plain = tf.merge(l, r2, "k,v", how, right_on="rk,rv", null_safe=null_safe)
+    split = tf.merge(l, r2, "k,v", how, right_on="rk,rv", null_safe=null_safe, split_heavy=True, share=0.01, heavy_rows=3)
+    assert sorted(map(repr, split.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_split_merge_spreads_a_hot_key(spark):
+    """A key with a third of both sides: no task of the join has more than its part."""
+    l = spark.range(3000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("a"))
+    r = spark.range(600).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("b"))
+    out = tf.merge(l, r, "k", "outer", split_heavy=True, heavy_rows=50)
+    assert out.where("k = -1").count() == 1000 * 200 and out.count() == tf.merge(l, r, "k", "outer").count()
+    heavy = tf.heavy_keys(l, ["k"])
+    assert heavy == [(-1,)] and tf.heavy_keys(l.limit(0), ["k"]) == []
+    assert tf.merge(l.limit(0), r, "k", "outer", split_heavy=True).count() == 600
