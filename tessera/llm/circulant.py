@@ -32,6 +32,9 @@ from tessera.llm.simhash import components
 #: A pair of similarity 0.8 shares no bucket with probability
 #: (1 - 0.8 ** ROWS) ** (COORDINATES / ROWS) = 1.3e-7; at 0.82 it is 9e-9.
 ROWS, COORDINATES = 5, 200
+#: Bands that are looked through first; the others' buckets only matter where
+#: they still join different components.
+FIRST_BANDS = 8
 #: Coordinates whose last byte travels with a set, to tell whether two sets of
 #: a bucket may be similar: if they agree in no less than the similarity's
 #: share by so many standard deviations of the binomial law.
@@ -204,21 +207,22 @@ def _batch(links: list) -> pa.RecordBatch:
 
 
 def _loose(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Bucket rows (key, first, second, node, n, short) to loose links."""
+    """Bucket rows (key, first, second, node, label, n, short) to loose links
+    between different labels."""
     least = agree_at_least(percent)
     for cols in _groups(batches, 3):
         first, size = _bounds(cols, 3)
-        node, n = cols[3:5]
-        short = np.frombuffer(b"".join(cols[5]), np.uint8).reshape(-1, SHORT)
+        node, label, n = cols[3:6]
+        short = np.frombuffer(b"".join(cols[6]), np.uint8).reshape(-1, SHORT)
 
         def near(i, j):
             alike = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             return alike & (np.count_nonzero(short[i] == short[j], axis=1) >= least)
         two = first[size == 2]
-        two = two[near(two, two + 1)]
+        two = two[(label[two] != label[two + 1]) & near(two, two + 1)]
         links = [np.stack([node[two], node[two + 1]])]
         for a, m in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-            found = _forest(m, lambda i, rest, a=a: near(a + i, a + rest))
+            found = _forest(m, lambda i, rest, a=a: near(a + i, a + rest), label[a:a + m])
             if found:
                 links.append(node[a + np.array(found).T])
         yield _batch(links)
@@ -292,19 +296,39 @@ class _Sets:
             self.rows.filter("n > 0").groupBy("set_key").agg(F.min(first).alias("f"))
             .select("set_key", "f.*").withColumn("node", F.monotonically_increasing_id()), "set-nodes")
 
-    def loose_components(self) -> DataFrame:
-        """``node, comp`` of the sets that may be linked with a different one."""
+    def loose_links(self, bands, labels: DataFrame | None) -> DataFrame:
+        """Links ``a, b`` in the buckets of some bands, between sets of
+        different ``labels`` (None: all are different)."""
         nodes = self.nodes.filter("short IS NOT NULL")
-        filed = nodes.select("node", F.explode("bands").alias("key"))
-        shared = filed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")             .select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        filed = nodes.select("node", F.explode(bands).alias("key"))
+        if labels is None:
+            filed = filed.withColumn("label", F.col("node"))
+            shared = filed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+        else:
+            filed = filed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            shared = filed.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")) \
+                .filter("lo < hi")
+        shared = shared.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         dealt = (filed.join(shared, "key").withColumn("own", own)
-                 .select("key", "node", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-                 .select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "node")
-                 .join(nodes.select("node", "n", "short"), "node").select("key", "first", "second", "node", "n", "short"))
+                 .select("key", "node", "label", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+                 .select("key", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "node", "label")
+                 .join(nodes.select("node", "n", "short"), "node").select("key", "first", "second", "node", "label", "n", "short"))
         links = (dealt.repartition("key", "first", "second").sortWithinPartitions("key", "first", "second", "node")
                  .mapInArrow(lambda it, p=self.percent: _loose(it, p), "a long, b long").distinct())
-        return components(links).withColumnRenamed("label", "comp")
+        return materialise(links, "loose-links")
+
+    def loose_components(self) -> DataFrame:
+        """``node, comp`` of the sets that may be linked with a different one."""
+        labels = components(self.loose_links(F.slice("bands", 1, FIRST_BANDS), None))
+        links = self.loose_links(F.slice("bands", FIRST_BANDS + 1, COORDINATES // ROWS), labels)
+        more = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti") \
+            .withColumn("label", F.col("node"))
+        labels = labels.union(more)
+        of = [labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
+        between = links.join(of[0], "a").join(of[1], "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+        top = components(between).select(F.col("node").alias("label"), F.col("label").alias("comp"))
+        return labels.join(top, "label", "left").select("node", F.coalesce("comp", "label").alias("comp"))
 
     def texts(self, comps: DataFrame) -> DataFrame:
         """``node, comp, n, text``: the compressed text of each of the nodes,
@@ -341,13 +365,13 @@ class _Sets:
         links = self.links(at_once)
         if size.filter("blocks > 1").limit(1).count():
             large = texts.join(size.filter("blocks > 1"), "comp")
-            labels = large.select("node", F.col("node").alias("label"))
+            labels, found = large.select("node", F.col("node").alias("label")), None
             for turn in range(DEALS):
                 block = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")).cast("int")
-                found = self.links(large.join(labels, "node").withColumns({"first": block, "second": block}))
-                links = links.union(found)
-                labels = self.labelled(large, links)
-            links = links.union(self.links(self.across(large, labels)))
+                new = self.links(large.join(labels, "node").withColumns({"first": block, "second": block}))
+                found = new if found is None else found.union(new)
+                labels = self.labelled(large, found)
+            links = links.union(found).union(self.links(self.across(large, labels)))
         return components(links)
 
     @staticmethod
