@@ -10,8 +10,10 @@ conversation per row.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -338,40 +340,27 @@ def folder_manifest(df: DataFrame, path_col: str = "image_path", label_col: str
 
 
 def copy_manifest(manifest: DataFrame, dest_root: str) -> DataFrame:
-    """Copy every (src, dst) pair on the executors and return (src, dst,
-    status): ``copied`` or ``missing``.  The copies run when the result is
-    read; both ends must be folders that every executor sees."""
-    import os
-    import shutil
-
-    def run(batches):
-        for b in batches:
-            status = []
-            for src, dst in zip(b["src"], b["dst"]):
-                to = os.path.join(dest_root, dst)
-                os.makedirs(os.path.dirname(to), exist_ok=True)
-                found = os.path.exists(src)
-                if found:
-                    shutil.copy2(src, to)
-                status.append("copied" if found else "missing")
-            yield b.assign(status=status)
-    return manifest.select("src", "dst").mapInPandas(run, "src string, dst string, status string")
+    """Copy every (src, dst) pair under ``dest_root`` and return (src, dst,
+    status): ``copied`` or ``missing``.  The executors copy; a failed job
+    leaves nothing, a task that runs again the same files.  Both ends must be
+    folders that the driver and all executors see."""
+    from tessera.sources.named_files import write_named_files
+    pairs = manifest.select("src", "dst")
+    write_named_files(pairs.select("src", F.col("dst").alias("name")), dest_root)
+
+    @F.arrow_udf("string")
+    def status(dst: pa.Array) -> pa.Array:
+        return pa.array(["copied" if os.path.exists(os.path.join(dest_root, x)) else "missing" for x in dst.to_pylist()])
+    return pairs.withColumn("status", status("dst"))
 
 
 def write_yolo_files(labels: DataFrame, out_dir: str, classes: list[str] | None = None,
                      name_col: str = "file_name", content_col: str = "content") -> None:
-    """One ``labels/<stem>.txt`` per image, written by the executors (each
-    task writes its own images' files; nothing passes through the driver),
-    plus ``classes.txt``.  ``out_dir`` must be a folder every executor sees."""
-    import os
-    lbl = os.path.join(out_dir, "labels")
-
-    def write(rows):
-        os.makedirs(lbl, exist_ok=True)
-        for r in rows:
-            with open(os.path.join(lbl, r[name_col]), "w", encoding="utf-8") as fh:
-                fh.write(r[content_col] or "")
-    labels.select(name_col, content_col).foreachPartition(write)
-    os.makedirs(out_dir, exist_ok=True)
-    with open(os.path.join(out_dir, "classes.txt"), "w", encoding="utf-8") as fh:
-        fh.write("\n".join(classes or []))
+    """One ``labels/<stem>.txt`` per image, written by the executors (nothing
+    passes through the driver; all files or none), plus ``classes.txt``.
+    ``out_dir`` must be a folder that the driver and all executors see."""
+    from tessera.sources.named_files import write_named_files
+    spark = labels.sparkSession
+    files = labels.select(F.concat(F.lit("labels/"), F.col(name_col)).alias("name"), F.col(content_col).alias("content"))
+    names = spark.createDataFrame([("classes.txt", "\n".join(classes or []))], "name string, content string")
+    write_named_files(files.unionByName(names), out_dir)

@@ -276,6 +276,21 @@ def _export_yolo(spark, d):
 query("export_yolo", f"""SELECT file_name, CAST(len(list_filter(string_split(content, chr(10)), lambda x: x <> '')) AS BIGINT) AS lines,
  md5(content) AS md5 FROM ({_YOLO_SQL}) y""")(_export_yolo)
 
+
+
+def _export_yolo_files(spark, d):
+    """The label files themselves, written by name and read back from the folder."""
+    path = scratch(spark, "yolo-files")
+    ds.write_yolo_files(yolo_labels(spark, d), path[len("file:"):] if path.startswith("file:") else path, ["box"])
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*)$", 1)
+    found = spark.read.text(f"{path}/labels", wholetext=True).select(name.alias("file_name"), "value")
+    return found.select(F.url_decode("file_name").alias("file_name"), F.md5("value").alias("md5"))
+
+
+query("export_yolo_files", f"SELECT file_name, md5(content) AS md5 FROM ({_YOLO_SQL}) y WHERE content <> ''")(
+    lambda spark, d: _export_yolo_files(spark, d).where(F.col("md5") != F.md5(F.lit(""))))
+
+
 def _yolo_samples(spark, d):
     li = table(spark, d, "lineitem")
     box = F.struct(F.when(F.col("l_returnflag") != "R", F.col("l_linenumber")).alias("class_id"), F.col("l_partkey").alias("x_center"),

@@ -14,7 +14,9 @@ from tessera import streaming as st
 from tessera.functions.numeric import fround
 from tessera.operators import transforms as tf
 from tessera.plans.registry import query
+from tessera.sources import topics
 from tessera.sources.files import table
+from tessera.streaming import state
 
 EVENT_SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()),
                              T.StructField("ts", T.StringType()), T.StructField("event_type", T.StringType()),
@@ -62,27 +64,27 @@ _READING = T.StructType([T.StructField("event_id", T.LongType()), T.StructField(
 
 
 def _stream_latest(spark, d):
-    """Latest reading per device (user_id) from a text stream; malformed
-    lines go to a raw output.  State is one row per device; the complete
-    result is rewritten each micro-batch by foreachBatch."""
+    """Latest reading per device (user_id) and the malformed lines, from one
+    run over a text stream.  State is one row per device, the sink too; lines
+    that are no reading pass through under keys that spread them."""
     root = st.run_location(spark, "latest")
     src = _stage_lines(spark, d, root)
-    lines = spark.readStream.option("maxFilesPerTrigger", 2).text(src)
-    parsed = st.parse_lines(lines, _READING)
-    good = parsed.where(F.col("event").isNotNull()).select("event.*")
-    raw_sink = os.path.join(root, "raw")
-    st.run_available_now(parsed.where(F.col("raw").isNotNull()).select("raw"), raw_sink, os.path.join(root, "ckpt_raw"))
-    latest = good.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("l")) \
-        .select("user_id", "l.*")
-    sink = os.path.join(root, "latest")
-
-    def write(batch, epoch_id):
-        # update mode: only the devices this micro-batch changed are appended
-        batch.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(sink)
-    st.run_foreach_batch(latest, write, os.path.join(root, "ckpt_latest"), mode="update")
-    changes = spark.read.parquet(sink)
-    return changes.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "value"), "event_id").alias("l")) \
-        .select("user_id", "l.*")
+    parsed = st.parse_lines(spark.readStream.option("maxFilesPerTrigger", 2).text(src), _READING)
+    spread = -1 - F.pmod(F.xxhash64("raw"), F.lit(64))
+    rows = parsed.select(F.when(F.col("raw").isNull(), F.col("event.user_id")).otherwise(spread).alias("user_id"),
+                         "event.event_id", "event.event_type", "event.value", "raw")
+    fields = ["event_id", "event_type", "value"]
+    changes = state.latest_rows(rows, "user_id", "event_id", fields, raw="raw")
+    sink = state.KeyedSink(spark, os.path.join(root, "latest"), "user_id", changes.drop("raw").schema, gone="gone")
+    raws = state.AppendSink(os.path.join(root, "raw"))
+
+    def write(batch, number):
+        batch = batch.persist()
+        sink.write(batch.where("raw is null").drop("raw"), number)
+        raws.write(batch.where("raw is not null").select("raw"), number)
+        batch.unpersist()
+    st.run_foreach_batch(changes, write, os.path.join(root, "ckpt"), mode="update")
+    return sink.read()
 
 
 query("stream_latest", """SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type,
@@ -103,25 +105,50 @@ query("stream_raw_events", """SELECT substr(to_json({'event_id': event_id, 'user
 
 
 def _stream_run_summary(spark, d):
-    """Live run summary: per-step records appended each micro-batch, plus a
-    running aggregate per run (steps, mean / min metric, last step id)."""
+    """Live run summary: one state row and one sink row per run (steps, mean
+    and least metric, last step), brought up to date by every micro-batch."""
     root = st.run_location(spark, "runs")
     src = _stage_events(spark, d, root)
-    steps = st.json_stream(spark, src, EVENT_SCHEMA, max_files=2)
-    summary = steps.groupBy("user_id").agg(
-        F.count(F.lit(1)).cast("bigint").alias("steps"), fround(F.avg(F.col("value") / 100.0), 6).alias("mean_loss"),
-        F.min(F.col("value") / 100.0).alias("best_loss"), F.max("event_id").alias("last_step"))
-    sink = os.path.join(root, "summary")
-
-    def write(batch, epoch_id):
-        # update mode: a batch emits the full current aggregate of the runs it
-        # touched; appended with its epoch, the latest epoch per run is final
-        batch.withColumn("epoch", F.lit(epoch_id).cast("long")).write.mode("append").parquet(sink)
-    st.run_foreach_batch(summary, write, os.path.join(root, "ckpt"), mode="update")
-    rows = spark.read.parquet(sink)
-    cols = [c for c in rows.columns if c not in ("user_id", "epoch")]
-    return rows.groupBy("user_id").agg(F.max_by(F.struct(*cols), "epoch").alias("s")).select("user_id", "s.*")
+    steps = st.json_stream(spark, src, EVENT_SCHEMA, max_files=2).withColumn("loss", F.col("value") / 100.0)
+    changes = state.running_summary(steps, "user_id", "event_id", "loss")
+    sink = state.KeyedSink(spark, os.path.join(root, "summary"), "user_id", changes.schema)
+    st.run_foreach_batch(changes, sink.write, os.path.join(root, "ckpt"), mode="update")
+    return sink.read().select("user_id", "steps", fround(F.col("total") / F.col("known"), 6).alias("mean_loss"),
+                              F.col("least").alias("best_loss"), F.col("last").alias("last_step"))
 
 
 query("stream_run_summary", """SELECT user_id, CAST(count(*) AS BIGINT) AS steps, round(avg(value / 100.0), 6) AS mean_loss,
  min(value / 100.0) AS best_loss, max(event_id) AS last_step FROM events GROUP BY user_id""")(_stream_run_summary)
+
+
+def _topic(spark, d) -> str:
+    root = st.run_location(spark, "topic")
+    ev = table(spark, d, "events").select("event_id", F.col("user_id").alias("k"),
+                                          F.to_json(F.struct("event_id", "user_id", "event_type", "value")).alias("v"))
+    topics.write_topic(ev, os.path.join(root, "log"), "k", "v", partitions=4, segment_rows=5_000, order=["event_id"])
+    return root
+
+
+def _topic_batch(spark, d):
+    """The topic in two bounded reads: up to the middle of each partition, and on from there."""
+    path = os.path.join(_topic(spark, d), "log")
+    middle = {p: o // 2 for p, o in topics.end_offsets(path).items()}
+    both = topics.read_topic(spark, path, ending=middle).unionByName(topics.read_topic(spark, path, starting=middle))
+    return both.select(F.from_json("value", _READING).alias("r")).select("r.*")
+
+
+query("topic_batch", "SELECT event_id, user_id, event_type, value FROM events")(_topic_batch)
+
+
+def _topic_until_idle(spark, d):
+    """Readings per event type of a topic stream that ends when it is idle."""
+    root = _topic(spark, d)
+    sink = state.AppendSink(os.path.join(root, "out"))
+    rows = topics.topic_stream(spark, os.path.join(root, "log")).select(F.from_json("value", _READING).alias("r")).select("r.*")
+    topics.read_until_idle(rows, sink.write, os.path.join(root, "ckpt"), idle_seconds=2.0)
+    return spark.read.schema(_READING).parquet(os.path.join(root, "out")).groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"))
+
+
+query("topic_until_idle", """SELECT event_type, CAST(count(*) AS BIGINT) AS n, max(event_id) AS last
+ FROM events GROUP BY event_type""")(_topic_until_idle)

@@ -235,3 +235,151 @@ def test_kafka_spec_with_schema(spark, monkeypatch):
         read = Reader()
     assert cx.load(Session(), "kafka", {"bootstrap": "b:1", "topic": "t", "schema": "a long"}) == "a long"
     assert seen == {"bootstrap": "b:1", "topic": "t"}
+
+
+# ------------------------------------------------- state, topics, named files
+
+def _lines_stream(spark, folder, schema="k long, at long, v double"):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+
+
+def test_latest_state_and_replayed_batches(spark, tmp_path):
+    from tessera.streaming import state
+    src = tmp_path / "src"
+    src.mkdir()
+    rows = [(1, 5, 0.5), (2, 1, None), (1, 3, 9.0), (3, None, 1.0), (2, 7, 2.0), (1, 9, 4.0), (4, 1, 1.5)]
+    for i, (k, at, v) in enumerate(rows):
+        (src / f"{i}.json").write_text('{"k": %d, "at": %s, "v": %s}' % (k, *("null" if x is None else x for x in (at, v))))
+    changes = state.latest_rows(_lines_stream(spark, src), "k", "at", ["at", "v"])
+    sink = state.KeyedSink(spark, str(tmp_path / "sink"), "k", changes.schema, gone="gone")
+    assert sink.read().count() == 0
+    batches = []
+
+    def write(batch, number):
+        batch = batch.persist()
+        batches.append((batch.toPandas(), number))
+        sink.write(batch, number)
+        before = sorted(map(tuple, sink.read().collect()))
+        sink.write(batch.limit(0), number)  # a replay of the batch, and of an earlier one
+        sink.write(batch, max(0, number - 1))
+        assert sorted(map(tuple, sink.read().collect())) == before
+    st.run_foreach_batch(changes, write, str(tmp_path / "ck"))
+    assert sorted(map(tuple, sink.read().collect())) == [(1, 9, 4.0), (2, 7, 2.0), (4, 1, 1.5)]
+    changed = [tuple(r) for b, _ in batches for r in b[["k", "at"]].itertuples(index=False)]
+    for k in (1, 2, 4):  # only changed keys: older readings (files come in any order) and the null order are silent
+        at = [a for i, a in changed if i == k]
+        assert at == sorted(set(at)) and at[-1] == max(a for i, a, _ in rows if i == k)
+    assert 3 not in {i for i, _ in changed}
+
+
+def test_state_expires_when_idle(spark, tmp_path):
+    from tessera.sources import topics
+    from tessera.streaming import state
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "0.json").write_text('{"k": 1, "at": 5, "v": 0.5}')
+    changes = state.latest_rows(_lines_stream(spark, src), "k", "at", ["at", "v"], idle_ms=1)
+    sink = state.KeyedSink(spark, str(tmp_path / "sink"), "k", changes.schema, gone="gone")
+    seen = []
+
+    def write(batch, number):
+        batch = batch.persist()
+        seen.extend(batch.collect())
+        sink.write(batch, number)
+        if number == 0:
+            (src / "1.json").write_text('{"k": 2, "at": 1, "v": 1.0}')
+    topics.read_until_idle(changes, write, str(tmp_path / "ck"), idle_seconds=4.0, mode="update")
+    assert (1, 5, 0.5, True) in [tuple(r) for r in seen]
+    assert 1 not in {r.k for r in sink.read().collect()}
+
+
+def test_summary_state_over_batches(spark, tmp_path):
+    from tessera.streaming import state
+    src = tmp_path / "src"
+    src.mkdir()
+    for i in range(6):
+        (src / f"{i}.json").write_text("\n".join('{"k": %d, "at": %d, "v": %s}' % (j % 2, 10 * i + j, "null" if j == 3 else i + j)
+                                                 for j in range(4)))
+    changes = state.running_summary(_lines_stream(spark, src), "k", "at", "v")
+    sink = state.KeyedSink(spark, str(tmp_path / "sink"), "k", changes.schema)
+    st.run_foreach_batch(changes, sink.write, str(tmp_path / "ck"))
+    got = {r.k: tuple(r)[1:] for r in sink.read().collect()}
+    v = {k: [float(i + j) for i in range(6) for j in range(4) if j % 2 == k and j != 3] for k in (0, 1)}
+    assert got == {k: (12, len(v[k]), sum(v[k]), min(v[k]), 52 + k) for k in (0, 1)}
+
+
+def test_topic_offsets_restart_and_limits(spark, tmp_path):
+    from tessera.sources import topics
+    from tessera.streaming.state import AppendSink
+    path = str(tmp_path / "log")
+    df = spark.createDataFrame([(i, i % 7, f"m{i} é") for i in range(200)], "i int, k int, v string")
+    topics.write_topic(df, path, "k", "v", partitions=3, segment_rows=11, order=["i"])
+    rows = topics.read_topic(spark, path).collect()
+    assert sorted(r.value for r in rows) == sorted(f"m{i} é" for i in range(200))
+    ends = topics.end_offsets(path)
+    by = {}
+    for r in rows:
+        by.setdefault(str(r.partition), {})[r.offset] = r.value
+    assert {p: sorted(o) for p, o in by.items()} == {p: list(range(n)) for p, n in ends.items()}
+    for p, n in ends.items():  # within a partition in the order given
+        numbers = [int(by[p][o][1:-2]) for o in range(n)]
+        assert numbers == sorted(numbers)
+    for cut in (0, 1, 10, 11, 12, 40):
+        a = topics.read_topic(spark, path, ending={p: min(cut, n) for p, n in ends.items()}).collect()
+        b = topics.read_topic(spark, path, starting={p: min(cut, n) for p, n in ends.items()}).collect()
+        assert sorted(a + b) == sorted(rows) and len(a) == sum(min(cut, n) for n in ends.values())
+    # a stream, stopped by its limit and by silence; the second run goes on from the checkpoint
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    stream = topics.topic_stream(spark, path, starting={"0": 2})
+    assert topics.read_until_idle(stream, AppendSink(out).write, ck, idle_seconds=60, max_rows=1) == 200 - (2 if "0" in ends else 0)
+    more = spark.createDataFrame([(0, 0, "late")], "i int, k int, v string")
+    part = next(p for p in ends if any(v.startswith("m0 ") for v in by[p].values()))
+    folder = tmp_path / "log" / f"partition={part}" / f"segment={ends[part]}"
+    folder.mkdir()
+    (folder / "part-x.txt").write_bytes(b"late\nnot yet whole")
+    assert more.count() == 1 and topics.end_offsets(path)[part] == ends[part] + 1
+    assert topics.read_until_idle(topics.topic_stream(spark, path, starting={"0": 2}), AppendSink(out).write, ck, idle_seconds=3) == 1
+    got = [r.value for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == sorted([r.value for r in rows if not (r.partition == 0 and r.offset < 2)] + ["late"])
+
+
+def test_named_files_survive_killed_and_repeated_tasks(tmp_path):
+    from pyspark.sql import Row
+    from tessera.sources.named_files import NamedFilesWriter
+    out = tmp_path / "out"
+    out.mkdir()
+    w = NamedFilesWriter({"path": str(out), "job": "j"})
+    rows = [Row(name=f"d/{i}.txt", content=f"c{i}") for i in range(4)]
+
+    def dying():
+        yield from rows[:2]
+        raise RuntimeError("killed")
+    with pytest.raises(RuntimeError):
+        w.write(dying())
+    assert not (out / "d").exists()  # a killed task leaves no file
+    first, again = w.write(iter(rows[:2])), w.write(iter(rows[:2]))  # a task that ran twice
+    w.write(iter(rows[2:]))
+    w.commit([first, again])
+    assert sorted(p.name for p in (out / "d").iterdir()) == ["0.txt", "1.txt", "2.txt", "3.txt"]
+    assert (out / "d" / "1.txt").read_text() == "c1" and sorted(p.name for p in out.iterdir()) == ["_SUCCESS", "d"]
+    other = NamedFilesWriter({"path": str(out), "job": "k"})
+    done = other.write(iter([Row(name="e.txt", content=b"\x00")]))
+    with pytest.raises(RuntimeError):
+        other.write(dying())
+    other.abort([done, None])  # the job failed: what its tasks had published goes
+    assert sorted(p.name for p in out.iterdir()) == ["_SUCCESS", "d"]
+    with pytest.raises(ValueError):
+        other.target("../x")
+
+
+def test_named_files_of_a_failing_job_are_gone(spark, tmp_path):
+    from tessera.sources.named_files import write_named_files
+    out = str(tmp_path / "out")
+    df = spark.range(20).repartition(4).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("name"),
+                                               F.when(F.col("id") == 13, F.raise_error(F.lit("boom"))).otherwise(F.lit("x")).alias("content"))
+    with pytest.raises(Exception, match="boom"):
+        write_named_files(df, out)
+    import os
+    assert [f for f in os.listdir(out) if not f.startswith(".staging")] == []
+    write_named_files(df.where("id <> 13"), out)
+    assert len([f for f in os.listdir(out) if f.startswith("f")]) == 19
