@@ -72,7 +72,9 @@ def _parts(start: dict, end: dict) -> list[Part]:
     return [Part(int(p), int(start.get(p, 0)), int(e)) for p, e in sorted(end.items()) if int(start.get(p, 0)) < int(e)]
 
 
-def _messages(path: str, part: Part) -> Iterator[tuple]:
+def _messages(path: str, part: Part | None) -> Iterator[tuple]:
+    if part is None:  # a range without partitions
+        return
     segments = _segments(path).get(part.partition, [])
     for i, (base, file) in enumerate(segments):
         if base >= part.end or (i + 1 < len(segments) and segments[i + 1][0] <= part.start):
@@ -139,10 +141,10 @@ class TopicSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return TopicReader(dict(self.options))
+        return TopicReader(self.options)
 
     def streamReader(self, schema) -> DataSourceStreamReader:
-        return TopicStreamReader(dict(self.options))
+        return TopicStreamReader(self.options)
 
 
 def read_topic(spark: SparkSession, path: str, starting: dict | None = None, ending: dict | None = None) -> DataFrame:
