@@ -14,13 +14,10 @@ NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType
                  T.DoubleType, T.DecimalType)
 
 
-def parse_list(val) -> list[str]:
-    """Accept a comma string or a real list; blanks are dropped."""
-    if val is None or val == "":
-        return []
-    if isinstance(val, (list, tuple)):
-        return [str(v).strip() for v in val if str(v).strip()]
-    return [s.strip() for s in str(val).split(",") if s.strip()]
+def as_names(names) -> list[str]:
+    """Column names from a list, or from a text that separates them by commas."""
+    parts = names if isinstance(names, (list, tuple)) else f"{'' if names is None else names}".split(",")
+    return list(filter(None, map(str.strip, map(str, parts))))
 
 
 def col_type(df: DataFrame, name: str) -> T.DataType:

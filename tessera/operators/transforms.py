@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.columns import (
-    blank_to_null, col_type, is_blank, is_numeric_type, is_string_type, not_blank, parse_list,
+    blank_to_null, col_type, is_blank, is_numeric_type, is_string_type, not_blank, as_names,
 )
 from tessera.functions import text as textfn
 from tessera.operators.quantiles import kth_smallest, upper_median
@@ -26,7 +26,7 @@ from tessera.operators.quantiles import kth_smallest, upper_median
 
 
 def select_columns(df: DataFrame, columns, strict: bool = False) -> DataFrame:
-    cols = parse_list(columns)
+    cols = as_names(columns)
     exprs = []
     for c in cols:
         if c in df.columns:
@@ -39,7 +39,7 @@ def select_columns(df: DataFrame, columns, strict: bool = False) -> DataFrame:
 
 
 def drop_columns(df: DataFrame, columns) -> DataFrame:
-    return df.drop(*parse_list(columns))
+    return df.drop(*as_names(columns))
 
 
 def rename_columns(df: DataFrame, mapping) -> DataFrame:
@@ -125,7 +125,7 @@ def filter_rows(df: DataFrame, column: str, operator: str, value="") -> DataFram
 
 
 def drop_nulls(df: DataFrame, columns=None) -> DataFrame:
-    cols = parse_list(columns) or df.columns
+    cols = as_names(columns) or df.columns
     pred = F.lit(True)
     for c in cols:
         pred = pred & not_blank(df, c)
@@ -174,12 +174,12 @@ def fill_nulls(df: DataFrame, column: str, strategy: str = "value", value="",
         fill = _mode_scalar(df, column)
         return df.withColumn(column, F.when(blank, fill).otherwise(c))
     if strategy in ("ffill", "bfill"):
-        order = parse_list(order_by)
+        order = as_names(order_by)
         if not order:
             raise ValueError("fill_nulls ffill/bfill needs order_by")
         # skew-safe: sorted cells split a hot partition key; a null key is a partition
         from tessera.operators.numbering import fill_forward_backward
-        return fill_forward_backward(df.withColumn(column, blank_to_null(df, column)), parse_list(partition_by), order, column,
+        return fill_forward_backward(df.withColumn(column, blank_to_null(df, column)), as_names(partition_by), order, column,
                                      backward=(strategy == "bfill")).select(*df.columns)
     raise ValueError(f"fill_nulls: unknown strategy {strategy!r}")
 
@@ -230,10 +230,10 @@ def deduplicate(df: DataFrame, columns=None, order_by=None) -> DataFrame:
     by ``order_by`` (default: all other columns) is kept via ``min_by``
     inside a partial aggregate, so a hot key never lands whole in one task.
     """
-    keys = parse_list(columns)
+    keys = as_names(columns)
     if not keys:
         return df.dropDuplicates()
-    order = parse_list(order_by)
+    order = as_names(order_by)
     rest = [c for c in df.columns if c not in keys]
     if not rest:
         return df.dropDuplicates(keys)
@@ -247,9 +247,9 @@ def deduplicate(df: DataFrame, columns=None, order_by=None) -> DataFrame:
 def _order_cols(df: DataFrame, column, descending: bool, tie_break=None) -> list[Column]:
     """Sort keys in the requested direction; tie-break columns always
     ascending (a stable reverse sort keeps ties in input order)."""
-    keys = parse_list(column)
+    keys = as_names(column)
     out = [F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in keys]
-    out += [F.col(c).asc_nulls_first() for c in parse_list(tie_break) if c not in keys]
+    out += [F.col(c).asc_nulls_first() for c in as_names(tie_break) if c not in keys]
     return out
 
 
@@ -273,7 +273,7 @@ def limit(df: DataFrame, n: int = 1000) -> DataFrame:
 
 
 def sample_key(df: DataFrame, key=None, seed=0) -> Column:
-    cols = parse_list(key) or df.columns
+    cols = as_names(key) or df.columns
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
     return F.md5(F.concat_ws("|", *parts, F.lit(str(seed))))
 
@@ -284,7 +284,7 @@ def sample(df: DataFrame, n: int = 100, seed=0, key=None) -> DataFrame:
     found by the exact distributed narrowing, rows below it are kept and the
     boundary ties are filled in key order - no task ever holds n rows."""
     n = int(n)
-    keys = [F.col(c) for c in (parse_list(key) or df.columns)]
+    keys = [F.col(c) for c in (as_names(key) or df.columns)]
     h = sample_key(df, key, seed)
     num = F.conv(F.substring(h, 1, 13), 16, 10).cast("long")  # 52 bits: exact in a double
     tagged = df.withColumn("__sh", num)
@@ -316,7 +316,7 @@ def page(df: DataFrame, offset: int = 0, limit_n: int = 100, order_by=None, shal
     top-(offset + n); deep pages take each row's global position from sorted
     cells and keep a range."""
     from tessera.operators.numbering import prefix_sum, row_tie
-    order = parse_list(order_by) or df.columns
+    order = as_names(order_by) or df.columns
     offset, limit_n = int(offset), int(limit_n)
     if offset + limit_n <= shallow:
         return df.orderBy(*order, row_tie(df)).offset(offset).limit(limit_n)
@@ -445,8 +445,8 @@ def merge(df: DataFrame, right: DataFrame, on, how: str = "inner", right_on=None
     the same; the inputs are read a few times more."""
     if how not in JOIN_TYPES:
         raise ValueError(f"merge: unknown join type {how!r}")
-    lkeys = parse_list(on)
-    rkeys = parse_list(right_on) or lkeys
+    lkeys = as_names(on)
+    rkeys = as_names(right_on) or lkeys
     if len(lkeys) != len(rkeys) or not lkeys:
         raise ValueError("merge: on / right_on must name the same number of keys")
     if split_heavy:

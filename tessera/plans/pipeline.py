@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import transforms as tf
-from tessera.functions.columns import parse_list
+from tessera.functions.columns import as_names
 
 
 @dataclass
@@ -63,7 +63,7 @@ def apply_step(df: DataFrame, op: str, params: dict, sources: dict[str, DataFram
     if op == "deduplicate":
         if df.isStreaming and p.get("watermark"):
             from tessera.streaming import dedup_stream
-            return dedup_stream(df, parse_list(p.get("columns", "")) or df.columns, p["watermark"],
+            return dedup_stream(df, as_names(p.get("columns", "")) or df.columns, p["watermark"],
                                 p.get("delay", "10 minutes"))
         return tf.deduplicate(df, p.get("columns", ""), p.get("order_by"))
     if op == "sort":
@@ -110,7 +110,7 @@ class Pipeline:
 
     def __init__(self, name: str = "", spark: SparkSession | None = None):
         self.id = uuid.uuid4().hex[:8]
-        self.name = name or f"Pipeline {self.id}"
+        self.name = name or f"unnamed-{self.id}"
         self.spark = spark
         self.sources: dict[str, DataFrame] = {}
         self.steps: list[Step] = []
@@ -167,7 +167,7 @@ class Pipeline:
         return self
 
     def reorder(self, step_ids) -> "Pipeline":
-        ids = parse_list(step_ids)
+        ids = as_names(step_ids)
         by_id = {s.id: s for s in self.steps}
         if sorted(ids) != sorted(by_id):
             raise ValueError("reorder must list every step id once")

@@ -46,11 +46,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8",
-             infer_schema: bool = False, schema=None, multi_line: bool = True) -> DataFrame:
+             infer_schema: bool = False, schema=None, multi_line: bool = True, whole_files: bool = False) -> DataFrame:
     """Header row, every column a string unless a schema / inference is asked
-    for (the reference never infers).  Quoted values may span lines, which
-    makes each file one task; ``multi_line=False`` splits large files whose
-    values are known to hold no line breaks."""
+    for (the reference never infers).  Quoted values may span lines; UTF-8
+    files are cut into ranges all the same (``csv_records``), which reads them
+    twice; ``multi_line=False`` reads files once whose values are known to hold
+    no line breaks, ``whole_files`` each by one task, as another encoding or
+    the inference of types do."""
+    if multi_line and not whole_files and not infer_schema and encoding.lower().replace("-", "") == "utf8":
+        from tessera.sources.csv_records import read_csv_records
+        return read_csv_records(spark, path, delimiter, schema=schema)
     r = (spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
          .option("multiLine", multi_line).option("escape", '"').option("inferSchema", infer_schema))
     if schema is not None:

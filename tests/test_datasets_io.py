@@ -383,3 +383,85 @@ def test_named_files_of_a_failing_job_are_gone(spark, tmp_path):
     assert [f for f in os.listdir(out) if not f.startswith(".staging")] == []
     write_named_files(df.where("id <> 13"), out)
     assert len([f for f in os.listdir(out) if f.startswith("f")]) == 19
+
+
+# --------------------------------------------------------------- CSV in ranges
+
+def _same_as_whole(spark, path, sep=",", schema=None):
+    from tessera.sources.files import read_csv
+    want = read_csv(spark, path, sep, whole_files=True, schema=schema)
+    got = read_csv(spark, path, sep, schema=schema)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    return got
+
+
+@pytest.fixture
+def small_ranges(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "40")
+    spark.conf.set(names[1], "0")
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def test_csv_ranges_with_quoted_line_breaks(spark, tmp_path, small_ranges):
+    import csv
+    import random
+    rng = random.Random(5)
+    parts = ["a", "bb", '"', ",", "\n", "\n\n", " ", "é", "x" * 30, '""', "\r\n", "'"]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for i in range(3):
+        with open(folder / f"{i}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, quoting=csv.QUOTE_ALL if i == 1 else csv.QUOTE_MINIMAL, lineterminator="\r\n" if i == 2 else "\n")
+            w.writerow(["id", "text", "more"])
+            for j in range(40):
+                w.writerow([i * 100 + j, "".join(rng.choices(parts, k=rng.randrange(0, 9))), "".join(rng.choices(parts, k=3))])
+    from tessera.sources.files import read_csv
+    rows = read_csv(spark, str(folder)).collect()
+    want = []
+    for i in range(3):
+        with open(folder / f"{i}.csv", newline="", encoding="utf-8") as f:
+            want += [tuple(x or None for x in r) for r in list(csv.reader(f))[1:]]
+    key = lambda r: int(r[0])
+    assert [tuple(x or None for x in r) for r in sorted(map(tuple, rows), key=key)] == sorted(want, key=key)
+    # a whole-file read turns quoted CRLF into LF where lines end in CRLF
+    whole = read_csv(spark, str(folder), whole_files=True).collect()
+    assert sorted(repr(r).replace("\\r\\n", "\\n") for r in rows) == sorted(repr(r).replace("\\r\\n", "\\n") for r in whole)
+
+
+@pytest.mark.parametrize("text", [
+    'a,b\n1,x\n2,"y\nz"\n3,5" pipe\n4,"q"\n', 'a,b\n"1\n\n\n\n' + "z" * 200 + '\n2\n",x\n5,y', 'a,b\n', 'a,b\n\n1,2\n\n3,4\n',
+    'a,b\n1\n2,3,4\n"",""\n', '"a\nc",b\n"1\n2",3\n', 'a,b\n1,"x"y\n2,z\n', 'a,b\n1,""""\n2,"""\n"""\n3,z\n'], ids=range(8))
+def test_csv_ranges_on_odd_texts(spark, tmp_path, small_ranges, text):
+    path = tmp_path / "x.csv"
+    path.write_bytes(text.encode())
+    _same_as_whole(spark, str(path))
+
+
+def test_csv_ranges_with_separator_and_schema(spark, tmp_path, small_ranges):
+    path = tmp_path / "x.csv"
+    path.write_text('k;v;t\n1;2.5;"a;b\n""c"\n2;;plain\n3;x;"\n\n"\n')
+    _same_as_whole(spark, str(path), ";")
+    _same_as_whole(spark, str(path), ";", "k int, v double, t string")
+
+
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    from tessera.sources.files import read_csv
+    path = tmp_path / "big.csv"
+    with open(path, "w") as f:
+        f.write("id,text\n")
+        for i in range(30_000):
+            f.write(f'{i},"line one of {i}\nline, ""two"" {"y" * 40}"\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 << 10))
+    try:
+        df = read_csv(spark, str(path))
+        assert df.select(F.spark_partition_id()).distinct().count() >= 8
+        row = df.agg(F.count("*").alias("n"), F.sum(F.col("id").cast("long")).alias("s"), F.count_if(F.col("text").contains("\n")).alias("b")).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert tuple(row) == (30_000, sum(range(30_000)), 30_000)
