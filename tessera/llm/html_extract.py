@@ -19,11 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed element classes of HTML.
-RAW = frozenset("script style textarea title template noscript iframe noframes noembed xmp svg math object canvas".split())
+RAW = frozenset("script style textarea title template noscript iframe noframes noembed svg object canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var br img wbr".split())
-NEVER = frozenset("head form button select option input datalist menu dialog nav".split())
+                   "small span strike strong sub sup time tt u var br img wbr math mi mo mn mrow mfrac msup msub msubsup msqrt mroot "
+                   "mtext mspace mover munder munderover mtable mtr mtd mstyle mpadded semantics".split())
+NEVER = frozenset("head button select option input datalist menu dialog nav".split())
+#: Elements that say nothing about what they hold: a page of nothing else is all text.
+BARE = frozenset("page html body".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
                      "h6 header hr main menu nav ol p pre section table ul".split())
 #: An open element that a new one of the set closes, up to the nearest boundary.
@@ -40,8 +43,9 @@ FURNITURE = re.compile(
     r"social|social(?:bar|icons|links|media|share)|related|related(?:articles|content|links|posts)|recommended|newsletters?|"
     r"newsletter(?:form|signup)|subscribe|signup|login|loginform|search|search(?:bar|box|form)|copyright|legal|toolbars?|skip|skip(?:link|links|nav)|hidden")
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
-                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: Where the quotes of a tag never close.
+_BROKEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 #: One attribute after the other: whole name, optional value.
 _ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 _NAMES = re.compile(r"[a-z]+")
@@ -62,13 +66,49 @@ class Node:
         self.under = parent is not None and (parent.furniture or parent.under)
 
 
+class _Open:
+    """The open elements, and for each tag where it is open: all that an end
+    or an implied end asks for is a look at the last places."""
+
+    def __init__(self, root: Node):
+        self.stack: list[list] = [["page", root, True]]  # tag, block element, open
+        self.where: dict[str, list[int]] = {}
+        self.blocks = [0]  # places of those that are no inline elements
+
+    def push(self, tag: str, node: Node | None = None) -> None:
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.where.setdefault(tag, []).append(len(self.stack))
+        self.stack.append([tag, node or self.stack[-1][1], True])
+
+    def last(self, *tags: str) -> int:
+        """The deepest place where one of the tags is open; 0 if none is."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def drop_inline(self, tag: str) -> None:
+        """Ends an inline element in the middle; its place stays, unused."""
+        self.stack[self.where[tag].pop()][2] = False
+
+    def pop(self) -> tuple[str, bool]:
+        tag, _, was_open = self.stack.pop()
+        if was_open:
+            self.where[tag].pop()
+        if self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
+        return tag, was_open
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     """The block elements in document order (the first is the page), and the
     text blocks: runs of text between block boundaries, with references
-    decoded and white space folded.  Missing end tags are implied as in HTML."""
+    decoded and white space folded.  Missing end tags are implied as in HTML.
+
+    Takes time in proportion to the page, whatever is nested or never closed:
+    what is known to be missing is not looked for again."""
     root = Node("page", (), None, False)
     nodes, blocks = [root], []
-    stack: list[tuple[str, Node]] = [("page", root)]
+    tree = _Open(root)
+    stack = tree.stack
     pending: list[str] = []
     links = at = 0
 
@@ -93,69 +133,98 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         while len(stack) > depth:
             if stack[-1][0] not in INLINE:
                 flush()
-            if stack.pop()[0] == "a":
+            tag, was_open = tree.pop()
+            if tag == "a" and was_open:
                 links -= 1
 
     def close(tags, until) -> None:
-        for d in range(len(stack) - 1, 0, -1):
-            if stack[d][0] in tags:
-                pop_to(d)
-                return
-            if stack[d][0] in until:
-                return
-
-    low = None
-    size = len(page)
+        place = tree.last(*tags)
+        if place > tree.last(*until):
+            pop_to(place)
+
+    missing: set[str] = set()
+
+    def find(what: str, start: int, text: str = page) -> int:
+        """Where the text goes on with ``what``; -1 at once if an earlier
+        search came to the end of the page."""
+        if what in missing:
+            return -1
+        end = text.find(what, start)
+        if end < 0:
+            missing.add(what)
+        return end
+
+    low, size, last = None, len(page), page.rfind(">")
+    look = 0  # the next tag is looked for from here, text is taken from ``at``
     while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
+        lt = page.find("<", look)
+        if lt < 0 or (lt > last and not page.startswith("<!--", lt)):
             rest = page[at:]
-            cut = _OPEN.search(rest)  # a tag that the page's end cuts off
+            cut = _OPEN.search(rest) if lt >= 0 else None  # a tag that the page's end cuts off
             add(rest[:cut.start()] if cut else rest)
             break
-        add(page[at:m.start()])
-        at = m.end()
-        if m.group(2) is None:
-            if m.group().startswith("<![CDATA["):
-                add(m.group()[9:-3])
+        if page.startswith("<!--", lt):
+            add(page[at:lt])
+            end = find("-->", lt + 4)
+            at = look = end + 3 if end >= 0 else size
+            continue
+        if page.startswith("<![CDATA[", lt) and (end := find("]]>", lt + 9)) >= 0:
+            add(page[at:lt])
+            add(page[lt + 9:end])
+            at = look = end + 3
+            continue
+        if page[lt + 1] in "!?":
+            add(page[at:lt])
+            at = look = page.find(">", lt) + 1
             continue
+        m = None if "quotes" in missing else _TAG.match(page, lt)
+        if m is None:
+            m = _BROKEN_TAG.match(page, lt)
+            if m is None:
+                look = lt + 1
+                continue
+            missing.add("quotes")  # they are open to the page's end
+        add(page[at:lt])
+        at = look = m.end()
         tag = m.group(2).lower()
         if m.group(1):  # an end tag
             if tag in INLINE:
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d][0] == tag:
-                        del stack[d]
-                        links -= tag == "a"
-                        break
-                    if stack[d][0] not in INLINE:
-                        break
-            elif any(t == tag for t, _ in stack[1:]):
-                close({tag}, ())
+                if tree.last(tag) > tree.blocks[-1]:
+                    tree.drop_inline(tag)
+                    links -= tag == "a"
+            elif tree.last(tag):
+                pop_to(tree.last(tag))
             else:
                 flush()
             continue
-        if tag in RAW:
+        if tag in RAW or tag == "xmp":
             low = page.lower() if low is None and len(page.lower()) == size else low
-            end = (low or page).find("</" + tag, at)
-            if tag in ("noscript", "svg", "math", "object", "canvas", "template") and end < 0:
+            if tag in ("svg", "object") and m.group(3).rstrip().endswith("/"):
+                continue
+            end = find("</" + tag, at, low or page)
+            if tag in ("noscript", "svg", "object", "canvas", "template") and end < 0:
                 continue
             after = page.find(">", end) if end >= 0 else -1
-            at = after + 1 if after >= 0 else size
+            if tag == "xmp":  # text as it stands
+                flush()
+                add(page[at:end if end >= 0 else size].replace("&", "&amp;"))
+                flush()
+            at = look = after + 1 if after >= 0 else size
             continue
         if tag == "br":
             pending.append(" ")
             continue
         if tag in INLINE:
-            if tag not in VOID:
-                if tag == "a" and any(t == "a" for t, _ in stack):
+            if tag not in VOID and not (tag[0] == "m" and m.group(3).endswith("/")):
+                if tag == "a" and tree.last("a"):
                     links -= 1
-                    del stack[max(d for d, (t, _) in enumerate(stack) if t == "a")]
-                stack.append((tag, stack[-1][1]))
+                    tree.drop_inline("a")
+                tree.push(tag)
                 links += tag == "a"
             continue
         flush()
         if tag in CLOSES_P:
-            close({"p"}, {"td", "th", "button", "table"})
+            close(("p",), ("td", "th", "button", "table"))
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in VOID:
@@ -170,11 +239,25 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
         # inline elements that are still open are closed with the block before; misnested ones end here
         node = Node(tag, tuple(words), stack[-1][1], hidden)
         nodes.append(node)
-        stack.append((tag, node))
+        tree.push(tag, node)
     flush()
+    _hide_forms(nodes)
     return nodes, blocks
 
 
+def _hide_forms(nodes: list[Node]) -> None:
+    """Forms are no main text, but for one around the page: a form with at
+    least half of the text is taken for a mere wrapper."""
+    if not any(n.tag == "form" for n in nodes):
+        return
+    place = {id(n): i for i, n in enumerate(nodes)}
+    held = [0 if n.hidden else n.text for n in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        held[place[id(nodes[i].parent)]] += held[i]
+    for n, text in zip(nodes, held):
+        n.hidden = n.hidden or (n.parent is not None and n.parent.hidden) or (n.tag == "form" and 2 * text < held[0])
+
+
 # --------------------------------------------------------------------- model
 
 def _bucket(n: int) -> int:
@@ -303,6 +386,8 @@ def main_text(page: str | None, model: dict[str, float]) -> str:
     nodes, blocks = parse(page or "")
     if not blocks:
         return ""
+    if all(n.hidden or n.tag in BARE for n in nodes):  # no block says what is text and what is not
+        return "\n".join(text for n, text in blocks if not n.hidden)
     p = {id(n): x for n, x in zip(nodes, marginals(nodes, model))}
     return "\n".join(text for n, text in blocks if not n.hidden and p[id(n)] >= 0.5)
 
@@ -349,5 +434,6 @@ def main_text_column(model: dict[str, float], page: Column) -> Column:
 def extract_pages(pages: DataFrame, model: dict[str, float], id_col: str = "page_id", url_col: str = "url",
                   html_col: str = "html") -> DataFrame:
     """The id, the url and ``text`` of every row; null or empty html and pages
-    without content give the empty text; repeated rows come back each."""
+    without content give the empty text; repeated rows come back each; very
+    long, deeply nested and unclosed pages take time in proportion."""
     return pages.select(id_col, url_col, main_text_column(model, F.col(html_col)).alias("text"))

@@ -31,16 +31,49 @@ EFFECTIVE = 60.0
 #: Pseudo-pages of the level above.
 SMOOTHING = 5.0
 
-_BOILERPLATE = re.compile(r"<!--.*?-->|<(script|style|head|nav|footer|aside|form|noscript|template)\b.*?</\1\s*>|"
-                          r"<(div|section)[^>]*class=[\"']?(?:ad|ads|advert|menu|sidebar)\b[^>]*>.*?</\2\s*>|<(?:footer|nav)\b.*\Z",
-                          re.S | re.I)
+#: Beginnings of what is no running text: comments, elements, and blocks whose class says so.
+_START = re.compile(r"<!--|<(script|style|head|nav|footer|aside|form|noscript|template)\b|<(div|section)\b", re.I)
+_AD = re.compile(r"class=[\"']?(?:ad|ads|advert|menu|sidebar)\b", re.I)
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in
+        "script style head nav footer aside form noscript template div section".split()}
 _TAG = re.compile(r"<[^>]*>?")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def _without_furniture(page: str) -> str:
+    """The page with a blank for every comment and furniture element, up to
+    the next end tag of its name; a footer or nav without one goes to the end.
+    One pass: an end tag that is missing is not looked for twice."""
+    out, at, look, missing, last = [], 0, 0, set(), page.rfind(">")
+    while m := _START.search(page, look):
+        tag = (m.group(1) or m.group(2) or "").lower()
+        look, end = m.end(), -1
+        if not tag:
+            end = -1 if "--" in missing else page.find("-->", look)
+            missing |= {"--"} if end < 0 else set()
+            end = end + 3 if end >= 0 else -1
+        else:
+            if m.group(2):
+                close = page.find(">", look) if look <= last else -1
+                if close < 0 or not _AD.search(page, look, close):
+                    look = close + 1 if close >= 0 else look
+                    continue
+                look = close + 1
+            found = None if tag in missing else _END[tag].search(page, look)
+            if found:
+                end = found.end()
+            else:
+                missing.add(tag)
+                end = len(page) if tag in ("footer", "nav") else -1
+        if end >= 0:
+            out += [page[at:m.start()], " "]
+            at = look = end
+    return "".join([*out, page[at:]])
+
+
 def visible_text(page: str | None) -> str:
     """The page's text without markup and the furniture that markup names."""
-    return entities.unescape(_TAG.sub(" ", _BOILERPLATE.sub(" ", page or "")))
+    return entities.unescape(_TAG.sub(" ", _without_furniture(page or "")))
 
 
 def grams(text: str | None) -> Counter:
@@ -129,7 +162,9 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     """Per row: the id, ``lang``, ``confidence`` (its posterior), ``text_lang``
     (by the text alone), ``declared`` and ``suffix``.
 
-    No text: the other evidence decides; no declaration, host or suffix: that
+    Priors, declarations and suffixes are those of the group's other pages.
+    Very long and unclosed pages take time in proportion to their length.  No
+    text: the other evidence decides; no declaration, host or suffix: that
     piece says what pages without it say.  Ties go to the first language in
     order.  Null urls and html are empty; repeated rows come back each; a model
     without languages gives null."""
@@ -147,28 +182,26 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     total = sum(x or 0.0 for x in overall) or 1.0
     base = [((x or 0.0) + 1 / k) / (total + 1) for x in overall]
 
-    def array(cols) -> Column:
-        return F.array(*cols)
-
-    def smoothed(sums: list[Column], prior: list[Column]) -> Column:
-        n = sum(sums, F.lit(0.0))
-        return array([(s + SMOOTHING * p) / (n + SMOOTHING) for s, p in zip(sums, prior)])
-    whole = [F.lit(b) for b in base]
-
-    def evidence(key: str, out: str) -> DataFrame:
-        """P(language | value) / P(language): what the value speaks for."""
-        t = rows.groupBy(key).agg(*_sums("p", k))
-        p = smoothed([F.col(f"s{i}") for i in range(k)], whole)
-        return t.select(key, F.transform(p, lambda x, i: F.log(x / F.element_at(F.array(*whole), i + 1))).alias(out))
-    domains = rows.groupBy("domain").agg(*_sums("p", k))
-    domains = domains.select(F.col("domain").alias("of"), smoothed([F.col(f"s{i}") for i in range(k)], whole).alias("above"))
-    hosts = rows.groupBy("host", "domain").agg(*_sums("p", k)).join(domains, F.col("domain") == F.col("of"))
-    hosts = hosts.select(F.col("host").alias("at"), smoothed([F.col(f"s{i}") for i in range(k)],
-                                                             [F.col("above")[i] for i in range(k)]).alias("prior"))
-    fused = (rows.join(hosts, F.col("host") == F.col("at")).join(evidence("declared", "by_markup"), "declared")
-             .join(evidence("suffix", "by_suffix"), "suffix"))
-    logs = F.array(*[F.log(F.greatest(F.col("p")[i], F.lit(1e-12))) + F.log(F.col("prior")[i]) + F.col("by_markup")[i]
-                     + F.col("by_suffix")[i] for i in range(k)])
+    whole = F.array(*[F.lit(b) for b in base])
+
+    def others(sums: str, prior: Column) -> Column:
+        """The mean posterior of a group's other pages, smoothed towards
+        ``prior``: a page is no evidence for itself."""
+        n = F.aggregate(sums, F.lit(0.0), lambda s, x: s + x) - 1
+        return F.transform(sums, lambda s, i: (F.greatest(s - F.col("p")[i], F.lit(0.0)) + SMOOTHING * prior[i])
+                           / (F.greatest(n, F.lit(0.0)) + SMOOTHING))
+
+    def grouped(*keys: str, name: str) -> DataFrame:
+        t = rows.groupBy(*keys).agg(*_sums("p", k))
+        return t.select(*keys, F.array(*[F.col(f"s{i}") for i in range(k)]).alias(name))
+    hosts = grouped("host", "domain", name="of_host").join(grouped("domain", name="of_domain"), "domain").drop("domain")
+    fused = (rows.join(hosts, "host").join(grouped("declared", name="of_markup"), "declared")
+             .join(grouped("suffix", name="of_suffix"), "suffix"))
+    fused = fused.withColumn("above", others("of_domain", whole)).withColumn("prior", others("of_host", F.col("above"))) \
+        .withColumn("by_markup", others("of_markup", whole)).withColumn("by_suffix", others("of_suffix", whole))
+    # what a declaration and a suffix speak for: P(language | value) / P(language)
+    logs = F.array(*[F.log(F.greatest(F.col("p")[i], F.lit(1e-12))) + F.log(F.col("prior")[i]) + F.log(F.col("by_markup")[i] / base[i])
+                     + F.log(F.col("by_suffix")[i] / base[i]) for i in range(k)])
     names = F.array(*[F.lit(l) for l in model.langs])
     top = F.array_max("logs")
     fused = fused.withColumn("logs", logs).withColumn("norm", F.aggregate(

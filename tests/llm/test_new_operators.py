@@ -338,3 +338,70 @@ def test_unknown_neighbours_at_task_ends_keep_pairs(spark):
     df = spark.createDataFrame([(w,) for w in words], "word string").repartition(7)
     got = {(r.word, r.other) for r in spelling.neighbours(df).collect()}
     assert got == {(a, b) for a in words for b in words if one_edit(a, b)}
+
+
+# -------------------------------------------------- pages in time of their length
+
+PIECES = {"nested": ("<div>", ""), "unclosed tags": ("<a ", ""), "scripts": ("<script>", ""), "ads": ("<div class=ad>", ""),
+          "comments": ("<!--", ""), "cdata": ("<![CDATA[>", ""), "inline": ("<b>", "</i>"), "ends": ("<div>", "</p>"),
+          "items": ("<ul><li><div>", ""), "cells": ("<p><table><td><div>", ""), "noscript": ("<noscript>x", ""),
+          "quotes": ("<a b=\">'<c d='>", ""), "signs": ("< ", ""), "forms": ("<form><nav>", ""), "bang": ("<!x ", "")}
+
+
+@pytest.mark.parametrize("name", PIECES)
+def test_broken_pages_of_a_megabyte(name):
+    import time
+    from tessera.llm import html_extract, langid
+    a, b = PIECES[name]
+    n = 1_000_000 // len(a + b)
+    page = "<p>before</p>" + a * n + b * n + "<p>after"
+    model = html_extract.potentials({})
+    for f in (lambda: html_extract.main_text(page, model), lambda: langid.visible_text(page)):
+        began = time.process_time()
+        f()
+        assert time.process_time() - began < 12  # linear: about a second on a free machine; quadratic takes many minutes
+
+
+def test_visible_text_leaves_furniture_out():
+    from tessera.llm.langid import visible_text
+    page = ("<html><HEAD><title>t</title></head><p>a<!-- c --> b</p><div class='ad big'>buy</div><div class=x>keep</div>"
+            "<section class=\"menu\">m</section><script>s</SCRIPT >d<style>unclosed e<nav>n</nav>f<footer>gone")
+    assert visible_text(page).split() == "a b keep d unclosed e f".split()
+    assert visible_text("x <!-- open <b>y</b>").split() == ["x", "y"] and visible_text(None) == ""
+
+
+def test_math_examples_and_page_wide_forms_are_text():
+    from collections import Counter
+    from tessera.llm import html_extract as h
+    pages = ["<html><nav><a>home</a></nav><article><h1>Title of it</h1><p>Some words of the text here.</p></article><footer>f</footer></html>"] * 30
+    counts = Counter()
+    for p in pages:
+        h.count_page(p, counts)
+    model = h.potentials(counts)
+    assert h.main_text("<article><p>The sum <math><mi>x</mi><mo>+</mo></math> is 1</p></article>", model) == "The sum x+ is 1"
+    assert h.main_text("<article><p>a word</p><xmp><b> &lt; </xmp><p>more words</p></article>", model) == "a word\n<b> &lt;\nmore words"
+    body = "<nav><a>home</a></nav><article><h1>T</h1><p>All the words of the text.</p></article>"
+    assert h.main_text(f"<form action=/>{body}</form>", model) == "T\nAll the words of the text."
+    assert h.main_text(f"<div>{body}<form>Name <input> Mail</form></div>", model) == "T\nAll the words of the text."
+    assert h.main_text("only text &amp; more", h.potentials({})) == "only text & more"
+
+
+def test_a_page_is_no_evidence_for_itself(spark):
+    """On a host of one page the host says what the others of its domain say."""
+    from tessera.llm import langid
+    texts = [("en", "the house and the river with this one"), ("de", "das haus und der fluss mit diesem einen")] * 30
+    model = langid.train_text_model(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, lang string, text string"))
+    one = "<p>das haus und der fluss"
+    pages = spark.createDataFrame([(1, "http://a.x.org/", one)] + [(10 + i, f"http://b.y.com/{i}", "<p>the river and the house") for i in range(20)],
+                                  "page_id long, url string, html string")
+    alone = langid.identify(pages, model).where("page_id = 1").first()
+    p = model.posterior(langid.visible_text(one))
+    base = np.array([sum(model.posterior(langid.visible_text(r.html))[i] for r in pages.collect()) for i in range(2)])
+    base = (base + 0.5) / (base.sum() + 1)
+    every = langid.identify(pages, model)
+    # domain and host hold no other page: both priors are the whole's; markup and suffix of others
+    rest = base * 0 + np.array([sum(model.posterior("the river and the house")[i] for _ in range(20)) for i in range(2)])
+    markup = (rest + langid.SMOOTHING * base) / (20 + langid.SMOOTHING)
+    logs = np.log(p) + np.log(base) + np.log(markup / base)
+    assert abs(alone.confidence - np.exp(logs - logs.max()).max() / np.exp(logs - logs.max()).sum()) < 1e-9
+    assert every.count() == 21
