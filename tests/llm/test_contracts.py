@@ -11,8 +11,12 @@ import pandas as pd
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as E
 import corpus_pipeline
+from tessera.llm import imatch
+from tessera.llm.common import row_hash
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
@@ -210,7 +214,38 @@ def test_op10_windows(result):
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
-def test_pipeline_stage_by_stage(spark, tmp_path):
+def plain_copies(rows, weights=(5, 2, 1), share=1.5, most=2):
+    """How often a mix has each row ``(key, size, source)``: every source a
+    queue in key order, offered again until its quota of words is taken."""
+    total = {}
+    for _, n, s in rows:
+        total[s] = total.get(s, 0) + n
+    names = sorted(total, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    left, budget, target = set(names), share * sum(total.values()), {}
+    while left:
+        level = budget / sum(weight[s] for s in left)
+        full = [s for s in left if level * weight[s] > most * total[s]]
+        for s in full or left:
+            target[s] = most * total[s] if full else level * weight[s]
+        budget -= sum(most * total[s] for s in full)
+        left -= set(full or left)
+    copies, upto = {}, 0.0
+    for s in names:
+        quota = int(np.floor(upto + target[s] + 1e-6)) - int(np.floor(upto + 1e-6))
+        upto += target[s]
+        queue = sorted((k, n) for k, n, of in rows if of == s)
+        at = 0
+        for _ in range(most):
+            for k, n in queue:
+                took = min(n, quota - at)
+                if n and took > 0 and 2 * took >= n:
+                    copies[k] = copies.get(k, 0) + 1
+                at += n
+    return copies
+
+
+def test_pipeline_stage_by_stage(spark, tmp_path, result):
     """Each stage over what the one before it kept, against brute force."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {}
@@ -220,6 +255,9 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
         assert i == len(corpus_pipeline.STAGES) - 1 or after.columns == docs.columns
         kept[name] = (docs.toPandas(), after.toPandas())
         docs = after
+    before, after = kept["toxicity"]
+    scored = result("op4_")
+    assert sorted(after.doc_id) == sorted(scored[scored.predicted == 0].doc_id) and 0 < len(after) < len(before)
     before, after = kept["near_duplicates"]
     fps = [simhash(t) for t in before.text]
     least = before.assign(root=roots(fps)).groupby("root").doc_id.min()
@@ -230,9 +268,73 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert sorted(after.doc_id) == sorted(i for i, h in zip(before.doc_id, hits) if not h[1])
     before, after = kept["mixing"]
     assert set(after.doc_id) <= set(before.doc_id) and after.groupby("doc_id").size().max() <= 2
-    words = lambda d: d.text.fillna("").str.split().str.len()
-    assert abs(words(after).sum() / words(before).sum() - 1.5) < 0.3
+    rows = spark.read.parquet(f"{tmp_path}/2")
+    keyed = rows.select("doc_id", F.lower(F.lpad(F.hex(row_hash(rows, 11)), 16, "0")).alias("key")).toPandas()
+    key = dict(zip(keyed.doc_id, keyed.key))
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    want = plain_copies([(key[r.doc_id], len(word.findall(r.text or "")), r.source) for r in before.itertuples()])
+    assert {key[i]: n for i, n in after.groupby("doc_id").size().items()} == want
     before, after = kept["sharding"]
     assert sorted(after.doc_id) == sorted(before.doc_id)
     n = after.groupby("shard").slot.agg(["size", "max"])
     assert n["size"].max() - n["size"].min() <= 1 and (n["max"] == n["size"] - 1).all()
+
+
+def test_op8_fingerprints_and_likeness_in_plain_python(result):
+    """Every part, and the likeness to the edited and the next text, over the whole table."""
+    o = result("op8_").set_index("doc_id")
+    docs = read("documents").sort_values("doc_id", ascending=False)
+    texts = [t or "" for t in docs.text]
+    words = [{xxhash.xxh64_intdigest(w) & ~1 for w in t.encode().lower().split()} for t in texts]
+    df = {}
+    for w in words:
+        for x in w:
+            df[x] = df.get(x, 0) + 1
+    n = len(texts)
+    band = {x for x, k in df.items() if k > 1 and k * imatch.RARE >= n and k * imatch.COMMON <= n}
+    common = {x for x, k in df.items() if k > 1 and k * imatch.COMMON > n}
+    factors, full = [int(f) for f in imatch._FACTORS[:, 0]], (1 << 64) - 1
+    rates = [h for h in range(imatch.HALVINGS) for _ in range(imatch.EACH)] + [
+        h for h in range(imatch.HALVINGS_OTHER) for _ in range(imatch.EACH_OTHER)]
+
+    def parts(text):
+        terms = {xxhash.xxh64_intdigest(w) & ~1 for w in text.encode().lower().split()}
+        terms = sorted((terms - common) or terms)
+        out = []
+        for i, (f, h) in enumerate(zip(factors, rates)):
+            total, some = 0, False
+            for t in terms:
+                if (t in band) == (i < imatch.KNOWN) and ((t >> 32) * f) % (1 << 32) < (1 << 32 >> h):
+                    t |= t in band
+                    total, some = (total + ((t ^ (t >> 29)) * 0x9E3779B97F4A7C15)) & full, True
+            total = (((total ^ (total >> 32)) * 0x9E3779B97F4A7C15) & full) >> 48
+            out.append(max(total, 1) if some else 0)
+        return out
+
+    def expected_misses(each, halvings, k):
+        return sum(each * (1 - 0.5 ** h) ** k for h in range(halvings))
+
+    def terms_for(each, halvings, misses):
+        lo, hi = 0.0, 1e6
+        if misses >= each * halvings:
+            return 0.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if expected_misses(each, halvings, mid) > misses else (lo, mid)
+        return lo
+
+    def like(a, b):
+        apart = together = 0.0
+        for at, to, each, halvings, weight in ((0, imatch.KNOWN, imatch.EACH, imatch.HALVINGS, 1.0), (
+                imatch.KNOWN, imatch.LEXICONS, imatch.EACH_OTHER, imatch.HALVINGS_OTHER, imatch.OUTSIDE)):
+            apart += weight * terms_for(each, halvings, sum(x == y for x, y in zip(a[at:to], b[at:to])))
+            together += weight * terms_for(each, halvings, sum(x == y == 0 for x, y in zip(a[at:to], b[at:to])))
+        return 1 - apart / together if together else 1.0
+    own = [parts(t) for t in texts]
+    for i, doc_id in enumerate(docs.doc_id):
+        following = texts[(i + 1) % n]
+        half = len(texts[i]) // 2
+        changed = parts(texts[i][:len(texts[i]) - half] + following[:half])
+        r = o.loc[doc_id]
+        assert r.fingerprint == "".join(f"{x:04x}" for x in own[i]) and r.edited_fingerprint == "".join(f"{x:04x}" for x in changed)
+        assert abs(r.near_edited - like(own[i], changed)) < 0.01 and abs(r.near_next - like(own[i], own[(i + 1) % n])) < 0.01
