@@ -118,31 +118,31 @@ def layer_issues(cand: DataFrame, run: str, name: str, max_issues: int | None =
     layer > 30 % (critical from 50 %), largest memory > 40 %, vanishing
     (0 < g < 1e-7) / exploding (> 100) gradients, > 50 % dead, ratio > 1; in
     rule order, layers in name order (the first ``max_issues`` per run, if given)."""
-    tot = cand.groupBy(run).agg(F.sum("forward_time_ms").alias("__tt"), F.sum("memory_mb").alias("__tm"))
-    w_t = Window.partitionBy(run).orderBy(F.col("forward_time_ms").desc(), F.col(name))
-    w_m = Window.partitionBy(run).orderBy(F.col("memory_mb").desc(), F.col(name))
-    c = (with_keys(cand, tot, [run])
-         .withColumn("__rt", F.row_number().over(w_t)).withColumn("__rm", F.row_number().over(w_m))
-         .withColumn("__ord", F.dense_rank().over(Window.partitionBy(run).orderBy(name))))
+    def first_by(c: str):
+        return F.min_by(name, F.when(F.col(c) > 0, F.struct(-F.col(c), F.col(name))))
+    # one aggregate names each run's slowest and largest layer; no window sees all of a run's layers
+    tot = cand.groupBy(run).agg(F.sum("forward_time_ms").alias("__tt"), F.sum("memory_mb").alias("__tm"),
+                                first_by("forward_time_ms").alias("__slowest"), first_by("memory_mb").alias("__largest"))
+    c = with_keys(cand, tot, [run])
     tpct = F.col("forward_time_ms") / F.col("__tt") * 100
     mpct = F.col("memory_mb") / F.col("__tm") * 100
 
     def issue(cond, group, typ, sev, pct=None):
-        return F.when(cond, F.struct(F.lit(group).alias("g"), F.col("__ord").alias("o"), F.lit(typ).alias("type"),
+        return F.when(cond, F.struct(F.lit(group).alias("g"), F.lit(typ).alias("type"),
                                      sev.alias("severity") if not isinstance(sev, str) else F.lit(sev).alias("severity"),
                                      (fround(pct, 1) if pct is not None else F.lit(None).cast("double")).alias("pct")))
     g = F.col("grad_norm")
     rules = F.array(
-        issue((F.col("__rt") == 1) & (F.col("forward_time_ms") > 0) & (F.col("__tt") > 0) & (tpct > SLOW_LAYER_PCT), 0,
+        issue((F.col(name) == F.col("__slowest")) & (F.col("forward_time_ms") > 0) & (F.col("__tt") > 0) & (tpct > SLOW_LAYER_PCT), 0,
               "slow_layer", F.when(tpct < SLOW_LAYER_CRITICAL_PCT, "warning").otherwise("critical"), tpct),
-        issue((F.col("__rm") == 1) & (F.col("memory_mb") > 0) & (F.col("__tm") > 0) & (mpct > MEMORY_HOG_PCT), 1,
+        issue((F.col(name) == F.col("__largest")) & (F.col("memory_mb") > 0) & (F.col("__tm") > 0) & (mpct > MEMORY_HOG_PCT), 1,
               "memory_hog", "info", mpct),
         issue((g > 0) & (g < VANISHING_GRAD), 2, "vanishing_gradient", "critical"),
         issue(~((g > 0) & (g < VANISHING_GRAD)) & (g > EXPLODING_GRAD), 2, "exploding_gradient", "critical"),
         issue(F.col("dead_neuron_pct") > DEAD_NEURON_PCT, 3, "dead_neurons", "warning"),
         issue(F.col("grad_to_weight_ratio") > GRAD_WEIGHT_RATIO, 4, "high_grad_ratio", "warning"))
     ex = c.select(run, F.col(name).alias("layer"), F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("i"))
-    w = Window.partitionBy(run).orderBy("i.g", "i.o")
+    w = Window.partitionBy(run).orderBy("i.g", "layer")
     ranked = ex.withColumn("issue_rank", F.row_number().over(w))
     return ((ranked if max_issues is None else ranked.where(F.col("issue_rank") <= max_issues))
             .select(run, F.col("issue_rank").cast("bigint").alias("issue_rank"), F.col("i.type").alias("type"),

@@ -79,19 +79,34 @@ query("kafka_encode", """SELECT CAST(user_id AS VARCHAR) AS key, CAST(to_json({'
 # ---- file inventories: a tree of files that Spark writes from the tables, one per label
 
 
-def _dataset_tree(spark, d):
-    """documents by language and orders by status as CSV, events by type as JSON lines, lineitem by flag as Parquet."""
+_TREE = {"documents": ("lang", "csv"), "orders": ("o_orderstatus", "csv"), "events": ("event_type", "json"),
+         "lineitem": ("l_returnflag", "parquet")}
+
+
+def _write_tree(rows, root: str, name: str) -> None:
+    key, fmt = _TREE[name]
+    w = rows.repartition(key).write.mode("overwrite").partitionBy(key)
+    (w.option("header", True) if fmt == "csv" else w).format(fmt).save(os.path.join(root, name))
+
+
+def _documents_tree(spark, d):
+    """The documents' lengths, a CSV file per language."""
+    root = scratch(spark, "tree")
+    _write_tree(table(spark, d, "documents").select("doc_id", "n_chars", "lang"), root, "documents")
+    return root
+
+
+def _profile_tree(spark, d):
+    """A file per label of four tables, with the label's number of rows: what
+    a profile looks at is names and kinds of files."""
     root = scratch(spark, "tree")
-    for name, key, cols, fmt in (("documents", "lang", ["doc_id", "n_chars"], "csv"), ("orders", "o_orderstatus", ["o_orderkey"], "csv"),
-                                 ("events", "event_type", ["event_id"], "json"), ("lineitem", "l_returnflag", ["l_orderkey"], "parquet")):
-        t = table(spark, d, name).select(*cols, key)
-        w = t.repartition(key).write.mode("overwrite").partitionBy(key)
-        (w.option("header", True) if fmt == "csv" else w).format(fmt).save(os.path.join(root, name))
+    for name, (key, _) in _TREE.items():
+        _write_tree(table(spark, d, name).groupBy(key).agg(F.count(F.lit(1)).alias("n")), root, name)
     return root
 
 
 def _labelled_files(spark, d):
-    files = inv.file_inventory(spark, os.path.join(_dataset_tree(spark, d), "documents"), glob="*.csv")
+    files = inv.file_inventory(spark, os.path.join(_documents_tree(spark, d), "documents"), glob="*.csv")
     return files.select("path", "size")
 
 
@@ -102,7 +117,7 @@ query("file_inventory", """SELECT 'lang=' || lang AS folder, CAST(1 AS BIGINT) A
 
 def _folder_labels(spark, d):
     """Rows per label: the label is the folder a row's file lies in."""
-    root = os.path.join(_dataset_tree(spark, d), "documents")
+    root = os.path.join(_documents_tree(spark, d), "documents")
     labels = inv.folder_labels(inv.file_inventory(spark, root, glob="*.csv")).withColumnRenamed("path", "file")
     rows = spark.read.option("header", True).option("recursiveFileLookup", True).csv(root).select(F.col("_metadata.file_path").alias("at"))
     return rows.join(labels, F.regexp_replace("at", "^file:/*", "/") == F.regexp_replace("file", "^file:/*", "/")).groupBy("label").agg(
@@ -113,7 +128,7 @@ query("folder_labels", """SELECT 'lang=' || lang AS label, count(*) AS n_rows FR
 
 
 def _profiles(spark, d):
-    root = _dataset_tree(spark, d)
+    root = _profile_tree(spark, d)
     out = None
     for name in ("documents", "orders", "events", "lineitem"):
         sub = os.path.join(root, name)
