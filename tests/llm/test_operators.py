@@ -448,8 +448,26 @@ def test_decontamination_offsets_and_several_automata(spark, monkeypatch):
     items = spark.createDataFrame([(i, t) for i, t in enumerate(["alpha beta", "gamma delta", "delta é", "zeta"])], "item_id long, text string")
     one = decontam.find_contamination(df, items).collect()
     monkeypatch.setattr(decontam, "AUTOMATON_CHARS", 5)
+    monkeypatch.setattr(decontam, "HELD", 2)  # four automata: two passes
     many = decontam.find_contamination(df, items).collect()
     assert [r.asDict(True) for r in one] == [r.asDict(True) for r in many]
     text = df.first().text
     # "…" and "—" are word characters here: only ASCII separates words; neighbouring hits are one span
     assert [text[s.from_char:s.to_char] for s in one[0].spans] == ["DELTA é alpha BETA"] and one[0].items == ["0", "2"]
+
+
+def test_decontamination_builds_an_automaton_once(monkeypatch):
+    monkeypatch.setattr(decontam, "_AUTOMATA", type(decontam._AUTOMATA)())
+    blocks = {f"k{i}": {f" w{i} ".encode(): ["1"]} for i in range(decontam.HELD + 1)}
+    held = list(blocks)[:decontam.HELD]
+    first = {k: decontam._automaton(k, blocks[k]) for k in held}
+    for _ in range(5):  # batch after batch, in turn
+        assert all(decontam._automaton(k, blocks[k]) is first[k] for k in held)
+    decontam._automaton(list(blocks)[-1], blocks[list(blocks)[-1]])
+    assert len(decontam._AUTOMATA) == decontam.HELD
+
+
+def test_decontamination_windows_of_items(spark):
+    items = spark.createDataFrame([(1, "Aa bb-cc dd"), (2, "bb CC dd"), (None, "é Aa"), (3, None), (4, " ,;")], "item_id long, text string")
+    got = {r.text: r["items"] for r in decontam.item_windows(items, 3, "item_id", "text").collect()}
+    assert got == {"aa bb cc": ["1"], "bb cc dd": ["1", "2"], "é aa": ["null"]}
