@@ -5,7 +5,9 @@ through a SQL lambda - JVM-side, no Python evaluation."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _FORMULAS: dict[str, str] = {
@@ -33,3 +35,13 @@ def apply_formula(name: str, column: str, elementwise: bool = False) -> Column:
     if elementwise:
         return F.expr(f"transform({ref}, x -> {body})")
     return F.expr(f"get(transform(array({ref}), x -> {body}), 0)")
+
+
+def register_function(spark: SparkSession, name: str, arguments: str, returns: str, body: str) -> None:
+    """A function of the session that every expression may call by name
+    (``add_column``, filters, ``spark.sql``): a SQL body over ``arguments``
+    (``"price double, share double"``), inlined into the plan, so it costs what
+    its body costs.  Registering a name again replaces it."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"not a function name: {name!r}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {returns} RETURN {body}")

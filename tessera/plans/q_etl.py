@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import formulas
 from tessera.functions.numeric import fround
 
 from tessera.operators import transforms as tf
@@ -299,3 +300,40 @@ query("page", "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 1
 query("concat", """SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer
 UNION ALL BY NAME SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier""")(
     lambda spark, d: tf.concat(table(spark, d, "customer"), table(spark, d, "supplier")))
+
+
+def _add_column_function(spark, d):
+    formulas.register_function(spark, "net_price", "price double, discount double, tax double", "double",
+                               "price * (1 - discount) * (1 + coalesce(tax, 0))")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax")
+    return tf.add_column(li, "net", "net_price(l_extendedprice, l_discount, l_tax)")
+
+
+query("add_column_function", """SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount, l_tax,
+ l_extendedprice * (1 - l_discount) * (1 + coalesce(l_tax, 0)) AS net FROM lineitem""")(_add_column_function)
+
+
+def _pipeline_stats(spark, d):
+    """The statistics of a pipeline's result, a row per column."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    p = Pipeline("stats", spark).add_source("orders", orders)
+    p.add_step("filter_rows", {"column": "o_orderstatus", "operator": "!=", "value": "P"})
+    stats = p.stats()
+    rows = [(c, s["type"], s["count"], s["null_count"], s["unique"], s.get("median"), (s.get("top_values") or [{}])[0].get("value"),
+             s.get("max_length")) for c, s in stats["columns"].items()]  # a row per column
+    return spark.createDataFrame(rows, "column string, type string, count bigint, null_count bigint, unique bigint, median double, "
+                                       "top string, max_length bigint")
+
+
+def _pipeline_stats_sql() -> str:
+    def one(c: str, number: bool) -> str:
+        median = f"(SELECT CAST(x AS DOUBLE) FROM (SELECT {c} AS x, row_number() OVER (ORDER BY {c}) - 1 AS i, count(*) OVER () AS n FROM o) WHERE i = n // 2)"
+        top = f"(SELECT {c} FROM o GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+        return f"""SELECT '{c}' AS column, '{'numeric' if number else 'categorical'}' AS type, count(*)::BIGINT AS count,
+ count(*) FILTER ({c} IS NULL)::BIGINT AS null_count, count(DISTINCT {c})::BIGINT AS unique, {median if number else 'NULL::DOUBLE'} AS median,
+ {'NULL' if number else top} AS top, {'NULL' if number else f'max(length({c}))'}::BIGINT AS max_length FROM o"""
+    parts = [one(c, c in ("o_orderkey", "o_totalprice")) for c in ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")]
+    return "WITH o AS (SELECT * FROM orders WHERE o_orderstatus <> 'P')\n" + "\nUNION ALL ".join(parts)
+
+
+query("pipeline_stats", _pipeline_stats_sql())(_pipeline_stats)

@@ -62,6 +62,16 @@ def _sink_jsonl(spark, d):
 query("sink_jsonl", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")(_sink_jsonl)
 
 
+def _sink_json_array(spark, d):
+    path = scratch(spark, "sink_json_array")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    sinks.write_json_array(o.repartition(3, "o_orderkey"), path)
+    return read_json(spark, path, lines=False, schema=o.schema)
+
+
+query("sink_json_array", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")(_sink_json_array)
+
+
 def _sink_parquet(spark, d):
     path = scratch(spark, "sink_parquet")
     sinks.write_parquet(table(spark, d, "lineitem").drop("l_shipdate"), path, partition_by=["l_returnflag"])

@@ -3,6 +3,7 @@ sinks' writers.  Every write is a distributed job (one file per task)."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,21 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Files that are one JSON array each, a row an object: every task writes
+    its own, an empty one ``[]``.  ``read_json(lines=False)`` reads them back."""
+    def framed(batches):
+        sign = "["
+        for b in batches:
+            if b.num_rows:
+                rows = b.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([sign + rows[0], *("," + r for r in rows[1:])])], names=["value"])
+                sign = ","
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if sign == "," else "[]"])], names=["value"])
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows.mapInArrow(framed, "value string").write.mode(mode).text(path)
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> None:
     w = df.write.mode(mode)
     if partition_by:

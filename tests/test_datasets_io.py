@@ -465,3 +465,28 @@ def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert tuple(row) == (30_000, sum(range(30_000)), 30_000)
+
+
+def test_json_array_files(spark, tmp_path):
+    import json
+    from tessera.sources import sinks
+    from tessera.sources.files import read_json
+    path = tmp_path / "a"
+    df = spark.createDataFrame([(i, None if i % 3 else f'é"{i}\n') for i in range(7)], "a.b int, t string").repartition(9)
+    sinks.write_json_array(df, str(path))
+    arrays = [json.loads(p.read_text()) for p in path.iterdir() if p.name.startswith("part-")]
+    assert [] in arrays and sorted(r["a.b"] for a in arrays for r in a) == list(range(7))
+    back = read_json(spark, str(path), lines=False, schema=df.schema)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+
+
+def test_functions_by_name(spark):
+    from tessera.functions import formulas
+    from tessera.operators import transforms as tf
+    df = spark.createDataFrame([(2.0,), (None,)], "x double")
+    formulas.register_function(spark, "twice_of", "v double", "double", "2 * v")
+    assert [r.y for r in tf.add_column(df, "y", "twice_of(x) + 1").collect()] == [5.0, None]
+    formulas.register_function(spark, "twice_of", "v double", "double", "20 * v")
+    assert tf.add_column(df, "y", "twice_of(x)").first().y == 40.0
+    with pytest.raises(ValueError):
+        formulas.register_function(spark, "a b", "v double", "double", "v")
