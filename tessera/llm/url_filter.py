@@ -18,8 +18,6 @@ from tessera.llm.common import materialise
 #: A node with more children is variable: only those with at least this
 #: part of its URLs stay apart.
 MAX_CHILDREN = 32
-#: Levels of the tree; what lies deeper is the template's tail ``**``.
-MAX_LEVELS = 8
 #: A branch joins its siblings if its labels differ from theirs by fewer
 #: standard errors than this.
 SIMILAR_Z = 1.96
@@ -65,29 +63,43 @@ def path_templates(paths: DataFrame) -> DataFrame:
 
     Level by level: a segment is ``*`` if it holds a digit or is very long,
     or if its node has more than ``MAX_CHILDREN`` children and it is none of
-    the frequent ones (that share of the node's URLs)."""
-    work = paths.withColumn("segments", F.split("path", "/")).withColumn("template", F.lit("")) \
-        .withColumn("parent", F.lit(""))
-    levels = work.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(1, min(levels, MAX_LEVELS + 1)):
-        segment = F.try_element_at("segments", F.lit(level + 1))  # the first is what stands before the first slash
-        step = work.withColumn("segment", F.when(_variable(segment), F.lit("*")).otherwise(segment))
-        kids = (step.filter("segment is not null and segment <> '*'").groupBy("host", "template", "segment")
-                .agg(F.sum("n").alias("n")))
+    the frequent ones (that share of the node's URLs).  Below a node of no
+    more paths than ``MAX_CHILDREN`` no node has more children, so its paths
+    are finished at once; the tree goes on, to any depth, below the others."""
+    work = materialise(paths.withColumn("rest", F.expr("slice(split(path, '/'), 2, size(split(path, '/')))"))
+                       .withColumn("template", F.lit("")).withColumn("parent", F.lit("")), "url-templates")
+    done = []
+    while True:
+        nodes = work.groupBy("host", "template").agg(F.count("*").alias("paths")).filter(F.col("paths") > MAX_CHILDREN) \
+            .select(F.col("host").alias("h"), F.col("template").alias("t"))
+        in_node = (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))
+        open_ = F.col("h").isNotNull() & (F.size("rest") > 0)
+        marked = materialise(work.join(nodes, in_node, "left").withColumn("open", open_).drop("h", "t"), "url-open")
+        literal = F.transform("rest", lambda s: F.when(_variable(s), F.lit("*")).otherwise(s))
+
+        def joined(parts: Column) -> Column:
+            return F.concat("template", F.array_join(F.transform(parts, lambda s: F.concat(F.lit("/"), s)), ""))
+        ends = marked.filter("NOT open").withColumn("literal", literal)
+        some = F.size("literal") > 0
+        done.append(ends.withColumn("parent", F.when(some, joined(F.slice("literal", F.lit(1), F.size("literal") - 1))).otherwise(F.col("parent")))
+                    .withColumn("template", joined(F.col("literal"))).drop("rest", "open", "literal"))
+        step = marked.filter("open").drop("open").withColumn("segment", F.col("rest")[0])
+        if not step.limit(1).count():
+            break
+        step = step.withColumn("segment", F.when(_variable(F.col("segment")), F.lit("*")).otherwise(F.col("segment")))
+        kids = step.filter("segment <> '*'").groupBy("host", "template", "segment").agg(F.sum("n").alias("n"))
         wide = (kids.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("total"))
                 .filter(F.col("children") > MAX_CHILDREN).drop("children"))
         rare = (kids.join(wide, ["host", "template"]).filter(F.col("n") * MAX_CHILDREN < F.col("total"))
                 .select(F.col("host").alias("h"), F.col("template").alias("t"), F.col("segment").alias("s")))
-        step = (step.join(rare, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))
-                          & (F.col("segment") == F.col("s")), "left")
+        step = (step.join(rare, in_node & (F.col("segment") == F.col("s")), "left")
                 .withColumn("segment", F.when(F.col("s").isNotNull(), F.lit("*")).otherwise(F.col("segment"))).drop("h", "t", "s"))
-        has = F.col("segment").isNotNull()
-        work = materialise(step.withColumn("parent", F.when(has, F.col("template")).otherwise(F.col("parent")))
-                           .withColumn("template", F.when(has, F.concat("template", F.lit("/"), "segment"))
-                                       .otherwise(F.col("template"))).drop("segment"), "url-templates")
-    deeper = F.size("segments") > MAX_LEVELS + 1
-    return work.withColumn("template", F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))) \
-        .drop("segments")
+        work = materialise(step.withColumn("parent", F.col("template")).withColumn("template", F.concat("template", F.lit("/"), "segment"))
+                           .withColumn("rest", F.expr("slice(rest, 2, size(rest))")).drop("segment"), "url-templates")
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
 
 
 def branch_of(template: Column) -> tuple[Column, Column]:
