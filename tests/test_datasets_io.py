@@ -472,7 +472,7 @@ def test_json_array_files(spark, tmp_path):
     from tessera.sources import sinks
     from tessera.sources.files import read_json
     path = tmp_path / "a"
-    df = spark.createDataFrame([(i, None if i % 3 else f'é"{i}\n') for i in range(7)], "a.b int, t string").repartition(9)
+    df = spark.createDataFrame([(i, None if i % 3 else f'é"{i}\n') for i in range(7)], "`a.b` int, t string").repartition(9)
     sinks.write_json_array(df, str(path))
     arrays = [json.loads(p.read_text()) for p in path.iterdir() if p.name.startswith("part-")]
     assert [] in arrays and sorted(r["a.b"] for a in arrays for r in a) == list(range(7))
