@@ -32,7 +32,7 @@ def write_json_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
                 yield pa.RecordBatch.from_arrays([pa.array([sign + rows[0], *("," + r for r in rows[1:])])], names=["value"])
                 sign = ","
         yield pa.RecordBatch.from_arrays([pa.array(["]" if sign == "," else "[]"])], names=["value"])
-    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
     rows.mapInArrow(framed, "value string").write.mode(mode).text(path)
 
 
