@@ -278,6 +278,10 @@ def yolo_from_samples(samples: DataFrame, id_col: str = "_id") -> DataFrame:
                           F.array_join(lines, "").alias("content"))
 
 
+# The characters of Unicode's White_Space property but the blank and the line break.
+BLANKS = "\t\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def yolo_to_coco(labels: DataFrame, sizes: DataFrame) -> DataFrame:
     """Parse YOLO label texts (image_id, content) with image sizes
     (image_id, width, height) into COCO annotations: id (global, in image
@@ -285,8 +289,9 @@ def yolo_to_coco(labels: DataFrame, sizes: DataFrame) -> DataFrame:
     Labels are parsed once into a checkpointed table; of it only image ids and
     their numbers of boxes are numbered; a box adds its place."""
     checkpoint_dir(labels.sparkSession)
-    # blanks at either end of a line are empty words
-    words = F.transform(F.split("content", "\n"), lambda x: F.filter(F.split(x, r"(?U)\s+"), lambda w: w != ""))
+    # every blank but the line break becomes a plain one; blanks at either end of a line are empty words
+    plain = F.translate("content", BLANKS, " " * len(BLANKS))
+    words = F.transform(F.split(plain, "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
     boxes = F.transform(F.filter(words, lambda p: F.size(p) >= 5), lambda p: F.struct(
         F.get(p, 0).cast("int").alias("c"), *[F.get(p, i).cast("double").alias(f"b{i}") for i in (1, 2, 3, 4)]))
     images = labels.select("image_id", boxes.alias("boxes")).where(F.size("boxes") > 0).join(sizes, "image_id") \

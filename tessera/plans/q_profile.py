@@ -41,7 +41,7 @@ def _numeric_sql():
     return "\nUNION ALL\n".join(parts)
 
 
-query("profile_numeric", _numeric_sql())(lambda spark, d: pr.numeric_profile(table(spark, d, "lineitem")))
+query("profile_numeric", _numeric_sql())(lambda spark, d: pr.numeric_profile(table(spark, d, "lineitem", spread=True).select(*_LI_NUM)))
 
 query("histogram", """WITH v AS (SELECT value AS x FROM events WHERE value IS NOT NULL AND NOT isnan(value)),
 s AS (SELECT min(x) AS mn, max(x) AS mx, least(count(DISTINCT x), 20) AS nb FROM v),
