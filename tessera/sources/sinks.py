@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.datasets import json_encode_nested
-from tessera.sources.connectors import (FORMATS, elasticsearch_options, jdbc_options, kafka_options,
-                                        mongo_options)
+from tessera.sources.connectors import FORMATS, elasticsearch_options, jdbc_options, mongo_options
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", delimiter: str = ",") -> None:
