@@ -327,3 +327,30 @@ def test_wordpiece_merges_by_score(spark):
     vocab = sw.subword_vocab(df, sw.wordpiece_merges(df, n_merges=3), wordpiece=True)
     enc = {tuple(r.ids) for r in sw.encode_wordpiece(df, vocab, keys=()).where("ids is not null").collect()}
     assert all(1 not in ids for ids in enc)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joined_vocabularies_copy_no_row_per_word(spark, monkeypatch):
+    """A chunk's distinct words go through the join, not every word with its whole row."""
+    words = [f"w{i % 97}" for i in range(3000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "w1  w0 new"), (3, None)], "doc_id bigint, text string").coalesce(1)
+    vocab = tk.word_vocab(docs.where("doc_id = 1"))
+    monkeypatch.setattr(tk, "MAP_VOCAB_LIMIT", 2)
+    enc = tk.encode_words(docs, vocab)
+    dec = tk.decode_ids(enc, vocab)
+    assert {r.doc_id: r.text for r in dec.collect()} == {1: " ".join(words), 2: "w1 w0 [UNK]", 3: None}
+    for df in (enc, dec):
+        assert "explode" not in _plan(df)
+
+
+def test_slices_hold_a_bounded_part_of_a_batch():
+    import pyarrow as pa
+    texts = ["a" * 10, None, "b" * 35, "", "c" * 10, "d" * 10]
+    rb = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts), pa.array([[1] * len(t or "") for t in texts])], names=["k", "t", "l"])
+    cut = list(tk.in_slices([rb], 1, 20))
+    assert [s.column(0).to_pylist() for s in cut] == [[0, 1], [2], [3, 4, 5]]
+    assert [s.column(0).to_pylist() for s in tk.in_slices([rb], 2, 160)] == [[0, 1], [2], [3, 4, 5]]
+    assert [t for s in cut for t in s.column(1).to_pylist()] == texts
