@@ -263,3 +263,18 @@ def test_split_merge_spreads_a_hot_key(spark):
     heavy = tf.heavy_keys(l, ["k"])
     assert heavy == [(-1,)] and tf.heavy_keys(l.limit(0), ["k"]) == []
     assert tf.merge(l.limit(0), r, "k", "outer", split_heavy=True).count() == 600
+
+
+def test_heavy_keys_are_cut_by_the_pairs_they_make(spark, monkeypatch):
+    """Few rows on each side, many pairs: no task makes more than about HEAVY_PAIRS of them."""
+    monkeypatch.setattr(tf, "HEAVY_PAIRS", 1000)
+    assert tf._cut(10, 20, 10**6) == (1, 1) and tf._cut(900, 20, 10**6) == (18, 1) and tf._cut(20, 900, 10**6) == (1, 18)
+    assert tf._cut(620, 310, 10**6) == (20, 10) and tf._cut(50, 7, 10) == (5, 1)
+    left = spark.createDataFrame([(None, i) for i in range(300)] + [(1, 300), (2, 301)], "k int, a int")
+    right = spark.createDataFrame([(None, i) for i in range(70)] + [(1, 70), (3, 71)], "k int, b int")
+    for how in ("inner", "left", "right", "outer"):
+        plain = tf.merge(left, right, "k", how)
+        split = tf.merge(left, right, "k", how, split_heavy=True)
+        assert sorted(map(str, split.collect())) == sorted(map(str, plain.collect()))
+        sizes = [r["count"] for r in split.where("k is null").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 21000 and max(sizes) < 10000
