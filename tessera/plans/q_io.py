@@ -65,7 +65,7 @@ query("sink_jsonl", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice F
 def _sink_json_array(spark, d):
     path = scratch(spark, "sink_json_array")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    sinks.write_json_array(o.repartition(3, "o_orderkey"), path)
+    sinks.write_json_array(o, path, files=3)
     return read_json(spark, path, lines=False, schema=o.schema)
 
 
