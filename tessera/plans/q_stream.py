@@ -69,7 +69,7 @@ def _stream_latest(spark, d):
     that are no reading pass through under keys that spread them."""
     root = st.run_location(spark, "latest")
     src = _stage_lines(spark, d, root)
-    parsed = st.parse_lines(spark.readStream.option("maxFilesPerTrigger", 2).text(src), _READING)
+    parsed = st.parse_lines(spark.readStream.option("maxFilesPerTrigger", st.files_a_batch(spark, src, 2)).text(src), _READING)
     spread = -1 - F.pmod(F.xxhash64("raw"), F.lit(64))
     rows = parsed.select(F.when(F.col("raw").isNull(), F.col("event.user_id")).otherwise(spread).alias("user_id"),
                          "event.event_id", "event.event_type", "event.value", "raw")
@@ -109,7 +109,7 @@ def _stream_run_summary(spark, d):
     and least metric, last step), brought up to date by every micro-batch."""
     root = st.run_location(spark, "runs")
     src = _stage_events(spark, d, root)
-    steps = st.json_stream(spark, src, EVENT_SCHEMA, max_files=2).withColumn("loss", F.col("value") / 100.0)
+    steps = st.json_stream(spark, src, EVENT_SCHEMA, max_files=st.files_a_batch(spark, src, 2)).withColumn("loss", F.col("value") / 100.0)
     changes = state.running_summary(steps, "user_id", "event_id", "loss")
     sink = state.KeyedSink(spark, os.path.join(root, "summary"), "user_id", changes.schema)
     st.run_foreach_batch(changes, sink.write, os.path.join(root, "ckpt"), mode="update")

@@ -490,3 +490,35 @@ def test_functions_by_name(spark):
     assert tf.add_column(df, "y", "twice_of(x)").first().y == 40.0
     with pytest.raises(ValueError):
         formulas.register_function(spark, "a b", "v double", "double", "v")
+
+
+def test_named_files_are_read_without_a_list_of_them(spark, tmp_path):
+    from tessera.sources.named_files import read_named_files, write_named_files
+    rows = [(f"l/a {i}+é%20.txt", f"é{i}" * i) for i in range(60)]
+    write_named_files(spark.createDataFrame(rows, "name string, content string"), str(tmp_path))
+    found = read_named_files(spark, str(tmp_path / "l"), tasks=7)
+    assert sorted(tuple(r) for r in found.select(F.concat(F.lit("l/"), "name"), F.col("content").cast("string")).collect()) == sorted(rows)
+    assert found.rdd.getNumPartitions() == 7 and not found.inputFiles()  # no file index on the driver
+
+
+def test_json_array_files_are_bounded(spark, tmp_path):
+    import json
+    from tessera.sources import sinks
+    sinks.write_json_array(spark.range(0, 1000, 1, 1), str(tmp_path / "a"), files=3, max_rows=100)
+    sizes = [len(json.loads(p.read_text())) for p in (tmp_path / "a").iterdir() if p.name.startswith("part-")]
+    assert sum(sizes) == 1000 and len(sizes) == 10 and max(sizes) <= 110
+
+
+def test_summaries_cost_few_batches_and_no_python_per_key(spark, tmp_path):
+    from tessera.streaming import state
+    src = tmp_path / "src"
+    spark.range(0, 400, 1, 40).selectExpr("id % 9 AS k", "id AS at", "double(id) AS v").write.json(str(src))
+    assert st.files_a_batch(spark, str(src), 2) == 5 and st.files_a_batch(spark, str(src), 20) == 20
+    stream = st.json_stream(spark, str(src), spark.read.json(str(src)).schema, max_files=st.files_a_batch(spark, str(src), 2))
+    changes = state.running_summary(stream, "k", "at", "v")
+    assert "TransformWithState" not in changes._jdf.queryExecution().logical().toString()
+    sink, batches = state.KeyedSink(spark, str(tmp_path / "sink"), "k", changes.schema), []
+    st.run_foreach_batch(changes, lambda b, n: (batches.append(n), sink.write(b, n)), str(tmp_path / "ck"))
+    assert len(batches) == 8
+    want = {k: (len(v), len(v), float(sum(v)), float(min(v)), max(v)) for k in range(9) if (v := [i for i in range(400) if i % 9 == k])}
+    assert {r.k: tuple(r)[1:] for r in sink.read().collect()} == want
