@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import subwords as sw
 from tessera.operators import tokens as tk
 from tessera.plans.registry import query
+from tessera.session import checkpoint_dir
 from tessera.sources.files import table
 
 
@@ -105,10 +106,17 @@ _CODED_DOCS = """SELECT doc_id, string_agg(ids, ' ' ORDER BY pos) AS ids,
  CAST(sum(len(string_split(ids, ' '))) AS BIGINT) AS n_tokens FROM toks JOIN coded USING (w) GROUP BY doc_id"""
 
 
+def _counted(spark, docs):
+    """The distinct words, counted once for merges and vocabulary."""
+    checkpoint_dir(spark)
+    return tk.word_counts(docs).checkpoint()
+
+
 def _wordpiece(spark, d):
     docs = table(spark, d, "documents", spread=True)
-    merges = sw.wordpiece_merges(docs, n_merges=N_PIECES)
-    vocab = sw.subword_vocab(docs, merges, wordpiece=True, min_count=RARE_SYMBOL).checkpoint()
+    counted = _counted(spark, docs)
+    merges = sw.wordpiece_merges(docs, n_merges=N_PIECES, counted=counted)
+    vocab = sw.subword_vocab(docs, merges, wordpiece=True, min_count=RARE_SYMBOL, counted=counted).checkpoint()
     return sw.encode_wordpiece(docs, vocab), vocab
 
 
@@ -151,8 +159,9 @@ w{r + 1} AS MATERIALIZED (SELECT w, replace(syms, (SELECT chr(2) || l || chr(3)
 
 def _encode_bpe(spark, d):
     docs = table(spark, d, "documents", spread=True)
-    merges = tk.bpe_merges(docs, n_merges=N_MERGES)
-    return _as_text(sw.encode_bpe(docs, merges, sw.subword_vocab(docs, merges)))
+    counted = _counted(spark, docs)
+    merges = tk.bpe_merges(docs, n_merges=N_MERGES, counted=counted)
+    return _as_text(sw.encode_bpe(docs, merges, sw.subword_vocab(docs, merges, counted=counted)))
 
 
 query("encode_bpe", _bpe_coded_sql())(_encode_bpe)

@@ -354,3 +354,14 @@ def test_slices_hold_a_bounded_part_of_a_batch():
     assert [s.column(0).to_pylist() for s in cut] == [[0, 1], [2], [3, 4, 5]]
     assert [s.column(0).to_pylist() for s in tk.in_slices([rb], 2, 160)] == [[0, 1], [2], [3, 4, 5]]
     assert [t for s in cut for t in s.column(1).to_pylist()] == texts
+
+
+def test_merges_and_vocabulary_share_one_word_count(spark):
+    docs = spark.createDataFrame([(1, "aaaa abab ab ba"), (2, "baab aaaa $a$a x")], "doc_id bigint, text string")
+    counted = tk.word_counts(docs)
+    for train, wordpiece in ((tk.bpe_merges, False), (sw.wordpiece_merges, True)):
+        merges = train(docs, n_merges=6)
+        shared = train(docs.limit(0), n_merges=6, counted=counted)  # the texts are not read again
+        assert merges.collect() == shared.collect() and merges.count()
+        vocab = sw.subword_vocab(docs, merges, wordpiece=wordpiece)
+        assert sorted(vocab.collect()) == sorted(sw.subword_vocab(docs.limit(0), shared, wordpiece=wordpiece, counted=counted).collect())
