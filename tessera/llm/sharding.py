@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,15 @@ def _shuffled(seed: int):
     return shuffle
 
 
+def _placed(seed: int):
+    shuffle = _shuffled(seed)
+
+    def place(group: pa.Table, start: pa.Table) -> pa.Table:
+        group = shuffle(group)
+        return group.select(["row"]).append_column("at", pc.add(group.column("place"), start.column("before")[0]))
+    return place
+
+
 def external_shuffle(docs: DataFrame, shards: int = 16, seed: int = 17, bucket_bytes: int = BUCKET_BYTES,
                      text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``shard`` and ``slot`` (the row's place in
@@ -48,10 +58,9 @@ def external_shuffle(docs: DataFrame, shards: int = 16, seed: int = 17, bucket_b
     before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("bucket", before.alias("before"))  # one row per bucket
     rows = docs.select(packed(docs), key.alias("row_key"), bucket.alias("bucket"))
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("bucket", T.IntegerType()),
-                           T.StructField("place", T.LongType())])
-    dealt = rows.groupBy("bucket").applyInArrow(_shuffled(seed), schema).join(starts, "bucket") \
-        .withColumn("at", F.col("before") + F.col("place"))
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("at", T.LongType())])
+    # a bucket meets its start where it is shuffled: a join after that could move every record once more
+    dealt = rows.groupBy("bucket").cogroup(starts.groupBy("bucket")).applyInArrow(_placed(seed), schema)
     # shard s holds positions [ceil(s * n / shards), ceil((s + 1) * n / shards))
     shard = F.expr(f"cast((at * {shards}) div {max(n, 1)} as int)")
     first = F.expr(f"(shard * {n} + {shards - 1}) div {shards}")

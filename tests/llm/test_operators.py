@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import (chat, decontam, html_extract, imatch, langid, mixing, sharding, simhash, toxicity,
                          url_filter)
+from tessera.llm.common import row_hash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, row string, fp long, shard int, `key` string"
 LONG = " ".join(f"w{i % 977}" for i in range(120_000))
@@ -249,6 +251,30 @@ def test_sharding_bucket_is_fisher_yates_of_its_seed():
     assert out["row"].to_pylist() == [by_key[i] for i in order] and out["place"].to_pylist() == list(range(9))
 
 
+def test_sharding_shuffles_records_once_and_places_them_as_plain_python(spark, monkeypatch):
+    """With no broadcast join too; 100 of the 500 rows come twice."""
+    monkeypatch.setattr(sharding, "MIN_BUCKETS", 7)
+    df = spark.range(500).select((F.col("id") % 400).alias("doc_id"), (F.col("id") % 400).cast("string").alias("text"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        o = sharding.external_shuffle(df, shards=3)
+        formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        exchanged = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*)\]", o._jdf.queryExecution().explainString(formatted))
+        got = o.orderBy("shard", "slot").toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(exchanged) > 1 and sum("row#" in columns for columns in exchanged) == 1
+    key = row_hash(df, 17)
+    keyed = df.select("doc_id", key.alias("key"), F.pmod(F.xxhash64(key), F.lit(7)).alias("bucket")).toPandas()
+    want = []
+    for b, rows in keyed.sort_values("key").groupby("bucket"):
+        want += rows.doc_id.iloc[np.random.Generator(np.random.PCG64([17, b])).permutation(len(rows))].tolist()
+    assert got.doc_id.tolist() == want
+    assert got.shard.tolist() == [at * 3 // 500 for at in range(500)]
+    assert got.slot.tolist() == [at - math.ceil(at * 3 // 500 * 500 / 3) for at in range(500)]
+
+
 def test_write_shards(spark, tmp_path):
     df = spark.range(200).select("id", F.col("id").cast("string").alias("text"))
     sharding.write_shards(sharding.external_shuffle(df, shards=3), f"{tmp_path}/out")
