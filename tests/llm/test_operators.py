@@ -113,6 +113,14 @@ def test_links_against_all_pairs(spark, distance, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_exploded_rows_are_not_broadcast(spark, tmp_path):
+    """Spark takes the 66 rows of a fingerprint for one, so a small table's may look fit for a broadcast."""
+    spark.range(1000).select(F.xxhash64("id").alias("fp")).write.parquet(folder := f"{tmp_path}/fps")
+    links = simhash.near_links(spark.read.parquet(folder))
+    links.collect()
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     order = list(range(n))
