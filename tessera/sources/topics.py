@@ -171,14 +171,18 @@ def read_until_idle(stream: DataFrame, write: Callable, checkpoint: str, idle_se
     q = (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(processingTime=interval).start())
     done: set[int] = set()
+    looked = False  # idle time counts from the first look for rows, however long the start takes
     try:
         while q.isActive:
-            for p in q.recentProgress:
+            status, progress = q.status, q.recentProgress  # in this order: a trigger that has ended has told its rows
+            for p in progress:
                 if p["numInputRows"] and p["batchId"] not in done:
                     done.add(p["batchId"])
                     seen["rows"] += p["numInputRows"]
                     seen["at"] = time.monotonic()
-            busy = q.status["isTriggerActive"] and q.status["isDataAvailable"]
+            if not looked:
+                looked, seen["at"] = bool(progress) or status["message"].startswith("Waiting"), time.monotonic()
+            busy = status["isTriggerActive"]
             if max_rows is not None and seen["rows"] >= max_rows:
                 break
             if not busy and time.monotonic() - seen["at"] >= idle_seconds:

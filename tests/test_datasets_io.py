@@ -522,3 +522,33 @@ def test_summaries_cost_few_batches_and_no_python_per_key(spark, tmp_path):
     assert len(batches) == 8
     want = {k: (len(v), len(v), float(sum(v)), float(min(v)), max(v)) for k in range(9) if (v := [i for i in range(400) if i % 9 == k])}
     assert {r.k: tuple(r)[1:] for r in sink.read().collect()} == want
+
+
+def test_idle_time_starts_with_the_first_look():
+    """A stream that takes longer to start than ``idle_seconds`` is still read."""
+    import time
+    from tessera.sources import topics
+
+    class Query:
+        isActive, begun = True, time.monotonic()
+
+        def at(self, starting, running, waiting):
+            s = time.monotonic() - self.begun
+            return starting if s < 0.6 else running if s < 1.2 else waiting
+        status = property(lambda q: q.at({"message": "Initializing sources", "isTriggerActive": False, "isDataAvailable": False},
+                                         {"message": "Getting offsets", "isTriggerActive": True, "isDataAvailable": False},
+                                         {"message": "Waiting for data to arrive", "isTriggerActive": False, "isDataAvailable": False}))
+        recentProgress = property(lambda q: q.at([], [], [{"numInputRows": 5, "batchId": 0}]))
+
+        def exception(self):
+            return None
+
+        def stop(self):
+            pass
+
+    class Stream:
+        def __getattr__(self, name):
+            return lambda *a, **b: Query() if name == "start" else self
+    stream = Stream()
+    stream.writeStream = stream
+    assert topics.read_until_idle(stream, None, "unused", idle_seconds=0.3) == 5
